@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from ampledger.llm import bpe, exact_dedup, simhash, token_counts
+from ampledger.llm import bpe, decontaminate, exact_dedup, html_text, pii, quality, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_bpe": bpe.op3_bpe,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_pii": pii.op5_pii,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_url_filter": url_filter.OP6_SQL}
