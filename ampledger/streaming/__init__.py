@@ -1,0 +1 @@
+"""Incremental forms of the mergeable aggregates."""
