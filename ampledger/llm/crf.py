@@ -74,12 +74,13 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], l2: float = 1e-3, steps:
         feats[k, : len(x)], gold[k, : len(x)], on[k, : len(x)] = (x - mean) / scale, y, True
     places, onehot = on.sum(), np.eye(2)[gold] * on[..., None]
     gold_moves = np.einsum("bti,btj->ij", onehot[:, :-1], onehot[:, 1:])
-    gold_w, gold_first = np.einsum("btf,btl->fl", feats, onehot), onehot[:, 0].sum(0)
+    flat_feats = feats.reshape(-1, f)
+    gold_w, gold_first = flat_feats.T @ onehot.reshape(-1, 2), onehot[:, 0].sum(0)
     params = [np.zeros((f, 2)), np.zeros((2, 2)), np.zeros(2)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
         w, moves, first = params
-        e = feats @ w
+        e = (flat_feats @ w).reshape(b, t, 2)
         alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
         alpha[:, 0] = e[:, 0] + first
         for k in range(1, t):
@@ -90,7 +91,7 @@ def train(chains: list[tuple[np.ndarray, np.ndarray]], l2: float = 1e-3, steps:
         prob = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
         pair = np.exp(alpha[:, :-1, :, None] + moves + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
         slopes = [
-            np.einsum("btf,btl->fl", feats, prob) - gold_w,
+            flat_feats.T @ prob.reshape(-1, 2) - gold_w,
             pair.sum((0, 1)) - gold_moves,
             prob[:, 0].sum(0) - gold_first,
         ]

@@ -269,6 +269,14 @@ def hand_marked_pages() -> Iterator[str]:
                 inner = body.format(*told, i=inserts[(3 * k + 5 * j + q) % len(inserts)].format(**fill))
                 start = re.sub(r"^<(\w+)", r'<\1 data-y="1"', a)
                 yield f'<html><body data-y="0">{before.format(**fill)}{start}{inner}{z}{after.format(**fill)}</body></html>'
+    # parts alone, by tag or by class, with short and long text; and pages without any container
+    parts = [f"<{t}>{{}}</{t}>" for t in ("nav", "header", "footer", "aside", "form", "dialog", "menu")]
+    parts += [f'<div class="{c}">{{}}</div>' for c in ("menu", "footer", "sidebar", "advert", "cookie-notice", "comments", "share", "related")]
+    for part in parts:
+        for text in ("Home", menu, f"<p>{prose[0]}</p><p>{prose[2]}</p>"):
+            yield f'<html><body data-y="0">{part.format(text)}</body></html>'
+            yield f'<html><body data-y="0">{part.format(text)}<article data-y="1"><p>{prose[3]}</p><p>{prose[1]}</p></article></body></html>'
+            yield f'<html><body data-y="0">{part.format(text)}<div data-y="1"><h1>{prose[1]}</h1><p>{prose[2]}</p><p>{prose[4]}</p></div></body></html>'
 
 
 def _marked_labels(blocks: list[Block]) -> list[int]:

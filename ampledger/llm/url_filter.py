@@ -122,7 +122,7 @@ def score_of(triples: Column, llr: list[int]) -> Column:
 def calibrate(scored: DataFrame) -> int:
     """The cut on ``score`` with the best balanced accuracy over ``scored(verdict, score)``; 0 without both verdicts.
 
-    Ties go to the cut nearest zero, then to the greater. Scores are whole numbers held to
+    Cuts lie half-way between neighbouring scores. Ties go to the cut nearest zero, then to the greater. Scores are whole numbers held to
     +-5000, so at most 10,001 rows are sorted and one reaches the driver.
     """
     score = F.greatest(F.lit(-5000), F.least(F.lit(5000), F.col("score"))).alias("score")
@@ -135,9 +135,11 @@ def calibrate(scored: DataFrame) -> int:
         everything
     ) + F.coalesce(F.sum("bad").over(below), F.lit(0)) / F.sum("bad").over(everything)
     both = (F.sum("good").over(everything) > 0) & (F.sum("bad").over(everything) > 0)
-    ranked = tally.select("score", F.when(both, F.round(share, 9)).alias("share")).where("share is not null")
-    best = ranked.orderBy(F.desc("share"), F.abs("score"), F.desc("score")).first()
-    return best["score"] if best else 0
+    before = F.coalesce(F.lag("score").over(Window.orderBy("score")), F.col("score"))
+    cut_at = F.floor((F.col("score") + before + 1) / 2).cast("int").alias("cut")
+    ranked = tally.select(cut_at, F.when(both, F.round(share, 9)).alias("share")).where("share is not null")
+    best = ranked.orderBy(F.desc("share"), F.abs("cut"), F.desc("cut")).first()
+    return best["cut"] if best else 0
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -228,10 +230,10 @@ tally AS (
   SELECT greatest(-5000, least(5000, score)) AS score, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad
   FROM scored WHERE said IS NOT NULL GROUP BY 1),
 shares AS (
-  SELECT score, round(CAST(sum(good) OVER () - coalesce(sum(good) OVER below, 0) AS DOUBLE) / nullif(sum(good) OVER (), 0)
+  SELECT CAST(floor((score + coalesce(lag(score) OVER (ORDER BY score), score) + 1) / 2.0) AS BIGINT) AS cut, round(CAST(sum(good) OVER () - coalesce(sum(good) OVER below, 0) AS DOUBLE) / nullif(sum(good) OVER (), 0)
       + CAST(coalesce(sum(bad) OVER below, 0) AS DOUBLE) / nullif(sum(bad) OVER (), 0), 9) AS share
   FROM tally WINDOW below AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-best AS (SELECT coalesce(first(score ORDER BY share DESC, abs(score), score DESC), 0) AS cut FROM shares WHERE share IS NOT NULL)
+best AS (SELECT coalesce(first(cut ORDER BY share DESC, abs(cut), cut DESC), 0) AS cut FROM shares WHERE share IS NOT NULL)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= (SELECT cut FROM best) THEN 'allow' ELSE 'block' END) AS verdict
 FROM scored
 """
