@@ -11,6 +11,7 @@ and later added may be classed otherwise than by a library with other tables.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -140,6 +141,12 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+@functools.cache
+def worker_bpe(path: str) -> WordBpe:
+    """One encoder for all tasks of a Python worker, so that file and caches are not made anew for each."""
+    return WordBpe(path)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>, decoded`` for every row; null texts count as empty (no ids, empty text).
 
@@ -148,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
@@ -167,7 +174,7 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode, decode and digest in one pass."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
         sha = hashlib.sha256
 
         def one(text: str | None) -> tuple[int, str, str]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampledger.llm.bpe import WordBpe, tokenizer_path
+from ampledger.llm.bpe import tokenizer_path, worker_bpe
 from ampledger.llm.common import cut, map_rows, table
 
 BLOCK = 4096  # lengths a block of the suffix sums
@@ -22,7 +22,7 @@ def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     """``doc_id, length`` of every row; null texts count as empty (length 0)."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        bpe = WordBpe(path)
+        bpe = worker_bpe(path)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n = [len(bpe.encode(t)) for t in batch.column(1).to_pylist()]
