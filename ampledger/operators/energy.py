@@ -10,8 +10,8 @@ from ampledger.functions.calendar import band, day_off, holidays
 from ampledger.functions.timeexpr import local, period_ending
 
 
-def energy_by_band(sessions: DataFrame, day: int = 23) -> DataFrame:
-    """``site_id, period_ending, on_kwh, mid_kwh, off_kwh, kwh`` of sessions with ``adj_start, adj_end, energy``.
+def energy_parts(sessions: DataFrame, day: int = 23) -> DataFrame:
+    """``site_id, period_ending, date, tou, kwh``: sessions with ``adj_start, adj_end, energy`` cut into local hours.
 
     Energy is spread evenly over the adjusted span. Bands change on the hour, and so do
     periods, so each session is cut into its hours and each hour has one band and one
@@ -31,11 +31,20 @@ def energy_by_band(sessions: DataFrame, day: int = 23) -> DataFrame:
         (F.col("energy") * overlap / (F.col("adj_end") - F.col("adj_start"))).alias("kwh"),
     )
     years = parts.select(F.year("date").alias("year")).distinct()
-    parts = day_off(parts, holidays(years)).withColumn("tou", band("date", "hour", "off"))
-    sums = parts.groupBy("site_id", "period_ending").agg(
-        *(F.sum(F.when(F.col("tou") == b, F.col("kwh")).otherwise(0.0)).alias(n) for n, b in (("on", ON), ("mid", MID), ("off", OFF))),
-        F.sum("kwh").alias("total"),
-    )
-    return sums.select(
-        "site_id", "period_ending", *(F.round(c, 6).alias(f"{c}_kwh") for c in ("on", "mid", "off")), F.round("total", 6).alias("kwh")
-    )
+    return day_off(parts, holidays(years)).select("site_id", "period_ending", "date", band("date", "hour", "off").alias("tou"), "kwh")
+
+
+def _by_band(parts: DataFrame, *keys: str) -> DataFrame:
+    each = (F.sum(F.when(F.col("tou") == b, F.col("kwh")).otherwise(0.0)).alias(f"{n}_kwh") for n, b in (("on", ON), ("mid", MID), ("off", OFF)))
+    return parts.groupBy("site_id", "period_ending", *keys).agg(*each, F.sum("kwh").alias("kwh"))
+
+
+def energy_by_day(sessions: DataFrame, day: int = 23) -> DataFrame:
+    """``site_id, period_ending, date, on_kwh, mid_kwh, off_kwh, kwh`` by local date."""
+    return _by_band(energy_parts(sessions, day), "date")
+
+
+def energy_by_band(sessions: DataFrame, day: int = 23) -> DataFrame:
+    """``site_id, period_ending, on_kwh, mid_kwh, off_kwh, kwh`` to six decimals."""
+    sums = _by_band(energy_parts(sessions, day))
+    return sums.select("site_id", "period_ending", *(F.round(c, 6).alias(c) for c in ("on_kwh", "mid_kwh", "off_kwh", "kwh")))

@@ -61,8 +61,12 @@ def estimates(segments: DataFrame, cfg: SiteConfig = DEFAULT) -> DataFrame:
     return segments.withColumns(cols)
 
 
-def best_segments(estimated: DataFrame) -> DataFrame:
-    """Of each interval the segment with the greatest middle of the bracket, by energy and by count; the earliest on a tie."""
+def best_segments(estimated: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Of each interval the segment with the greatest middle of the bracket, by energy and by count; the earliest on a tie.
+
+    ``digits``: decimals of the estimates, None for all.
+    """
+    shown = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
 
     def best(way: str, by: str) -> Column:
         mid = F.round(F.col(f"{by}_min") + F.col(f"{by}_max"), 9)  # sums differ in the last digits by order
@@ -75,7 +79,7 @@ def best_segments(estimated: DataFrame) -> DataFrame:
         for way in ("energy", "count")
         for c in (
             F.timestamp_seconds(-F.col(f"{way}.at")).cast("timestamp_ntz").alias(f"{way}_segment"),
-            *(F.round(F.col(f"{way}.{way}_{u}_{e}"), 6).alias(f"{way}_{u}_{e}") for u in ("kw", "kva") for e in ("min", "max")),
+            *(shown(F.col(f"{way}.{way}_{u}_{e}")).alias(f"{way}_{u}_{e}") for u in ("kw", "kva") for e in ("min", "max")),
         )
     ]
     return tops.select("site_id", F.timestamp_seconds("interval_start").cast("timestamp_ntz").alias("interval_start"), *out)

@@ -302,25 +302,33 @@ def session_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.coverage(_flagged(spark, sf_dir))
 
 
-@query(f"""WITH {DEDUP_SQL},
-live AS (SELECT site_id, adj_start, adj_end, energy FROM d WHERE bucket <> 'excluded' AND adj_end > adj_start),
-hrs AS (SELECT *, unnest(range(adj_start - adj_start % 3600, adj_end, 3600)) AS h FROM live),
+#: CTEs up to ``parts``: kWh by site, period, local date and band.
+PARTS_SQL = f"""{DEDUP_SQL},
+spread AS (SELECT site_id, adj_start, adj_end, energy FROM d WHERE bucket <> 'excluded' AND adj_end > adj_start),
+hrs AS (SELECT *, unnest(range(adj_start - adj_start % 3600, adj_end, 3600)) AS h FROM spread),
 {sql_holidays("SELECT DISTINCT year(ts) + i AS y FROM events, (VALUES (-1), (0), (1)) t(i)")},
 pieces AS (SELECT *, make_timestamp(h * 1000000) AS ts, energy * (least(adj_end, h + 3600) - greatest(adj_start, h)) / (adj_end - adj_start) AS kwh FROM hrs),
 lh AS (SELECT *, {sql_local("ts")} AS l FROM pieces),
 ldh AS (SELECT *, CAST(l AS DATE) AS ld, hour(l) AS hr FROM lh),
-b AS (SELECT site_id, {sql_ending("ts")} AS period_ending, kwh, {sql_band("ld", "hr")} AS tou FROM ldh)
-SELECT site_id, period_ending, round(coalesce(sum(kwh) FILTER (tou = 'OnPeak'), 0), 6) AS on_kwh, round(coalesce(sum(kwh) FILTER (tou = 'MidPeak'), 0), 6) AS mid_kwh,
-  round(coalesce(sum(kwh) FILTER (tou = 'OffPeak'), 0), 6) AS off_kwh, round(sum(kwh), 6) AS kwh FROM b GROUP BY site_id, period_ending""")
+parts AS (SELECT site_id, {sql_ending("ts")} AS period_ending, ld, kwh, {sql_band("ld", "hr")} AS tou FROM ldh)"""
+
+BAND_SUMS = """coalesce(sum(kwh) FILTER (tou = 'OnPeak'), 0) AS on_kwh, coalesce(sum(kwh) FILTER (tou = 'MidPeak'), 0) AS mid_kwh,
+  coalesce(sum(kwh) FILTER (tou = 'OffPeak'), 0) AS off_kwh"""
+
+
+@query(f"""WITH {PARTS_SQL}, sums AS (SELECT site_id, period_ending, {BAND_SUMS}, sum(kwh) AS kwh FROM parts GROUP BY site_id, period_ending)
+SELECT site_id, period_ending, round(on_kwh, 6) AS on_kwh, round(mid_kwh, 6) AS mid_kwh, round(off_kwh, 6) AS off_kwh, round(kwh, 6) AS kwh FROM sums""")
 def ev_energy_by_tou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charging energy of each site and billing period by price band, from merged sessions that are not excluded."""
     merged = S.deduplicate(_flagged(spark, sf_dir, True)).where("bucket <> 'excluded'")
     return energy.energy_by_band(merged)
 
 
-SEGMENTS_SQL = f"""{DEDUP_SQL},
+def segments_sql(intervals: str) -> str:
+    """CTEs up to ``sa`` for the query ``intervals(site_id, interval_start)``."""
+    return f"""
 live AS (SELECT site_id, adj_start, adj_end, avg_kw FROM d WHERE bucket <> 'excluded' AND adj_end > adj_start),
-iv AS (SELECT DISTINCT user_id % {A.SITES} AS site_id, CAST(epoch({sql_instant("CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 16 HOUR")}) AS BIGINT) AS interval_start FROM events),
+iv AS ({intervals}),
 sg AS (SELECT *, unnest(range(interval_start, interval_start + 3600, 900)) AS seg_start FROM iv),
 ov AS (SELECT sg.*, avg_kw, greatest(adj_start, seg_start) AS x, least(adj_end, seg_start + 900) AS y, adj_start, adj_end
   FROM sg JOIN live ON live.site_id = sg.site_id AND adj_start < seg_start + 900 AND adj_end > seg_start),
@@ -330,6 +338,10 @@ sa AS (SELECT site_id, interval_start, seg_start, coalesce(count_min, 0) AS coun
   coalesce(members, 0) AS members FROM sg LEFT JOIN ag USING (site_id, interval_start, seg_start))"""
 
 
+ASKED_SQL = f"""SELECT DISTINCT user_id % {A.SITES} AS site_id, CAST(epoch({sql_instant("CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 16 HOUR")}) AS BIGINT) AS interval_start FROM events"""
+SEGMENTS_SQL = f"{DEDUP_SQL}, {segments_sql(ASKED_SQL)}"
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = S.deduplicate(_flagged(spark, sf_dir, True)).where("bucket <> 'excluded'")
     hour = T.instant(F.to_date("ts").cast("timestamp") + F.expr("interval 16 hours"))
@@ -367,12 +379,12 @@ def _sql_estimates() -> str:
     return ", ".join(out)
 
 
-def _sql_best() -> str:
+def _sql_best(shown: str = "round({}, 6)") -> str:
     out = []
     for way, by in (("energy", "kw"), ("count", "count")):
         order = f"ORDER BY round({by}_min + {by}_max, 9) DESC, seg_start"
         out.append(f"make_timestamp(first(seg_start {order}) * 1000000) AS {way}_segment")
-        out += [f"round(first({way}_{u}_{e} {order}), 6) AS {way}_{u}_{e}" for u in ("kw", "kva") for e in ("min", "max")]
+        out += [f"{shown.format(f'first({way}_{u}_{e} {order})')} AS {way}_{u}_{e}" for u in ("kw", "kva") for e in ("min", "max")]
     return ", ".join(out)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from ampledger.plans.core import QUERIES, SQL
+from ampledger.plans import core, costs
+
+QUERIES = core.QUERIES | costs.QUERIES
+SQL = core.SQL | costs.SQL
 
 __all__ = ["QUERIES", "SQL"]

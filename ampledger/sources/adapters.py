@@ -5,9 +5,13 @@ events become charging sessions, lineitem the meter's three series, orders the b
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampledger.functions.timeexpr import period_ending
+
 SITES = 10
 
 
@@ -106,3 +110,149 @@ def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         label.alias("label"),
         F.col("o_totalprice").alias("amount"),
     )
+
+
+def site_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly readings of each site's meter, from the hour's events: ``meter_id, ts, kwh, kw, kva``."""
+    e = read(spark, sf_dir, "events")
+    milli, k = (F.col("value") * 1000).cast("long"), F.get_json_object("props", "$.k").cast("long")
+    return e.groupBy((F.col("user_id") % SITES).alias("meter_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")).agg(
+        F.sum(milli).alias("kwh"), F.sum(milli).alias("kw"), F.sum(milli + k * 1000).alias("kva")
+    )
+
+
+HOURS_SQL = f"""
+site_hours AS (SELECT user_id % {SITES} AS meter_id, date_trunc('hour', ts) AS ts, CAST(sum(CAST(trunc(value * 1000) AS BIGINT)) AS BIGINT) AS kw,
+    CAST(sum(CAST(trunc(value * 1000) AS BIGINT) + 1000 * CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS kva FROM events GROUP BY ALL)"""
+
+#: Column of the site's bill, as arithmetic that both engines read alike on whole numbers: thousandths of
+#: energy by kind of event (n_on, n_mid, n_off), their sum n, and the period's days.
+BILL_FIGURES = {
+    "on_peak_kwh": "n_on / 1000.0", "mid_peak_kwh": "n_mid / 1000.0", "off_peak_kwh": "n_off / 1000.0",
+    "on_peak_cost": "n_on * 158 / 1000000.0", "mid_peak_cost": "n_mid * 122 / 1000000.0", "off_peak_cost": "n_off * 76 / 1000000.0",
+    "delivery_customer_charges": "50.0", "distribution_charges": "n * 9 / 1000000.0",
+    "transmission_connection_charge": "n * 3 / 1000000.0", "transmission_network_charge": "n * 5 / 1000000.0",
+    "standard_supply_admin_charge": "0.25", "wholesale_market_svc_charge": "n / 1000000.0",
+    "adjusted_kwh_used": "(n_on + n_mid + n_off) / 1000.0", "loss_factor_adjustment": "1.0295",
+    "demand_kw": "(n / 700000.0 + 1)", "demand_kva": "(n / 650000.0 + 1)", "peak_7_7_kw": "(n / 800000.0 + 1)",
+    "adj_kw": "(n / 700000.0 + 1) * days / 30.0", "adj_kva": "(n / 650000.0 + 1) * days / 30.0",
+    "adj_peak_7_7_kw": "(n / 800000.0 + 1) * days / 30.0", "metering_adj": "1.0",
+}
+
+_DECIMAL = re.compile(r"([0-9]+[.][0-9]+)")
+
+
+def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bill of each site and period, from the sums of its events.
+
+    Sites divisible by 4 are billed a cent and a half too little; odd sites' energy is not loss-adjusted.
+    """
+    e = read(spark, sf_dir, "events").withColumn("m", (F.col("value") * 1000).cast("long"))
+    kind = lambda t: F.sum(F.when(F.col("event_type") == t, F.col("m")).otherwise(0))
+    sums = e.groupBy((F.col("user_id") % SITES).alias("site_id"), period_ending("ts").alias("period_ending")).agg(
+        kind("purchase").alias("n_on"), kind("view").alias("n_mid"), kind("click").alias("n_off"), F.sum("m").alias("n")
+    )
+    begins = F.add_months("period_ending", -1)
+    rows = sums.withColumn("days", F.datediff("period_ending", begins).cast("long"))
+    rows = rows.select("*", *(F.expr(_DECIMAL.sub(r"\1D", x)).cast("double").alias(c) for c, x in BILL_FIGURES.items()))
+    parts = [c for c in BILL_FIGURES if c.endswith(("_cost", "_charge", "_charges"))]
+    whole = sum((F.col(c) for c in parts[1:]), F.col(parts[0])) - F.when(F.col("site_id") % 4 == 0, 0.015).otherwise(0.0)
+    used = F.when(F.col("site_id") % 2 == 1, F.col("adjusted_kwh_used")).otherwise(F.col("adjusted_kwh_used") / F.col("loss_factor_adjustment"))
+    return rows.withColumns(
+        {
+            "total_electricity_charges": whole,
+            "kwh_used": used,
+            "number_of_days": F.col("days"),
+            "meter_reading_period_from": begins,
+            "meter_reading_period_to": F.col("period_ending"),
+            "statement_date": F.date_add("period_ending", 5),
+        }
+    ).withColumns({"hst": F.col("total_electricity_charges") * 0.13, "ontario_electricity_rebate": F.col("total_electricity_charges") * 0.1})
+
+
+def bills_sql(ending: str) -> str:
+    """CTE ``bills``; ``ending`` is the period of ts."""
+    parts = " + ".join(c for c in BILL_FIGURES if c.endswith(("_cost", "_charge", "_charges")))
+    kind = lambda t: f"CAST(sum(CASE WHEN event_type = '{t}' THEN m ELSE 0 END) AS BIGINT)"
+    figures = ", ".join(f"CAST({_DECIMAL.sub(r'\1::DOUBLE', x)} AS DOUBLE) AS {c}" for c, x in BILL_FIGURES.items())
+    return f"""
+b0 AS (SELECT user_id % {SITES} AS site_id, {ending} AS period_ending, event_type, CAST(trunc(value * 1000) AS BIGINT) AS m FROM events),
+b1 AS (SELECT site_id, period_ending, {kind("purchase")} AS n_on, {kind("view")} AS n_mid, {kind("click")} AS n_off, CAST(sum(m) AS BIGINT) AS n FROM b0 GROUP BY ALL),
+b2 AS (SELECT *, date_diff('day', CAST(period_ending - INTERVAL 1 MONTH AS DATE), period_ending) AS days FROM b1),
+b3 AS (SELECT *, {figures} FROM b2),
+b4 AS (SELECT *, {parts} - CASE WHEN site_id % 4 = 0 THEN 0.015::DOUBLE ELSE 0 END AS total_electricity_charges,
+    CASE WHEN site_id % 2 = 1 THEN adjusted_kwh_used ELSE adjusted_kwh_used / loss_factor_adjustment END AS kwh_used FROM b3),
+bills AS (SELECT *, total_electricity_charges * 0.13::DOUBLE AS hst, total_electricity_charges * 0.1::DOUBLE AS ontario_electricity_rebate FROM b4)"""
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovery rates of each site: one of 2023 (not at site 9), and a change on 2024-01-10 at sites divisible by 3."""
+    sites = read(spark, sf_dir, "events").select((F.col("user_id") % SITES).alias("site_id")).distinct()
+    cents = lambda base: (F.col("site_id") + base) / 100
+    made = lambda day, up: sites.select("site_id", F.lit(day).cast("date").alias("effective_date"), *(cents(b + up).alias(f"{n}_rate") for n, b in (("on", 20), ("mid", 15), ("off", 10))))
+    return made("2023-06-01", 0).where("site_id <> 9").unionByName(made("2024-01-10", 3).where("site_id % 3 = 0"))
+
+
+RATES_SQL = f"""
+sites AS (SELECT DISTINCT user_id % {SITES} AS site_id FROM events),
+rates AS (SELECT site_id, DATE '2023-06-01' AS effective_date, (site_id + 20) / 100 AS on_rate, (site_id + 15) / 100 AS mid_rate, (site_id + 10) / 100 AS off_rate FROM sites WHERE site_id <> 9
+  UNION ALL SELECT site_id, DATE '2024-01-10', (site_id + 23) / 100, (site_id + 18) / 100, (site_id + 13) / 100 FROM sites WHERE site_id % 3 = 0)"""
+
+
+def bill_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charge lines as printed, one bill an account and period: ``bill_id, line_no, label, amount``.
+
+    A charge whose amount is on its rate line gives two lines; low-priority orders are energy lines.
+    """
+    o = read(spark, sf_dir, "orders")
+    amount = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
+    later = {"1-URGENT": "Transmission Connection Charge", "3-MEDIUM": "Transmission Network Charge"}
+    line = lambda nth, label, value: F.struct((F.col("o_orderkey") * 2 + nth).alias("line_no"), label.alias("label"), value.alias("amount"))
+    none = F.lit(None).cast("string")
+    used = F.concat(F.format_number(F.col("o_orderkey") % 5000 + 1000, 3), F.lit(" kWh Off-peak @ $0.076 / kWh"))
+    two = lambda label: F.array(line(0, F.lit(label), none), line(1, F.lit("140.640 kW at $3.1008 per kW per 30 Days"), amount))
+    p = F.col("o_orderpriority")
+    lines = (
+        F.when(p == "1-URGENT", two(later["1-URGENT"])).when(p == "3-MEDIUM", two(later["3-MEDIUM"]))
+        .when(p == "2-HIGH", F.array(line(0, F.lit("Distribution Charges"), amount)))
+        .when(p == "5-LOW", F.array(line(0, used, amount)))
+        .otherwise(F.array(line(0, F.lit("Late Payment"), amount), line(1, F.lit("Delivery"), none)))
+    )
+    bill = F.concat_ws("/", F.col("o_custkey").cast("string"), period_ending("o_orderdate").cast("string"))
+    return o.select(bill.alias("bill_id"), F.explode(lines).alias("l")).select("bill_id", "l.*")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval requests of every line: wall times over seven years, some off the grid or misnamed."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber").cast("long")
+    at = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + (k * 7 + n * 5) % 24 * 3600
+    at = at + F.get(F.array(*(F.lit(m) for m in (0, 0, 15, 30, 45, 7))), (k % 6).cast("int")) * 60 + F.when(k % 11 == 0, 30).otherwise(0)
+    return read(spark, sf_dir, "lineitem").select(
+        (k * 10 + n).alias("request_id"),
+        F.timestamp_seconds(at).cast("timestamp_ntz").alias("start_local"),
+        F.when(n % 3 == 1, "1h").when(n % 3 == 2, "15m").alias("length"),
+        F.when(k % 4 == 1, "EST").when(k % 4 == 2, "edt").alias("designator"),
+    )
+
+
+def report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session report's file name for every order: ``site_id, name, first``; some state a date that is none."""
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    said = lambda x: F.date_format(x, "MMMM_d_yyyy")
+    last = F.date_add(d, (k % 150).cast("int"))
+    name = F.concat(F.lit("/in/Session_Report_"), said(d), F.lit("-"), F.when(k % 13 == 0, F.lit("June_31_1998")).otherwise(said(last)), F.when(k % 5 == 0, "-mock").otherwise(""), F.lit(".csv"))
+    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site_id"), name.alias("name"), d.alias("first"))
+
+
+def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session rows as a report's text cells; some durations and energies are no numbers."""
+    s = sessions(spark, sf_dir)
+    n = F.col("row")
+    clock = lambda c: F.format_string("%d:%02d:%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) / 60) % 60, F.col(c) % 60)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd H:mm")
+    return s.select(
+        "site_id", "path", "row", "id", shown("start_local").alias("conn_start"),
+        F.concat(shown("end_local"), F.when(n % 2 == 0, ":00").otherwise("")).alias("conn_end"),
+        F.when(n % 97 == 0, "1:75:00").otherwise(clock("dur_s")).alias("conn_duration"), clock("charge_s").alias("active_time"),
+        F.when(n % 101 == 0, "n/a").otherwise(F.col("energy").cast("string")).alias("energy_use"),
+    )
