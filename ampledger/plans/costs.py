@@ -318,7 +318,7 @@ def energy_cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.lines(energy_cost(spark, sf_dir), ["site_id", "period_ending"], list(_EC))
 
 
-@query(f"""WITH {K.DEDUP_SQL} SELECT site_id, bucket, path, "row", id, start_utc, round(energy, 6) AS energy, round(avg_kw, 6) AS avg_kw FROM d""")
+@query(f"""WITH {K.DEDUP_SQL} SELECT site_id, bucket, path, "row", id, start_utc, energy, avg_kw FROM d""")
 def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged sessions with bucket, start, energy and mean power."""
-    return _merged(spark, sf_dir).select("site_id", "bucket", "path", "row", "id", *K.ntz("start_utc"), *six("energy", "avg_kw"))
+    return _merged(spark, sf_dir).select("site_id", "bucket", "path", "row", "id", *K.ntz("start_utc"), "energy", "avg_kw")
