@@ -122,15 +122,20 @@ def exact_dedup(
         )
     )
     classes = cut(classes, "classes")
-    # Among repeated rows of the id that stays, the one with the least row_id.
-    stays = (
-        marks.join(classes, on)
-        .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(*on)
-        .agg(F.min("row_id").alias("keep_row"))
-    )
+    # Among repeated rows of the id that stays, the one with the least row_id. The id is a join key, so
+    # that the copies of a hot text are dealt by id.
+    marked, held = marks.alias("m"), classes.alias("c")
+    same_id = F.col("m.doc_id").eqNullSafe(F.col("c.keep_id"))
+    staying = marked.join(held, (F.col("m.digest") == F.col("c.digest")) & (F.col("m.variant") == F.col("c.variant")) & same_id)
+    stays = staying.groupBy("c.digest", "c.variant").agg(F.min("m.row_id").alias("keep_row"))
     kept = classes.join(stays, on)
-    return marks.join(kept, on, "left").select(
+    if n_repeated <= broadcast_digests:
+        found = marks.join(F.broadcast(kept), on, "left")
+    else:
+        salted = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = marks.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS)))
+        found = dealt.join(salted, [*on, "salt"], "left")
+    return found.select(
         "row_id",
         "doc_id",
         "digest",
