@@ -81,13 +81,15 @@ def delivery_cost(power: DataFrame, bills: DataFrame) -> DataFrame:
         "network": ("transmission_network_charge", "adj_peak_7_7_kw", "ev_kw77"),
     }
     ok = F.col("error").isNull()
-    cost = {n: F.when(ok, F.try_divide(line, adj) * F.col(ev) * (F.col("number_of_days") / BILLED_DAYS)) for n, (line, adj, ev) in lines.items()}
-    rows = rows.withColumns(cost)
+    rows = rows.withColumn("days_factor", F.col("number_of_days") / BILLED_DAYS)
+    rows = rows.withColumns({f"{n}_rate": F.when(ok, F.try_divide(line, adj)) for n, (line, adj, _) in lines.items()})
+    rows = rows.withColumns({n: F.col(f"{n}_rate") * F.col(ev) * F.col("days_factor") for n, (_, _, ev) in lines.items()})
     charges = F.col("distribution") + F.col("connection") + F.col("network")
     rows = rows.withColumns({"charges": charges, "tax": _share(charges, "hst"), "rebate": _share(charges, "ontario_electricity_rebate")})
     return rows.select(
-        *KEYS, "ev_kva", "ev_kw", "ev_kw77", *lines, "charges", "tax", "rebate", (F.col("charges") + F.col("tax") - F.col("rebate")).alias("net"), "error"
-    )
+        *KEYS, "ev_kva", "ev_kw", "ev_kw77", "days_factor", *(f"{n}_rate" for n in lines), *lines, "charges", "tax", "rebate",
+        (F.col("charges") + F.col("tax") - F.col("rebate")).alias("net"), "error",
+    )
 
 
 def rate_stretches(periods: DataFrame, rates: DataFrame) -> DataFrame:

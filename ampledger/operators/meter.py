@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampledger.config import MAX_GAP_HOURS, METER_S, OFF
 from ampledger.functions.calendar import band, day_off, holidays
-from ampledger.functions.timeexpr import local, on_grid, period_ending
+from ampledger.functions.timeexpr import local, on_grid, period_end, period_ending, period_start
 
 UOM = {"kwh": 72, "kw": 38, "kva": 61}
 
@@ -118,6 +120,23 @@ def period_rollup(filled: DataFrame, day: int = 23) -> DataFrame:
     )
 
 
+def period_values(wide: DataFrame, ending: dt.date, day: int = 23) -> DataFrame:
+    """Roll-up and demand maxima of every meter for the one period that closes on ``ending``.
+
+    Raises where the closing date is not on the closing day, or where no meter has an hour in
+    the period, naming the dates that the feed covers. A meter without one has no row.
+    """
+    if not 1 <= day <= 28 or ending.day != day:
+        raise ValueError(f"{ending} cannot close a period that closes on day {day} of the month")
+    at = F.lit(ending)
+    inside = fill_gaps(wide).where((F.col("ts") >= period_start(at, day)) & (F.col("ts") < period_end(at)))
+    if inside.isEmpty():
+        first, last = wide.agg(F.to_date(local(F.min("ts"))), F.to_date(local(F.max("ts")))).first()
+        held = f"the feed covers {first} to {last}" if first else "the feed has no readings"
+        raise ValueError(f"no readings in the period ending {ending}; {held}")
+    return period_rollup(inside, day).join(period_peaks(inside, day), ["meter_id", "period_ending"], "left")
+
+
 def boundary_sweep(wide: DataFrame) -> DataFrame:
     """kWh of each meter and period when periods are cut at UTC-5, at prevailing local midnight and at UTC-4."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ampledger.config import MID, OFF, ON
 from ampledger.operators.bills import agrees_truncated
 
 
@@ -18,6 +19,24 @@ def demand(measured: DataFrame, printed: DataFrame, figures: tuple[str, ...]) ->
     return both.select(*keys, *(agrees_truncated(F.col(f"m_{f}"), F.col(f"p_{f}")).alias(f"{f}_agrees") for f in figures), unmatched.alias("unmatched"))
 
 
+def band_energy(metered: DataFrame, printed: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """Metered energy of each band against the bill's, which is stated after the loss factor.
+
+    From ``metered(meter_id, period_ending, tou, kwh)`` and bills with ``on_peak_kwh, mid_peak_kwh,
+    off_peak_kwh, loss_factor_adjustment``. A band on one side only is named in ``unmatched``; a zero
+    or missing loss factor leaves ``expected`` and ``agrees`` null.
+    """
+    keys = ["meter_id", "period_ending", "tou"]
+    stated = F.explode(F.array(*(F.struct(F.lit(t).alias("tou"), F.col(c).alias("stated")) for t, c in ((ON, "on_peak_kwh"), (MID, "mid_peak_kwh"), (OFF, "off_peak_kwh")))))
+    p = printed.select("meter_id", "period_ending", "loss_factor_adjustment", stated.alias("b")).select(
+        *keys[:2], "b.tou", F.try_divide("b.stated", "loss_factor_adjustment").alias("expected"), F.lit(True).alias("has_p")
+    )
+    both = metered.select(*keys, "kwh", F.lit(True).alias("has_m")).join(p, keys, "full")
+    unmatched = F.when(F.col("has_p").isNull(), "meter").when(F.col("has_m").isNull(), "bill")
+    off_by = F.col("kwh") - F.col("expected")
+    return both.select(*keys, "kwh", "expected", off_by.alias("off_by"), (F.abs(off_by) < tolerance).alias("agrees"), unmatched.alias("unmatched"))
+
+
 def stored_discrepancies(stored: DataFrame, fresh: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-6) -> DataFrame:
     """Rows whose stored derived columns differ from the recomputed ones, with the columns' names; null differs from a value."""
     both = stored.select(*keys, *(F.col(c).alias(f"old_{c}") for c in columns)).join(fresh.select(*keys, *columns), keys)

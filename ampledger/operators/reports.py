@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ampledger.config import SEGMENT_S
+from ampledger.config import MID, OFF, ON, SEGMENT_S
 from ampledger.operators.estimate import segments_of
 
 
@@ -64,7 +64,40 @@ def anomaly_cell() -> Column:
     return F.when(F.col("anomaly") == "ExcessiveAvgKw", F.format_string("%s(avg_kw %.3f)", "anomaly", "avg_kw")).otherwise(F.col("anomaly"))
 
 
-def lines(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Columns turned into ``line, amount`` rows, in the order given by ``pos``."""
-    each = F.posexplode(F.array(*(F.struct(F.lit(n).alias("line"), F.col(n).alias("amount")) for n in names))).alias("pos", "l")
+def lines(rows: DataFrame, keys: list[str], names: list[str], less: tuple[str, ...] = ()) -> DataFrame:
+    """Columns turned into ``line, amount`` rows, in the order given by ``pos``; those in ``less`` are shown negative."""
+    shown = {n: -F.col(n) if n in less else F.col(n) for n in names}
+    each = F.posexplode(F.array(*(F.struct(F.lit(n).alias("line"), x.alias("amount")) for n, x in shown.items()))).alias("pos", "l")
     return rows.select(*keys, each).select(*keys, F.col("pos").cast("long").alias("pos"), "l.*")
+
+
+def demand_lines(delivery: DataFrame) -> DataFrame:
+    """The three demand charges with the demand they are levied on, its prorated figure, the rate and the charge."""
+    of = {"distribution": ("kVA", "ev_kva"), "connection": ("kW", "ev_kw"), "network": ("kW 7-7", "ev_kw77")}
+    each = F.array(
+        *(
+            F.struct(
+                F.lit(n).alias("line"), F.lit(basis).alias("basis"), F.col(ev).alias("demand"),
+                (F.col(ev) * F.col("days_factor")).alias("adjusted"), F.col(f"{n}_rate").alias("rate"), F.col(n).alias("charge"),
+            )
+            for n, (basis, ev) in of.items()
+        )
+    )
+    return delivery.select("site_id", "period_ending", F.explode(each).alias("l")).select("site_id", "period_ending", "l.*")
+
+
+def recovery_table(recovered: DataFrame) -> DataFrame:
+    """Each stretch by band, and its total; a total has no rate. A period without rates has no table."""
+    keys = ["site_id", "period_ending", "from_date", "to_date"]
+    band = lambda tou, b: F.struct(F.lit(tou).alias("tou"), F.col(f"{b}_kwh").alias("kwh"), F.col(f"{b}_rate").alias("rate"), (F.col(f"{b}_kwh") * F.col(f"{b}_rate")).alias("recovery"))
+    whole = F.struct(F.lit("Total").alias("tou"), (F.col("on_kwh") + F.col("mid_kwh") + F.col("off_kwh")).alias("kwh"), F.lit(None).cast("double").alias("rate"), F.col("recovery"))
+    each = F.array(band(ON, "on"), band(MID, "mid"), band(OFF, "off"), whole)
+    return recovered.where("error is null").select(*keys, F.explode(each).alias("l")).select(*keys, "l.*")
+
+
+def recovery_totals(recovered: DataFrame) -> DataFrame:
+    """What each stretch of a period brought in, and the period: the row without ``from_date``."""
+    keys = ["site_id", "period_ending"]
+    sets = [[*keys, "from_date"], keys]
+    good = recovered.where("error is null")
+    return good.groupingSets([[F.col(c) for c in one] for one in sets], *sets[0]).agg(F.sum("recovery").alias("recovery"))

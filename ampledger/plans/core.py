@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,6 +221,15 @@ def period_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meter.period_rollup(_filled(spark, sf_dir))
 
 
+ONE_PERIOD = dt.date(1998, 6, 23)
+
+
+@query(f"""WITH r AS ({SQL["period_rollup"]}), p AS ({SQL["period_peaks"]}) SELECT * FROM r LEFT JOIN p USING (meter_id, period_ending) WHERE period_ending = DATE '{ONE_PERIOD}'""")
+def period_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of the period that closes on one date, as a bill's reader asks for them."""
+    return meter.period_values(meter.readings(A.series(spark, sf_dir)), ONE_PERIOD)
+
+
 @query(f"""WITH {WIDE_SQL}, k AS (SELECT meter_id, kwh, unnest([
     {{'rule': 'est', 'd': CAST(ts - INTERVAL 5 HOUR AS DATE)}}, {{'rule': 'prevailing', 'd': CAST({sql_local("ts")} AS DATE)}},
     {{'rule': 'edt', 'd': CAST(ts - INTERVAL 4 HOUR AS DATE)}}]) AS r FROM wide),

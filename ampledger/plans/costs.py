@@ -18,6 +18,8 @@ from ampledger.sources.files import type_sessions
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+_BAND_ROWS = (("OnPeak", "on"), ("MidPeak", "mid"), ("OffPeak", "off"))
+
 
 def query(sql: str):
     def keep(f):
@@ -245,14 +247,35 @@ def reconcile_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.demand(measured, printed, ("kw", "kva"))
 
 
+def _band_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = meter.with_band(meter.readings(A.series(spark, sf_dir))).withColumn("period_ending", K.T.period_ending("ts"))
+    return rows.groupBy("meter_id", "period_ending", F.coalesce("tou", F.lit("OffHour")).alias("tou")).agg(F.sum("kwh").alias("k"))
+
+
 @query(f"""WITH {K.BANDED_SQL} SELECT meter_id, period_ending, coalesce(tou, 'OffHour') AS tou, round(CAST(sum(kwh) AS DOUBLE) / 1000000, 6) AS kwh FROM banded GROUP BY ALL""")
 def metered_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metered energy of each period by band, as bills state it before the loss factor."""
-    rows = meter.with_band(meter.readings(A.series(spark, sf_dir))).withColumn("period_ending", K.T.period_ending("ts"))
-    sums = rows.groupBy("meter_id", "period_ending", F.coalesce("tou", F.lit("OffHour")).alias("tou")).agg(F.sum("kwh").alias("k"))
+    sums = _band_sums(spark, sf_dir)
     return sums.select("meter_id", "period_ending", "tou", F.round(F.col("k") / 10**6, 6).alias("kwh"))
 
 
+@query(f"""WITH {K.BANDED_SQL}, g AS (SELECT meter_id, period_ending, coalesce(tou, 'OffHour') AS tou, CAST(sum(kwh) AS BIGINT) AS k FROM banded GROUP BY ALL),
+e AS (SELECT *, ((k * 10295 + 5000000) // 10000000 / 1000.0::DOUBLE + CASE WHEN meter_id % 3 = 0 AND tou = 'OnPeak' THEN 0.5::DOUBLE ELSE 0 END) / 1.0295::DOUBLE AS x FROM g)
+SELECT meter_id, period_ending, tou, round(k / 1000000.0::DOUBLE, 6) AS kwh, CASE WHEN tou <> 'OffHour' THEN round(x, 6) END AS expected,
+  CASE WHEN tou <> 'OffHour' THEN meter_id % 3 <> 0 OR tou <> 'OnPeak' END AS agrees, CASE WHEN tou = 'OffHour' THEN 'meter' END AS unmatched FROM e""")
+def reconcile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metered energy by band against bills printed after the loss factor, which overstate on-peak for every third meter."""
+    sums = _band_sums(spark, sf_dir)
+    stated = F.expr("(k * 10295 + 5000000) div 10000000") / 1000.0
+    on = F.when((F.col("tou") == "OnPeak") & (F.col("meter_id") % 3 == 0), 0.5).otherwise(0.0)
+    of = lambda tou: F.max(F.when(F.col("tou") == tou, stated + on))
+    printed = sums.groupBy("meter_id", "period_ending").agg(*(of(t).alias(f"{b}_peak_kwh") for t, b in _BAND_ROWS))
+    printed = printed.withColumn("loss_factor_adjustment", F.lit(1.0295))
+    metered = sums.withColumn("kwh", F.col("k") / 10**6)
+    found = reconcile.band_energy(metered, printed).where("kwh is not null or expected is not null")
+    return found.select("meter_id", "period_ending", "tou", *six("kwh", "expected"), "agrees", "unmatched")
+
+
 @query(f"""WITH {K.flagged_sql()} SELECT path, "row", array_to_string(list_filter([CASE WHEN "row" % 50 = 0 THEN 'adj_start' END, CASE WHEN "row" % 75 = 0 THEN 'avg_kw' END], lambda x: x IS NOT NULL), ',') AS columns
 FROM f WHERE "row" % 50 = 0 OR "row" % 75 = 0""")
 def stored_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,11 +334,65 @@ def energy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("site_id", "period_ending", F.coalesce("tou", F.lit("Total")).alias("tou"), F.round("k", 6).alias("kwh"))
 
 
-@query(f"""WITH {K.PARTS_SQL}, {ENERGY_COST_SQL}
-{" UNION ALL ".join(f"SELECT site_id, period_ending, CAST({i} AS BIGINT) AS pos, '{c}' AS line, round({c}, 6) AS amount FROM ec" for i, c in enumerate(_EC))}""")
+def _sql_lines(table: str, names: tuple[str, ...], less: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT site_id, period_ending, CAST({i} AS BIGINT) AS pos, '{c}' AS line, round({'-' if c in less else ''}{c}, 6) AS amount FROM {table}"
+        for i, c in enumerate(names)
+    )
+
+
+@query(f"WITH {K.PARTS_SQL}, {ENERGY_COST_SQL} {_sql_lines('ec', _EC, ('rebate',))}")
 def energy_cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The energy cost as numbered lines."""
-    return reports.lines(energy_cost(spark, sf_dir), ["site_id", "period_ending"], list(_EC))
+    """The energy cost as numbered lines; the rebate is a credit."""
+    return reports.lines(energy_cost(spark, sf_dir), C.KEYS, list(_EC), less=("rebate",))
+
+
+_DL = _DC[3:]
+
+
+@query(f"WITH {K.PARTS_SQL}, {POWER_SQL}, {BILLS_SQL}, {DELIVERY_SQL} {_sql_lines('dc', _DL, ('rebate',))}")
+def delivery_cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivery cost as numbered lines; the rebate is a credit."""
+    return reports.lines(delivery_cost(spark, sf_dir), C.KEYS, list(_DL), less=("rebate",))
+
+
+_DEMAND = (
+    ("distribution", "kVA", "ev_kva", "distribution_charges / adj_kva"),
+    ("connection", "kW", "ev_kw", "transmission_connection_charge / adj_kw"),
+    ("network", "kW 7-7", "ev_kw77", "transmission_network_charge / adj_peak_7_7_kw"),
+)
+
+
+@query(f"""WITH {K.PARTS_SQL}, {POWER_SQL}, {BILLS_SQL}, {DELIVERY_SQL}
+{" UNION ALL ".join(f"SELECT site_id, period_ending, '{n}' AS line, '{u}' AS basis, round({ev}, 6) AS demand, round({ev} * (days / 30), 6) AS adjusted, CASE WHEN error IS NULL THEN round({r}, 6) END AS rate, round({n}, 6) AS charge FROM dc" for n, u, ev, r in _DEMAND)}""")
+def delivery_demand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand, rate and charge of each delivery line."""
+    return reports.demand_lines(_delivery(spark, sf_dir)).select(*C.KEYS, "line", "basis", *six("demand", "adjusted", "rate", "charge"))
+
+
+@query(f"""WITH {K.PARTS_SQL}, {RECOVERY_SQL}
+{" UNION ALL ".join(f"SELECT site_id, period_ending, from_date, to_date, '{t}' AS tou, round({b}_kwh, 6) AS kwh, round({b}_rate, 6) AS rate, round({b}_kwh * {b}_rate, 6) AS recovery FROM rec WHERE error IS NULL" for t, b in _BAND_ROWS)}
+UNION ALL SELECT site_id, period_ending, from_date, to_date, 'Total', round(on_kwh + mid_kwh + off_kwh, 6), NULL, round(recovery, 6) FROM rec WHERE error IS NULL""")
+def recovery_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovery of each stretch by band, with its total."""
+    rows = reports.recovery_table(_recovery(spark, sf_dir))
+    return rows.select(*C.KEYS, "from_date", "to_date", "tou", *six("kwh", "rate", "recovery"))
+
+
+@query(f"""WITH {K.PARTS_SQL}, {RECOVERY_SQL}
+SELECT site_id, period_ending, from_date, round(sum(recovery), 6) AS recovery FROM rec WHERE error IS NULL GROUP BY GROUPING SETS ((site_id, period_ending, from_date), (site_id, period_ending))""")
+def recovery_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovery of each stretch and of the whole period."""
+    return reports.recovery_totals(_recovery(spark, sf_dir)).select(*C.KEYS, "from_date", *six("recovery"))
+
+
+_SURPLUS = ("recovery", "energy", "delivery", "surplus")
+
+
+@query(f"WITH sp0 AS ({SQL['cost_recovery_surplus']}) {_sql_lines('sp0', _SURPLUS, ('energy', 'delivery'))}")
+def surplus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surplus as four lines that add up; costs are shown negative."""
+    return reports.lines(cost_recovery_surplus(spark, sf_dir), C.KEYS, list(_SURPLUS), less=("energy", "delivery"))
 
 
 @query(f"""WITH {K.DEDUP_SQL} SELECT site_id, bucket, path, "row", id, start_utc, energy, avg_kw FROM d""")
