@@ -1 +1 @@
-"""Incremental forms of the mergeable aggregates."""
+"""Place for streaming operators; there are none so far."""
