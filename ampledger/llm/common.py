@@ -52,6 +52,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def variant_of(col: str = "text") -> Column:
+    """XXH64 of the text: with the id it names a row by what a stage judges, so that rows that share an id are told apart."""
+    return F.xxhash64(text_of(col))
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -78,3 +83,10 @@ def small(df: DataFrame) -> DataFrame:
     """
     df = cut(df, "ids")
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def drop_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id and text are in ``rejected(doc_id, variant)``; other rows of the same or a null id stay."""
+    dropped = small(rejected.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant")).distinct())
+    same_id = docs["doc_id"].cast("long").eqNullSafe(dropped["_id"])
+    return docs.join(dropped, same_id & (variant_of("text") == dropped["_variant"]), "left_anti")

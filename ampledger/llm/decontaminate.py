@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm.common import map_rows, small, table
+from ampledger.llm.common import drop_rows, map_rows, table, variant_of
 
 SEED_WORDS = 5
 TILE_WORDS = 3  # within a pair that shares a seed, so that short reordered sentences count
@@ -113,8 +113,8 @@ def _tile_rows(items, least: int, coverage: float) -> Callable[[], Callable[[pa.
         seeds = Seeds(items.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, at = [], []
+            for n, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 words = words_of(text)
                 for i in sorted(seeds.items_in(words)):
                     item = seeds.items[i]
@@ -125,10 +125,13 @@ def _tile_rows(items, least: int, coverage: float) -> Callable[[], Callable[[pa.
                     covered = sum(t[0] for t in found)
                     if covered >= coverage * len(item):
                         rows.append((doc_id, i, len(found), covered, len(item), covered / len(item)))
+                        at.append(n)
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64()] * 5 + [pa.float64()]
             names = ["doc_id", "item_id", "tiles", "covered", "item_words", "coverage"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            held = [c.take(pa.array(at, pa.int64())) for c in batch.columns[2:]]
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            return pa.RecordBatch.from_arrays(made + held, names + batch.schema.names[2:])
 
         return each
 
@@ -152,14 +155,19 @@ def contaminated(
     Other columns are not read. The benchmark is counted first and shipped in blocks of at
     most about ``words_per_pass`` words, each matched with all documents in a pass of its own.
     """
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    return _matches(picked, benchmark, coverage, least, words_per_pass)
+
+
+def _matches(picked: DataFrame, benchmark: DataFrame, coverage: float, least: int, words_per_pass: int, held: str = "") -> DataFrame:
+    """``contaminated`` for ``picked(doc_id, text, ...)``; ``held`` is the schema of what follows the text, returned last."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     words = items.agg(F.coalesce(F.sum(F.length("text") / 5 + 1), F.lit(0))).first()[0]
     blocks, out = max(1, -(-int(words) // words_per_pass)), None
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        shipped = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
-        schema = "doc_id long, item_id long, tiles long, covered long, item_words long, coverage double"
+        shipped = picked.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
+        schema = "doc_id long, item_id long, tiles long, covered long, item_words long, coverage double" + held
         one = map_rows(picked, _tile_rows(shipped, least, coverage), schema)
         out = one if out is None else out.unionByName(one)
     return out
@@ -170,6 +178,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` less the rows that some item contaminates; schema unchanged. Rows of one id go together."""
-    dropped = small(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]), "left_anti")
+    """``docs`` less the rows that some item contaminates; schema unchanged. Each row is judged by its own text."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", variant_of("text").alias("variant"))
+    return drop_rows(docs, _matches(picked, benchmark, COVERAGE, TILE_WORDS, WORDS_PER_PASS, ", variant long"))

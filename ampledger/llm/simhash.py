@@ -16,10 +16,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm.common import cut, map_rows, small, table
+from ampledger.llm.common import cut, drop_rows, map_rows, small, table, variant_of
 from ampledger.llm.components import connected_components
 
 SEED = 42
@@ -91,7 +91,8 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprints() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        columns = [batch.column(0), *batch.columns[2:], pa.array(made.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", *batch.schema.names[2:], "fp"])
 
     return each
 
@@ -150,15 +151,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is ignored for component_id (null if a component has no other). Repeated rows give
     repeated results; other columns are not read. An empty table gives an empty result.
     """
-    marked = map_rows(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), _fingerprints, "doc_id long, fp long"
-    )
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    return _with_least(map_rows(picked, _fingerprints, "doc_id long, fp long"), "component_id", F.col("doc_id"))
+
+
+def _with_least(marked: DataFrame, name: str, value: Column) -> DataFrame:
+    """``marked(fp, ...)`` with the least ``value`` of each row's component as column ``name``."""
     marked = cut(marked, "fingerprints")
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    fps = cut(marked.groupBy("fp").agg(F.min(value).alias("least")), "distinct-fps")
     roots = connected_components(near_links(fps)).select(F.col("node").alias("fp"), "root")
     rooted = cut(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = small(rooted.join(ids, "root").select("fp", "component_id"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias(name))
+    named = small(rooted.join(ids, "root").select("fp", name))
     return marked.join(named, "fp")
 
 
@@ -170,10 +174,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the least id; schema unchanged.
 
-    Rows that repeat that id all stay: a stage before this one removes repeats.
+    Of several texts with that id the one with the least XXH64 stays; a null id stays only
+    where the component has no other. Rows that repeat both that id and that text all stay: a
+    stage before this one removes repeats.
     """
-    found = simhash_components(docs)
-    dropped = small(
-        found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    )
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]), "left_anti")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", variant_of("text").alias("variant"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "variant")
+    found = _with_least(map_rows(picked, _fingerprints, "doc_id long, variant long, fp long"), "kept", row)
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("variant") == F.col("kept.variant"))
+    return drop_rows(docs, found.where(~same))

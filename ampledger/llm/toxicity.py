@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.llm.common import cut, map_rows, small, table
+from ampledger.llm.common import cut, drop_rows, map_rows, table, variant_of
 from ampledger.llm.labels import fit_logistic, fold_of, labelled_sample, logistic
 
 TRAIN_DOCS = 12_000  # labelled rows that the lexicon and the curve are fitted on, at most
@@ -166,7 +166,9 @@ def _figures(lexicon_of: Callable[[], Lexicon]) -> Callable[[], Callable[[pa.Rec
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             pairs = np.array([lexicon.figures(t) for t in batch.column(1).to_pylist()], float).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc_id", "x1", "x2"])
+            held = batch.schema.names[2:]
+            columns = [batch.column(0), *batch.columns[2:], pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", *held, "x1", "x2"])
 
         return each
 
@@ -179,14 +181,19 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, score``, one row per row of ``docs``."""
+        return self._scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))).select("doc_id", "score")
+
+    def rejected(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, variant`` of the rows that score THRESHOLD or more."""
+        picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", variant_of("text").alias("variant"))
+        return self._scored(picked, ", variant long").where(F.col("score") >= THRESHOLD).select("doc_id", "variant")
+
+    def _scored(self, picked: DataFrame, held: str = "") -> DataFrame:
+        """``picked(doc_id, text, ...)`` with a score in place of the text; ``held`` is the schema of what follows the text."""
         weights, exceptions, curve = self.lexicon.weights, self.lexicon.exceptions, self.curve
-        made = map_rows(
-            docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)),
-            _figures(lambda: Lexicon(weights, exceptions)),
-            "doc_id long, x1 double, x2 double",
-        )
+        made = map_rows(picked, _figures(lambda: Lexicon(weights, exceptions)), f"doc_id long{held}, x1 double, x2 double")
         z = F.col("x1") * float(curve[0]) + F.col("x2") * float(curve[1]) + float(curve[2])
-        return made.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))).alias("score"))
+        return made.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z)))))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, bound: int = TRAIN_DOCS) -> ToxicityModel:
@@ -227,7 +234,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` less the rows that score THRESHOLD or more; schema unchanged. Rows of one id go together."""
-    marked = score_toxicity(docs, labels).where("predicted = 1")
-    dropped = small(marked.select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]), "left_anti")
+    """``docs`` less the rows that score THRESHOLD or more; schema unchanged. Each row is judged by its own text."""
+    model = fit_toxicity(docs, labels, fold_of("doc_id", 3) != 1)
+    return drop_rows(docs, model.rejected(docs))

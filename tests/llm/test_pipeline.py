@@ -60,3 +60,35 @@ def test_pipeline_on_an_empty_table_and_repeats(spark):
         twice = common.cut(stage(spark, twice, SF), name)
     ids = [r.doc_id for r in twice.collect()]
     assert len(ids) == len(set(ids))
+
+
+def _named(df):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+
+
+def test_stages_judge_rows_of_null_and_repeated_ids_one_by_one(spark):
+    """Ids 5 and null stand for several texts; only the text that a stage rejects goes."""
+    schema = "doc_id long, text string"
+    a, b, c = (" ".join(f"{k}{n}" for n in range(60)) for k in "abc")
+    near = lambda t: t.upper()  # noqa: E731  # the same fingerprint
+    rows = [(5, a), (7, near(a)), (3, b), (5, near(b)), (None, near(b) + " "), (None, c), (None, c + "  ")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, schema))
+    got = _named(kept)
+    assert got[:2] == [(False, 3, b), (False, 5, a)] and len(got) == 3 and got[2][2].strip() == c
+
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    rows = [(i, t) for i in (5, None) for t in ("see one two three four five six seven eight", "clean text", "", None)]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, schema), items)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in rows if not (t or "").startswith("see"))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bad = {r.doc_id for r in toxicity.score_toxicity(docs, labels).collect() if r.score >= 0.7}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    toxic, clean = texts[min(bad)], texts[min(set(texts) - bad)]
+    extra = [(min(bad), clean), (None, clean), (None, toxic)]
+    # the labels are of the former ids alone, so that the fit stays as it was
+    kept = toxicity.ToxicityModel.rejected(toxicity.fit_toxicity(docs, labels, toxicity.fold_of("doc_id", 3) != 1), spark.createDataFrame(extra, schema))
+    assert [(r.doc_id) for r in kept.collect()] == [None]
+    kept = toxicity.drop_toxic(docs.unionByName(spark.createDataFrame(extra[1:], schema)), labels)
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [clean]
