@@ -40,7 +40,8 @@ _UNSEEN = re.compile(
     r"|(?P<ip>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]))"
     r"|(?P<number>(?<![0-9A-Za-z.])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z]))"
 )
-_WORD = re.compile(r"\S+")
+#: A word, or one mark: spans mostly begin and end between these, so that what is glued to an identifier is a word of its own.
+_WORD = re.compile(r"\w+|[^\w\s]")
 
 
 def _luhn(digits: str) -> bool:
@@ -99,14 +100,15 @@ def _plain(word: str) -> str:
 
 
 def contexts(text: str, a: int, b: int) -> list[str]:
-    """The two words before the span and the two after it, each pair as one pattern."""
+    """The two words before the span and the two after it, each pair as one pattern; words as _WORD has them."""
     left, at = [], a
     for _ in range(2):
         while at > 0 and text[at - 1].isspace():
             at -= 1
         end = at
-        while at > 0 and not text[at - 1].isspace():
+        while at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_"):
             at -= 1
+        at -= at == end and at > 0
         left.insert(0, text[at:end])
     right = [m.group() for m, _ in zip(_WORD.finditer(text, b), range(2))]
     out = [f"< {_plain(left[0])} {_plain(left[1])}"] if all(left) else []
@@ -164,7 +166,7 @@ def _count_pairs(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFra
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
                 seen: Counter = Counter()
                 for text in batch.column(0).to_pylist() if pairs else ():
-                    words = digits.sub("0", (text or "").lower()).split()
+                    words = _WORD.findall(digits.sub("0", (text or "").lower()))
                     seen.update(p for p in zip(words, words[1:], strict=False) if p in pairs)
                 return pa.RecordBatch.from_arrays(
                     [pa.array([" ".join(p) for p in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["pair", "n"]
@@ -181,11 +183,11 @@ def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) ->
     """``kind, pattern, score, support`` from ``edges(kind, pattern, instance, seed, n)`` and ``totals(pair, total)``.
 
     score: the share of the pattern's occurrences in the corpus that hold trusted instances,
-    each weighted by its own score; support: distinct instances trusted by half or more.
+    each weighted by its own score; support: distinct instances trusted by half or more. A pair
+    that was not counted, as a span cuts a word of it, has the occurrences beside its spans alone.
     """
-    counted = cut(
-        edges.withColumn("pair", F.substring("pattern", 3, 1 << 30)).join(totals, "pair").drop("pair"), "pii-edges"
-    )
+    paired = edges.withColumn("pair", F.substring("pattern", 3, 1 << 30)).join(totals, "pair", "left")
+    counted = cut(paired.drop("pair").fillna(0, "total"), "pii-edges")
     trust = counted.select("kind", "instance", F.col("seed").cast("double").alias("trust")).distinct()
     for k in range(rounds):
         patterns = (
@@ -209,6 +211,22 @@ def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) ->
     return patterns
 
 
+def reachable(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``kind, pattern`` of all patterns that can have MIN_SUPPORT in some round, whatever the scores.
+
+    In the first round only seeds are trusted; in each further one also what stands in a pattern of the round before.
+    """
+    near = edges.where("seed")
+    for k in range(rounds):
+        found = near.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
+        admitted = cut(found.select("kind", "pattern"), "pii-reachable")
+        if k < rounds - 1:
+            met = edges.where("not seed").join(admitted, ["kind", "pattern"], "left_semi").select("kind", "instance").distinct()
+            more = edges.where("not seed").join(cut(met, "pii-met"), ["kind", "instance"], "left_semi")
+            near = edges.where("seed").unionByName(more)
+    return admitted
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, one row per row of ``docs``.
 
@@ -225,11 +243,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     slots = scanned.select("row_id", F.explode("found").alias("s")).select("row_id", "s.*")
     slots = cut(slots.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-slots")
     edges = slots.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    seeded = edges.where("seed").groupBy("kind", "pattern").agg(F.count("*").alias("support"))
-    kept = cut(seeded.where(F.col("support") >= MIN_SUPPORT).select("pattern").distinct(), "pii-seeded")
+    edges = cut(edges, "pii-graph")
+    kept = reachable(edges)
     pairs = cut(kept.select(F.substring("pattern", 3, 1 << 30).alias("pair")).distinct(), "pii-pairs")
     totals = _count_pairs(docs, pairs, text_col)
-    good = score_patterns(edges.join(kept, "pattern", "left_semi"), totals).where(F.col("score") >= MIN_SCORE)
+    good = score_patterns(edges.join(kept, ["kind", "pattern"], "left_semi"), totals).where(F.col("score") >= MIN_SCORE)
     more = (
         slots.where("not seed")
         .join(good.select("kind", "pattern"), ["kind", "pattern"], "left_semi")

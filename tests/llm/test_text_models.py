@@ -63,6 +63,19 @@ def test_bootstrapped_contexts_find_unseen_numbers(spark):
     assert pii.find_pii(df).count() == len(rows) and pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_contexts_glued_to_identifiers_and_patterns_of_later_rounds(spark):
+    glued = [(i, f"contact tel:+1 (555) 010-{1000 + i}, or write soon") for i in range(6)]
+    glued += [(6, "contact tel:555 010 7777, or write soon")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(glued, "doc_id long, text string")).collect()}
+    assert got[6] == "phone:12:24"
+    assert pii.contexts("see (a@b.com), or", 5, 12) == ["< see (", "> ) ,"] and pii.contexts("(a@b.com", 1, 8) == []
+    # "fax line" holds no seed; three of its numbers are trusted by "call me", the fourth by them
+    later = [(i, f"please call me +1 (555) 010-{1000 + i}") for i in range(12)]
+    later += [(20 + i, f"please call me 555 010 777{i}") for i in range(3)] + [(30 + i, f"the fax line 555 010 777{i}") for i in range(4)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(later, "doc_id long, text string")).collect()}
+    assert got[20] == "phone:15:27" and got[33] == "phone:13:25"
+
+
 # --- urls
 
 
