@@ -29,11 +29,17 @@ _TAG = re.compile(rf"<(?:(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 
 #: Elements whose content is no text of the page.
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object"}
+RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "annotation", "annotation-xml"}
+FOREIGN = {"svg", "annotation", "annotation-xml"}  # of these, the ones that "/>" closes
+_UNQUOTED = re.compile(r"""=\s*[^\s"'>][^\s>"']*/$""")  # the slash belongs to an attribute's value
+#: Elements that can stand in head; any other ends it, as text does.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr input button select option optgroup".split()
+    "strike strong sub sup time tt u var wbr input button select option optgroup "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split()
 )
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -79,7 +85,9 @@ def blocks_of(page: str | None) -> list[Block]:
 
     Character references are decoded, inline elements leave no gap, br is white space. A tag
     cut off by the page's end is dropped, end tags without a start are ignored, and p, li and
-    table cells end where the next one or an enclosing element begins or ends.
+    table cells end where the next one or an enclosing element begins or ends. head ends at text
+    and at the first element that cannot stand in it. Formulas and what object falls back to are
+    text; drawings are not.
     """
     page = page or ""
     stack: list[tuple[str, str, str]] = []
@@ -105,11 +113,19 @@ def blocks_of(page: str | None) -> list[Block]:
             if stack[k][0] in upto:
                 return
 
+    def leave_head() -> None:
+        for k, s in enumerate(stack):
+            if s[0] == "head":
+                del stack[k:]
+                return
+
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt != at:
             data = html.unescape(page[at : lt if lt >= 0 else n])
+            if data.strip():
+                leave_head()
             parts.append(data)
             if links:
                 linked += len(data)
@@ -119,6 +135,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if not m:
             if lt + 1 < n and (page[lt + 1].isascii() and page[lt + 1].isalpha()):
                 break  # a tag that the page's end cuts off
+            leave_head()
             parts.append("<")
             at = lt + 1
             continue
@@ -134,6 +151,8 @@ def blocks_of(page: str | None) -> list[Block]:
             at = end + 1 if end >= 0 else n
             continue
         name = m["name"].lower()
+        if not m["end"] and name not in IN_HEAD:
+            leave_head()
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
@@ -148,6 +167,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 close(name, set())
             continue
         if name in RAW:
+            if name in FOREIGN and m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"]):
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -199,7 +220,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         row[d:] = (
             min(np.log1p(words), 6.0), float(words < 4), float(words > 20), block.linked / size, float(block.linked >= 0.8 * size),
             float(text[-1] in ".!?…:\"”"), float(bool(_BOILER.search(text))), float(words < 12 and bool(_BOILER.search(text))),
-            sum(ch.isdigit() for ch in text[:200]) / min(size, 200), float(k == 0), float(k == len(blocks) - 1),
+            sum(map(str.isdigit, text)) / size, float(k == 0), float(k == len(blocks) - 1),
             min(len(block.tags), 12) / 12, float("article" in block.tags or "main" in block.tags),
         )
     return x

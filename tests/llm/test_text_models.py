@@ -305,6 +305,19 @@ def test_blocks_of_broken_markup():
         html_text.blocks_of(long)
 
 
+def test_blocks_without_head_end_and_with_foreign_elements():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<html><head><title>T</title><body><p>text") == ["text"]
+    assert texts("<head><meta charset=x><title>T</title>\n<div>a</div><p>b") == ["a", "b"]
+    assert texts("<head><title>T</title>plain <b>bold</b><p>b") == ["plain bold", "b"]
+    assert texts("<head><title>T</title><script>x</script></head><p>b") == ["b"]
+    assert texts('<p>a</p><svg class="i"/><p>b</p><svg><text>no</text></svg><p>c</p>') == ["a", "b", "c"]
+    assert texts("<p>a</p><svg id=i/><text>no</text></svg><p>c</p>") == ["a", "c"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=f><p>fallback</p></object>") == ["so x=2 holds", "fallback"]
+    early, late = (html_text.features(html_text.blocks_of(f"<p>{t}</p>")) for t in ("1" * 200 + "a" * 600, "a" * 600 + "1" * 200))
+    assert early[0, -5] == late[0, -5] == 0.25
+
+
 def test_main_text_of_pages(spark):
     import html as lib
 
