@@ -80,14 +80,15 @@ def tiles(doc: list[str], item: list[str], least: int = TILE_WORDS) -> list[tupl
 
 
 class Seeds:
-    """Items by their seeds. Of each seed one word, the rarest in the benchmark, is looked up in a document first."""
+    """Items, numbered as given, by their seeds. Of each seed one word, the rarest in the benchmark, is looked up in a document first."""
 
-    def __init__(self, items: list[tuple[int, str | None]], seed_words: int = SEED_WORDS):
-        self.items = {i: words_of(t) for i, t in items}
+    def __init__(self, items: list[tuple[int | None, str | None]], seed_words: int = SEED_WORDS):
+        self.ids = [i for i, _ in items]
+        self.items = [words_of(t) for _, t in items]
         self.seeds: dict[tuple[str, ...], set[int]] = defaultdict(set)
         self.anchors: dict[str, set[tuple[int, int]]] = defaultdict(set)  # word -> (place in seed, words of seed)
-        usual = Counter(w for ws in self.items.values() for w in ws)
-        for i, ws in self.items.items():
+        usual = Counter(w for ws in self.items for w in ws)
+        for i, ws in enumerate(self.items):
             size = min(seed_words, len(ws))
             for k in range(len(ws) - size + 1) if size else ():
                 seed = tuple(ws[k : k + size])
@@ -124,7 +125,7 @@ def _tile_rows(items, least: int, coverage: float) -> Callable[[], Callable[[pa.
                     found = tiles(words, item, min(least, len(item)))
                     covered = sum(t[0] for t in found)
                     if covered >= coverage * len(item):
-                        rows.append((doc_id, i, len(found), covered, len(item), covered / len(item)))
+                        rows.append((doc_id, seeds.ids[i], len(found), covered, len(item), covered / len(item)))
                         at.append(n)
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64()] * 5 + [pa.float64()]
@@ -151,7 +152,8 @@ def contaminated(
 
     Words are runs of letters, digits and underscores in lower case. Items of fewer than five
     words are their own seed; null, empty and wordless items and texts match nothing. Repeated
-    documents give repeated rows, repeated items of one id count once by their last text.
+    documents give repeated rows; items are told apart by id and text, so that several texts
+    of one id each count, those of a null id too, and repeats of both count once.
     Other columns are not read. The benchmark is counted first and shipped in blocks of at
     most about ``words_per_pass`` words, each matched with all documents in a pass of its own.
     """
@@ -161,12 +163,12 @@ def contaminated(
 
 def _matches(picked: DataFrame, benchmark: DataFrame, coverage: float, least: int, words_per_pass: int, held: str = "") -> DataFrame:
     """``contaminated`` for ``picked(doc_id, text, ...)``; ``held`` is the schema of what follows the text, returned last."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     words = items.agg(F.coalesce(F.sum(F.length("text") / 5 + 1), F.lit(0))).first()[0]
     blocks, out = max(1, -(-int(words) // words_per_pass)), None
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        shipped = picked.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        shipped = picked.sparkSession.sparkContext.broadcast(list(dict.fromkeys((r.item_id, r.text) for r in block.collect())))
         schema = "doc_id long, item_id long, tiles long, covered long, item_words long, coverage double" + held
         one = map_rows(picked, _tile_rows(shipped, least, coverage), schema)
         out = one if out is None else out.unionByName(one)

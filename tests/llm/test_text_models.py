@@ -289,6 +289,16 @@ def test_contamination_against_brute_force(spark, words_per_pass):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words_per_pass", [10, 10**6])
+def test_contamination_by_each_text_of_an_id(spark, words_per_pass):
+    a, b, c = (" ".join(f"{k}{n}" for n in range(8)) for k in "abc")
+    bench = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, a), (11, b), (12, c), (13, "clean")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench, words_per_pass=words_per_pass).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(10, 1), (11, 1), (12, None)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [13]
+
+
 # --- pages
 
 
