@@ -1,11 +1,10 @@
 """URL filter: host and path rules, then a character language-model ratio.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, share an
-alphabet of 35 symbols and contexts of up to two symbols: the longest context seen often
-enough is used, interpolated with the shorter ones. Their log ratio for every symbol
-triple, in thousandths, is a table of 35^3 whole numbers whatever the corpus, so scoring
-is an array look-up inside one projection: no join, no shuffle, no Python. The cut is
-calibrated on the URLs that rules decide.
+alphabet of 35 symbols and contexts of up to five: the longest context seen often enough is
+used, mixed with the shorter ones. Counts, probabilities and the log ratio of each gram are
+DataFrames whose rows grow with the corpus; a URL's score is the mean ratio of its symbols,
+by a join. The cut is calibrated on the URLs that rules decide.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampledger.llm.common import table
+from ampledger.llm.common import cut, table
 
 #: (verdict, host, path), as given; a rule fits its host and all subdomains.
 RULES = (
@@ -23,10 +22,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-SYMBOLS = "^abcdefghijklmnopqrstuvwxyz0-./_%~*"  # ^ start, 0 any digit, * any other
-A = len(SYMBOLS)
+A = 35  # symbols: a-z, 0 for any digit, - . / _ % ~, * for any other, ^ for the start
+CONTEXT = 5  # symbols of the longest context
 SMOOTH = 4.0  # weight of the shorter context, in symbols
-SUPPORT = 20  # occurrences, in both models together, from which a context of two symbols is used
+SUPPORT = 20  # occurrences, in both models together, from which a context is used
+BROADCAST_GRAMS = 200_000  # rows of the table of ratios, some 60 bytes each, that may be broadcast
+SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,72 +52,41 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def codes_of(host: Column, path: Column) -> Column:
-    """Symbol numbers of host and path, after two start symbols."""
-    text = F.translate(F.concat(host, path), _UPPER + "123456789", _LOWER + "0" * 9)
-    text = F.concat(F.lit("^^"), F.regexp_replace(text, r"[^a-z0\-./_%~]", "*"))
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.call_function("locate", c, F.lit(SYMBOLS)) - 1)
-
+def grams_of(host: Column, path: Column, context: int = CONTEXT) -> Column:
+    """One string per symbol of host and path: the ``context`` symbols before it, then the symbol.
 
-def triples_of(codes: Column) -> Column:
-    """One number per symbol: the symbol and the two before it."""
-    at = F.sequence(F.lit(1), F.size(codes) - 2)
-    triple = F.transform(
-        at, lambda i: F.element_at(codes, i) * (A * A) + F.element_at(codes, i + 1) * A + F.element_at(codes, i + 2)
-    )
-    return F.when(F.size(codes) > 2, triple).otherwise(F.array().cast("array<int>"))
+    One pass of a look-ahead pattern over the text, so the work grows with its length.
+    """
+    text = F.translate(F.concat(host, path), _UPPER + "123456789", _LOWER + "0" * 9)
+    text = F.concat(F.lit("^" * context), F.regexp_replace(text, r"[^a-z0\-./_%~]", "*"))
+    return F.regexp_extract_all(text, F.lit(f"(?=(.{{{context + 1}}}))"), F.lit(1))
 
 
-def ratio_table(labelled: DataFrame) -> DataFrame:
-    """``id, llr`` for all 35^3 triples, from ``labelled(verdict, triples)``.
+def ratio_table(labelled: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """``gram, llr`` of every gram in ``labelled(verdict, gram)``; rows of other verdicts count for nothing.
 
-    Add-half unigrams; each longer context mixes its counts with SMOOTH symbols' worth of
-    the shorter one; contexts of two symbols below SUPPORT fall back to one symbol.
+    Orders are built from the shortest up, each from the counts of the next longer one, so that
+    every table is an aggregate of distinct grams. Add-half unigrams; a context that occurs
+    SUPPORT times or more mixes its counts with SMOOTH symbols' worth of the next shorter one,
+    any other takes the shorter one's figure. So the contexts in use grow with the corpus.
     """
-    counts = (
-        labelled.select((F.col("verdict") == "allow").cast("long").alias("y"), F.explode("triples").alias("id"))
-        .groupBy("id")
-        .agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    )
-    cells = (
-        labelled.sparkSession.range(0, A**3, 1, 4)
-        .join(counts, "id", "left")
-        .select(
-            "id",
-            F.expr(f"id div {A * A}").alias("a"),
-            F.expr(f"id div {A} % {A}").alias("b"),
-            F.expr(f"id % {A}").alias("c"),
-            F.coalesce("n0", F.lit(0)).alias("n0"),
-            F.coalesce("n1", F.lit(0)).alias("n1"),
-        )
-    )
-
-    def over(n: str, *cols: str) -> Column:
-        return F.sum(n).over(Window.partitionBy(*cols))
-
-    for m in ("0", "1"):
-        n = f"n{m}"
-        cells = cells.withColumns(
-            {
-                f"bc{m}": over(n, "b", "c"), f"b{m}": over(n, "b"), f"c{m}": over(n, "c"),
-                f"ab{m}": over(n, "a", "b"), f"all{m}": over(n),
-            }
-        )
-    logs = {}
-    for m in ("0", "1"):
-        p0 = (F.col(f"c{m}") + 0.5) / (F.col(f"all{m}") + 0.5 * A)
-        p1 = (F.col(f"bc{m}") + SMOOTH * p0) / (F.col(f"b{m}") + SMOOTH)
-        p2 = (F.col(f"n{m}") + SMOOTH * p1) / (F.col(f"ab{m}") + SMOOTH)
-        logs[m] = F.log(F.when(F.col("ab0") + F.col("ab1") >= SUPPORT, p2).otherwise(p1))
-    return cells.select("id", F.floor(1000 * (logs["1"] - logs["0"]) + 0.5).cast("int").alias("llr"))
-
-
-def score_of(triples: Column, llr: list[int]) -> Column:
-    """Sum of the table over the symbols, in thousandths of a nat a symbol (whole number; 0 for an empty text)."""
-    values = F.split(F.lit(",".join(map(str, llr))), ",").cast("array<int>")  # folded to one constant
-    total = F.aggregate(triples, F.lit(0).cast("long"), lambda acc, t: acc + F.element_at(values, t + 1))
-    return F.when(F.size(triples) > 0, F.floor(total / F.size(triples))).otherwise(F.lit(0)).cast("int")
+    is_of = {"0": F.col("verdict") == "block", "1": F.col("verdict") == "allow"}
+    sums = [F.sum(F.coalesce(y.cast("long"), F.lit(0))).alias(f"n{m}") for m, y in is_of.items()]
+    orders = [cut(labelled.groupBy("gram").agg(*sums), "url-grams")]
+    for _ in range(context):
+        shorter = F.substring("gram", 2, context + 1).alias("gram")
+        orders.insert(0, orders[0].groupBy(shorter).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    whole = orders[0].agg(*(F.coalesce(F.sum(f"n{m}"), F.lit(0)) for m in "01")).first()
+    model = orders[0].select("gram", *((F.col(f"n{m}") + 0.5) / (whole[int(m)] + 0.5 * A) for m in "01")).toDF("gram", "p0", "p1")
+    for k in range(1, context + 1):
+        seen = orders[k].withColumns({"context": F.substring("gram", 1, k), "shorter": F.substring("gram", 2, k)})
+        held = seen.groupBy("context").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+        below = model.select(F.col("gram").alias("shorter"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+        both = seen.join(held, "context").join(below, "shorter")
+        used = F.col("c0") + F.col("c1") >= SUPPORT
+        mixed = {m: (F.col(f"n{m}") + SMOOTH * F.col(f"q{m}")) / (F.col(f"c{m}") + SMOOTH) for m in "01"}
+        model = both.select("gram", *(F.when(used, mixed[m]).otherwise(F.col(f"q{m}")).alias(f"p{m}") for m in "01"))
+    return model.select("gram", F.floor(1000 * (F.log("p1") - F.log("p0")) + 0.5).cast("int").alias("llr"))
 
 
 def calibrate(scored: DataFrame) -> int:
@@ -145,28 +115,41 @@ def calibrate(scored: DataFrame) -> int:
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, score, cut`` for every row of ``pages``.
 
-    A url that is null or has no ``://`` has empty host and path, fits no rule and scores 0.
-    Where no rule fits, the verdict is allow if the score reaches the calibrated cut. All
-    pages that rules decide train and calibrate the models; if one kind is missing the cut
-    is 0. Repeated rows give repeated results, other columns are not read, very long urls
-    are scored whole, an empty table gives an empty result.
+    ``score``: the mean log ratio of a symbol in thousandths of a nat, a whole number. A url
+    that is null or has no ``://`` has empty host and path, fits no rule and scores 0. Where no
+    rule fits, the verdict is allow if the score reaches the calibrated cut. All pages that
+    rules decide train and calibrate the models; if one kind is missing the cut is 0. Repeated
+    rows give repeated results, other columns are not read, very long urls are scored whole in
+    linear time, an empty table gives an empty result.
+
+    Grams meet the table of log ratios in a broadcast join only if its rows are counted to be
+    few; beyond that both sides are dealt over salts, as some grams are in nearly every url.
     """
     url = F.col(url_col)
-    parts = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    parts = parts.withColumn("by", rule_of(F.col("host"), F.col("path"), rules)).withColumn(
-        "triples", triples_of(codes_of(F.col("host"), F.col("path")))
-    )
-    labelled = parts.where("by is not null").select("by.verdict", "triples")
-    llr = [r.llr for r in sorted(ratio_table(labelled).collect())]
-    cut_at = calibrate(labelled.select("verdict", score_of(F.col("triples"), llr).alias("score")))
-    score = score_of(F.col("triples"), llr)
-    return parts.select(
+    # A generator stands between the text functions and their uses, so that each runs once a row.
+    split = F.inline(F.array(F.struct(host_of(url).alias("host"), path_of(url).alias("path"))))
+    parts = pages.select(F.col(id_col).alias("page_id"), split).withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
+    parts = cut(parts.withColumn("row_id", F.monotonically_increasing_id()), "url-parts")
+    gram = F.explode(grams_of(F.col("host"), F.col("path"))).alias("gram")
+    ratios = cut(ratio_table(parts.select(F.col("by.verdict").alias("verdict"), gram)), "url-ratios")
+    spots = parts.select("row_id", gram)
+    if ratios.count() <= BROADCAST_GRAMS:
+        met = spots.join(F.broadcast(ratios), "gram")
+    else:
+        salted = ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = spots.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS)))
+        met = dealt.join(salted.hint("shuffle_hash"), ["gram", "salt"])
+    means = met.groupBy("row_id").agg(F.floor(F.sum("llr") / F.count("*")).cast("int").alias("score"))
+    scored = parts.join(means, "row_id", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    scored = cut(scored.drop("row_id"), "url-scores")
+    cut_at = calibrate(scored.where("by is not null").select("by.verdict", "score"))
+    return scored.select(
         "page_id",
         "host",
         "path",
         F.col("by.rule").alias("rule"),
-        F.coalesce("by.verdict", F.when(score >= cut_at, "allow").otherwise("block")).alias("verdict"),
-        score.alias("score"),
+        F.coalesce("by.verdict", F.when(F.col("score") >= cut_at, "allow").otherwise("block")).alias("verdict"),
+        "score",
         F.lit(cut_at).alias("cut"),
     )
 
@@ -175,6 +158,20 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _sql_levels() -> str:
+    """CTEs ``t0`` to ``t{CONTEXT}`` of counts and ``m0`` to ``m{CONTEXT}`` of probabilities."""
+    out = [f"t{CONTEXT} AS (SELECT gram, count(*) FILTER (said = 'block') AS n0, count(*) FILTER (said = 'allow') AS n1 FROM spots GROUP BY gram)"]
+    for k in range(CONTEXT - 1, -1, -1):
+        out.append(f"t{k} AS (SELECT substr(gram, 2) AS gram, CAST(sum(n0) AS BIGINT) AS n0, CAST(sum(n1) AS BIGINT) AS n1 FROM t{k + 1} GROUP BY 1)")
+    half = lambda m: f"(n{m} + 0.5::DOUBLE) / ((SELECT sum(n{m}) FROM t0) + {0.5 * A}::DOUBLE) AS p{m}"
+    out.append(f"m0 AS (SELECT gram, {half(0)}, {half(1)} FROM t0)")
+    for k in range(1, CONTEXT + 1):
+        mix = lambda m: f"CASE WHEN c0 + c1 >= {SUPPORT} THEN (n{m} + {SMOOTH}::DOUBLE * b.p{m}) / (c{m} + {SMOOTH}::DOUBLE) ELSE b.p{m} END AS p{m}"
+        out.append(f"c{k} AS (SELECT left(gram, {k}) AS context, CAST(sum(n0) AS BIGINT) AS c0, CAST(sum(n1) AS BIGINT) AS c1 FROM t{k} GROUP BY 1)")
+        out.append(f"m{k} AS (SELECT t.gram, {mix(0)}, {mix(1)} FROM t{k} t JOIN c{k} ON context = left(t.gram, {k}) JOIN m{k - 1} b ON b.gram = substr(t.gram, 2))")
+    return ",\n".join(out)
+
+
 OP6_SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -190,41 +187,18 @@ ruled AS (
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
       WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-    '^^' || regexp_replace(translate(host || path, '{_UPPER}123456789', '{_LOWER}000000000'), '[^a-z0\\-./_%~]', '*', 'g') AS s,
+    '{"^" * CONTEXT}' || regexp_replace(translate(host || path, '{_UPPER}123456789', '{_LOWER}000000000'), '[^a-z0\\-./_%~]', '*', 'g') AS s,
     row_number() OVER () AS row_id
   FROM parts),
 judged AS (
   SELECT *, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM ruled),
-spots AS (SELECT row_id, said, s, unnest(range(1, length(s) - 1)) AS i FROM judged),
-triples AS (
-  SELECT row_id, said, (instr('{SYMBOLS}', s[i]) - 1) * {A * A} + (instr('{SYMBOLS}', s[i + 1]) - 1) * {A} + instr('{SYMBOLS}', s[i + 2]) - 1 AS id
-  FROM spots),
-counts AS (
-  SELECT id, count(*) FILTER (said = 'allow') AS n1, count(*) FILTER (said = 'block') AS n0
-  FROM triples WHERE said IS NOT NULL GROUP BY id),
-cells AS (
-  SELECT r.range AS id, r.range // {A * A} AS a, (r.range // {A}) % {A} AS b, r.range % {A} AS c,
-    coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1
-  FROM range({A**3}) r LEFT JOIN counts ON counts.id = r.range),
-sums AS (
-  SELECT id, n0, n1,
-    sum(n0) OVER (PARTITION BY b, c) AS bc0, sum(n0) OVER (PARTITION BY b) AS b0, sum(n0) OVER (PARTITION BY c) AS c0,
-    sum(n0) OVER (PARTITION BY a, b) AS ab0, sum(n0) OVER () AS all0,
-    sum(n1) OVER (PARTITION BY b, c) AS bc1, sum(n1) OVER (PARTITION BY b) AS b1, sum(n1) OVER (PARTITION BY c) AS c1,
-    sum(n1) OVER (PARTITION BY a, b) AS ab1, sum(n1) OVER () AS all1
-  FROM cells),
-p1s AS (
-  SELECT *, (bc0 + {SMOOTH}::DOUBLE * ((c0 + 0.5::DOUBLE) / (all0 + {0.5 * A}::DOUBLE))) / (b0 + {SMOOTH}::DOUBLE) AS p10,
-    (bc1 + {SMOOTH}::DOUBLE * ((c1 + 0.5::DOUBLE) / (all1 + {0.5 * A}::DOUBLE))) / (b1 + {SMOOTH}::DOUBLE) AS p11
-  FROM sums),
-ratios AS (
-  SELECT id, CAST(floor(1000 * (
-      ln(CASE WHEN ab0 + ab1 >= {SUPPORT} THEN (n1 + {SMOOTH}::DOUBLE * p11) / (ab1 + {SMOOTH}::DOUBLE) ELSE p11 END)
-    - ln(CASE WHEN ab0 + ab1 >= {SUPPORT} THEN (n0 + {SMOOTH}::DOUBLE * p10) / (ab0 + {SMOOTH}::DOUBLE) ELSE p10 END)) + 0.5) AS BIGINT) AS llr
-  FROM p1s),
+places AS (SELECT row_id, said, s, unnest(range(1, length(s) - {CONTEXT - 1})) AS i FROM judged),
+spots AS (SELECT row_id, said, substr(s, i, {CONTEXT + 1}) AS gram FROM places),
+{_sql_levels()},
+ratios AS (SELECT gram, CAST(floor(1000 * (ln(p1) - ln(p0)) + 0.5) AS BIGINT) AS llr FROM m{CONTEXT}),
 scores AS (
   SELECT row_id, CAST(floor(CAST(sum(llr) AS DOUBLE) / count(*)) AS BIGINT) AS score
-  FROM triples JOIN ratios USING (id) GROUP BY row_id),
+  FROM spots JOIN ratios USING (gram) GROUP BY row_id),
 scored AS (SELECT j.*, coalesce(score, 0) AS score FROM judged j LEFT JOIN scores USING (row_id)),
 tally AS (
   SELECT greatest(-5000, least(5000, score)) AS score, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad
