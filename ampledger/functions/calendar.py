@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ampledger.config import MID, OFF, ON, SUMMER, SUMMER_MONTHS, WINTER
 from ampledger.functions.timeexpr import col, instant, period_end, period_start
 
 _BANDS = {ON, MID, OFF}
+YEARS = (1900, 2200)  # of the table of all holidays: some 4,000 rows
 
 
 def _monday_from(day: Column) -> Column:
@@ -58,6 +61,16 @@ def holidays(years: DataFrame) -> DataFrame:
     return base.select("date", F.lit(None).cast("date").alias("substitute_for"), "name").unionByName(substitutes)
 
 
+def all_holidays(spark: SparkSession) -> DataFrame:
+    """``holidays`` of every year of YEARS, so that no pass over the data is needed to learn its years."""
+    return holidays(spark.range(YEARS[0], YEARS[1] + 1).select(F.col("id").cast("int").alias("year")))
+
+
+def holidays_between(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
+    """The holidays, substitutes included, that fall on the dates from ``first`` to ``last``."""
+    return all_holidays(spark).where(F.col("date").between(first, last))
+
+
 def day_off(days: DataFrame, holiday: DataFrame) -> DataFrame:
     """``days(date)`` with ``off``: weekend or holiday. The holiday table is a dozen rows a year."""
     marks = F.broadcast(holiday.select("date").distinct().withColumn("is_holiday", F.lit(True)))

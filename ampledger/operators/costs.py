@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampledger.config import MID, OFF, ON
+from ampledger.config import DEFAULT, MID, OFF, ON
+from ampledger.operators.coverage import gated
 from ampledger.operators.estimate import best_segments, estimates, segment_aggregates
 
 KEYS = ["site_id", "period_ending"]
@@ -25,17 +26,23 @@ def _zero(*names: str) -> Column:
     return out
 
 
-def energy_cost(energy: DataFrame, bills: DataFrame) -> DataFrame:
+def _off_cycle(day: int) -> Column:
+    """The date closes no billing period."""
+    return F.dayofmonth("period_ending") != day
+
+
+def energy_cost(energy: DataFrame, bills: DataFrame, day: int = DEFAULT.bill_end_day) -> DataFrame:
     """Band energy at the bill's own rates, after the loss factor, with tax and rebate in proportion.
 
-    ``error`` names a zero figure of the bill, or NoEnergy or NoBill; costs are then null.
+    ``error`` names a zero figure of the bill, or NotABillingPeriodEnding, NoBill or NoEnergy, or
+    what ``energy`` carries; costs are then null.
     """
+    energy = gated(energy, None, []).withColumnRenamed("error", "refused")
     rows = bills.withColumn("billed", F.lit(True)).join(energy.withColumn("used", F.lit(True)), KEYS, "full")
     part = {b: F.col(f"{b}_kwh") * F.col("loss_factor_adjustment") * F.try_divide(f"{b}_peak_cost", f"{b}_peak_kwh") for b in BANDS}
-    error = F.when(F.col("billed").isNull(), "NoBill").when(F.col("used").isNull(), "NoEnergy").otherwise(
-        _zero(*(f"{b}_peak_kwh" for b in BANDS), "total_electricity_charges")
-    )
-    rows = rows.withColumn("error", error)
+    error = F.when(_off_cycle(day), "NotABillingPeriodEnding").otherwise(F.col("refused"))
+    error = F.coalesce(error, F.when(F.col("billed").isNull(), "NoBill").when(F.col("used").isNull(), "NoEnergy"))
+    rows = rows.withColumn("error", F.coalesce(error, _zero(*(f"{b}_peak_kwh" for b in BANDS), "total_electricity_charges")))
     ok = F.col("error").isNull()
     rows = rows.withColumns({f"{b}_cost": F.when(ok, p) for b, p in part.items()})
     charges = F.col("on_cost") + F.col("mid_cost") + F.col("off_cost")
@@ -43,37 +50,48 @@ def energy_cost(energy: DataFrame, bills: DataFrame) -> DataFrame:
     return rows.select(*KEYS, *(f"{b}_cost" for b in BANDS), "charges", "tax", "rebate", (F.col("charges") + F.col("tax") - F.col("rebate")).alias("net"), "error")
 
 
-def peak_hours(peaks: DataFrame) -> DataFrame:
-    """``site_id, period_ending, basis, interval_start`` (seconds; null without a peak) of the three billed maxima."""
+def peak_hours(figures: DataFrame) -> DataFrame:
+    """``site_id, period_ending, basis, interval_start, error`` of the three billed maxima of ``period_figures``, in seconds.
+
+    A period that lacks hours has no maximum to go by: PeriodNotFullyCovered. NoPeak names a series without a reading.
+    """
     at = {"kva": "max_kva_at", "kw": "max_kw_at", "kw77": "max_kw_nop_at"}
     each = F.array(*(F.struct(F.lit(b).alias("basis"), F.unix_seconds(F.col(c).cast("timestamp")).alias("interval_start")) for b, c in at.items()))
-    return peaks.select(F.col("meter_id").alias("site_id"), "period_ending", F.explode(each).alias("p")).select(*KEYS, "p.*")
+    rows = figures.select(F.col("meter_id").alias("site_id"), "period_ending", "complete", F.explode(each).alias("p")).select(*KEYS, "complete", "p.*")
+    error = F.when(~F.col("complete"), "PeriodNotFullyCovered").when(F.col("interval_start").isNull(), F.concat(F.lit("NoPeak("), "basis", F.lit(")")))
+    return rows.select(*KEYS, "basis", F.when(F.col("complete"), F.col("interval_start")).alias("interval_start"), error.alias("error"))
 
 
-def peak_power(peaks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """For each billed maximum the load estimates of the hour it was measured in.
+def peak_power(figures: DataFrame, sessions: DataFrame) -> DataFrame:
+    """For each billed maximum of ``period_figures`` the load estimates of the hour it was measured in.
 
-    An hour that several maxima share is estimated once.
+    An hour that several maxima share is estimated once; null estimates come with ``error``.
     """
-    hours = peak_hours(peaks)
+    hours = peak_hours(figures)
     asked = hours.where("interval_start is not null").select("site_id", "interval_start", F.lit(3600).alias("interval_s")).distinct()
     best = best_segments(estimates(segment_aggregates(asked, sessions)), digits=None)
     best = best.withColumn("interval_start", F.unix_seconds(F.col("interval_start").cast("timestamp")))
     return hours.join(best, ["site_id", "interval_start"], "left")
 
 
-def delivery_cost(power: DataFrame, bills: DataFrame) -> DataFrame:
-    """The three demand lines, each at the middle of its own hour's energy-based bracket, prorated to thirty days."""
+def delivery_cost(power: DataFrame, bills: DataFrame, day: int = DEFAULT.bill_end_day) -> DataFrame:
+    """The three demand lines, each at the middle of its own hour's energy-based bracket, prorated to thirty days.
+
+    ``error``: NotABillingPeriodEnding for a bill off the cycle, NoBill, NotMetered,
+    PeriodNotFullyCovered, NoPeak of a basis, or ZeroDenominator of a figure; charges are then null.
+    """
 
     def mid(basis: str, unit: str) -> Column:
         return F.max(F.when(F.col("basis") == basis, (F.col(f"energy_{unit}_min") + F.col(f"energy_{unit}_max")) / 2))
 
-    demand = power.groupBy(*KEYS).agg(mid("kva", "kva").alias("ev_kva"), mid("kw", "kw").alias("ev_kw"), mid("kw77", "kw").alias("ev_kw77"))
+    demand = power.groupBy(*KEYS).agg(
+        mid("kva", "kva").alias("ev_kva"), mid("kw", "kw").alias("ev_kw"), mid("kw77", "kw").alias("ev_kw77"),
+        F.max(F.when(F.col("error") == "PeriodNotFullyCovered", F.col("error"))).alias("refused"),
+    )
     rows = bills.withColumn("billed", F.lit(True)).join(demand.withColumn("metered", F.lit(True)), KEYS, "full")
     none = F.coalesce(*(F.when(F.col(f"ev_{b}").isNull(), f"NoPeak({b})") for b in ("kva", "kw", "kw77")))
-    error = F.when(F.col("billed").isNull(), "NoBill").when(F.col("metered").isNull(), "NotMetered").otherwise(
-        F.coalesce(none, _zero("adj_kva", "adj_kw", "adj_peak_7_7_kw", "total_electricity_charges"))
-    )
+    error = F.when(_off_cycle(day), "NotABillingPeriodEnding").when(F.col("billed").isNull(), "NoBill").when(F.col("metered").isNull(), "NotMetered")
+    error = F.coalesce(error, F.col("refused"), none, _zero("adj_kva", "adj_kw", "adj_peak_7_7_kw", "total_electricity_charges"))
     rows = rows.withColumn("error", error)
     lines = {
         "distribution": ("distribution_charges", "adj_kva", "ev_kva"),
@@ -118,10 +136,11 @@ def rate_stretches(periods: DataFrame, rates: DataFrame) -> DataFrame:
     return good.unionByName(bad)
 
 
-def cost_recovery(daily: DataFrame, stretches: DataFrame) -> DataFrame:
+def cost_recovery(daily: DataFrame, stretches: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """Energy of each stretch at its rates, from ``daily(site_id, period_ending, date, on_kwh, mid_kwh, off_kwh)``.
 
-    A period may end an hour into the local day after its closing date; that hour belongs to
+    Periods that the session reports do not cover, by ``coverage_errors``, are refused. A row with
+    ``error`` has no figures. A period may end an hour into the local day after its closing date; that hour belongs to
     the last stretch.
     """
     use = F.least("date", "period_ending")
@@ -131,7 +150,9 @@ def cost_recovery(daily: DataFrame, stretches: DataFrame) -> DataFrame:
     zero = lambda b: F.sum(F.when(inside, F.col(f"{b}_kwh")).otherwise(0.0)).alias(f"{b}_kwh")
     sums = met.groupBy(*KEYS, "from_date", "to_date", *(f"{b}_rate" for b in BANDS), "error").agg(*(zero(b) for b in BANDS))
     total = sum((F.col(f"{b}_kwh") * F.col(f"{b}_rate") for b in BANDS), F.lit(0.0))
-    return sums.withColumn("recovery", total)
+    rows = gated(sums.withColumn("recovery", total), coverage, ["recovery"])
+    ok = F.col("error").isNull()
+    return rows.withColumns({c: F.when(ok, F.col(c)) for c in (*(f"{b}_kwh" for b in BANDS), "recovery")})
 
 
 def to_the_cent(x: Column) -> Column:
@@ -150,10 +171,17 @@ def to_the_cent(x: Column) -> Column:
 
 
 def surplus(recovered: DataFrame, delivery: DataFrame, energy: DataFrame) -> DataFrame:
-    """Recovery less delivery and energy cost, each as printed, with a verdict."""
-    r = recovered.groupBy(*KEYS).agg(F.sum("recovery").alias("r"))
-    rows = r.join(delivery.select(*KEYS, F.col("net").alias("d")), KEYS).join(energy.select(*KEYS, F.col("net").alias("e")), KEYS)
-    cents = rows.select(*KEYS, *(to_the_cent(F.col(c)).alias(n) for c, n in (("r", "recovery"), ("d", "delivery"), ("e", "energy"))))
+    """Recovery less delivery and energy cost, each as printed, with a verdict and the error of each part.
+
+    A period that a part lacks is named there: NoRecovery, NoDelivery or NoEnergyCost.
+    """
+    r = recovered.groupBy(*KEYS).agg(F.sum("recovery").alias("r"), F.coalesce(F.max("error"), F.lit("")).alias("r_error"))
+    d = delivery.select(*KEYS, F.col("net").alias("d"), F.coalesce("error", F.lit("")).alias("d_error"))
+    e = energy.select(*KEYS, F.col("net").alias("e"), F.coalesce("error", F.lit("")).alias("e_error"))
+    rows = r.join(d, KEYS, "full").join(e, KEYS, "full")
+    lacks = {"recovery": ("r", "NoRecovery"), "delivery": ("d", "NoDelivery"), "energy": ("e", "NoEnergyCost")}
+    errors = [F.nullif(F.coalesce(f"{c}_error", F.lit(none)), F.lit("")).alias(f"{n}_error") for n, (c, none) in lacks.items()]
+    cents = rows.select(*KEYS, *(to_the_cent(F.col(c)).alias(n) for n, (c, _) in lacks.items()), *errors)
     left = to_the_cent(F.col("recovery") - F.col("delivery") - F.col("energy"))
     x = F.col("surplus")
     verdict = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), "unknown").when(x < 0, "short").otherwise("covered")

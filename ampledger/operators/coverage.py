@@ -11,17 +11,22 @@ _MONTHS = "january february march april may june july august september october n
 _NAME = r"^Session_Report_([A-Za-z]+)_(\d{1,2})_(\d{4})-([A-Za-z]+)_(\d{1,2})_(\d{4})(?:-.*)?$"
 
 
-def name_dates(name: Column | str) -> tuple[Column, Column]:
-    """First and last date that a report's file name states; null where it is not of that form or no such date exists."""
-    stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")
-    months = F.create_map(*(F.lit(x) for i, m in enumerate(_MONTHS, 1) for x in (m, i)))
+def report_dates(named: DataFrame) -> DataFrame:
+    """``named(name, ...)`` with ``first_date`` and ``last_date`` that the file name states.
+
+    Both are null where it is not of that form, each where no such date exists. The name is
+    taken apart once a row: generators keep its parts from being worked out for every use.
+    """
+    stem = F.regexp_replace(F.element_at(F.split("name", "/"), -1), r"\.[^.]*$", "")
+    parts = F.when(stem.rlike(_NAME), F.slice(F.split(stem, "[_-]", 9), 3, 6))
+    p = lambda k: F.element_at("_part", k)
 
     def date(at: int) -> Column:
-        part = [F.regexp_extract(stem, _NAME, at + i) for i in range(3)]
-        month = months[F.lower(part[0])].cast("string")
-        return F.concat_ws("-", part[2], F.coalesce(month, F.lit("x")), part[1]).try_cast("date")
+        month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(p(at)))
+        return F.concat_ws("-", p(at + 2), month.cast("string"), p(at + 1)).try_cast("date")
 
-    return date(1), date(4)
+    dates = F.struct(date(1).alias("first_date"), date(4).alias("last_date"))
+    return named.withColumn("_part", F.explode(F.array(parts))).select("*", F.inline(F.array(dates))).drop("_part")
 
 
 def islands(ranges: DataFrame) -> DataFrame:
@@ -47,3 +52,30 @@ def covered_periods(stretches: DataFrame, periods: DataFrame) -> DataFrame:
     whole = (F.col("first_date") <= starts) & (F.col("last_date") >= F.col("period_ending"))
     seen = filed.groupBy("site_id", "period_ending").agg(F.max(whole).alias("w"))
     return periods.join(seen, ["site_id", "period_ending"], "left").select("site_id", "period_ending", F.coalesce("w", F.lit(False)).alias("covered"))
+
+
+def coverage_errors(named: DataFrame, periods: DataFrame) -> DataFrame:
+    """``site_id, period_ending, coverage_error`` of each of ``periods``, from the names ``named(site_id, name)`` of the sites' reports.
+
+    UndatedReport where a name of the site says no dates; ReportsDoNotCover where its reports leave a day of the period out.
+    """
+    dated = report_dates(named.select("site_id", "name"))
+    undated = dated.groupBy("site_id").agg(F.max(F.col("first_date").isNull() | F.col("last_date").isNull()).alias("undated"))
+    rows = covered_periods(islands(dated), periods).join(undated, "site_id", "left")
+    error = F.when(F.col("undated"), "UndatedReport").when(~F.col("covered"), "ReportsDoNotCover")
+    return rows.select("site_id", "period_ending", error.alias("coverage_error"))
+
+
+def gated(rows: DataFrame, errors: DataFrame | None, figures: list[str]) -> DataFrame:
+    """``rows`` with ``error`` from ``coverage_errors`` put first, and null ``figures`` where it is set.
+
+    A period that is not among ``errors`` is not covered; without ``errors`` rows stay as they are.
+    """
+    if errors is None:
+        return rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+    known = errors.select("site_id", "period_ending", F.coalesce("coverage_error", F.lit("")).alias("_gate"))
+    met = rows.join(known, ["site_id", "period_ending"], "left")
+    gate = F.nullif(F.coalesce("_gate", F.lit("ReportsDoNotCover")), F.lit(""))
+    error = F.coalesce(gate, F.col("error")) if "error" in rows.columns else gate
+    met = met.withColumn("error", error).drop("_gate")
+    return met.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in figures})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampledger.config import MID, OFF, ON
-from ampledger.functions.calendar import band, day_off, holidays
+from ampledger.functions.calendar import all_holidays, band, day_off
 from ampledger.functions.timeexpr import local, period_ending
 
 
@@ -30,8 +30,7 @@ def energy_parts(sessions: DataFrame, day: int = 23) -> DataFrame:
         F.hour(at).alias("hour"),
         (F.col("energy") * overlap / (F.col("adj_end") - F.col("adj_start"))).alias("kwh"),
     )
-    years = parts.select(F.year("date").alias("year")).distinct()
-    return day_off(parts, holidays(years)).select("site_id", "period_ending", "date", band("date", "hour", "off").alias("tou"), "kwh")
+    return day_off(parts, all_holidays(sessions.sparkSession)).select("site_id", "period_ending", "date", band("date", "hour", "off").alias("tou"), "kwh")
 
 
 def _by_band(parts: DataFrame, *keys: str) -> DataFrame:

@@ -9,14 +9,19 @@ from ampledger.config import MID, OFF, ON
 from ampledger.operators.bills import agrees_truncated
 
 
-def demand(measured: DataFrame, printed: DataFrame, figures: tuple[str, ...]) -> DataFrame:
-    """Whether each printed figure is the measured one cut to three decimals; a row on one side only is named in ``unmatched``."""
-    keys = ["meter_id", "period_ending"]
-    m = measured.select(*keys, *(F.col(f).alias(f"m_{f}") for f in figures), F.lit(True).alias("has_m"))
-    p = printed.select(*keys, *(F.col(f).alias(f"p_{f}") for f in figures), F.lit(True).alias("has_p"))
+def demand(measured: DataFrame, printed: DataFrame, figures: tuple[str, ...], energy: tuple[str, ...] = (), tolerance: float = 0.001) -> DataFrame:
+    """Whether each printed demand is the measured one cut to three decimals, and each energy within ``tolerance``.
+
+    A row on one side only is named in ``unmatched``.
+    """
+    keys, every = ["meter_id", "period_ending"], (*figures, *energy)
+    m = measured.select(*keys, *(F.col(f).alias(f"m_{f}") for f in every), F.lit(True).alias("has_m"))
+    p = printed.select(*keys, *(F.col(f).alias(f"p_{f}") for f in every), F.lit(True).alias("has_p"))
     both = m.join(p, keys, "full")
     unmatched = F.when(F.col("has_p").isNull(), "meter").when(F.col("has_m").isNull(), "bill")
-    return both.select(*keys, *(agrees_truncated(F.col(f"m_{f}"), F.col(f"p_{f}")).alias(f"{f}_agrees") for f in figures), unmatched.alias("unmatched"))
+    cut = [agrees_truncated(F.col(f"m_{f}"), F.col(f"p_{f}")).alias(f"{f}_agrees") for f in figures]
+    near = [(F.abs(F.col(f"m_{f}") - F.col(f"p_{f}")) <= tolerance).alias(f"{f}_agrees") for f in energy]
+    return both.select(*keys, *cut, *near, unmatched.alias("unmatched"))
 
 
 def band_energy(metered: DataFrame, printed: DataFrame, tolerance: float = 0.001) -> DataFrame:

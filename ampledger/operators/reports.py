@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampledger.config import MID, OFF, ON, SEGMENT_S
@@ -59,9 +59,36 @@ def interval_anomalies(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
     return met.select("site_id", "interval_start", "path", "row", "id", "avg_kw", named).withColumn("cell", anomaly_cell())
 
 
+def printed_thousandths(x: Column) -> Column:
+    """A figure of 1 or more as printed to three decimals: its exact binary value rounded, a half to even.
+
+    Its fraction is a whole number of 2^-52, and a thousand times that still fits a long.
+    """
+    units = ((x - F.floor(x)) * float(2**52)).cast("long") * 1000
+    low = F.shiftright(units, 52)
+    rest, half = units - F.shiftleft(low, 52), 2**51
+    up = (rest > half) | ((rest == half) & (low % 2 == 1))
+    total = F.floor(x).cast("long") * 1000 + low + up.cast("long")
+    return F.concat(F.floor(total / 1000).cast("string"), F.lit("."), F.lpad((total % 1000).cast("string"), 3, "0"))
+
+
 def anomaly_cell() -> Column:
     """The anomaly as printed, with its mean power where that is the fault."""
-    return F.when(F.col("anomaly") == "ExcessiveAvgKw", F.format_string("%s(avg_kw %.3f)", "anomaly", "avg_kw")).otherwise(F.col("anomaly"))
+    shown = F.concat("anomaly", F.lit("("), printed_thousandths(F.col("avg_kw")), F.lit(")"))
+    return F.when(F.col("anomaly") == "ExcessiveAvgKw", shown).otherwise(F.col("anomaly"))
+
+
+def anomaly_kinds(found: DataFrame) -> DataFrame:
+    """``site_id, interval_start, nth, anomaly``: the kinds of ``interval_anomalies``, in the order in which they first come up."""
+    keys = ["site_id", "interval_start"]
+    each = found.groupBy(*keys, "anomaly").agg(F.min(F.struct("path", "row", "id", "pos")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+    return each.select(*keys, nth.cast("long").alias("nth"), "anomaly")
+
+
+def deserted(segments: DataFrame) -> DataFrame:
+    """``site_id, interval_start, deserted``: whether no session reached any segment of the interval."""
+    return segments.groupBy("site_id", "interval_start").agg((F.max("members") == 0).alias("deserted"))
 
 
 def lines(rows: DataFrame, keys: list[str], names: list[str], less: tuple[str, ...] = ()) -> DataFrame:

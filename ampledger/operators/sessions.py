@@ -127,7 +127,22 @@ def coverage(flagged: DataFrame) -> DataFrame:
 
 
 def off_grid_summary(flagged: DataFrame) -> DataFrame:
-    """Rows off the minute grid of each file: how many, of how many, and the first three."""
+    """Rows off the minute grid of each file: how many, of how many, and the first three.
+
+    Only three rows of a task and file are shuffled for the examples, however many are off the grid.
+    """
     off = F.array_contains("anomalies", "OffGridTimes")
-    first = F.slice(F.array_sort(F.collect_list(F.when(off, F.col("row")))), 1, 3)
-    return flagged.groupBy("path").agg(F.count_if(off).alias("n_off"), F.count("*").alias("n"), first.alias("first_rows"))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("row"))
+    firsts = flagged.where(off).select("path", "row").withColumn("nth", nth).where("nth <= 3")
+    firsts = firsts.groupBy("path").agg(F.array_sort(F.collect_list("row")).alias("first_rows"))
+    counts = flagged.groupBy("path").agg(F.count_if(off).alias("n_off"), F.count("*").alias("n"))
+    none = F.array().cast("array<long>")
+    return counts.join(firsts, "path", "left").select("path", "n_off", "n", F.coalesce("first_rows", none).alias("first_rows"))
+
+
+def sources(merged: DataFrame) -> DataFrame:
+    """``site_id, nth, path, n_sessions``: the files that each site's sessions are from, in the order in which they first come up."""
+    rank = F.create_map(*(F.lit(x) for kv in _BUCKETS.items() for x in kv))[F.col("bucket")]
+    each = merged.groupBy("site_id", "path").agg(F.min(F.struct(F.col("path").alias("p"), rank.alias("b"), "row")).alias("at"), F.count("*").alias("n_sessions"))
+    nth = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
+    return each.select("site_id", nth.cast("long").alias("nth"), "path", "n_sessions")

@@ -13,6 +13,7 @@ from ampledger.functions import timeexpr as T
 from ampledger.functions.load import site_load
 from ampledger.operators import energy, estimate, meter
 from ampledger.operators import sessions as S
+from ampledger.operators.coverage import coverage_errors, gated
 from ampledger.sources import adapters as A
 
 QUERIES: dict = {}
@@ -179,9 +180,19 @@ def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FILLED_SQL} SELECT meter_id, ts, kwh / 1000000.0::DOUBLE AS kwh, kw / 1000000.0::DOUBLE AS kw, kva / 1000000.0::DOUBLE AS kva,
   array_to_string(anomalies, ',') AS anomalies FROM filled""")
 def interval_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hour of every meter, gaps filled, in kWh, kW and kVA, with its anomalies."""
-    scaled = [(F.col(c) / 10**6).alias(c) for c in meter.UOM]
-    return _filled(spark, sf_dir).select("meter_id", *ntz("ts"), *scaled, F.array_join("anomalies", ",").alias("anomalies"))
+    """Every hour of every meter, gaps filled, in kWh, kW and kVA, with its anomalies; newest first."""
+    scaled = [(F.col(c) / meter.SCALE).alias(c) for c in meter.UOM]
+    rows = _filled(spark, sf_dir).select("meter_id", *ntz("ts"), *scaled, F.array_join("anomalies", ",").alias("anomalies"))
+    return rows.orderBy(F.desc("ts"), "meter_id")
+
+
+@query(f"""WITH {A.POWERED_SQL}, w AS (SELECT meter_id, uom, ts, first(value ORDER BY doc_order DESC, value DESC) / pow(10, 3 - first(power_of_ten)) AS v FROM powered GROUP BY meter_id, uom, ts)
+SELECT meter_id, round(sum(v) FILTER (uom = 72), 6) AS kwh, round(max(v) FILTER (uom = 38), 6) AS max_kw, round(max(v) FILTER (uom = 61), 6) AS max_kva FROM w GROUP BY meter_id""")
+def scaled_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy and maxima of meters whose feeds state values in different powers of ten."""
+    wide = meter.readings(A.powered_series(spark, sf_dir))
+    shown = lambda c, name: F.round(c / meter.SCALE, 6).alias(name)
+    return wide.groupBy("meter_id").agg(shown(F.sum("kwh"), "kwh"), shown(F.max("kw"), "max_kw"), shown(F.max("kva"), "max_kva"))
 
 
 def _sql_peak(name: str, value: str, companion: str, ok: str) -> str:
@@ -205,7 +216,7 @@ def period_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meter.period_peaks(meter.readings(A.series(spark, sf_dir)))
 
 
-_FLAGS = ("MissingKwh", "MissingKw", "MissingKva", "MissingInterval", "DuplicateInterval", "MisalignedInterval")
+_FLAGS = meter.FLAGS
 
 
 @query(f"""WITH {FILLED_SQL}, p AS (SELECT *, {sql_ending("ts")} AS period_ending FROM filled),
@@ -241,20 +252,60 @@ def boundary_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meter.boundary_sweep(meter.readings(A.series(spark, sf_dir)))
 
 
-@query(f"""WITH {FILLED_SQL} SELECT count(*) AS "rows", count(DISTINCT (meter_id, {sql_ending("ts")})) AS periods,
+def _sql_group(name: str, other: str) -> str:
+    scale = "/ 1000000.0::DOUBLE"
+    return f"""{name} {scale} AS {name}, {sql_local(f"{name}_at")} AS {name}_interval, {name}_at AS {name}_interval_utc, {name}_{other} {scale} AS {name}_{other}, {name}_tou"""
+
+
+@query(f"""WITH r AS ({SQL["period_rollup"]}), p AS ({SQL["period_peaks"]}) SELECT meter_id, period_ending AS billing_period_ending, n_hours AS nbr_of_intervals, kwh,
+  {_sql_group("max_kw", "kva")}, {_sql_group("max_kw_nop", "kva")}, {_sql_group("max_kva", "kw")}, {_sql_group("max_kva_nop", "kw")},
+  concat_ws(',', {", ".join(f"CASE WHEN n_{f} > 0 THEN '{f}(' || n_{f} || ')' END" for f in _FLAGS)}) AS anomalies FROM r LEFT JOIN p USING (meter_id, period_ending)""")
+def peak_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a meter and period, newest first: hours, energy, the four maxima on both clocks, anomalies."""
+    return meter.peak_table(meter.period_figures(_filled(spark, sf_dir)))
+
+
+_READ_SPAN = f"""SELECT CAST(min({sql_local("ts")}) AS DATE) AS a, CAST(max({sql_local("ts")}) AS DATE) AS z FROM series WHERE uom = 72"""
+
+
+@query(f"""WITH {A.SERIES_SQL}, span AS ({_READ_SPAN}), {sql_holidays("SELECT unnest(range(year(a), year(z) + 1)) AS y FROM span")}
+SELECT date, substitute_for, name FROM holiday WHERE date BETWEEN (SELECT a FROM span) AND (SELECT z FROM span)""")
+def holidays_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holidays between the first and the last energy reading, with what they are observed for."""
+    first, last = A.series(spark, sf_dir).where("uom = 72").agg(F.to_date(T.local(F.min("ts"))), F.to_date(T.local(F.max("ts")))).first()
+    return cal.holidays_between(spark, first, last)
+
+
+@query(f"""WITH s AS ({SQL["boundary_sweep"]}), b AS (SELECT meter_id, period_ending, round(kwh_raw / 1000000.0::DOUBLE, 3) + CASE WHEN meter_id % 4 = 1 THEN 0.05 ELSE 0 END AS kwh FROM s WHERE rule = 'est'),
+d AS (SELECT rule, abs(kwh_raw / 1000000.0::DOUBLE - kwh) AS off FROM s JOIN b USING (meter_id, period_ending))
+SELECT rule, count(*) AS n_periods, count(*) FILTER (off <= 0.001) AS n_matches, round(avg(off), 6) AS mean_abs_error, round(max(off), 6) AS worst FROM d GROUP BY rule""")
+def boundary_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each boundary rule reproduces bills, which are cut at UTC-5, printed to three decimals and wrong for some meters."""
+    swept = meter.boundary_sweep(meter.readings(A.series(spark, sf_dir)))
+    wrong = F.when(F.col("meter_id") % 4 == 1, 0.05).otherwise(0.0)
+    printed = swept.where("rule = 'est'").select("meter_id", "period_ending", (F.round(F.col("kwh_raw") / meter.SCALE, 3) + wrong).alias("kwh"))
+    fit = meter.boundary_fit(swept, printed)
+    return fit.select("rule", "n_periods", "n_matches", *(F.round(c, 6).alias(c) for c in ("mean_abs_error", "worst")))
+
+
+@query(f"""WITH {FILLED_SQL}, n AS (SELECT meter_id, {sql_ending("ts")} AS p, count(*) FILTER (kwh IS NOT NULL OR kw IS NOT NULL OR kva IS NOT NULL) AS n FROM filled GROUP BY ALL)
+SELECT count(*) AS "rows", count(DISTINCT (meter_id, {sql_ending("ts")})) AS periods,
+  (SELECT count(*) FROM n WHERE n <> 24 * date_diff('day', CAST(p - INTERVAL 1 MONTH AS DATE), p)) AS incomplete_periods,
   {", ".join(f"count(*) FILTER (list_contains(anomalies, '{f}')) AS n_{f}" for f in _FLAGS)},
   CAST(min({sql_local("ts")}) AS DATE) AS first_date, CAST(max({sql_local("ts")}) AS DATE) AS last_date FROM filled""")
 def conversion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, periods, anomaly counts and covered local dates of the whole feed."""
+    """Rows, periods, incomplete ones, anomaly counts and covered local dates of the whole feed."""
     rows = _filled(spark, sf_dir).withColumn("p", T.period_ending("ts"))
     per = rows.groupBy("meter_id", "p").agg(
         F.count("*").alias("rows"),
+        F.count_if(F.col("kwh").isNotNull() | F.col("kw").isNotNull() | F.col("kva").isNotNull()).alias("n_hours"),
         *(F.count_if(F.array_contains("anomalies", f)).alias(f"n_{f}") for f in _FLAGS),
         F.min("ts").alias("a"),
         F.max("ts").alias("z"),
     )
     return per.agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("periods"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in _FLAGS),
+        F.sum("rows").alias("rows"), F.count("*").alias("periods"),
+        F.count_if(F.col("n_hours") != 24 * F.datediff("p", F.add_months("p", -1))).alias("incomplete_periods"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in _FLAGS),
         F.to_date(T.local(F.min("a"))).alias("first_date"), F.to_date(T.local(F.max("z"))).alias("last_date"),
     )
 
@@ -327,12 +378,14 @@ BAND_SUMS = """coalesce(sum(kwh) FILTER (tou = 'OnPeak'), 0) AS on_kwh, coalesce
   coalesce(sum(kwh) FILTER (tou = 'OffPeak'), 0) AS off_kwh"""
 
 
-@query(f"""WITH {PARTS_SQL}, sums AS (SELECT site_id, period_ending, {BAND_SUMS}, sum(kwh) AS kwh FROM parts GROUP BY site_id, period_ending)
-SELECT site_id, period_ending, round(on_kwh, 6) AS on_kwh, round(mid_kwh, 6) AS mid_kwh, round(off_kwh, 6) AS off_kwh, round(kwh, 6) AS kwh FROM sums""")
+@query(f"""WITH {PARTS_SQL}, {A.GATE_SQL}, sums AS (SELECT site_id, period_ending, {BAND_SUMS}, sum(kwh) AS kwh FROM parts GROUP BY site_id, period_ending)
+SELECT site_id, period_ending, {", ".join(f"CASE WHEN refused IS NULL THEN round({c}, 6) END AS {c}" for c in ("on_kwh", "mid_kwh", "off_kwh", "kwh"))}, refused AS error
+FROM sums LEFT JOIN gate USING (site_id, period_ending)""")
 def ev_energy_by_tou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charging energy of each site and billing period by price band, from merged sessions that are not excluded."""
+    """Charging energy of each site and billing period by price band, from merged sessions that are not excluded; none where reports leave days out."""
     merged = S.deduplicate(_flagged(spark, sf_dir, True)).where("bucket <> 'excluded'")
-    return energy.energy_by_band(merged)
+    found = energy.energy_by_band(merged)
+    return gated(found, coverage_errors(A.site_reports(spark, sf_dir), found), ["on_kwh", "mid_kwh", "off_kwh", "kwh"])
 
 
 def segments_sql(intervals: str) -> str:

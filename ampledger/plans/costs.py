@@ -13,7 +13,9 @@ from ampledger.operators import sessions as S
 from ampledger.operators.requests import checked_intervals
 from ampledger.plans import core as K
 from ampledger.sources import adapters as A
-from ampledger.sources.files import type_sessions
+from ampledger.sources.files import DERIVED, reread, type_sessions
+from ampledger.sources.files import session_table as session_columns
+from ampledger.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,11 +94,10 @@ cov AS (SELECT site_id, {K.sql_ending(f"({_NOON.format('d')})")} AS period_endin
 SELECT site_id, period_ending, coalesce(n = date_diff('day', CAST(period_ending - INTERVAL 1 MONTH AS DATE), period_ending), false) AS covered FROM per LEFT JOIN cov USING (site_id, period_ending)""")
 def report_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the dates that report names state cover each period in which an account has a report."""
-    named = A.report_names(spark, sf_dir)
-    first, last = V.name_dates("name")
+    named = V.report_dates(A.report_names(spark, sf_dir))
     noon = F.timestamp_seconds(F.unix_seconds(F.col("first").cast("timestamp")) + 12 * 3600)
     periods = named.select("site_id", K.T.period_ending(noon).alias("period_ending")).distinct()
-    return V.covered_periods(V.islands(named.select("site_id", first.alias("first_date"), last.alias("last_date"))), periods)
+    return V.covered_periods(V.islands(named), periods)
 
 
 _O = "sum(CASE WHEN o_orderpriority = '{}' THEN {} ELSE 0 END)"
@@ -114,7 +115,13 @@ def bill_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BILLS_SQL} SELECT site_id, period_ending, round(total_electricity_charges + hst - ontario_electricity_rebate, 6) AS bill_total,
-  array_to_string(list_filter([CASE WHEN site_id % 4 = 0 THEN 'lines' END, CASE WHEN site_id % 2 = 1 AND adjusted_kwh_used * 0.0295 > 0.002 THEN 'loss' END], lambda x: x IS NOT NULL), ',') AS failed FROM bills""")
+  array_to_string(list_filter([CASE WHEN abs({" + ".join(c for c in A.BILL_FIGURES if c.endswith(("_cost", "_charge", "_charges")))} - total_electricity_charges) > 0.01 THEN 'lines' END,
+    CASE WHEN abs(on_peak_kwh + mid_peak_kwh + off_peak_kwh - adjusted_kwh_used) > 0.002 THEN 'bands' END,
+    CASE WHEN abs(kwh_used * loss_factor_adjustment - adjusted_kwh_used) > 0.002 THEN 'loss' END, CASE WHEN NOT days BETWEEN 28 AND 31 THEN 'month' END,
+    CASE WHEN demand_kva < demand_kw THEN 'kva' END, CASE WHEN peak_7_7_kw > demand_kw THEN 'window' END,
+    CASE WHEN abs(peak_7_7_kw * days / 30.0::DOUBLE - adj_peak_7_7_kw) > 0.0025 THEN 'adj_peak_7_7_kw' END,
+    CASE WHEN abs(demand_kw * days / 30.0::DOUBLE - adj_kw) > 0.0025 THEN 'adj_kw' END, CASE WHEN abs(demand_kva * days / 30.0::DOUBLE - adj_kva) > 0.0025 THEN 'adj_kva' END,
+    CASE WHEN least(peak_7_7_kw, adj_peak_7_7_kw, demand_kw, demand_kva, metering_adj, adj_kw, adj_kva, hst, ontario_electricity_rebate) <= 0 THEN 'positive' END], lambda x: x IS NOT NULL), ',') AS failed FROM bills""")
 def bill_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bill's total and the rules that its own figures break."""
     rows = B.checks(A.bills(spark, sf_dir))
@@ -123,9 +130,9 @@ def bill_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: CTE ``ec``: energy cost of sites with a bill and energy.
 ENERGY_COST_SQL = f"""
-used AS (SELECT site_id, period_ending, {K.BAND_SUMS} FROM parts GROUP BY ALL),
+used AS (SELECT *, true AS used FROM (SELECT site_id, period_ending, {K.BAND_SUMS} FROM parts GROUP BY ALL) LEFT JOIN gate USING (site_id, period_ending)),
 {BILLS_SQL},
-ec0 AS (SELECT *, CASE WHEN b.n IS NULL THEN 'NoBill' WHEN u.on_kwh IS NULL THEN 'NoEnergy' WHEN on_peak_kwh = 0 THEN 'ZeroDenominator(on_peak_kwh)'
+ec0 AS (SELECT *, CASE WHEN day(period_ending) <> 23 THEN 'NotABillingPeriodEnding' WHEN refused IS NOT NULL THEN refused WHEN b.n IS NULL THEN 'NoBill' WHEN u.used IS NULL THEN 'NoEnergy' WHEN on_peak_kwh = 0 THEN 'ZeroDenominator(on_peak_kwh)'
     WHEN mid_peak_kwh = 0 THEN 'ZeroDenominator(mid_peak_kwh)' WHEN off_peak_kwh = 0 THEN 'ZeroDenominator(off_peak_kwh)' END AS error FROM bills b FULL JOIN used u USING (site_id, period_ending)),
 ec1 AS (SELECT *, CASE WHEN error IS NULL THEN on_kwh * loss_factor_adjustment * on_peak_cost / on_peak_kwh END AS on_cost,
     CASE WHEN error IS NULL THEN mid_kwh * loss_factor_adjustment * mid_peak_cost / mid_peak_kwh END AS mid_cost,
@@ -136,47 +143,59 @@ ec AS (SELECT *, charges * hst / total_electricity_charges AS tax, charges * ont
 _EC = ("on_cost", "mid_cost", "off_cost", "charges", "tax", "rebate", "net")
 
 
+def _gate(spark: SparkSession, sf_dir: str, periods: DataFrame) -> DataFrame:
+    return V.coverage_errors(A.site_reports(spark, sf_dir), periods.select("site_id", "period_ending").distinct())
+
+
 def _energy_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = energy._by_band(energy.energy_parts(_counted(spark, sf_dir)))
-    return C.energy_cost(used, A.bills(spark, sf_dir))
+    return C.energy_cost(V.gated(used, _gate(spark, sf_dir, used), []), A.bills(spark, sf_dir))
 
 
-@query(f"WITH {K.PARTS_SQL}, {ENERGY_COST_SQL} SELECT site_id, period_ending, {sql_six(*_EC)}, error FROM ec")
+@query(f"WITH {K.PARTS_SQL}, {A.GATE_SQL}, {ENERGY_COST_SQL} SELECT site_id, period_ending, {sql_six(*_EC)}, error FROM ec")
 def energy_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What charging energy cost each site and period."""
     return _energy_cost(spark, sf_dir).select("site_id", "period_ending", *six(*_EC), "error")
 
 
 #: CTEs up to ``power``: estimates of the hour of each billed maximum.
-POWER_SQL = f"""{A.HOURS_SQL}, hl AS (SELECT *, {K.sql_local("ts")} AS w FROM site_hours), hd AS (SELECT *, CAST(w AS DATE) AS wd, hour(w) AS wh FROM hl),
+POWER_SQL = f"""{A.hours_sql(K.sql_ending)}, hl AS (SELECT *, {K.sql_local("ts")} AS w FROM site_hours), hd AS (SELECT *, CAST(w AS DATE) AS wd, hour(w) AS wh FROM hl),
 hb AS (SELECT *, {K.sql_band("wd", "wh")} AS tou, {K.sql_ending("ts")} AS period_ending FROM hd),
 pk AS (SELECT meter_id AS site_id, period_ending, first(ts ORDER BY kva DESC, ts) AS kva_at, first(ts ORDER BY kw DESC, ts) AS kw_at,
-    first(ts ORDER BY kw DESC, ts) FILTER (tou <> 'OffPeak') AS kw77_at FROM hb GROUP BY ALL),
-ph AS (SELECT site_id, period_ending, unnest([{{'basis': 'kva', 'peak_at': kva_at}}, {{'basis': 'kw', 'peak_at': kw_at}}, {{'basis': 'kw77', 'peak_at': kw77_at}}], recursive := true) FROM pk),
+    first(ts ORDER BY kw DESC, ts) FILTER (tou <> 'OffPeak') AS kw77_at, count(*) = 24 * date_diff('day', CAST(period_ending - INTERVAL 1 MONTH AS DATE), period_ending) AS complete FROM hb GROUP BY meter_id, period_ending),
+pi AS (SELECT site_id, period_ending, complete, unnest([{{'basis': 'kva', 'found_at': kva_at}}, {{'basis': 'kw', 'found_at': kw_at}}, {{'basis': 'kw77', 'found_at': kw77_at}}], recursive := true) FROM pk),
+ph AS (SELECT site_id, period_ending, basis, CASE WHEN complete THEN found_at END AS peak_at, CASE WHEN NOT complete THEN 'PeriodNotFullyCovered' WHEN found_at IS NULL THEN 'NoPeak(' || basis || ')' END AS no_power FROM pi),
 {K.segments_sql("SELECT DISTINCT site_id, CAST(epoch(peak_at) AS BIGINT) AS interval_start FROM ph WHERE peak_at IS NOT NULL")},
 es AS (SELECT *, {K._sql_estimates()} FROM sa),
 best AS (SELECT site_id, interval_start, {K._sql_best("{}")} FROM es GROUP BY site_id, interval_start),
-power AS (SELECT ph.site_id, period_ending, basis, peak_at, best.* EXCLUDE (site_id, interval_start) FROM ph LEFT JOIN best ON best.site_id = ph.site_id AND best.interval_start = CAST(epoch(peak_at) AS BIGINT))"""
+power AS (SELECT ph.site_id, period_ending, basis, peak_at, no_power, best.* EXCLUDE (site_id, interval_start) FROM ph LEFT JOIN best ON best.site_id = ph.site_id AND best.interval_start = CAST(epoch(peak_at) AS BIGINT))"""
 _FIGURES = [f"{w}_{u}_{e}" for w in ("energy", "count") for u in ("kw", "kva") for e in ("min", "max")]
 
 
 def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.peak_power(meter.period_peaks(A.site_hours(spark, sf_dir)), _counted(spark, sf_dir))
+    return C.peak_power(_figures(spark, sf_dir), _counted(spark, sf_dir))
+
 
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meter.period_figures(meter.fill_gaps(A.site_hours(spark, sf_dir)))
 
-@query(f"""WITH {K.PARTS_SQL}, {POWER_SQL} SELECT site_id, period_ending, basis, peak_at, energy_segment, count_segment, {sql_six(*_FIGURES)} FROM power""")
+
+@query(f"""WITH {K.PARTS_SQL}, {POWER_SQL} SELECT site_id, period_ending, basis, peak_at, energy_segment, count_segment, {sql_six(*_FIGURES)}, no_power AS error FROM power""")
 def peak_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charging's share of the hour of each billed maximum."""
     rows = _power(spark, sf_dir).withColumn("peak_at", F.timestamp_seconds("interval_start").cast("timestamp_ntz"))
-    return rows.select("site_id", "period_ending", "basis", "peak_at", "energy_segment", "count_segment", *six(*_FIGURES))
+    return rows.select("site_id", "period_ending", "basis", "peak_at", "energy_segment", "count_segment", *six(*_FIGURES), "error")
 
 
 _mid = lambda basis, unit: f"max(CASE WHEN basis = '{basis}' THEN (energy_{unit}_min + energy_{unit}_max) / 2 END)"
 DELIVERY_SQL = f"""
-dm AS (SELECT site_id, period_ending, {_mid("kva", "kva")} AS ev_kva, {_mid("kw", "kw")} AS ev_kw, {_mid("kw77", "kw")} AS ev_kw77 FROM power GROUP BY ALL),
-dc0 AS (SELECT *, CASE WHEN ev_kva IS NULL THEN 'NoPeak(kva)' WHEN ev_kw IS NULL THEN 'NoPeak(kw)' WHEN ev_kw77 IS NULL THEN 'NoPeak(kw77)' END AS error FROM bills JOIN dm USING (site_id, period_ending)),
-dc2 AS (SELECT *, distribution_charges / adj_kva * ev_kva * (days / 30) AS distribution, transmission_connection_charge / adj_kw * ev_kw * (days / 30) AS connection,
-    transmission_network_charge / adj_peak_7_7_kw * ev_kw77 * (days / 30) AS network FROM dc0),
+dm AS (SELECT site_id, period_ending, {_mid("kva", "kva")} AS ev_kva, {_mid("kw", "kw")} AS ev_kw, {_mid("kw77", "kw")} AS ev_kw77,
+    max(no_power) FILTER (no_power = 'PeriodNotFullyCovered') AS lacking, true AS metered FROM power GROUP BY ALL),
+dc0 AS (SELECT *, CASE WHEN day(period_ending) <> 23 THEN 'NotABillingPeriodEnding' WHEN n IS NULL THEN 'NoBill' WHEN metered IS NULL THEN 'NotMetered' WHEN lacking IS NOT NULL THEN lacking
+    WHEN ev_kva IS NULL THEN 'NoPeak(kva)' WHEN ev_kw IS NULL THEN 'NoPeak(kw)' WHEN ev_kw77 IS NULL THEN 'NoPeak(kw77)' END AS error FROM bills FULL JOIN dm USING (site_id, period_ending)),
+dc2 AS (SELECT *, CASE WHEN error IS NULL THEN distribution_charges / adj_kva * ev_kva * (days / 30) END AS distribution,
+    CASE WHEN error IS NULL THEN transmission_connection_charge / adj_kw * ev_kw * (days / 30) END AS connection,
+    CASE WHEN error IS NULL THEN transmission_network_charge / adj_peak_7_7_kw * ev_kw77 * (days / 30) END AS network FROM dc0),
 dc3 AS (SELECT *, distribution + connection + network AS charges FROM dc2),
 dc AS (SELECT *, charges * hst / total_electricity_charges AS tax, charges * ontario_electricity_rebate / total_electricity_charges AS rebate,
     charges + charges * hst / total_electricity_charges - charges * ontario_electricity_rebate / total_electricity_charges AS net FROM dc3)"""
@@ -195,7 +214,7 @@ def delivery_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: CTE ``rec``: each stretch's energy at its rates; a day takes the last rate effective by then, or the opening one.
 RECOVERY_SQL = f"""
-{A.RATES_SQL},
+{A.RATES_SQL}, {A.GATE_SQL},
 sp AS (SELECT site_id, period_ending, CAST(period_ending - INTERVAL 1 MONTH AS DATE) + 1 AS begins FROM (SELECT DISTINCT site_id, period_ending FROM parts)),
 hold AS (SELECT *, lead(effective_date) OVER (PARTITION BY site_id ORDER BY effective_date) AS until FROM rates),
 cut AS (SELECT sp.*, greatest(begins, effective_date) AS from_date, least(period_ending, coalesce(until - 1, period_ending)) AS to_date, on_rate, mid_rate, off_rate
@@ -203,15 +222,17 @@ cut AS (SELECT sp.*, greatest(begins, effective_date) AS from_date, least(period
 okp AS (SELECT site_id, period_ending FROM cut GROUP BY ALL HAVING min(from_date) = min(begins)),
 st AS (SELECT site_id, period_ending, from_date, to_date, on_rate, mid_rate, off_rate, NULL AS error FROM cut SEMI JOIN okp USING (site_id, period_ending)
   UNION ALL SELECT site_id, period_ending, NULL, NULL, NULL, NULL, NULL, 'RatesNotYetInEffect' FROM sp ANTI JOIN okp USING (site_id, period_ending)),
-rs AS (SELECT st.*, coalesce(sum(kwh) FILTER (tou = 'OnPeak'), 0) AS on_kwh, coalesce(sum(kwh) FILTER (tou = 'MidPeak'), 0) AS mid_kwh, coalesce(sum(kwh) FILTER (tou = 'OffPeak'), 0) AS off_kwh
+rs0 AS (SELECT st.*, coalesce(sum(kwh) FILTER (tou = 'OnPeak'), 0) AS on_kwh, coalesce(sum(kwh) FILTER (tou = 'MidPeak'), 0) AS mid_kwh, coalesce(sum(kwh) FILTER (tou = 'OffPeak'), 0) AS off_kwh
   FROM st LEFT JOIN parts p ON p.site_id = st.site_id AND p.period_ending = st.period_ending AND least(ld, st.period_ending) BETWEEN from_date AND to_date GROUP BY ALL),
+rs1 AS (SELECT rs0.* EXCLUDE (error), coalesce(refused, error) AS error FROM rs0 LEFT JOIN gate USING (site_id, period_ending)),
+rs AS (SELECT * REPLACE ({", ".join(f"CASE WHEN error IS NULL THEN {b}_kwh END AS {b}_kwh" for b in ("on", "mid", "off"))}) FROM rs1),
 rec AS (SELECT *, on_kwh * on_rate + mid_kwh * mid_rate + off_kwh * off_rate AS recovery FROM rs)"""
 _RC = ("on_kwh", "mid_kwh", "off_kwh", "recovery")
 
 
 def _recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = energy.energy_by_day(_counted(spark, sf_dir))
-    return C.cost_recovery(daily, C.rate_stretches(daily, A.rates(spark, sf_dir)))
+    return C.cost_recovery(daily, C.rate_stretches(daily, A.rates(spark, sf_dir)), _gate(spark, sf_dir, daily))
 
 
 @query(f"WITH {K.PARTS_SQL}, {RECOVERY_SQL} SELECT site_id, period_ending, from_date, to_date, {sql_six(*_RC)}, error FROM rec")
@@ -223,28 +244,50 @@ def cost_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 _cent = lambda x: f"CAST(printf('%.2f', {x}) AS DOUBLE)"
 
 
-@query(f"""WITH {K.PARTS_SQL}, {ENERGY_COST_SQL}, {POWER_SQL}, {DELIVERY_SQL}, {RECOVERY_SQL},
-r AS (SELECT site_id, period_ending, sum(recovery) AS r FROM rec GROUP BY ALL),
-x AS (SELECT site_id, period_ending, {_cent("r")} AS recovery, {_cent("dc.net")} AS delivery, {_cent("ec.net")} AS energy FROM r JOIN dc USING (site_id, period_ending) JOIN ec USING (site_id, period_ending)),
+@query(f"""WITH {K.PARTS_SQL}, {RECOVERY_SQL}, {ENERGY_COST_SQL}, {POWER_SQL}, {DELIVERY_SQL},
+r AS (SELECT site_id, period_ending, sum(recovery) AS r, max(error) AS r_error, true AS has_r FROM rec GROUP BY ALL),
+x AS (SELECT site_id, period_ending, {_cent("r")} AS recovery, {_cent("dc.net")} AS delivery, {_cent("ec.net")} AS energy,
+    CASE WHEN has_r IS NULL THEN 'NoRecovery' ELSE r_error END AS recovery_error, CASE WHEN has_d IS NULL THEN 'NoDelivery' ELSE dc.error END AS delivery_error,
+    CASE WHEN has_e IS NULL THEN 'NoEnergyCost' ELSE ec.error END AS energy_error
+  FROM r FULL JOIN (SELECT *, true AS has_d FROM dc) dc USING (site_id, period_ending) FULL JOIN (SELECT *, true AS has_e FROM ec) ec USING (site_id, period_ending)),
 y AS (SELECT *, {_cent("recovery - delivery - energy")} AS surplus FROM x)
 SELECT *, CASE WHEN surplus IS NULL THEN 'unknown' WHEN surplus < 0 THEN 'short' ELSE 'covered' END AS verdict FROM y""")
 def cost_recovery_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recovery less delivery and energy cost of each site and period, to the cent."""
-    return C.surplus(_recovery(spark, sf_dir), _delivery(spark, sf_dir), _energy_cost(spark, sf_dir))
-
-
-@query(f"""WITH {K.BANDED_SQL}, g AS (SELECT meter_id, period_ending, max(kw) FILTER (tou IS NOT NULL) AS m, max(kva) FILTER (tou IS NOT NULL) AS v FROM banded GROUP BY ALL)
-SELECT meter_id, period_ending, CASE WHEN m IS NOT NULL THEN meter_id % 3 <> 0 END AS kw_agrees, CASE WHEN v IS NOT NULL THEN true END AS kva_agrees, CAST(NULL AS VARCHAR) AS unmatched FROM g""")
+    """Recovery less delivery and energy cost of each site and period, to the cent.
+
+    Sessions, energy by day, maxima and bills are worked out once and written; all three parts read them.
+    """
+    counted = written(_counted(spark, sf_dir).select("site_id", "adj_start", "adj_end", "energy", "avg_kw"), "counted")
+    daily = written(energy.energy_by_day(counted), "daily")
+    bills = written(A.bills(spark, sf_dir), "bills")
+    gate = written(_gate(spark, sf_dir, daily), "gate")
+    stretches = written(C.rate_stretches(daily, A.rates(spark, sf_dir)), "stretches")
+    power = written(C.peak_power(written(_figures(spark, sf_dir), "figures"), counted), "power")
+    recovered = C.cost_recovery(daily, stretches, gate)
+    used = daily.groupBy("site_id", "period_ending").agg(*(F.sum(f"{b}_kwh").alias(f"{b}_kwh") for b in C.BANDS))
+    delivery = C.delivery_cost(power, bills)
+    return C.surplus(recovered, delivery, C.energy_cost(V.gated(used, gate, []), bills))
+
+
+@query(f"""WITH {K.BANDED_SQL}, g AS (SELECT meter_id, period_ending, max(kw) FILTER (tou IS NOT NULL) AS m, max(kva) FILTER (tou IS NOT NULL) AS v FROM banded GROUP BY ALL),
+e AS (SELECT meter_id, {K.sql_ending("ts")} AS period_ending, CAST(sum(kwh) AS BIGINT) AS k FROM wide GROUP BY ALL),
+m AS (SELECT meter_id, period_ending, m / 1000000.0::DOUBLE AS kw, v / 1000000.0::DOUBLE AS kva, k / 1000000.0::DOUBLE AS kwh FROM e LEFT JOIN g USING (meter_id, period_ending)),
+p AS (SELECT meter_id, period_ending, floor(kw * 1000 + 1e-7) / 1000 + CASE WHEN meter_id % 3 = 0 THEN 0.002 ELSE 0 END AS kw, floor(kva * 1000 + 1e-7) / 1000 AS kva,
+    round(kwh, 3) + CASE WHEN meter_id % 4 = 1 THEN 0.01 ELSE 0 END AS kwh FROM m WHERE NOT (meter_id = 5 AND year(period_ending) = 1997))
+SELECT meter_id, period_ending, m.kw - p.kw >= -1e-9 AND m.kw - p.kw < 0.001 AS kw_agrees, m.kva - p.kva >= -1e-9 AND m.kva - p.kva < 0.001 AS kva_agrees,
+  abs(m.kwh - p.kwh) <= 0.001 AS kwh_agrees, CASE WHEN has_p IS NULL THEN 'meter' END AS unmatched FROM m LEFT JOIN (SELECT *, true AS has_p FROM p) p USING (meter_id, period_ending)""")
 def reconcile_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metered maxima against printed ones, which are cut to three decimals and wrong for every third meter."""
-    peaks = meter.period_peaks(meter.readings(A.series(spark, sf_dir)))
-    measured = peaks.select("meter_id", "period_ending", *((F.col(f"max_{c}") / 10**6).alias(c) for c in ("kw", "kva")))
-    printed = peaks.select(
+    """Metered maxima and energy against printed ones: demand cut to three decimals and wrong for every third meter, energy rounded, some bills missing."""
+    figures = meter.period_figures(meter.fill_gaps(meter.readings(A.series(spark, sf_dir)))).where("kwh is not null or max_kw is not null or max_kva is not null")
+    measured = figures.select("meter_id", "period_ending", *((F.col(f"max_{c}") / meter.SCALE).alias(c) for c in ("kw", "kva")), "kwh")
+    off = lambda when, by: F.when(when, by).otherwise(0.0)
+    printed = figures.where(~((F.col("meter_id") == 5) & (F.year("period_ending") == 1997))).select(
         "meter_id", "period_ending",
-        (F.floor(F.col("max_kw") / 1000) / 1000 + F.when(F.col("meter_id") % 3 == 0, 0.002).otherwise(0.0)).alias("kw"),
+        (F.floor(F.col("max_kw") / 1000) / 1000 + off(F.col("meter_id") % 3 == 0, 0.002)).alias("kw"),
         (F.floor(F.col("max_kva") / 1000) / 1000).alias("kva"),
+        (F.round("kwh", 3) + off(F.col("meter_id") % 4 == 1, 0.01)).alias("kwh"),
     )
-    return reconcile.demand(measured, printed, ("kw", "kva"))
+    return reconcile.demand(measured, printed, ("kw", "kva"), energy=("kwh",))
 
 
 def _band_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +305,7 @@ def metered_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {K.BANDED_SQL}, g AS (SELECT meter_id, period_ending, coalesce(tou, 'OffHour') AS tou, CAST(sum(kwh) AS BIGINT) AS k FROM banded GROUP BY ALL),
 e AS (SELECT *, ((k * 10295 + 5000000) // 10000000 / 1000.0::DOUBLE + CASE WHEN meter_id % 3 = 0 AND tou = 'OnPeak' THEN 0.5::DOUBLE ELSE 0 END) / 1.0295::DOUBLE AS x FROM g)
 SELECT meter_id, period_ending, tou, round(k / 1000000.0::DOUBLE, 6) AS kwh, CASE WHEN tou <> 'OffHour' THEN round(x, 6) END AS expected,
-  CASE WHEN tou <> 'OffHour' THEN meter_id % 3 <> 0 OR tou <> 'OnPeak' END AS agrees, CASE WHEN tou = 'OffHour' THEN 'meter' END AS unmatched FROM e""")
+  CASE WHEN tou <> 'OffHour' THEN abs(k / 1000000.0::DOUBLE - x) < 0.001 END AS agrees, CASE WHEN tou = 'OffHour' THEN 'meter' END AS unmatched FROM e""")
 def reconcile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metered energy by band against bills printed after the loss factor, which overstate on-peak for every third meter."""
     sums = _band_sums(spark, sf_dir)
@@ -276,17 +319,41 @@ def reconcile_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("meter_id", "period_ending", "tou", *six("kwh", "expected"), "agrees", "unmatched")
 
 
-@query(f"""WITH {K.flagged_sql()} SELECT path, "row", array_to_string(list_filter([CASE WHEN "row" % 50 = 0 THEN 'adj_start' END, CASE WHEN "row" % 75 = 0 THEN 'avg_kw' END], lambda x: x IS NOT NULL), ',') AS columns
-FROM f WHERE "row" % 50 = 0 OR "row" % 75 = 0""")
+_TABLE_SQL = f"""{K.flagged_sql()},
+t AS (SELECT site_id, path, "row", id AS "Charge_Session_ID", dur_s AS "Conn_Duration", charge_s AS "Active_Charge_Time", round(energy, 6) AS "Energy_Use",
+    {K.sql_local("make_timestamp(adj_start * 1000000)")} AS adj_conn_start, {K.sql_local("make_timestamp(adj_end * 1000000)")} AS adj_conn_end, start_utc AS conn_start_utc, end_utc AS conn_end_utc,
+    make_timestamp(adj_start * 1000000) AS adj_conn_start_utc, make_timestamp(adj_end * 1000000) AS adj_conn_end_utc,
+    CASE WHEN adj_end >= adj_start THEN adj_end - adj_start END AS adj_conn_duration, avg_kw, array_to_string(anomalies, ',') AS anomalies FROM f)"""
+
+
+@query(f"WITH {_TABLE_SQL} SELECT * FROM t")
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as the stored table has them, less the columns that the tables here do not fill."""
+    rows = session_columns(K._flagged(spark, sf_dir))
+    stamps = K.ntz("adj_conn_start", "adj_conn_end", "conn_start_utc", "conn_end_utc", "adj_conn_start_utc", "adj_conn_end_utc")
+    shown = rows.select("site_id", "path", "row", "Charge_Session_ID", "Conn_Duration", "Active_Charge_Time", F.round("Energy_Use", 6).alias("Energy_Use"), *stamps, *DERIVED[6:])
+    return shown
+
+
+@query(f"""WITH {_TABLE_SQL},
+o AS (SELECT *, adj_conn_start_utc + to_seconds(CASE WHEN "row" % 50 = 0 THEN 60 ELSE 0 END) AS s_start, CASE WHEN "row" % 70 <> 0 THEN adj_conn_end_utc END AS s_end,
+    CASE WHEN "row" % 7 <> 0 THEN adj_conn_duration + CASE WHEN "row" % 60 = 0 THEN 1 ELSE 0 END END AS s_dur, avg_kw + CASE WHEN "row" % 75 = 0 THEN 0.5 ELSE 0 END AS s_kw FROM t),
+c AS (SELECT path, "row", list_filter([CASE WHEN s_start IS DISTINCT FROM adj_conn_start_utc THEN 'adj_conn_start_utc' END, CASE WHEN s_end IS DISTINCT FROM adj_conn_end_utc THEN 'adj_conn_end_utc' END,
+    CASE WHEN abs(s_dur - adj_conn_duration) > 1e-6 THEN 'adj_conn_duration' END, CASE WHEN abs(s_kw - avg_kw) > 1e-6 THEN 'avg_kw' END], lambda x: x IS NOT NULL) AS found FROM o)
+SELECT path, "row", array_to_string(found, ',') AS columns FROM c WHERE len(found) > 0""")
 def stored_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored derived columns against recomputed ones; every fiftieth start and every seventy-fifth power were altered."""
-    fresh = K._flagged(spark, sf_dir)
-    stored = fresh.select(
-        "path", "row", "adj_end", (F.col("adj_start") + F.when(F.col("row") % 50 == 0, 60).otherwise(0)).alias("adj_start"),
-        (F.col("avg_kw") + F.when(F.col("row") % 75 == 0, 0.5).otherwise(0.0)).alias("avg_kw"),
-    )
-    found = reconcile.stored_discrepancies(stored, fresh, ["path", "row"], ["adj_start", "adj_end", "avg_kw"])
-    return found.withColumn("columns", F.array_join("columns", ","))
+    """A stored table with some derived cells altered or emptied, read again: which cells differ from the recomputed ones."""
+    n = F.col("row")
+    stored = session_columns(K._flagged(spark, sf_dir)).withColumns(
+        {
+            "adj_conn_start_utc": F.timestamp_seconds(F.unix_seconds("adj_conn_start_utc") + F.when(n % 50 == 0, 60).otherwise(0)),
+            "adj_conn_end_utc": F.when(n % 70 != 0, F.col("adj_conn_end_utc")),
+            "adj_conn_duration": F.when(n % 7 != 0, F.col("adj_conn_duration") + F.when(n % 60 == 0, 1).otherwise(0)),
+            "avg_kw": F.col("avg_kw") + F.when(n % 75 == 0, 0.5).otherwise(0.0),
+        }
+    )
+    found = reread(stored).where("workbook_discrepancy")
+    return found.select("path", "row", F.array_join("discrepancies", ",").alias("columns"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,14 +383,39 @@ def excluded_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.excluded_sessions(_asked(spark, sf_dir), _merged(spark, sf_dir)).select("site_id", "path", "row", "id", "n_intervals")
 
 
-@query(f"""WITH {K.DEDUP_SQL}, iv AS ({K.ASKED_SQL}),
+_MET_SQL = f"""iv AS ({K.ASKED_SQL}),
 m AS (SELECT d.site_id, interval_start, path, "row", id, avg_kw, list_concat(anomalies, CASE WHEN duplicate_id THEN ['DuplicateId'] ELSE [] END) AS a
   FROM d JOIN iv ON iv.site_id = d.site_id AND adj_end > adj_start AND adj_start < interval_start + 3600 AND adj_end > interval_start),
-un AS (SELECT *, unnest(a) AS anomaly FROM m)
-SELECT site_id, interval_start, path, "row", id, CASE WHEN anomaly = 'ExcessiveAvgKw' THEN printf('ExcessiveAvgKw(avg_kw %.3f)', round(avg_kw, 3)) ELSE anomaly END AS cell FROM un""")
+un AS (SELECT *, unnest(a) AS anomaly, CAST(unnest(range(len(a))) AS BIGINT) AS pos FROM m)"""
+
+
+@query(f"""WITH {K.DEDUP_SQL}, {_MET_SQL}
+SELECT site_id, interval_start, path, "row", id, pos, CASE WHEN anomaly = 'ExcessiveAvgKw' THEN printf('ExcessiveAvgKw(%.3f)', avg_kw) ELSE anomaly END AS cell FROM un""")
 def interval_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anomalies that touch each 16:00 hour, as printed."""
-    return reports.interval_anomalies(_asked(spark, sf_dir), _merged(spark, sf_dir)).select("site_id", "interval_start", "path", "row", "id", "cell")
+    """Anomalies that touch each 16:00 hour, as printed, by file, row and id; those of a session in their fixed order."""
+    found = reports.interval_anomalies(_asked(spark, sf_dir), _merged(spark, sf_dir)).orderBy("site_id", "interval_start", "path", "row", "id", "pos")
+    return found.select("site_id", "interval_start", "path", "row", "id", F.col("pos").cast("long").alias("pos"), "cell")
+
+
+@query(f"""WITH {K.DEDUP_SQL}, {_MET_SQL}, k AS (SELECT site_id, interval_start, anomaly, min((path, "row", id, pos)) AS spot FROM un GROUP BY ALL)
+SELECT site_id, interval_start, row_number() OVER (PARTITION BY site_id, interval_start ORDER BY spot) AS nth, anomaly FROM k""")
+def anomaly_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of anomaly in each 16:00 hour, in the order in which they first come up."""
+    return reports.anomaly_kinds(reports.interval_anomalies(_asked(spark, sf_dir), _merged(spark, sf_dir)))
+
+
+@query(f"""WITH {K.SEGMENTS_SQL} SELECT site_id, make_timestamp(interval_start * 1000000) AS interval_start, max(members) = 0 AS deserted FROM sa GROUP BY ALL""")
+def deserted_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which 16:00 hours no session reached."""
+    stamp = F.timestamp_seconds("interval_start").cast("timestamp_ntz").alias("interval_start")
+    return reports.deserted(K._segments(spark, sf_dir)).select("site_id", stamp, "deserted")
+
+
+@query(f"""WITH {K.DEDUP_SQL}, p AS (SELECT site_id, path, count(*) AS n_sessions FROM d GROUP BY ALL)
+SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY path) AS nth, path, n_sessions FROM p""")
+def session_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that each site's merged sessions are from, in order."""
+    return S.sources(_merged(spark, sf_dir))
 
 
 @query(f"""WITH {K.PARTS_SQL} SELECT site_id, period_ending, coalesce(tou, 'Total') AS tou, round(sum(kwh), 6) AS kwh FROM parts GROUP BY GROUPING SETS ((site_id, period_ending, tou), (site_id, period_ending))""")
@@ -341,7 +433,7 @@ def _sql_lines(table: str, names: tuple[str, ...], less: tuple[str, ...]) -> str
     )
 
 
-@query(f"WITH {K.PARTS_SQL}, {ENERGY_COST_SQL} {_sql_lines('ec', _EC, ('rebate',))}")
+@query(f"WITH {K.PARTS_SQL}, {A.GATE_SQL}, {ENERGY_COST_SQL} {_sql_lines('ec', _EC, ('rebate',))}")
 def energy_cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The energy cost as numbered lines; the rebate is a credit."""
     return reports.lines(energy_cost(spark, sf_dir), C.KEYS, list(_EC), less=("rebate",))
@@ -397,5 +489,6 @@ def surplus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {K.DEDUP_SQL} SELECT site_id, bucket, path, "row", id, start_utc, energy, avg_kw FROM d""")
 def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged sessions with bucket, start, energy and mean power."""
-    return _merged(spark, sf_dir).select("site_id", "bucket", "path", "row", "id", *K.ntz("start_utc"), "energy", "avg_kw")
+    """Merged sessions with bucket, start, energy and mean power, by site, bucket, file and row."""
+    rows = _merged(spark, sf_dir).select("site_id", "bucket", "path", "row", "id", *K.ntz("start_utc"), "energy", "avg_kw")
+    return rows.orderBy("site_id", F.expr("array_position(array('session', 'spike', 'excluded'), bucket)"), "path", "row")

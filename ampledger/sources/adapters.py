@@ -6,11 +6,12 @@ events become charging sessions, lineitem the meter's three series, orders the b
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampledger.functions.timeexpr import period_ending
+from ampledger.functions.timeexpr import period_end, period_ending, period_start
 
 SITES = 10
 
@@ -22,17 +23,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFrame:
     """``site_id, path, row, id, start_local, end_local, dur_s, charge_s, energy``; one report row each.
 
-    ``repeats``: every twentieth event is reported again by a third file.
+    Every fiftieth start carries seconds. ``repeats``: every twentieth event is reported again by a third file.
     """
     e = read(spark, sf_dir, "events")
     k, n, err = F.get_json_object("props", "$.k").cast("long"), F.col("event_id"), F.col("event_type") == "error"
     dur = k * 120 + n % 60
-    start = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    ts = F.col("ts").cast("timestamp")
+    start = F.when(n % 50 == 7, F.date_trunc("second", ts)).otherwise(F.date_trunc("minute", ts))
     stretched = F.when(err & (n % 3 == 0), 120).otherwise(0)
     end = F.timestamp_seconds(F.unix_seconds(F.date_trunc("minute", F.timestamp_seconds(F.unix_seconds(start) + dur))) + stretched)
-    out = e.select(
+    own = F.concat(F.lit("e"), (n % 2).cast("string"))
+    paths = F.when(n % 20 == 0, F.array(own, F.lit("e9"))).otherwise(F.array(own)) if repeats else F.array(own)
+    return e.select(
         (F.col("user_id") % SITES).alias("site_id"),
-        F.concat(F.lit("e"), (n % 2).cast("string")).alias("path"),
+        F.explode(paths).alias("path"),
         (n + 2).alias("row"),
         F.concat(F.lit("S"), (n - F.when(err, n % 2).otherwise(0)).cast("string")).alias("id"),
         start.cast("timestamp_ntz").alias("start_local"),
@@ -41,14 +45,13 @@ def sessions(spark: SparkSession, sf_dir: str, repeats: bool = False) -> DataFra
         F.when(k % 10 == 0, F.lit(0).cast("long")).otherwise(dur).alias("charge_s"),
         (F.col("value") / 10).alias("energy"),
     )
-    return out.unionByName(out.where((F.col("row") - 2) % 20 == 0).withColumn("path", F.lit("e9"))) if repeats else out
 
 
 def sessions_sql(repeats: bool = False) -> str:
     """CTE ``s``."""
     again = " UNION ALL SELECT site_id, 'e9' AS path, \"row\", id, start_local, end_local, dur_s, charge_s, energy FROM s0 WHERE (\"row\" - 2) % 20 = 0"
     return f"""
-src AS (SELECT event_id AS n, event_type = 'error' AS err, user_id, value, date_trunc('minute', ts) AS start_local,
+src AS (SELECT event_id AS n, event_type = 'error' AS err, user_id, value, CASE WHEN event_id % 50 = 7 THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END AS start_local,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 s0 AS (SELECT user_id % {SITES} AS site_id, 'e' || CAST(n % 2 AS VARCHAR) AS path, n + 2 AS "row",
     'S' || CAST(n - CASE WHEN err THEN n % 2 ELSE 0 END AS VARCHAR) AS id, start_local,
@@ -112,18 +115,67 @@ def bill_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def powered_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series as three kinds of meter state them: thousandths, hundredths, or whole units, by ``power_of_ten``."""
+    kind = F.col("meter_id") % 3
+    power = F.when(kind == 0, -3).when(kind == 1, -2).otherwise(0)
+    value = F.when(kind == 0, F.col("value")).when(kind == 1, F.expr("value div 10")).otherwise(F.expr("value div 1000"))
+    return series(spark, sf_dir).select("meter_id", "uom", power.alias("power_of_ten"), "ts", value.alias("value"), "doc_order")
+
+
+POWERED_SQL = f"""{SERIES_SQL},
+powered AS (SELECT meter_id, uom, ts, doc_order, CASE meter_id % 3 WHEN 0 THEN -3 WHEN 1 THEN -2 ELSE 0 END AS power_of_ten,
+    CASE meter_id % 3 WHEN 0 THEN value WHEN 1 THEN value // 10 ELSE value // 1000 END AS value FROM series)"""
+
+
 def site_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly readings of each site's meter, from the hour's events: ``meter_id, ts, kwh, kw, kva``."""
-    e = read(spark, sf_dir, "events")
+    """Hourly readings of each site's meter: ``meter_id, ts, kwh, kw, kva, repeated``.
+
+    A small base load in every hour of the periods that the site's events touch, and the hour's
+    events. Sites 4 and 9 lack the base load, and so most of their hours; site 7 has no meter.
+    """
+    e = read(spark, sf_dir, "events").where(F.col("user_id") % SITES != 7)
+    site, hour = (F.col("user_id") % SITES).alias("meter_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")
     milli, k = (F.col("value") * 1000).cast("long"), F.get_json_object("props", "$.k").cast("long")
-    return e.groupBy((F.col("user_id") % SITES).alias("meter_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts")).agg(
-        F.sum(milli).alias("kwh"), F.sum(milli).alias("kw"), F.sum(milli + k * 1000).alias("kva")
-    )
+    busy = e.select(site, hour, milli.alias("kw"), (milli + k * 1000).alias("kva"))
+    spans = e.groupBy(site).agg(F.min(period_ending("ts")).alias("a"), F.max(period_ending("ts")).alias("z")).where("meter_id % 5 <> 4")
+    step = F.expr("interval 1 hour")
+    hours = F.explode(F.sequence(period_start("a"), period_end("z") - step, step)).alias("ts")
+    base = spans.select("meter_id", hours).withColumn("kw", F.lit(1000).cast("long")).withColumn("kva", F.lit(1100).cast("long"))
+    sums = busy.unionByName(base).groupBy("meter_id", "ts").agg(F.sum("kw").alias("kw"), F.sum("kva").alias("kva"))
+    return sums.select("meter_id", "ts", F.col("kw").alias("kwh"), "kw", "kva", F.lit(False).alias("repeated"))
+
+
+def hours_sql(ending: Callable[[str], str]) -> str:
+    """CTE ``site_hours``; ``ending`` gives the period of a timestamp."""
+    return f"""
+sh0 AS (SELECT user_id % {SITES} AS meter_id, ts, CAST(trunc(value * 1000) AS BIGINT) AS milli, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE user_id % {SITES} <> 7),
+sh1 AS (SELECT meter_id, min({ending("ts")}) AS a, max({ending("ts")}) AS z FROM sh0 WHERE meter_id % 5 <> 4 GROUP BY meter_id),
+sh2 AS (SELECT meter_id, date_trunc('hour', ts) AS ts, milli AS kw, milli + 1000 * k AS kva FROM sh0
+  UNION ALL SELECT meter_id, unnest(generate_series(CAST(a - INTERVAL 1 MONTH AS TIMESTAMP) + INTERVAL 29 HOUR, CAST(z AS TIMESTAMP) + INTERVAL 28 HOUR, INTERVAL 1 HOUR)), 1000, 1100 FROM sh1),
+site_hours AS (SELECT meter_id, ts, CAST(sum(kw) AS BIGINT) AS kw, CAST(sum(kva) AS BIGINT) AS kva FROM sh2 GROUP BY ALL)"""
 
 
-HOURS_SQL = f"""
-site_hours AS (SELECT user_id % {SITES} AS meter_id, date_trunc('hour', ts) AS ts, CAST(sum(CAST(trunc(value * 1000) AS BIGINT)) AS BIGINT) AS kw,
-    CAST(sum(CAST(trunc(value * 1000) AS BIGINT) + 1000 * CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS kva FROM events GROUP BY ALL)"""
+def site_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``site_id, name`` of each site's session reports: two periods; site 1 lacks three days between them, and a name of site 3 says no dates."""
+    sites = read(spark, sf_dir, "events").select((F.col("user_id") % SITES).alias("site_id")).distinct()
+    early, late, short = (f"/in/Session_Report_{d}.csv" for d in ("December_24_2023-January_23_2024", "January_24_2024-February_23_2024-v2", "January_27_2024-February_23_2024"))
+    names = F.when(F.col("site_id") == 1, F.array(F.lit(early), F.lit(short))).when(F.col("site_id") == 3, F.array(F.lit(early), F.lit(late), F.lit("/in/export.csv")))
+    return sites.select("site_id", F.explode(names.otherwise(F.array(F.lit(early), F.lit(late)))).alias("name"))
+
+
+#: CTE ``gate``: coverage of both periods by the dates of the names above.
+GATE_SQL = f"""
+gs AS (SELECT DISTINCT user_id % {SITES} AS site_id FROM events),
+gr AS (SELECT site_id, DATE '2023-12-24' AS a, DATE '2024-01-23' AS z FROM gs
+  UNION ALL SELECT site_id, CASE WHEN site_id = 1 THEN DATE '2024-01-27' ELSE DATE '2024-01-24' END, DATE '2024-02-23' FROM gs
+  UNION ALL SELECT site_id, NULL, NULL FROM gs WHERE site_id = 3),
+gd AS (SELECT DISTINCT site_id, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM gr WHERE a IS NOT NULL),
+gp AS (SELECT site_id, p AS period_ending FROM gs, (VALUES (DATE '2024-01-23'), (DATE '2024-02-23')) t(p)),
+gc AS (SELECT site_id, period_ending, count(d) AS n FROM gp LEFT JOIN gd USING (site_id) WHERE d IS NULL OR (d > period_ending - INTERVAL 1 MONTH AND d <= period_ending) GROUP BY ALL),
+gate AS (SELECT gp.site_id, gp.period_ending, CASE WHEN EXISTS (SELECT 1 FROM gr WHERE gr.site_id = gp.site_id AND a IS NULL) THEN 'UndatedReport'
+    WHEN coalesce(n, 0) <> date_diff('day', CAST(gp.period_ending - INTERVAL 1 MONTH AS DATE), gp.period_ending) THEN 'ReportsDoNotCover' END AS refused
+  FROM gp LEFT JOIN gc ON gc.site_id = gp.site_id AND gc.period_ending = gp.period_ending)"""
 
 #: Column of the site's bill, as arithmetic that both engines read alike on whole numbers: thousandths of
 #: energy by kind of event (n_on, n_mid, n_off), their sum n, and the period's days.
@@ -146,12 +198,16 @@ def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bill of each site and period, from the sums of its events.
 
     Sites divisible by 4 are billed a cent and a half too little; odd sites' energy is not loss-adjusted.
+    Of those for February, site 5's has no mid-peak energy, site 6's is missing, and site 2's ends a day early.
     """
     e = read(spark, sf_dir, "events").withColumn("m", (F.col("value") * 1000).cast("long"))
     kind = lambda t: F.sum(F.when(F.col("event_type") == t, F.col("m")).otherwise(0))
     sums = e.groupBy((F.col("user_id") % SITES).alias("site_id"), period_ending("ts").alias("period_ending")).agg(
         kind("purchase").alias("n_on"), kind("view").alias("n_mid"), kind("click").alias("n_off"), F.sum("m").alias("n")
     )
+    site = lambda n: (F.col("site_id") == n) & (F.month("period_ending") == 2)
+    sums = sums.where(~site(6)).withColumn("n_mid", F.when(site(5), 0).otherwise(F.col("n_mid")))
+    sums = sums.withColumn("period_ending", F.when(site(2), F.date_sub("period_ending", 1)).otherwise(F.col("period_ending")))
     begins = F.add_months("period_ending", -1)
     rows = sums.withColumn("days", F.datediff("period_ending", begins).cast("long"))
     rows = rows.select("*", *(F.expr(_DECIMAL.sub(r"\1D", x)).cast("double").alias(c) for c, x in BILL_FIGURES.items()))
@@ -178,7 +234,9 @@ def bills_sql(ending: str) -> str:
     return f"""
 b0 AS (SELECT user_id % {SITES} AS site_id, {ending} AS period_ending, event_type, CAST(trunc(value * 1000) AS BIGINT) AS m FROM events),
 b1 AS (SELECT site_id, period_ending, {kind("purchase")} AS n_on, {kind("view")} AS n_mid, {kind("click")} AS n_off, CAST(sum(m) AS BIGINT) AS n FROM b0 GROUP BY ALL),
-b2 AS (SELECT *, date_diff('day', CAST(period_ending - INTERVAL 1 MONTH AS DATE), period_ending) AS days FROM b1),
+bz AS (SELECT site_id, CAST(CASE WHEN site_id = 2 AND month(period_ending) = 2 THEN period_ending - 1 ELSE period_ending END AS DATE) AS period_ending, n_on,
+    CASE WHEN site_id = 5 AND month(period_ending) = 2 THEN 0 ELSE n_mid END AS n_mid, n_off, n FROM b1 WHERE NOT (site_id = 6 AND month(period_ending) = 2)),
+b2 AS (SELECT *, date_diff('day', CAST(period_ending - INTERVAL 1 MONTH AS DATE), period_ending) AS days FROM bz),
 b3 AS (SELECT *, {figures} FROM b2),
 b4 AS (SELECT *, {parts} - CASE WHEN site_id % 4 = 0 THEN 0.015::DOUBLE ELSE 0 END AS total_electricity_charges,
     CASE WHEN site_id % 2 = 1 THEN adjusted_kwh_used ELSE adjusted_kwh_used / loss_factor_adjustment END AS kwh_used FROM b3),
@@ -250,8 +308,9 @@ def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("row")
     clock = lambda c: F.format_string("%d:%02d:%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) / 60) % 60, F.col(c) % 60)
     shown = lambda c: F.date_format(c, "yyyy-MM-dd H:mm")
+    exact = F.when(F.second("start_local") > 0, F.date_format("start_local", "yyyy-MM-dd H:mm:ss")).otherwise(shown("start_local"))
     return s.select(
-        "site_id", "path", "row", "id", shown("start_local").alias("conn_start"),
+        "site_id", "path", "row", "id", exact.alias("conn_start"),
         F.concat(shown("end_local"), F.when(n % 2 == 0, ":00").otherwise("")).alias("conn_end"),
         F.when(n % 97 == 0, "1:75:00").otherwise(clock("dur_s")).alias("conn_duration"), clock("charge_s").alias("active_time"),
         F.when(n % 101 == 0, "n/a").otherwise(F.col("energy").cast("string")).alias("energy_use"),

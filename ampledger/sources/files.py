@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampledger.functions.timeexpr import col
+from ampledger.config import DEFAULT, SiteConfig
+from ampledger.functions.timeexpr import col, local
+from ampledger.operators.sessions import adjusted, avg_kw
 
 #: Report columns that must be there, by trimmed header name, and what they are called here.
 REQUIRED = {
@@ -75,19 +77,76 @@ def session_reports(spark: SparkSession, path: str) -> DataFrame:
     return type_sessions(cells.withColumn("row", nth.cast("long")).drop("place"))
 
 
+#: Columns of the session table as reported, with what they are called here; then those derived from them.
+REPORTED = {
+    "UR_ID": None, "Location_Address": None, "Location_City": None, "Location_Postal_Code": None, "Station_ID": None,
+    "Station_Network_Provider": None, "Station_Make": None, "Station_Model": None, "Charge_Session_ID": "id", "User_ID": None,
+    "Conn_DateTime_Start": "start_local", "Conn_DateTime_End": "end_local", "Conn_Duration": "dur_s", "Charge_Duration": None,
+    "Active_Charge_Time": "charge_s", "Charging_Level": None, "Energy_Use": "energy", "Total_Fee": None, "Vehicle_Make": None,
+    "Vehicle_Model": None, "Vehicle_Year": None,
+}
+DERIVED = ("adj_conn_start", "adj_conn_end", "conn_start_utc", "conn_end_utc", "adj_conn_start_utc", "adj_conn_end_utc", "adj_conn_duration", "avg_kw", "anomalies")
+NEEDED = ("Charge_Session_ID", "conn_start_utc", "conn_end_utc", "adj_conn_end_utc", "Conn_Duration", "Active_Charge_Time", "Energy_Use", "anomalies")
+
+
+def session_table(flagged: DataFrame) -> DataFrame:
+    """``site_id, path, row``, then the 21 columns of a report and the 9 derived ones; columns that a report lacked are null.
+
+    ``adj_conn_duration`` is in seconds, and null for a span that is inverted; anomalies are comma-joined tokens.
+    """
+    stamp = lambda c: F.timestamp_seconds(c)
+    reported = [F.col(own or n).alias(n) if (own or n) in flagged.columns else F.lit(None).cast("string").alias(n) for n, own in REPORTED.items()]
+    start, end = stamp("adj_start"), stamp("adj_end")
+    derived = [
+        local(start), local(end), F.col("start_utc").cast("timestamp"), F.col("end_utc").cast("timestamp"), start, end,
+        F.when(F.col("adj_end") >= F.col("adj_start"), F.col("adj_end") - F.col("adj_start")), F.col("avg_kw"), F.array_join("anomalies", ","),
+    ]
+    return flagged.select("site_id", "path", "row", *reported, *(c.alias(n) for n, c in zip(DERIVED, derived, strict=True)))
+
+
 def write_sessions(flagged: DataFrame, path: str) -> None:
-    """The session table with its anomalies as comma-joined tokens, partitioned by site and month."""
-    rows = flagged.withColumn("anomalies", F.array_join("anomalies", ",")).withColumn("month", F.date_format("start_utc", "yyyy-MM"))
-    rows.write.partitionBy("site_id", "month").mode("errorifexists").parquet(path)
+    """The session table, partitioned by site and month."""
+    month = F.date_format("conn_start_utc", "yyyy-MM")
+    session_table(flagged).withColumn("month", month).write.partitionBy("site_id", "month").mode("errorifexists").parquet(path)
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Reads that table back; rows without an id are left out, an unknown token fails the read."""
-    rows = spark.read.parquet(path).where("id is not null and trim(id) <> ''")
+def reread(stored: DataFrame, cfg: SiteConfig = DEFAULT, tolerance: float = 1e-6) -> DataFrame:
+    """A session table as sessions again, every derived figure worked out anew; what was stored never counts.
+
+    Adds ``discrepancies``, the stored columns that differ, and ``workbook_discrepancy``. Stored
+    instants must be there; a missing duration or mean power is none, as tables written by a
+    spreadsheet may not hold them. Fails where one of the NEEDED columns is missing or a token
+    of ``anomalies`` is unknown; rows without an id are left out.
+    """
+    missing = [c for c in NEEDED if c not in stored.columns]
+    if missing:
+        raise ValueError(f"the session table lacks {', '.join(missing)}")
+    rows = stored.where("Charge_Session_ID is not null and trim(Charge_Session_ID) <> ''")
     tokens = F.when(F.col("anomalies") == "", F.array().cast("array<string>")).otherwise(F.split("anomalies", ","))
     unknown = F.array_except(tokens, F.array(*(F.lit(t) for t in TOKENS)))
     checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown anomaly "), F.element_at(unknown, 1)))).otherwise(tokens)
-    return rows.withColumn("anomalies", checked)
+    own = {n: F.col(n).alias(c) for n, c in REPORTED.items() if c and n in stored.columns}
+    kept = [c for c in stored.columns if c not in own and c not in DERIVED]
+    held = [F.col(c).alias(f"_{c}") for c in DERIVED if c in stored.columns and c != "anomalies"]
+    fresh = adjusted(
+        rows.select(*kept, *own.values(), F.col("conn_start_utc").alias("start_utc"), F.col("conn_end_utc").alias("end_utc"), checked.alias("anomalies"), *held)
+    )
+    zero, fits = F.col("charge_s") == 0, ~F.array_contains("anomalies", "InconsistentDuration")
+    fresh = fresh.withColumns({"avg_kw": avg_kw(cfg), "bucket": F.when(~fits, "excluded").when(zero, "spike").otherwise("session")})
+    instant_of = {"adj_conn_start_utc": "adj_start", "adj_conn_end_utc": "adj_end"}
+    differs = [F.when(~F.unix_seconds(F.col(f"_{n}").cast("timestamp")).eqNullSafe(F.col(c)), n) for n, c in instant_of.items() if n in stored.columns]
+    span = F.when(F.col("adj_end") >= F.col("adj_start"), F.col("adj_end") - F.col("adj_start"))
+    for n, c in (("adj_conn_duration", span), ("avg_kw", F.col("avg_kw"))):
+        if n in stored.columns:
+            differs.append(F.when(F.abs(F.col(f"_{n}").cast("double") - c) > tolerance, n))
+    found = F.filter(F.array(*differs, F.lit(None).cast("string")), lambda x: x.isNotNull())
+    out = fresh.withColumn("discrepancies", found).withColumn("workbook_discrepancy", F.size("discrepancies") > 0)
+    return out.drop(*(f"_{c}" for c in DERIVED))
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Reads a written session table back, by ``reread``."""
+    return reread(spark.read.parquet(path))
 
 
 _LINK = "array<struct<_rel:string,_href:string>>"
@@ -133,3 +192,13 @@ def feed_series(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     hourly = odd.select("path", F.col("self").alias("href"), F.lit("NotHourly").alias("error")).distinct()
     twice = types.groupBy("path", "uom").agg(F.count("*").alias("n"), F.max("type").alias("href")).where("n > 1")
     return series, dangling.unionByName(hourly).unionByName(twice.select("path", "href", F.lit("RepeatedUnit").alias("error")))
+
+
+def meter_series(series: DataFrame, meters: DataFrame | None = None) -> DataFrame:
+    """``meter_id, uom, power_of_ten, ts, value, doc_order`` of ``feed_series``, as ``meter.readings`` takes it.
+
+    ``meters(path, meter_id)`` names each file's meter; without it a file is a meter, by its
+    path. Files that ``meters`` does not list are left out.
+    """
+    named = series.withColumn("meter_id", F.col("path")) if meters is None else series.join(meters, "path")
+    return named.select("meter_id", "uom", "power_of_ten", "ts", "value", "doc_order")

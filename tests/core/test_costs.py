@@ -1,11 +1,14 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ampledger.operators import bills as B
 from ampledger.operators import costs as C
 from ampledger.operators import coverage as V
+from ampledger.operators import meter
+from ampledger.operators import sessions as S
 from ampledger.operators.requests import checked_intervals
 from ampledger.sources import files
 
@@ -53,12 +56,64 @@ def test_bill_lines(spark):
 
 def test_report_names_and_coverage(spark):
     names = ["Session_Report_june_1_2026-June_30_2026-mock.csv", "Session_Report_May_1_2026-May_31_2026.csv", "Session_Report_June_31_2026-July_1_2026.csv", "x.csv"]
-    first, last = V.name_dates("name")
-    got = spark.createDataFrame([("a", n) for n in names], "site_id string, name string").select("site_id", first.alias("first_date"), last.alias("last_date"))
+    named = spark.createDataFrame([("a", n) for n in names], "site_id string, name string")
+    got = V.report_dates(named)
     assert got.where("first_date is null").count() == 2
     periods = spark.createDataFrame([("a", D("2026-06-23")), ("a", D("2026-07-23")), ("b", D("2026-06-23"))], "site_id string, period_ending date")
     out = V.covered_periods(V.islands(got), periods).collect()
     assert {(r.site_id, str(r.period_ending)): r.covered for r in out} == {("a", "2026-06-23"): True, ("a", "2026-07-23"): False, ("b", "2026-06-23"): False}
+    errors = V.coverage_errors(named.where("name not in ('x.csv', 'Session_Report_June_31_2026-July_1_2026.csv')"), periods).collect()
+    assert {(r.site_id, str(r.period_ending)): r.coverage_error for r in errors} == {
+        ("a", "2026-06-23"): None, ("a", "2026-07-23"): "ReportsDoNotCover", ("b", "2026-06-23"): "ReportsDoNotCover",
+    }
+    assert {r.coverage_error for r in V.coverage_errors(named, periods.where("site_id = 'a'")).collect()} == {"UndatedReport"}
+    rows = periods.withColumn("kwh", F.lit(1.0))
+    gated = V.gated(rows, V.coverage_errors(named.where("name like '%May%' or name like '%june%'"), periods.limit(1)), ["kwh"]).collect()
+    assert {(r.site_id, str(r.period_ending)): (r.error, r.kwh) for r in gated} == {
+        ("a", "2026-06-23"): (None, 1.0), ("a", "2026-07-23"): ("ReportsDoNotCover", None), ("b", "2026-06-23"): ("ReportsDoNotCover", None),
+    }
+
+
+def bill(site, ending, **figures):
+    base = {f"{b}_peak_{k}": 10.0 for b in ("on", "mid", "off") for k in ("kwh", "cost")} | {
+        "loss_factor_adjustment": 1.0, "total_electricity_charges": 100.0, "hst": 13.0, "ontario_electricity_rebate": 10.0, "number_of_days": 31,
+        "distribution_charges": 30.0, "transmission_connection_charge": 20.0, "transmission_network_charge": 10.0,
+        "adj_kva": 10.0, "adj_kw": 10.0, "adj_peak_7_7_kw": 10.0,
+    }
+    return {"site_id": site, "period_ending": D(ending)} | base | figures
+
+
+def test_costs_name_what_refuses_a_period(spark):
+    bills = [bill(1, "2026-06-23"), bill(2, "2026-06-22"), bill(3, "2026-06-23", mid_peak_kwh=0.0), bill(4, "2026-06-23"), bill(6, "2026-06-23", adj_kw=0.0), bill(7, "2026-06-23")]
+    bills = spark.createDataFrame([tuple(b.values()) for b in bills], list(bills[0]))
+    used = spark.createDataFrame(
+        [(s, D("2026-06-23"), 1.0, 2.0, 3.0, e) for s, e in ((1, None), (3, None), (5, None), (7, "ReportsDoNotCover"))],
+        "site_id long, period_ending date, on_kwh double, mid_kwh double, off_kwh double, error string",
+    )
+    got = {r.site_id: (r.error, r.net) for r in C.energy_cost(used, bills).collect()}
+    assert got[1][0] is None and abs(got[1][1] - 6.0 * 1.03) < 1e-9
+    assert {s: e for s, (e, _) in got.items() if s != 1} == {
+        2: "NotABillingPeriodEnding", 3: "ZeroDenominator(mid_peak_kwh)", 4: "NoEnergy", 5: "NoBill", 6: "NoEnergy", 7: "ReportsDoNotCover",
+    }
+    at = dt.datetime(2026, 6, 15, 20)
+    figures = [(s, D("2026-06-23"), whole, at, at, nop) for s, whole, nop in ((1, True, at), (3, False, at), (4, True, None), (5, True, at), (6, True, at))]
+    figures = spark.createDataFrame(figures, "meter_id long, period_ending date, complete boolean, max_kva_at timestamp, max_kw_at timestamp, max_kw_nop_at timestamp")
+    none = spark.createDataFrame([], "site_id long, adj_start long, adj_end long, avg_kw double")
+    out = {r.site_id: (r.error, r.charges) for r in C.delivery_cost(C.peak_power(figures, none), bills).collect()}
+    assert out[1][0] is None and out[1][1] > 0 and all(c is None for s, (_, c) in out.items() if s != 1)
+    assert {s: e for s, (e, _) in out.items() if s != 1} == {
+        2: "NotABillingPeriodEnding", 3: "PeriodNotFullyCovered", 4: "NoPeak(kw77)", 5: "NoBill", 6: "ZeroDenominator(adj_kw)", 7: "NotMetered",
+    }
+
+
+def test_surplus_keeps_periods_that_one_part_lacks(spark):
+    made = lambda rows, c: spark.createDataFrame([(s, D("2026-06-23"), x, e) for s, x, e in rows], f"site_id long, period_ending date, {c} double, error string")
+    got = C.surplus(made([(1, 10.0, None), (2, None, "RatesNotYetInEffect")], "recovery"), made([(1, 3.0, None), (3, 1.0, None)], "net"), made([(1, 9.0, None)], "net"))
+    out = {r.site_id: (r.surplus, r.verdict, r.recovery_error, r.delivery_error, r.energy_error) for r in got.collect()}
+    assert out == {
+        1: (-2.0, "short", None, None, None), 2: (None, "unknown", "RatesNotYetInEffect", "NoDelivery", "NoEnergyCost"),
+        3: (None, "unknown", "NoRecovery", None, "NoEnergyCost"),
+    }
 
 
 def test_rates_split_the_period_and_keep_its_energy(spark):
@@ -68,7 +123,7 @@ def test_rates_split_the_period_and_keep_its_energy(spark):
     daily = spark.createDataFrame(days, "site_id long, period_ending date, date date, on_kwh double, mid_kwh double, off_kwh double")
     out = C.cost_recovery(daily, C.rate_stretches(daily, rates)).orderBy("site_id", "from_date").collect()
     assert [(r.site_id, str(r.from_date), str(r.to_date), r.on_kwh, r.error) for r in out] == [
-        (1, "2026-05-24", "2026-05-31", 1.0, None), (1, "2026-06-01", "2026-06-23", 3.0, None), (2, "None", "None", 0.0, "RatesNotYetInEffect"),
+        (1, "2026-05-24", "2026-05-31", 1.0, None), (1, "2026-06-01", "2026-06-23", 3.0, None), (2, "None", "None", None, "RatesNotYetInEffect"),
     ]
     assert [r.recovery and round(r.recovery, 9) for r in out] == [0.3, 1.8, None]
 
@@ -85,9 +140,30 @@ def test_session_report_is_read_and_written_back(spark, tmp_path):
     rows = files.session_reports(spark, str(tmp_path)).orderBy("row").collect()
     assert [(r.id, r.row, r.parse_error) for r in rows] == [("A", 2, None), ("B", 3, "conn_end"), ("C", 4, "conn_duration")]
     assert (rows[0].start_local, rows[0].dur_s, rows[0].Station_ID) == (dt.datetime(2026, 6, 15, 9, 5), 3630, "P,1")
-    kept = spark.createDataFrame([(1, "A", dt.datetime(2026, 6, 1), ["OffGridTimes"]), (1, " ", dt.datetime(2026, 6, 1), [])], "site_id int, id string, start_utc timestamp, anomalies array<string>")
-    files.write_sessions(kept, str(tmp_path / "out"))
-    assert [(r.id, r.anomalies) for r in files.read_sessions(spark, str(tmp_path / "out")).collect()] == [("A", ["OffGridTimes"])]
+    flagged = S.flag_sessions(files.session_reports(spark, str(tmp_path)).where("parse_error is null").withColumn("site_id", F.lit(1)))
+    files.write_sessions(flagged, str(tmp_path / "out"))
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert len(set(files.REPORTED) | set(files.DERIVED)) == 30 and set(files.REPORTED) | set(files.DERIVED) <= set(table.columns)
+    again = files.read_sessions(spark, str(tmp_path / "out")).collect()
+    first = flagged.first()
+    assert [(r.id, r.anomalies, r.bucket, r.workbook_discrepancy, r.Station_ID) for r in again] == [("A", first.anomalies, first.bucket, False, "P,1")]
+    assert (again[0].adj_start, again[0].adj_end, again[0].avg_kw) == (first.adj_start, first.adj_end, first.avg_kw)
+
+
+def test_stored_figures_never_count(spark):
+    flagged = S.flag_sessions(spark.createDataFrame(
+        [(1, "a", 2, "A", dt.datetime(2026, 6, 15, 9, 5), dt.datetime(2026, 6, 15, 10, 5), 3600, 3600, 5.0)],
+        "site_id long, path string, row long, id string, start_local timestamp_ntz, end_local timestamp_ntz, dur_s long, charge_s long, energy double",
+    ))
+    table = files.session_table(flagged)
+    wrong = table.withColumn("avg_kw", F.lit(99.0)).withColumn("adj_conn_duration", F.lit(None).cast("long")).withColumn("adj_conn_end_utc", F.lit(None).cast("timestamp"))
+    r = files.reread(wrong).first()
+    assert (r.avg_kw, r.discrepancies) == (5.0, ["adj_conn_end_utc", "avg_kw"]) and r.adj_end == flagged.first().adj_end
+    assert files.reread(table.withColumn("Charge_Session_ID", F.lit(" "))).count() == 0 and files.reread(table.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="lacks Conn_Duration"):
+        files.reread(table.drop("Conn_Duration"))
+    with pytest.raises(Exception, match="unknown anomaly Odd"):
+        files.reread(table.withColumn("anomalies", F.lit("Odd"))).collect()
 
 
 def _entry(own, related, content):
@@ -108,3 +184,13 @@ def test_feed_links(spark, tmp_path):
     series, errors = files.feed_series(files.feed_entries(spark, str(tmp_path)))
     assert {(r.uom, r.value, r.power_of_ten) for r in series.collect()} == {(72, 83759998, -3), (38, 7, -3)}
     assert {(r.href, r.error) for r in errors.collect()} == {("b3", "DanglingLink"), ("b4", "NotHourly")}
+    wide = meter.readings(files.meter_series(series)).collect()
+    assert [(r.kwh, r.kw, r.kva, r.meter_id.endswith("f.xml")) for r in wide] == [(83759998, 7, None, True)]
+    named = series.select("path").distinct().withColumn("meter_id", F.lit(5))
+    assert [r.meter_id for r in meter.readings(files.meter_series(series, named)).collect()] == [5]
+
+
+def test_powers_of_ten(spark):
+    rows = [(1, 72, p, 0, 5, n) for n, p in enumerate((None, -3, -1, 2, -5))]
+    got = meter.scaled(spark.createDataFrame(rows, "meter_id int, uom int, power_of_ten int, ts int, value long, doc_order int")).collect()
+    assert [r.value for r in got] == [5, 5, 500, 500_000, 0]

@@ -1,9 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ampledger.operators import meter, reconcile, reports
+from ampledger.operators import meter, reconcile, reports, sessions
 
 D = dt.date.fromisoformat
 
@@ -27,6 +28,18 @@ def test_a_period_without_readings_names_what_the_feed_covers(spark):
         meter.period_values(one.limit(0), D("2026-06-23"))
     with pytest.raises(ValueError, match="cannot close"):
         meter.period_values(one, D("2026-06-22"))
+    with pytest.raises(ValueError, match="cannot close"):
+        meter.period_values(one, D("2026-06-28"), 28)
+
+
+def test_one_period_takes_gaps_across_its_ends(spark):
+    at = ["2026-05-23 12:00", "2026-05-26 00:00", "2026-06-20 03:30", "2026-07-01 05:00"]
+    hours = spark.createDataFrame([(1, dt.datetime.fromisoformat(t), 1, 1, 1, False) for t in at], "meter_id int, ts timestamp, kwh long, kw long, kva long, repeated boolean")
+    got = meter.period_values(hours, D("2026-06-23"))
+    want = meter.period_figures(meter.fill_gaps(hours)).where("period_ending = '2026-06-23'")
+    assert got.collect() == want.collect() and got.first().n_MissingInterval > 600
+    gap = meter.period_values(hours.where("ts < '2026-05-24' or ts > '2026-06-30'"), D("2026-06-23")).first()
+    assert (gap.n_hours, gap.n_MissingInterval, gap.max_kw) == (0, 744, None)
 
 
 def test_bands_are_held_against_the_bill_before_its_loss_factor(spark):
@@ -62,3 +75,31 @@ def test_recovery_table_has_a_total_without_a_rate(spark):
     ]
     totals = {(r.site_id, r.from_date and str(r.from_date)): r.recovery for r in reports.recovery_totals(df).collect()}
     assert totals == {(1, "2026-05-24"): 3.0, (1, "2026-06-01"): 3.0, (1, None): 6.0}
+
+
+def test_printed_thousandths(spark):
+    rng = random.Random(6)
+    xs = [6.0625, 6.9, 7.0005, 7.0015, 6.9995, 1.9999999, 100.0, 6.58944, 1e6 + 0.0625] + [rng.uniform(1, 2000) for _ in range(2000)] + [rng.randrange(16_000, 9**6) / 16_000 for _ in range(2000)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", reports.printed_thousandths(F.col("x")).alias("t")).collect()
+    assert all(r.t == f"{r.x:.3f}" for r in rows)
+
+
+def test_orders_of_first_appearance(spark):
+    met = [(1, 0, "b", 3, "x", 0, "P"), (1, 0, "a", 9, "y", 0, "Q"), (1, 0, "a", 9, "y", 1, "P"), (1, 0, "c", 1, "z", 0, "R"), (1, 1, "c", 1, "z", 0, "R")]
+    met = spark.createDataFrame(met, "site_id int, interval_start int, path string, row int, id string, pos int, anomaly string")
+    assert sorted((r.interval_start, r.nth, r.anomaly) for r in reports.anomaly_kinds(met).collect()) == [(0, 1, "Q"), (0, 2, "P"), (0, 3, "R"), (1, 1, "R")]
+    segments = spark.createDataFrame([(1, 0, 0), (1, 0, 2), (1, 1, 0), (1, 1, 0)], "site_id int, interval_start int, members int")
+    assert {r.interval_start: r.deserted for r in reports.deserted(segments).collect()} == {0: False, 1: True}
+    merged = spark.createDataFrame([(1, "b", "session", 5), (1, "a", "excluded", 2), (1, "b", "spike", 3)], "site_id int, path string, bucket string, row int")
+    assert [(r.nth, r.path, r.n_sessions) for r in sessions.sources(merged).orderBy("nth").collect()] == [(1, "a", 1), (2, "b", 2)]
+    off = spark.createDataFrame([("a", n, ["OffGridTimes"] if n % 2 else []) for n in range(20)] + [("b", 1, [])], "path string, row long, anomalies array<string>")
+    assert {r.path: (r.n_off, r.n, r.first_rows) for r in sessions.off_grid_summary(off).collect()} == {"a": (10, 20, [1, 3, 5]), "b": (0, 1, [])}
+
+
+def test_peak_table_is_newest_first_and_counts_anomalies(spark):
+    at = ["2026-05-26 00:00", "2026-05-26 03:00", "2026-06-24 12:30"]
+    hours = spark.createDataFrame([(1, dt.datetime.fromisoformat(t), 2_000_000, 3_000_000, None, False) for t in at], "meter_id int, ts timestamp, kwh long, kw long, kva long, repeated boolean")
+    rows = meter.peak_table(meter.period_figures(meter.fill_gaps(hours))).collect()
+    assert len(rows[0].asDict()) == 25 and [str(r.billing_period_ending) for r in rows] == ["2026-07-23", "2026-06-23"]
+    assert rows[1].anomalies.startswith("MissingKva(2),MissingInterval(") and (rows[1].nbr_of_intervals, rows[1].kwh, rows[1].max_kw) == (2, 4.0, 3.0)
+    assert rows[1].max_kw_interval == dt.datetime(2026, 5, 25, 20) and rows[1].max_kw_interval_utc == dt.datetime(2026, 5, 26) and rows[0].max_kw is None
