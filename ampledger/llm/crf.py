@@ -26,9 +26,11 @@ class Crf:
         return ((x - self.mean) / self.scale) @ self.weights
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
-        if len(x) == 0:
-            return np.zeros(0, int)
-        e, (m00, m01), (m10, m11) = self.emissions(x).tolist(), *self.moves.tolist()
+        return self.decode(self.emissions(x)) if len(x) else np.zeros(0, int)
+
+    def decode(self, emissions: np.ndarray) -> np.ndarray:
+        """The best labels of one chain, from its (places, 2) emissions."""
+        e, (m00, m01), (m10, m11) = emissions.tolist(), *self.moves.tolist()
         s0, s1 = e[0][0] + self.first[0], e[0][1] + self.first[1]
         back = []
         for e0, e1 in e[1:]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 from ampledger.llm import crf
 from ampledger.llm.common import map_rows, table
 
-TRAIN_PAGES = 200  # pages of the table that are fitted on, at most
-TRAIN_BLOCKS = 60  # blocks of each at most: a long article's blocks are alike
+TRAIN_PAGES = 200  # pages of the table that are fitted on, at most; all their blocks count
+CHUNK_BLOCKS = 4096  # blocks of a page whose features are held at once
 
 _ATTRS = r"""(?:\s++|/|[^\s/>=]?+[^\s/>=]*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)|[^\s/>=]++)*+"""
 _TAG = re.compile(rf"<(?:(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})>|(?P<note>!--)|(?P<decl>[!?/]))")
+_NOTE_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "annotation", "annotation-xml"}
 FOREIGN = {"svg", "annotation", "annotation-xml"}  # of these, the ones that "/>" closes
-_UNQUOTED = re.compile(r"""=\s*[^\s"'>][^\s>"']*/$""")  # the slash belongs to an attribute's value
 #: Elements that can stand in head; any other ends it, as text does.
 IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -45,6 +45,8 @@ CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
+_P_HOLDERS = ("button", "table", "td", "th", "object")
+_NOT_P = CLOSES_P - {"p"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
@@ -71,13 +73,53 @@ _BOILER = re.compile(r"[©®|»›]|\b(?:cookies?|subscribe|newsletter|sign (?:i
 FEATURES = 1 + 2 * len(TAGS) + 2 * len(HINTS) + 13
 
 
+_OUT = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "search"}
+_NOT = re.compile("|".join(f"(?:{HINTS[k]})" for k in ("menu", "foot", "side", "advert", "notice", "comment", "share", "form")))
+
+
+_PLACE = {t: k for k, t in enumerate(TAGS)}
+_NAMED = (1 << _PLACE["article"]) | (1 << _PLACE["main"])  # article or main above
+
+
+class Element:
+    """An open element, with what its blocks need to know of all elements above: each takes constant space."""
+
+    __slots__ = ("name", "tags", "inner", "hints", "last", "mark", "depth", "head", "part")
+
+    def __init__(self, above: Element | None = None, name: str = "", hint: str = "", hint_bits: int = 0, mark: str = ""):
+        self.name, bit = name, 1 << _PLACE[name] if name in _PLACE else 0
+        if above is None:
+            self.tags = self.inner = self.hints = self.last = self.depth = self.part = 0
+            self.mark, self.head = "", False
+            return
+        self.tags, self.inner = above.tags | bit, bit  # TAGS above, and of them the innermost
+        self.hints, self.last = above.hints | hint_bits, hint_bits or above.last  # HINTS above, and the innermost
+        self.mark = mark or above.mark  # innermost data-y, in hand-marked pages
+        self.depth, self.head = above.depth + 1, above.head or name == "head"
+        # 0 outside of any article, 1 in its content, 2 in a part of it marked otherwise
+        if above.part:
+            self.part = 2 if above.part == 2 or name in _OUT or (hint and _NOT.search(hint)) else 1
+        else:
+            self.part = int(name == "article")
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
-    tags: list[str]
-    hints: list[str]  # class, id and role of each open element, lower case
-    marks: list[str]  # data-y of each open element, in hand-marked pages
+    at: Element
+
+
+def _self_closed(attrs: str) -> bool:
+    """Whether the attributes end in a slash that belongs to no unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    body = attrs[:-1]
+    begin = 1 + max((body.rfind(c) for c in " \t\n\r\f\v\"'>"), default=-1)
+    tail = body[begin:]
+    if "=" in tail:
+        return tail.index("=") == len(tail) - 1
+    return not (tail and body[:begin].rstrip().endswith("="))
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -87,10 +129,13 @@ def blocks_of(page: str | None) -> list[Block]:
     cut off by the page's end is dropped, end tags without a start are ignored, and p, li and
     table cells end where the next one or an enclosing element begins or ends. head ends at text
     and at the first element that cannot stand in it. Formulas and what object falls back to are
-    text; drawings are not.
+    text; drawings are not. Time and memory grow with the length of the page, however deep it
+    nests: places of open elements are kept by name, and every element is left once.
     """
     page = page or ""
-    stack: list[tuple[str, str, str]] = []
+    stack = [Element()]
+    open_at: dict[str, list[int]] = {}  # places in the stack, by name
+    hint_bits: dict[str, int] = {}
     out: list[Block] = []
     parts: list[str] = []
     links, linked = 0, 0
@@ -100,24 +145,24 @@ def blocks_of(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
-            if text:
-                out.append(Block(text, linked, *map(list, zip(*stack, strict=True))) if stack else Block(text, linked, [], [], []))
+            if text and not stack[-1].head:
+                out.append(Block(text, linked, stack[-1]))
         linked = 0
 
-    def close(name: str, upto: set[str]) -> None:
+    def leave(k: int) -> None:
+        for gone in stack[k:]:
+            open_at[gone.name].pop()
+        del stack[k:]
+
+    def close(name: str, upto: Iterable[str] = ()) -> None:
         """End the innermost open ``name``, unless an element of ``upto`` stands before it."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in upto:
-                return
+        at = open_at.get(name)
+        if at and not any(held[-1] > at[-1] for u in upto if (held := open_at.get(u))):
+            leave(at[-1])
 
     def leave_head() -> None:
-        for k, s in enumerate(stack):
-            if s[0] == "head":
-                del stack[k:]
-                return
+        if at := open_at.get("head"):
+            leave(at[0])
 
     at, n = 0, len(page)
     while at < n:
@@ -141,7 +186,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         at = m.end()
         if m["note"]:
-            end = re.compile(r"--!?>").search(page, at - 2 if page.startswith(">", at) or page.startswith("->", at) else at)
+            end = _NOTE_END.search(page, at - 2 if page.startswith(">", at) or page.startswith("->", at) else at)
             at = end.end() if end else n
             continue
         if m["decl"]:
@@ -161,85 +206,76 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         flush()
         if m["end"]:
-            if name == "p":
-                close("p", CLOSES_P - {"p"})
-            elif any(s[0] == name for s in stack):
-                close(name, set())
+            close(name, _NOT_P if name == "p" else ())
             continue
         if name in RAW:
-            if name in FOREIGN and m["attrs"].endswith("/") and not _UNQUOTED.search(m["attrs"]):
+            if name in FOREIGN and _self_closed(m["attrs"]):
                 continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if name in CLOSES_P:
-            close("p", {"button", "table", "td", "th", "object"})
+            close("p", _P_HOLDERS)
         for other in _SIBLINGS.get(name, ()):
             close(other, _HOLDERS[name])
         if name in VOID or m["attrs"].endswith("/") and name not in CLOSES_P:
             continue
         hint, mark = "", ""
         if m["attrs"]:
+            found = []
             for a in _ATTR.finditer(m["attrs"]):
                 if a[1].lower() in ("class", "id", "role", "aria-label"):
-                    hint += " " + (a[2] or a[3] or a[4] or "").lower()
+                    found.append((a[2] or a[3] or a[4] or "").lower())
                 elif a[1] == "data-y":
                     mark = a[2] or ""
-        stack.append((name, hint, mark))
+            hint = "".join(" " + f for f in found)
+        if hint and hint not in hint_bits:
+            hint_bits[hint] = sum(1 << i for i, p in enumerate(_HINTS) if p.search(hint))
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(Element(stack[-1], name, hint, hint_bits.get(hint, 0), mark))
     flush()
-    return [b for b in out if "head" not in b.tags]
+    return out
+
+
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """(blocks, FEATURES): ancestor tags and hints (any; innermost), text figures, place in the page."""
-    x = np.zeros((len(blocks), FEATURES))
-    known: dict[str, list[int]] = {}
-    place = {t: k for k, t in enumerate(TAGS)}
+def features(blocks: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """(last - first, FEATURES) of these of the page's blocks: ancestor tags and hints (any; innermost), text figures, place in the page."""
+    last = len(blocks) if last is None else last
+    x = np.zeros((last - first, FEATURES))
+    known: dict[tuple[int, int, int, int], np.ndarray] = {}
     a, b = 1 + len(TAGS), 1 + 2 * len(TAGS)
     c = b + len(HINTS)
     d = c + len(HINTS)
-    for k, block in enumerate(blocks):
-        row, text = x[k], block.text
-        row[0] = 1.0
-        for t in block.tags:
-            if t in place:
-                row[1 + place[t]] = 1.0
-        if block.tags and block.tags[-1] in place:
-            row[a + place[block.tags[-1]]] = 1.0
-        last: list[int] = []
-        for h in block.hints:
-            if h:
-                if h not in known:
-                    known[h] = [i for i, p in enumerate(_HINTS) if p.search(h)]
-                last = known[h] or last
-                for i in known[h]:
-                    row[b + i] = 1.0
-        for i in last:
-            row[c + i] = 1.0
-        words, size = len(_WORD.findall(text)), len(text)
+    for k in range(first, last):
+        block = blocks[k]
+        row, text, at = x[k - first], block.text, block.at
+        key = (at.tags, at.inner, at.hints, at.last)
+        if key not in known:
+            above = known[key] = np.zeros(d)
+            above[0] = 1.0
+            for start, mask in zip((1, a, b, c), key, strict=True):
+                for i in _bits(mask):
+                    above[start + i] = 1.0
+        row[:d] = known[key]
+        words, size, boiler = len(_WORD.findall(text)), len(text), bool(_BOILER.search(text))
         row[d:] = (
             min(np.log1p(words), 6.0), float(words < 4), float(words > 20), block.linked / size, float(block.linked >= 0.8 * size),
-            float(text[-1] in ".!?…:\"”"), float(bool(_BOILER.search(text))), float(words < 12 and bool(_BOILER.search(text))),
+            float(text[-1] in ".!?…:\"”"), float(boiler), float(words < 12 and boiler),
             sum(map(str.isdigit, text)) / size, float(k == 0), float(k == len(blocks) - 1),
-            min(len(block.tags), 12) / 12, float("article" in block.tags or "main" in block.tags),
+            min(at.depth, 12) / 12, float(at.tags & _NAMED != 0),
         )
     return x
 
 
-_OUT = {"nav", "header", "footer", "aside", "form", "fieldset", "dialog", "menu", "search"}
-_NOT = re.compile("|".join(f"(?:{HINTS[k]})" for k in ("menu", "foot", "side", "advert", "notice", "comment", "share", "form")))
-
-
 def labels_by_markup(blocks: list[Block]) -> list[int] | None:
     """Content is what the page's article holds outside of parts marked otherwise; None if the page names no article."""
-    if not any("article" in b.tags for b in blocks):
-        return None
-    out = []
-    for b in blocks:
-        inside = b.tags.index("article") if "article" in b.tags else None
-        part = inside is not None and not (_OUT & set(b.tags[inside:])) and not any(_NOT.search(h) for h in b.hints[inside + 1 :] if h)
-        out.append(int(part))
-    return out
+    return [int(b.at.part == 1) for b in blocks] if any(b.at.part for b in blocks) else None
 
 
 def hand_marked_pages() -> Iterator[str]:
@@ -301,7 +337,7 @@ def hand_marked_pages() -> Iterator[str]:
 
 
 def _marked_labels(blocks: list[Block]) -> list[int]:
-    return [int(next((m for m in reversed(b.marks) if m), "0")) for b in blocks]
+    return [int(b.at.mark or "0") for b in blocks]
 
 
 def train_pages(pages: list[str]) -> crf.Crf:
@@ -314,10 +350,7 @@ def train_pages(pages: list[str]) -> crf.Crf:
         found = blocks_of(page)
         labels = labels_by_markup(found)
         if labels:
-            x, y = features(found), np.array(labels)
-            half = TRAIN_BLOCKS // 2
-            keep = np.r_[0 : min(half, len(y)), max(half, len(y) - half) : len(y)]
-            chains.append((x[keep], y[keep]))
+            chains.append((features(found), np.array(labels)))
     return crf.train(chains)
 
 
@@ -325,7 +358,9 @@ def main_text(model: crf.Crf, page: str | None) -> str:
     found = blocks_of(page)
     if not found:
         return ""
-    return " ".join(b.text for b, y in zip(found, model.viterbi(features(found)), strict=True) if y)
+    spans = [(k, min(k + CHUNK_BLOCKS, len(found))) for k in range(0, len(found), CHUNK_BLOCKS)]
+    scores = np.concatenate([model.emissions(features(found, *span)) for span in spans])
+    return " ".join(b.text for b, y in zip(found, model.decode(scores), strict=True) if y)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages_bound: int = TRAIN_PAGES) -> DataFrame:
