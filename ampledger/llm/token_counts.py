@@ -7,6 +7,8 @@ histogram, which has as many rows as there are different lengths.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,7 +27,7 @@ def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         bpe = worker_bpe(path)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = [len(bpe.encode(t)) for t in batch.column(1).to_pylist()]
+            n = [len(bpe.encode_bytes(t)) // 4 for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "length"])
 
         return each
@@ -83,12 +85,41 @@ def length_table(lengths: DataFrame) -> DataFrame:
     )
 
 
-def quantiles(lengths_table: DataFrame, shares: list[float]) -> DataFrame:
-    """``share, length``: the least context limit within which at least that share of documents lies."""
-    least = [F.min(F.when(F.col("quantile") >= q - 1e-9, F.col("context_limit"))).alias(str(k)) for k, q in enumerate(shares)]
-    each = F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(str(k)).alias("length")) for k, q in enumerate(shares)))
+def quantiles(lengths_table: DataFrame, shares: list[float | str]) -> DataFrame:
+    """``share, length``: the least context limit within which at least that share of documents lies.
+
+    Shares are taken as the decimals they are written as, and compared as whole numbers. An empty table gives null lengths.
+    """
+    exact = [Fraction(str(q)) for q in shares]
+    docs = F.col("docs_within") + F.col("docs_over")
+    wide = lambda c, n: c.cast("decimal(19,0)") * F.lit(Decimal(n)).cast("decimal(19,0)")
+    enough = [wide(F.col("docs_within"), q.denominator) >= wide(docs, q.numerator) for q in exact]
+    least = [F.min(F.when(ok, F.col("context_limit"))).alias(str(k)) for k, ok in enumerate(enough)]
+    each = F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(str(k)).alias("length")) for k, q in enumerate(exact)))
     return lengths_table.agg(*least).select(F.inline(each))
 
 
+def totals_at(lengths_table: DataFrame, limits: list[int]) -> DataFrame:
+    """``context_limit, docs_within, docs_over, tokens_kept, tokens_lost`` for any limits, whether or not a document has that length.
+
+    What lies within a limit is read off the row of the greatest length up to it. An empty table gives zeros.
+    """
+    most = lambda c, n: F.coalesce(F.max(F.when(F.col("context_limit") <= n, F.col(c))), F.lit(0)).cast("long")
+    whole = lambda a, b: F.coalesce(F.max(F.col(a) + F.col(b)), F.lit(0)).cast("long")
+    sums = {"docs": whole("docs_within", "docs_over"), "tokens": whole("tokens_within", "tokens_over")}
+    sums |= {f"{c}_{k}": most(f"{c}_within", n) for k, n in enumerate(limits) for c in ("docs", "tokens")}
+    rows = []
+    for k, n in enumerate(limits):
+        over = F.col("docs") - F.col(f"docs_{k}")
+        kept = F.col(f"tokens_{k}") + over * n
+        rows.append(
+            F.struct(
+                F.lit(n).cast("long").alias("context_limit"), F.col(f"docs_{k}").alias("docs_within"), over.alias("docs_over"),
+                kept.alias("tokens_kept"), (F.col("tokens") - kept).alias("tokens_lost"),
+            )
+        )
+    return lengths_table.agg(*(c.alias(n) for n, c in sums.items())).select(F.inline(F.array(*rows)))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_table(encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
