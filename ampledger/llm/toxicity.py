@@ -25,9 +25,9 @@ from ampledger.llm.common import cut, drop_rows, map_rows, table, variant_of
 from ampledger.llm.labels import fit_logistic, fold_of, labelled_sample, logistic
 
 TRAIN_DOCS = 12_000  # labelled rows that the lexicon and the curve are fitted on, at most
-LEXICON_TERMS = 4_000  # terms kept, the weightiest
-MIN_DOCS = 3  # toxic training documents that a term needs
-MIN_ODDS = 3.0
+MIN_DOCS = 3  # toxic training documents that a term needs, clean ones that an exception needs
+MIN_ODDS = 3.0  # log odds of a term outside of exceptions
+CANDIDATE_ODDS = 1.0  # of the terms around which exceptions are sought
 THRESHOLD = 0.7
 STEMS = (4, 5, 6, 8)
 
@@ -46,7 +46,7 @@ HOMOGLYPHS = {
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
 _HOMOGLYPHS, _LEET = str.maketrans(HOMOGLYPHS), str.maketrans(LEET)
-_JOINERS = re.compile("[­​-‏⁠﻿]")
+_JOINERS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")  # invisible
 _WORD = re.compile(r"[^\W_]+(?:[0-9@$!|€]+[^\W\d_]+)*")
 _LEETED = re.compile(r"[0-9@$!|€]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -99,7 +99,16 @@ class Lexicon:
                 void.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        return [w for at, w in best.items() if not any(a <= at < b for a, b in void)]
+        # in order of place, with how far the exceptions that began so far reach
+        void.sort()
+        out, k, reach = [], 0, 0
+        for at in sorted(best):
+            while k < len(void) and void[k][0] <= at:
+                reach = max(reach, void[k][1])
+                k += 1
+            if at >= reach:
+                out.append(best[at])
+        return out
 
     def figures(self, text: str | None) -> tuple[float, float]:
         """Weight per square root of length, and mean weight of the matches; both 0 without any."""
@@ -125,39 +134,46 @@ def _tally(of: Callable[[list[str]], set[str]]) -> Callable[[], Callable[[pa.Rec
     return make
 
 
+def _outside(words: list[str], exceptions: frozenset[str]) -> set[str]:
+    """The words that stand anywhere outside of the exception phrases, which are pairs."""
+    if not exceptions:
+        return set(words)
+    covered = {k + t for k, p in enumerate(zip(words, words[1:], strict=False)) if " ".join(p) in exceptions for t in (0, 1)}
+    return {w for k, w in enumerate(words) if k not in covered}
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """From ``sample(text, y)``. At most LEXICON_TERMS terms and as many phrases reach the driver."""
+    """From ``sample(text, y)``, whose bound on rows bounds the terms that reach the driver.
+
+    Pairs of words around a candidate term that clean documents use oftener than toxic ones are
+    exceptions; terms are then weighted by what is left of their occurrences, so that a term is
+    not lost for being harmless in a phrase.
+    """
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     toxic, clean = size["toxic"] + 1.0, size["n"] - size["toxic"] + 1.0
     schema, pick = "term string, clean long, toxic long", sample.select("text", "y")
-
-    def sums(of: Callable[[list[str]], set[str]]) -> DataFrame:
-        return map_rows(pick, _tally(of), schema).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-
     odds = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean)
-    found = (
-        sums(lambda words: {t for w in set(words) for t in terms_of(w)})
-        .where(F.col("toxic") >= MIN_DOCS)
-        .withColumn("odds", odds)
-        .where(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term")
-        .limit(LEXICON_TERMS)
-        .collect()
-    )
-    weights = {"=" + w: MIN_ODDS for s in SEED_TERMS for w in fold_words(s)}
-    weights |= {r.term: r.odds for r in found}
-    stems = frozenset(t[1:] for t in weights if t[0] == "^")
-    whole = frozenset(t[1:] for t in weights if t[0] == "=")
-
-    def hit(word: str) -> bool:
-        return word in whole or any(word[:n] in stems for n in STEMS)
 
-    def phrases(words: list[str]) -> set[str]:
-        return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if hit(a) or hit(b)}
-
-    meant = sums(phrases).where((F.col("clean") >= MIN_DOCS) & (F.col("clean") > F.col("toxic") * clean / toxic))
-    exceptions = [r.term for r in meant.orderBy(F.desc("clean"), "term").limit(LEXICON_TERMS).collect()]
-    return Lexicon(weights, [" ".join(fold_words(p)) for p in SEED_EXCEPTIONS] + exceptions)
+    def sums(of: Callable[[list[str]], set[str]]) -> DataFrame:
+        counted = map_rows(pick, _tally(of), schema).groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        return counted.withColumn("odds", odds)
+
+    def weigh(exceptions: frozenset[str], least: float) -> dict[str, float]:
+        found = sums(lambda words: {t for w in _outside(words, exceptions) for t in terms_of(w)})
+        seeds = {"=" + w: MIN_ODDS for s in SEED_TERMS for w in fold_words(s)}
+        return seeds | {r.term: r.odds for r in found.where((F.col("toxic") >= MIN_DOCS) & (F.col("odds") >= least)).orderBy("term").collect()}
+
+    def hit_by(weights: dict[str, float]) -> Callable[[str], bool]:
+        stems, whole = (frozenset(t[1:] for t in weights if t[0] == mark) for mark in "^=")
+        return lambda word: word in whole or any(word[:n] in stems for n in STEMS)
+
+    hit = hit_by(weigh(frozenset(), CANDIDATE_ODDS))
+    phrases = sums(lambda words: {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if hit(a) or hit(b)})
+    meant = [r.term for r in phrases.where((F.col("clean") >= MIN_DOCS) & (F.col("odds") < 0)).orderBy("term").collect()]
+    exceptions = frozenset(meant) | {" ".join(fold_words(p)) for p in SEED_EXCEPTIONS}
+    weights = weigh(exceptions, MIN_ODDS)
+    hit = hit_by(weights)
+    return Lexicon(weights, sorted(p for p in exceptions if any(map(hit, p.split()))))
 
 
 def _figures(lexicon_of: Callable[[], Lexicon]) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
