@@ -23,8 +23,7 @@ from ampledger.llm import crf
 from ampledger.llm.common import cut, map_rows, table
 from ampledger.llm.labels import fit_logistic, fold_of, labelled_sample, logistic
 
-TRAIN_DOCS = 3_000  # labelled rows fitted on, at most
-TRAIN_LINES = 40_000  # lines of these that the chain is fitted on, at most
+TRAIN_DOCS = 3_000  # labelled rows fitted on, at most; all their lines count
 THRESHOLD = 0.3
 
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -92,12 +91,8 @@ def figures(model: crf.Crf, text: str | None) -> tuple[float, float]:
 
 def train_lines(docs: list[tuple[str, int]]) -> crf.Crf:
     """The chain, from (text, label) of whole documents."""
-    chains, lines = [], 0
-    for text, y in docs:
-        x, _ = line_features(text)
-        if len(x) and lines + len(x) <= TRAIN_LINES:
-            chains.append((x, np.full(len(x), y)))
-            lines += len(x)
+    found = ((line_features(text)[0], y) for text, y in docs)
+    chains = [(x, np.full(len(x), y)) for x, y in found if len(x)]
     if not chains:
         return crf.train([])
     flat, labels = np.concatenate([x for x, _ in chains]), np.concatenate([y for _, y in chains])
