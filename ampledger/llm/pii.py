@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT = 3  # distinct trusted instances that a pattern needs
 MIN_SCORE = 0.5
-PATTERNS_PER_PASS = 50_000  # patterns counted in one pass over the texts, some 5 MB
+PATTERNS_SHIPPED = 50_000  # patterns that may be shipped to the tasks, some 5 MB
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -149,34 +149,32 @@ def _scan() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return each
 
 
-def _count_pairs(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
-    """``pair, total``: occurrences in all texts of each pair of neighbouring words in ``patterns(pair)``.
+def _count_pairs(docs: DataFrame, patterns: DataFrame, text_col: str, shipped: int = PATTERNS_SHIPPED) -> DataFrame:
+    """``pair, total``: occurrences in all texts of each pair of neighbouring words in ``patterns(pair)``, in one pass.
 
-    The texts are passed once per block of PATTERNS_PER_PASS pairs, of which each pass ships one block.
+    Up to ``shipped`` patterns go to the tasks, which count these alone. Beyond that every pair is
+    counted, piece by piece before the shuffle, and the patterns are met in a join.
     """
-    spark, passes = docs.sparkSession, None
-    blocks = max(1, -(-patterns.count() // PATTERNS_PER_PASS))
-    for block in range(blocks):
-        part = patterns.where(F.pmod(F.xxhash64("pair"), F.lit(blocks)) == block).select("pair")
-        wanted = spark.sparkContext.broadcast({tuple(r.pair.split(" ", 1)) for r in part.collect()})
-
-        def make(wanted=wanted) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-            pairs, digits = wanted.value, re.compile(r"[0-9]+")
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                seen: Counter = Counter()
-                for text in batch.column(0).to_pylist() if pairs else ():
-                    words = _WORD.findall(digits.sub("0", (text or "").lower()))
-                    seen.update(p for p in zip(words, words[1:], strict=False) if p in pairs)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([" ".join(p) for p in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["pair", "n"]
-                )
+    few = patterns.count() <= shipped
+    wanted = docs.sparkSession.sparkContext.broadcast({tuple(r.pair.split(" ", 1)) for r in patterns.collect()} if few else None)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        pairs, digits = wanted.value, re.compile(r"[0-9]+")
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seen: Counter = Counter()
+            for text in batch.column(0).to_pylist() if pairs is None or pairs else ():
+                words = _WORD.findall(digits.sub("0", (text or "").lower()))
+                met = zip(words, words[1:], strict=False)
+                seen.update(met if pairs is None else (p for p in met if p in pairs))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([" ".join(p) for p in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["pair", "n"]
+            )
 
-            return each
+        return each
 
-        one = map_rows(docs.select(text_col), make, "pair string, n long")
-        passes = one if passes is None else passes.unionByName(one)
-    return passes.groupBy("pair").agg(F.sum("n").alias("total"))
+    counted = map_rows(docs.select(text_col), make, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("total"))
+    return counted if few else counted.join(patterns, "pair", "left_semi")
 
 
 def score_patterns(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -227,7 +225,7 @@ def reachable(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return admitted
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns_shipped: int = PATTERNS_SHIPPED) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, one row per row of ``docs``.
 
     The counts and the digest are of base spans; ``spans`` holds these and the discovered
@@ -246,7 +244,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = cut(edges, "pii-graph")
     kept = reachable(edges)
     pairs = cut(kept.select(F.substring("pattern", 3, 1 << 30).alias("pair")).distinct(), "pii-pairs")
-    totals = _count_pairs(docs, pairs, text_col)
+    totals = _count_pairs(docs, pairs, text_col, patterns_shipped)
     good = score_patterns(edges.join(kept, ["kind", "pattern"], "left_semi"), totals).where(F.col("score") >= MIN_SCORE)
     more = (
         slots.where("not seed")
