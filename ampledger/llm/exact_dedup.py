@@ -48,6 +48,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     digest: Callable[[Column], Column] = sha256_bytes,
+    variant: Callable[[Column], Column] = F.xxhash64,
     broadcast_digests: int = BROADCAST_DIGESTS,
     keys_per_shard: int = KEYS_PER_SHARD,
 ) -> DataFrame:
@@ -59,15 +60,16 @@ def exact_dedup(
     of ``docs`` are neither read nor returned, so their names cannot clash. An empty table
     gives an empty result.
 
-    Groups are keyed by digest and XXH64 of the text; a digest that two texts share is thus
-    still told apart, and if both agree for two texts the job fails rather than merge them.
+    Groups are keyed by ``digest`` and ``variant`` of the text; a digest that two texts share is thus
+    still told apart, and where both agree for two texts their rows are grouped by the bytes.
+    Such rows have negative row ids.
     """
     text = text_of(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         text.alias("text"),
         digest(text).alias("digest"),
-        F.xxhash64(text).alias("variant"),
+        variant(text).alias("variant"),
         F.coalesce(snapshot.cast("int"), F.lit(0)).alias("snapshot"),
     )
     marks = cut(rows.drop("text").withColumn("row_id", F.monotonically_increasing_id()), "digests")
@@ -110,18 +112,14 @@ def exact_dedup(
         )
     size = F.sum("n") if "n" in suspects.columns else F.count("*")
     same = suspects.groupBy(*on, "text").agg(F.max("doc_id").alias("keep_id"), size.alias("group_size"))
-    classes = (
-        same.groupBy(*on)
-        .agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-        .select(
-            *on,
-            "keep_id",
-            F.when(F.col("texts") == 1, F.col("group_size"))
-            .otherwise(F.raise_error(F.lit("two texts share digest and XXH64")).cast("long"))
-            .alias("group_size"),
-        )
-    )
+    classes = same.groupBy(*on).agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     classes = cut(classes, "classes")
+    shared = classes.where("texts > 1").select(*on)
+    told_apart = None
+    if not shared.isEmpty():  # texts that only their bytes tell apart
+        told_apart = cut(_by_bytes(rows.join(shared, on, "left_semi")), "told-apart")
+        marks = marks.join(shared, on, "left_anti")
+    classes = classes.where("texts = 1").drop("texts")
     # Among repeated rows of the id that stays, the one with the least row_id. The id is a join key, so
     # that the copies of a hot text are dealt by id.
     marked, held = marks.alias("m"), classes.alias("c")
@@ -135,7 +133,7 @@ def exact_dedup(
         salted = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         dealt = marks.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS)))
         found = dealt.join(salted, [*on, "salt"], "left")
-    return found.select(
+    found = found.select(
         "row_id",
         "doc_id",
         "digest",
@@ -145,6 +143,19 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(True)).alias("kept"),
     )
+    return found if told_apart is None else found.unionByName(told_apart)
+
+
+def _by_bytes(rows: DataFrame) -> DataFrame:
+    """Rows of digests that several texts share, grouped by the text itself; salted, as a hot text may be among them."""
+    rows = rows.withColumn("row_id", -1 - F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    rows = cut(rows, "shared-digests")
+    order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("doc_id").isNotNull().alias("known"), (-F.col("row_id")).alias("nth"))
+    parts = rows.groupBy("text", "salt").agg(F.max(order).alias("top"), F.count("*").alias("n"))
+    whole = parts.groupBy("text").agg(F.max("top").alias("top"), F.sum("n").alias("group_size"))
+    met = rows.join(whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["text", "salt"])
+    keep = F.when(F.col("top.known"), F.col("top.id"))
+    return met.select("row_id", "doc_id", "digest", "variant", "snapshot", keep.alias("keep_id"), "group_size", (-F.col("row_id") == F.col("top.nth")).alias("kept"))
 
 
 SNAPSHOTS = 4
