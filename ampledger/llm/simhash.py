@@ -88,13 +88,16 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(keys)
 
 
-def _fingerprints() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        columns = [batch.column(0), *batch.columns[2:], pa.array(made.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", *batch.schema.names[2:], "fp"])
+def _fingerprints(shingle: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            columns = [batch.column(0), *batch.columns[2:], pa.array(made.view(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", *batch.schema.names[2:], "fp"])
 
-    return each
+        return each
+
+    return make
 
 
 def _keys() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -143,16 +146,18 @@ def near_links(fps: DataFrame, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id`` for each row; component_id is the least id reachable by links.
 
+    ``shingle``: words of a shingle. The distance is MAX_BITS, for which the keys are made.
+
     Null and wordless texts have fingerprint zero and are linked as any other. Equal
     fingerprints are collapsed before links are sought, so copies cost one row. A null id
     is ignored for component_id (null if a component has no other). Repeated rows give
     repeated results; other columns are not read. An empty table gives an empty result.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return _with_least(map_rows(picked, _fingerprints, "doc_id long, fp long"), "component_id", F.col("doc_id"))
+    return _with_least(map_rows(picked, _fingerprints(shingle), "doc_id long, fp long"), "component_id", F.col("doc_id"))
 
 
 def _with_least(marked: DataFrame, name: str, value: Column) -> DataFrame:
@@ -171,7 +176,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each component, the one with the least id; schema unchanged.
 
     Of several texts with that id the one with the least XXH64 stays; a null id stays only
@@ -180,6 +185,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", variant_of("text").alias("variant"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "variant")
-    found = _with_least(map_rows(picked, _fingerprints, "doc_id long, variant long, fp long"), "kept", row)
+    found = _with_least(map_rows(picked, _fingerprints(shingle), "doc_id long, variant long, fp long"), "kept", row)
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("variant") == F.col("kept.variant"))
     return drop_rows(docs, found.where(~same))
