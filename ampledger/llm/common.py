@@ -2,49 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch for whole-text operators: texts may be 100 kB each, and two
-#: Python workers share an executor, so the default of 10,000 rows is too many.
-TEXT_BATCH_ROWS = 512
+from ampledger.sources.scratch import written
 
-_own_dir: str | None = None
+#: Rows and bytes that whole-text operators hold as Python objects at once: texts may be 100 kB
+#: each, and two Python workers share an executor.
+PIECE_ROWS, PIECE_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (as in tests) a local folder is made.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="spark-")
-    return f"file://{_own_dir}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage as checkpoint() does, but keeps columns prunable; a lost executor
-    costs only the tasks that read it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/ampledger-{os.getpid()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written into the folder that all executors share, and read back."""
+    return written(df, name)
 
 
 def text_of(col: str = "text") -> Column:
@@ -57,17 +34,29 @@ def variant_of(col: str = "text") -> Column:
     return F.xxhash64(text_of(col))
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch, halved until its parts keep to PIECE_ROWS and PIECE_BYTES or are single rows; nothing is copied."""
+    if batch.num_rows > PIECE_ROWS or (batch.num_rows > 1 and batch.nbytes > PIECE_BYTES):
+        half = batch.num_rows // 2
+        yield from _pieces(batch.slice(0, half))
+        yield from _pieces(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """mapInArrow with a function that ``make`` builds once per task (tables, caches)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """mapInArrow with a function that ``make`` builds once per task (tables, caches).
+
+    Spark bounds a batch that it sends by bytes; the function sees it in smaller pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for piece in _pieces(batch):
+                yield each(piece)
 
     return df.mapInArrow(run, schema)
 

@@ -3,10 +3,11 @@ import random
 import unicodedata
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ampledger.llm.bpe import WordBpe, encode_documents, op3_bpe, tokenizer_path
-from ampledger.llm.token_counts import encoded_lengths, length_table, quantiles
+from ampledger.llm.token_counts import encoded_lengths, length_table, quantiles, totals_at
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -34,6 +35,29 @@ def test_encode_and_decode_equal_the_library(spark):
         assert own.decode(want) == t.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library():
+    t, own = library(), WordBpe(tokenizer_path())
+    points = [chr(c) for c in (*range(1, 0x40000), *range(0x40000, 0x110000, 61)) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{c}1{c}!{c}" for c in points[k : k + 20_000]]
+        for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert own.encode(text) == want.ids, ascii(text)
+
+
+def test_combining_marks_equal_the_library():
+    t, own, rnd = library(), WordBpe(tokenizer_path()), random.Random(3)
+    marks = [c for c in map(chr, range(0x300, 0x20000)) if unicodedata.category(c)[0] == "M"]
+    texts = [f"e{a}{b}{a}" for a in marks for b in "\u0301\u0323\u0345\u3099\u094d\u0334"]
+    texts += [f"e{b}{a}x" for a in marks for b in "\u0301\u0323\u0345\u3099\u094d\u0334"]
+    composed = [unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x30000) if unicodedata.decomposition(chr(c)) and not 0xD800 <= c < 0xE000]
+    texts += [f"{c}\u0323{rnd.choice(marks)}" for c in composed]
+    every = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(rnd.choices(every, k=30) + rnd.choices(marks, k=20)) for _ in range(3000)]
+    texts += ["".join(rnd.sample(rnd.choices(every, k=6) + rnd.choices(marks, k=20), 26)) for _ in range(3000)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == want.ids, ascii(text)
+
+
 def test_cuts_are_forced_and_lose_nothing():
     own = WordBpe(tokenizer_path())
     word = "".join(own.symbols[b] for b in "éèçêthéing".encode())
@@ -74,7 +98,16 @@ def test_length_table_against_brute_force(spark):
         assert r.tokens_lost == sum(max(0, n - c) for n in lengths)
     for r in quantiles(length_table(df), [0.0, 0.5, 0.9, 1.0]).collect():
         assert r.length == min(c for c in lengths if sum(n <= c for n in lengths) >= r.share * len(lengths))
-    assert length_table(df.limit(0)).count() == 0
+    limits = [0, 3, 4096, 9001, 20_000, 10**9]
+    for r in totals_at(length_table(df), limits).collect():
+        c = r.context_limit
+        assert (r.docs_within, r.docs_over) == (sum(n <= c for n in lengths), sum(n > c for n in lengths))
+        assert (r.tokens_kept, r.tokens_lost) == (sum(min(n, c) for n in lengths), sum(max(0, n - c) for n in lengths))
+    none = length_table(df.limit(0))
+    assert none.count() == 0 and quantiles(none, [0.5]).first().length is None and totals_at(none, [7]).first().tokens_kept == 0
+    many = spark.createDataFrame([(1, 10**12 - 1), (2, 1)], "context_limit long, docs_within long").withColumn("docs_over", 10**12 - F.col("docs_within"))
+    many = many.withColumn("docs_within", F.when(F.col("context_limit") == 2, 10**12).otherwise(F.col("docs_within"))).withColumn("docs_over", 10**12 - F.col("docs_within"))
+    assert [r.length for r in quantiles(many, ["0.999999999999", "0.9999999999995"]).collect()] == [1, 2]
 
 
 def test_encoded_lengths(spark):
@@ -82,3 +115,5 @@ def test_encoded_lengths(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
     assert {r.doc_id: r.length for r in encoded_lengths(docs, tokenizer_path()).collect()} == want
+    odd = spark.createDataFrame([(1, None, 9), (2, "the the", 9), (2, "the the", 9), (None, "", 9)], "doc_id long, text string, length int")
+    assert sorted((r.doc_id or 0, r.length) for r in encoded_lengths(odd, tokenizer_path()).collect()) == [(0, 0), (1, 0), (2, 2), (2, 2)]

@@ -32,13 +32,15 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("broadcast", [0, 10**6])
-@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize("weak", [0, 1, 2])
 def test_exact_dedup_against_brute_force(spark, broadcast, weak):
     rnd = random.Random(3)
     texts = ["", None, "a", "a ", "A", "é", "é", "x" * 50_000, "hot"] + [f"t{i}" for i in range(40)]
     rows = [(i, rnd.choice(texts)) for i in range(300)] + [(1000 + i, "hot") for i in range(200)]
     df = spark.createDataFrame([(*r, "z", 9) for r in rows], DOCS)
     kind = {"digest": lambda c: F.unhex(F.hex(F.pmod(F.length(c), F.lit(3))))} if weak else {}
+    if weak == 2:  # only the bytes tell the texts apart
+        kind["variant"] = lambda c: F.pmod(F.length(c), F.lit(5)).cast("long")
     got = exact_dedup(df, arrival(), broadcast_digests=broadcast, keys_per_shard=16, **kind).collect()
     by = dict(rows)
     assert {(r.doc_id, r.keep_id, r.group_size, by[r.doc_id] or "") for r in got} == brute(rows)

@@ -1,14 +1,17 @@
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ampledger.llm import crf, decontaminate, html_text, pii, quality, toxicity, url_filter
+from ampledger.llm import common, crf, decontaminate, html_text, pii, quality, toxicity, url_filter
 from ampledger.llm.labels import fit_logistic, fold_of, logistic
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +79,39 @@ def test_contexts_glued_to_identifiers_and_patterns_of_later_rounds(spark):
     assert got[20] == "phone:15:27" and got[33] == "phone:13:25"
 
 
+def test_pieces_keep_their_bounds_and_all_rows():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(3000)), "t": ["x" * (9_000_000 if n == 7 else 10) for n in range(3000)]})
+    pieces = list(common._pieces(batch))
+    assert [n for p in pieces for n in p.column(0).to_pylist()] == list(range(3000))
+    assert all(p.num_rows <= common.PIECE_ROWS and (p.num_rows == 1 or p.nbytes <= common.PIECE_BYTES) for p in pieces) and list(common._pieces(batch.slice(0, 0))) == []
+
+
+@pytest.mark.parametrize("shipped", [0, 50_000])
+def test_discovery_of_planted_identifiers(spark, shipped):
+    """Identifiers that no base pattern takes, in the contexts of those that it does: most are found, and little else."""
+    rnd = random.Random(15)
+    frames = ("please call me {} or write soon", "our fax line is {} all day", "mail it to {} before noon", "host address {} was seen", "card number {} expires in")
+    base = ("+1 (555) 01{0:02d}-1{0:03d}", "+44 20 7946 1{0:03d}", "user{0}@example.org", "10.1.{0}.7", None)
+    unseen = ("555 010 7{0:03d}", "(020) 7946 2{0:03d}", "user{0} [at] example [dot] org", "fe80:0:0:{0}:1:2:3:4", None)
+    words = [f"word{k}" for k in range(200)]
+    fill = lambda: " ".join(rnd.choices(words, k=12))
+    rows, planted = [], {}
+    for k in range(400):
+        which = rnd.randrange(4)
+        new = rnd.random() < 0.25
+        told = (unseen if new else base)[which].format(k % 99)
+        before = f"{fill()} {frames[which].split('{}')[0]}"
+        rows.append((k, before + told + frames[which].split("{}")[1] + " " + fill()))
+        if new:
+            planted[k] = (len(before), len(before) + len(told))
+    rows += [(1000 + k, f"{fill()} in total 555 010 {6000 + k} {rnd.choice(words)} were sold {fill()}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df, patterns_shipped=shipped).collect()}
+    found = {k for k, (a, b) in planted.items() if f":{a}:{b}" in got[k].spans}
+    n_more = sum(len([s for s in r.spans.split(",") if s]) - r.n_email - r.n_ip - r.n_card - r.n_phone for r in got.values())
+    assert len(found) >= 0.9 * len(planted) and len(found) >= 0.9 * n_more
+
+
 # --- urls
 
 
@@ -117,25 +153,40 @@ def test_url_models_against_plain_python(spark):
     rows += [(200, "http://good1.site.org/p9"), (201, "http://bad2.org/es/4")]
     got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[200].score > got[201].score and got[200].verdict == "allow" and got[201].verdict == "block"
-    fold = lambda u: "^^" + re.sub(r"[^a-z0\-./_%~]", "*", re.sub("[1-9]", "0", "".join(split_url(u)).lower()))
-    grams = lambda s: [s[k : k + 3] for k in range(len(s) - 2)]
-    counts = {y: [g for i, u in rows if i < 200 and (i < 60) == y for g in grams(fold(u))] for y in (True, False)}
-
-    def log_p(y, g):
-        seen, s = counts[y], url_filter.SMOOTH
-        n = lambda f: sum(map(f, seen))
-        p0 = (n(lambda x: x[2] == g[2]) + 0.5) / (len(seen) + 0.5 * url_filter.A)
-        p1 = (n(lambda x: x[1:] == g[1:]) + s * p0) / (n(lambda x: x[1] == g[1]) + s)
-        both = sum(x[:2] == g[:2] for v in counts.values() for x in v)
-        p2 = (n(lambda x: x == g) + s * p1) / (n(lambda x: x[:2] == g[:2]) + s)
-        return math.log(p2 if both >= url_filter.SUPPORT else p1)
-
+    n = url_filter.CONTEXT
+    fold = lambda u: "^" * n + re.sub(r"[^a-z0\-./_%~]", "*", re.sub("[1-9]", "0", "".join(split_url(u)).lower()))
+    grams = lambda s: [s[k : k + n + 1] for k in range(len(s) - n)]
+    seen = {y: [g for i, u in rows if i < 200 and (i < 60) == y for g in grams(fold(u))] for y in (True, False)}
+    times = lambda y, part, k: sum(g[n - k :].startswith(part) for g in seen[y])
+
+    def p(y, g, k):
+        """P of the last symbol of ``g`` after the k before it."""
+        if k == 0:
+            return (sum(x[-1] == g[-1] for x in seen[y]) + 0.5) / (len(seen[y]) + 0.5 * url_filter.A)
+        before, whole = g[n - k : -1], g[n - k :]
+        held = {m: times(m, before, k) for m in seen}
+        if sum(held.values()) < url_filter.SUPPORT:
+            return p(y, g, k - 1)
+        return (times(y, whole, k) + url_filter.SMOOTH * p(y, g, k - 1)) / (held[y] + url_filter.SMOOTH)
+
+    log_p = lambda y, g: math.log(p(y, g, n))
     for i in (0, 61, 200, 201):
         told = grams(fold(dict(rows)[i]))
         want = sum(math.floor(1000 * (log_p(True, g) - log_p(False, g)) + 0.5) for g in told)
         assert got[i].score == math.floor(want / len(told))
 
 
+def test_url_work_is_linear_and_salted_joins_agree(spark, monkeypatch):
+    rows = [(i, f"http://site{i % 9}.com/" + "abc-de/" * (20 * i)) for i in range(40)] + [(100 + i, f"http://x.net/es/{i}") for i in range(40)]
+    rows += [(200, "http://long.org/" + "".join(random.Random(4).choices("abcdef/-0é", k=200_000)))]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.perf_counter()
+    one = sorted(url_filter.filter_urls(df).collect())
+    assert time.perf_counter() - began < 30
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 10)
+    assert sorted(url_filter.filter_urls(df).collect()) == one
+
+
 # --- chains and curves
 
 
@@ -212,6 +263,24 @@ def test_quality_sees_every_line():
     assert clean > 0.3 > spoilt and quality.figures(model, None) == (0.0, 0.0)
 
 
+def test_quality_scores_by_enumeration(spark):
+    """The query's score of short documents, from all labellings of their lines."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit_quality(docs, labels, fold_of("doc_id", 5) != 0)
+    rows = [(k, "\n".join(lines)) for k, lines in enumerate((["One line of plain words here."], ["BUY!! NOW", "The river rose in the night.", "click $$$ >>> x"], ["a", "", "b c d", "e f, g.", "Hi!"]))]
+    got = {r.doc_id: r.score for r in model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    chain, curve = model.chain, model.curve
+    for k, text in rows:
+        x, size = quality.line_features(text)
+        e, weight = chain.emissions(x), {}
+        for ys in itertools.product((0, 1), repeat=len(x)):
+            total = chain.first[ys[0]] + sum(e[n, y] for n, y in enumerate(ys)) + sum(chain.moves[a, b] for a, b in zip(ys, ys[1:], strict=False))
+            weight[ys] = math.exp(total)
+        share = [sum(w for ys, w in weight.items() if ys[n]) / sum(weight.values()) for n in range(len(x))]
+        mean = float(np.dot(share, size) / size.sum())
+        assert got[k] == pytest.approx(float(logistic(np.array([[mean - 0.5, math.log((mean + 0.01) / (1.01 - mean))]]), curve)[0]), rel=1e-6)
+
+
 def test_toxicity_held_out(spark):
     score, predicted, y = held_out(spark, toxicity.op8_toxicity(spark, BIG), "toxic")
     assert auc(score, y) > 0.8 and predicted[y == 0].mean() < 0.02 and predicted[y == 1].mean() > 0.6
@@ -225,6 +294,49 @@ def test_folding_and_exceptions():
     assert lex.hits(["moron", "moral", "amor"]) == [5.0, 2.0]
     assert lex.figures("trash " + "word " * 99)[0] == pytest.approx(0.4) and lex.figures("") == (0.0, 0.0)
     assert toxicity.Lexicon({}, []).hits(["x"]) == []
+    lex = toxicity.Lexicon({"=bad": 1.0, "=dog": 2.0}, ["bad dog", "dog show", "my bad dog show"])
+    assert lex.hits("my bad dog show bad dog bad my dog".split()) == [1.0, 2.0]
+    began = time.perf_counter()
+    assert lex.hits("bad dog my".split() * 20_000 + ["bad"]) == [1.0] and time.perf_counter() - began < 1
+
+
+def hits_by_definition(weights, exceptions, words):
+    """Each word's greatest weight, unless an exception phrase covers it."""
+    covered = {k + t for p in exceptions for k in range(len(words)) if words[k : k + len(p.split())] == p.split() for t in range(len(p.split()))}
+    best = [max((v for t, v in weights.items() if (w == t[1:] if t[0] == "=" else w.startswith(t[1:]))), default=0.0) for w in words]
+    return [b for k, b in enumerate(best) if b and k not in covered]
+
+
+def test_hits_equal_the_definition():
+    rnd = random.Random(14)
+    words = ["ab", "abc", "abcd", "b", "bc", "abx", "c"]
+    for _ in range(300):
+        weights = {rnd.choice("=^") + w: rnd.random() for w in rnd.sample(words, 3)}
+        exceptions = [" ".join(rnd.choices(words, k=rnd.randrange(1, 4))) for _ in range(3)]
+        text = rnd.choices(words, k=12)
+        assert toxicity.Lexicon(weights, exceptions).hits(text) == hits_by_definition(weights, exceptions, text)
+
+
+def test_exceptions_are_learnt_and_terms_weighted_without_them(spark):
+    """"rotten" is an insult on its own, but clean documents speak of rotten apples as often."""
+    fill = [f"word{k} other{k % 3}" for k in range(30)]
+    rows = [(f"you rotten {fill[k]}", 1) for k in range(12)] + [(f"a rotten apple {fill[k]}", 0) for k in range(12)] + [(f, 0) for f in fill]
+    lex = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert "rotten appie" in lex.exceptions and lex.weights["=rotten"] > toxicity.MIN_ODDS
+    assert lex.hits("a rotten appie".split()) == [] and lex.hits("you rotten word".split()) != []
+    by_hand = math.log(12.5 / 13) - math.log(0.5 / 43)
+    assert lex.weights["=rotten"] == pytest.approx(by_hand)
+
+
+def test_scores_are_the_curve_of_the_figures(spark):
+    rows = [(k, t) for k, t in enumerate(["", "you moron", "moron moron trash can", "trash", "fine day", None])]
+    lexicon = toxicity.Lexicon({"=moron": 4.0, "=trash": 3.0}, ["trash can"])
+    got = {r.doc_id: r.score for r in toxicity.ToxicityModel(lexicon, np.array([1.0, 0.5, -3.0])).score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        words = toxicity.fold_words(t)
+        hits = hits_by_definition(lexicon.weights, lexicon.exceptions, words)
+        x = (sum(hits) / math.sqrt(len(words)), sum(hits) / len(hits)) if hits else (0.0, 0.0)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(3.0 - x[0] - 0.5 * x[1])))
 
 
 # --- decontamination
@@ -254,15 +366,35 @@ def test_tiles_equal_exhaustive_greedy_tiling():
     for _ in range(150):
         b = rnd.choices("abcdefgh", k=rnd.randrange(1, 25))
         a = rnd.choices("abcdefgh", k=10) + b[5:] + ["x"] + b[:7] + rnd.choices("abcdefgh", k=8)
-        mine, full = decontaminate.tiles(a, b, 3), greedy_by_definition(a, b, 3)
-        assert sorted(t[0] for t in mine) == sorted(t[0] for t in full)
-        assert all(a[i : i + k] == b[j : j + k] for k, i, j in mine)
-        assert len({j + t for k, _, j in mine for t in range(k)}) == sum(k for k, _, _ in mine)
+        assert decontaminate.tiles(a, b, 3) == greedy_by_definition(a, b, 3)
     assert decontaminate.tiles([], ["a"], 1) == [] and decontaminate.tiles(["a"], [], 1) == []
 
 
-@pytest.mark.parametrize("words_per_pass", [3, 10**6])
-def test_contamination_against_brute_force(spark, words_per_pass):
+def test_periodic_texts_are_tiled_in_time():
+    rnd = random.Random(11)
+    for a, b, covered in ((list("abcde") * 4000, list("abcde") * 80, 400), (["x"] * 20_000, ["x"] * 400, 400), (rnd.choices("ab", k=20_000), rnd.choices("ab", k=400), 300)):
+        began = time.perf_counter()
+        assert sum(t[0] for t in decontaminate.tiles(a, b)) >= covered
+        assert time.perf_counter() - began < 1
+
+
+def test_pairing_loses_no_item(spark):
+    """All pairs against those that share a looked-up seed, on texts of few words, where seeds are common."""
+    rnd = random.Random(12)
+    items = [(k, " ".join(rnd.choices("abcdefghij", k=rnd.randrange(1, 14)))) for k in range(60)]
+    seeds = decontaminate.Seeds(items)
+    for _ in range(150):
+        words = rnd.choices("abcdefghij", k=60)
+        full = [(i, covered_by(words, b)) for i, b in enumerate(seeds.items)]
+        assert [m[0] for m in seeds.matches(words)] == [i for i, n in full if n >= 0.8 * len(seeds.items[i])]
+
+
+def covered_by(a, b):
+    return sum(t[0] for t in decontaminate.tiles(a, b, min(3, len(b))))
+
+
+@pytest.mark.parametrize("words_shipped", [3, 10**6])
+def test_contamination_against_brute_force(spark, words_shipped):
     rnd = random.Random(10)
     vocab = [f"w{k}" for k in range(400)]
     items = [(k, " ".join(rnd.choices(vocab, k=30))) for k in range(12)] + [(50, "Tiny Item"), (51, None), (52, " .. ")]
@@ -271,30 +403,30 @@ def test_contamination_against_brute_force(spark, words_per_pass):
     for k in range(6, 9):  # passages in another order
         w = items[k][1].split()
         docs.append((k, f"{' '.join(w[20:])} {fill(5)} {' '.join(w[8:20])} {fill(5)} {' '.join(w[:8])}"))
+    w = items[10][1].split()  # runs of three and four words, no five of which stand together
+    docs.append((10, " zz ".join(" ".join(w[k : k + n]) for k, n in ((26, 4), (19, 4), (23, 3), (12, 4), (16, 3), (5, 4), (9, 3), (0, 3)))))
     docs += [(20, fill(300)), (21, " ".join(items[9][1].split()[:15])), (22, None), (23, ""), (24, "a tiny item here"), (25, items[0][1]), (25, items[0][1])]
     df = spark.createDataFrame([(*d, 3) for d in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contaminated(df, bench, words_per_pass=words_per_pass).collect()
+    got = decontaminate.contaminated(df, bench, words_shipped=words_shipped).collect()
     want = []
     for i, t in docs:
         for j, s in items:
             a, b = decontaminate.words_of(t), decontaminate.words_of(s)
-            n = min(5, len(b))
-            if b and {tuple(a[k : k + n]) for k in range(len(a) - n + 1)} & {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}:
-                if sum(k for k, _, _ in greedy_by_definition(a, b, min(3, len(b)))) >= 0.8 * len(b):
-                    want.append((i, j))
-    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want) and len(want) == 12
+            if b and sum(k for k, _, _ in greedy_by_definition(a, b, min(3, len(b)))) >= 0.8 * len(b):
+                want.append((i, j))
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(want) and len(want) == 13 and (10, 10) in want
     left = {r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()}
     assert left == {20, 21, 22, 23}
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("words_per_pass", [10, 10**6])
-def test_contamination_by_each_text_of_an_id(spark, words_per_pass):
+@pytest.mark.parametrize("words_shipped", [10, 10**6])
+def test_contamination_by_each_text_of_an_id(spark, words_shipped):
     a, b, c = (" ".join(f"{k}{n}" for n in range(8)) for k in "abc")
     bench = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c)], "item_id long, text string")
     docs = spark.createDataFrame([(10, a), (11, b), (12, c), (13, "clean")], "doc_id long, text string")
-    got = decontaminate.contaminated(docs, bench, words_per_pass=words_per_pass).collect()
+    got = decontaminate.contaminated(docs, bench, words_shipped=words_shipped).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(10, 1), (11, 1), (12, None)]
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [13]
 
@@ -313,6 +445,34 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in html_text.blocks_of("plain")] == ["plain"]
     for long in ("<" * 100_000, "<p " * 50_000, "<a b=" * 50_000, "<div>" * 3000 + "x", "&" * 100_000, "<!--" * 20_000, '<p a="' * 20_000):
         html_text.blocks_of(long)
+    model = html_text.train_pages([])
+    for deep in ("<div>a" * 8_000, "<div>" * 20_000, "<p><object>" + "<div>x" * 10_000, "<li>x" * 10_000):
+        began = time.perf_counter()
+        html_text.main_text(model, deep)
+        assert time.perf_counter() - began < 1.5
+
+
+def best_by_enumeration(model, x):
+    """The labelling of greatest weight, over all."""
+    e = model.emissions(x)
+    weigh = lambda ys: model.first[ys[0]] + sum(e[n, y] for n, y in enumerate(ys)) + sum(model.moves[a, b] for a, b in zip(ys, ys[1:], strict=False))
+    return max(itertools.product((0, 1), repeat=len(x)), key=weigh)
+
+
+def test_main_text_is_the_best_labelling_and_reads_unseen_layouts(spark):
+    """Decoding against all labellings on short pages; layouts that name no article, with blocks of each kind."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()]
+    model = html_text.train_pages(pages)
+    prose = "The ferry left at nine, half an hour late, with the whole school on board and the band still playing."
+    kept = {
+        f"<body><div class='nav-bar'><a href=1>Start</a> <a href=2>Shop</a></div><div class='content'><p>{prose}</p><p>{prose[:40]}.</p></div><div class='footer'>© 2020 Press</div></body>": [prose, prose[:40] + "."],
+        f"<body><section id=story><h2>Ferry leaves late</h2><p>{prose}</p></section><section class=comments><p>Nice one!</p></section></body>": ["Ferry leaves late", prose],
+        f"<body><div id=cookie-consent>We use cookies.</div><main><p>{prose}</p><div class=advert>Buy boots</div><p>{prose}</p></main></body>": [prose, prose],
+    }
+    for page, want in kept.items():
+        found = html_text.blocks_of(page)
+        best = best_by_enumeration(model, html_text.features(found))
+        assert html_text.main_text(model, page) == " ".join(b.text for b, y in zip(found, best, strict=True) if y) == " ".join(want)
 
 
 def test_blocks_without_head_end_and_with_foreign_elements():
