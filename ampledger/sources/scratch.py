@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -58,4 +59,5 @@ def clear(spark: SparkSession) -> None:
 def _clear_at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
-        clear(spark)
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            clear(spark)
