@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ampledger.operators import meter, reconcile, reports, sessions
+from ampledger.sources import scratch
 
 D = dt.date.fromisoformat
 
@@ -103,3 +105,20 @@ def test_peak_table_is_newest_first_and_counts_anomalies(spark):
     assert len(rows[0].asDict()) == 25 and [str(r.billing_period_ending) for r in rows] == ["2026-07-23", "2026-06-23"]
     assert rows[1].anomalies.startswith("MissingKva(2),MissingInterval(") and (rows[1].nbr_of_intervals, rows[1].kwh, rows[1].max_kw) == (2, 4.0, 3.0)
     assert rows[1].max_kw_interval == dt.datetime(2026, 5, 25, 20) and rows[1].max_kw_interval_utc == dt.datetime(2026, 5, 26) and rows[0].max_kw is None
+
+
+def test_intermediate_tables_need_a_shared_folder_and_can_be_cleared(spark, tmp_path):
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Cluster:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Cluster)
+    kept = scratch.written(spark.range(5), "t")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert kept.count() == 5 and os.path.isdir(folder)
+    scratch.clear(spark)
+    assert not os.path.exists(folder)
