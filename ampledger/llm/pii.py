@@ -26,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT = 3  # distinct trusted instances that a pattern needs
 MIN_SCORE = 0.5
-PATTERNS_SHIPPED = 50_000  # patterns that may be shipped to the tasks, some 5 MB
+PATTERNS_SHIPPED = 200_000  # patterns that may be shipped to the tasks, some 40 MB as Python objects
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
