@@ -149,6 +149,7 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return reread(spark.read.parquet(path))
 
 
+UNITS = (72, 38, 61)  # Wh, W and VA: what an export carries
 _LINK = "array<struct<_rel:string,_href:string>>"
 _ENTRY = f"""link {_LINK}, content struct<
   ReadingType:struct<uom:int,powerOfTenMultiplier:int,intervalLength:long>,
@@ -165,8 +166,9 @@ def feed_series(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(series, errors)``: blocks joined to their meter reading and that to its reading type.
 
     A block's meter reading, and a reading's type, is the first related link that leads to
-    one, within the same file. ``errors(path, href, error)``: DanglingLink, NotHourly, or
-    RepeatedUnit where a file has two types of one unit. The series are
+    one, within the same file. ``errors(path, href, error)``: DanglingLink, NotHourly,
+    RepeatedUnit where a file has two types of one unit, and of the three units EmptySeries
+    where one has a type but no reading and AbsentSeries where it has no type. The series are
     ``path, uom, power_of_ten, ts, value, doc_order``.
     """
     rel = lambda name: F.filter("link", lambda x: x["_rel"] == name)
@@ -191,7 +193,12 @@ def feed_series(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     odd = readings.where("uom is not null and not (intervalLength <=> 3600 and r.timePeriod.duration <=> 3600)")
     hourly = odd.select("path", F.col("self").alias("href"), F.lit("NotHourly").alias("error")).distinct()
     twice = types.groupBy("path", "uom").agg(F.count("*").alias("n"), F.max("type").alias("href")).where("n > 1")
-    return series, dangling.unionByName(hourly).unionByName(twice.select("path", "href", F.lit("RepeatedUnit").alias("error")))
+    found = series.select("path", "uom").distinct()
+    empty = types.where(F.col("uom").isin(*UNITS)).join(found, ["path", "uom"], "left_anti").select("path", F.col("type").alias("href"), F.lit("EmptySeries").alias("error"))
+    wanted = entries.select("path").distinct().select("path", F.explode(F.array(*map(F.lit, UNITS))).alias("uom"))
+    absent = wanted.join(types, ["path", "uom"], "left_anti").select("path", F.lit(None).cast("string").alias("href"), F.concat(F.lit("AbsentSeries("), F.col("uom").cast("string"), F.lit(")")).alias("error"))
+    errors = dangling.unionByName(hourly).unionByName(twice.select("path", "href", F.lit("RepeatedUnit").alias("error")))
+    return series, errors.unionByName(empty).unionByName(absent)
 
 
 def meter_series(series: DataFrame, meters: DataFrame | None = None) -> DataFrame:

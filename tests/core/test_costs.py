@@ -183,7 +183,11 @@ def test_feed_links(spark, tmp_path):
     (tmp_path / "f.xml").write_text(f'<feed xmlns="a">{"".join(entries)}</feed>')
     series, errors = files.feed_series(files.feed_entries(spark, str(tmp_path)))
     assert {(r.uom, r.value, r.power_of_ten) for r in series.collect()} == {(72, 83759998, -3), (38, 7, -3)}
-    assert {(r.href, r.error) for r in errors.collect()} == {("b3", "DanglingLink"), ("b4", "NotHourly")}
+    assert {(r.href, r.error) for r in errors.collect()} == {("b3", "DanglingLink"), ("b4", "NotHourly"), ("t61", "EmptySeries")}
+    (tmp_path / "less").mkdir()
+    (tmp_path / "less" / "g.xml").write_text(f'<feed xmlns="a">{entries[0]}{_entry("m1", ["t72"], empty)}{_entry("b1", ["m1"], block(5))}</feed>')
+    _, errors = files.feed_series(files.feed_entries(spark, str(tmp_path / "less")))
+    assert {(r.href, r.error) for r in errors.collect()} == {(None, "AbsentSeries(38)"), (None, "AbsentSeries(61)")}
     wide = meter.readings(files.meter_series(series)).collect()
     assert [(r.kwh, r.kw, r.kva, r.meter_id.endswith("f.xml")) for r in wide] == [(83759998, 7, None, True)]
     named = series.select("path").distinct().withColumn("meter_id", F.lit(5))
