@@ -14,7 +14,7 @@ import numpy as np
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # 64-bit finaliser constants
 
 
-def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
+def mix(keys: np.ndarray, seed: int) -> np.ndarray:
     h = keys + np.uint64(seed)
     h = (h ^ (h >> np.uint64(33))) * _M1
     h = (h ^ (h >> np.uint64(33))) * _M2
@@ -50,7 +50,7 @@ def build(keys: np.ndarray, max_tries: int = 100) -> dict:
     keys = np.unique(keys.astype(np.uint64))
     length, segments = _shape(len(keys))
     for seed in range(1, max_tries + 1):
-        h = _mix(keys, seed * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        h = mix(keys, seed * 0x9E3779B97F4A7C15 & (2**64 - 1))
         order = _peel(_slots(h, length, segments), length * segments)
         if order is not None:
             break
@@ -87,6 +87,6 @@ def _peel(slots: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]] |
 
 
 def contains(f: dict, keys: np.ndarray) -> np.ndarray:
-    h = _mix(keys.astype(np.uint64), f["seed"] * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    h = mix(keys.astype(np.uint64), f["seed"] * 0x9E3779B97F4A7C15 & (2**64 - 1))
     cells, own = np.frombuffer(f["cells"], np.uint8), _slots(h, f["length"], f["segments"])
     return (cells[own[0]] ^ cells[own[1]] ^ cells[own[2]]) == _print(h)

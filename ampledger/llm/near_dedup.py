@@ -1,0 +1,161 @@
+"""Near-duplicates by the similarity of their five-word shingles, found through SimHash fingerprints of their words.
+
+A few edited words move a fingerprint of single words by some three bits of 64, one of five-word
+shingles by ten. So several independent word fingerprints are taken of each text; texts that
+share a Golay key of any of them are candidates, and each candidate pair is verified by the
+exact Jaccard similarity of its shingles. Components of verified pairs follow.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ampledger.llm.common import cut, drop_rows, map_rows, small, variant_of
+from ampledger.llm.components import connected_components
+from ampledger.llm.fuse import mix
+from ampledger.llm.simhash import SEED, fuzzy_keys
+
+SHINGLE = 5
+SIMILARITY = 0.8
+TABLES = 3  # fingerprints of a text
+PAIR_BUCKET = 16  # buckets of more texts are gone through leader by leader
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_fingerprints(words: list[bytes], tables: int = TABLES) -> np.ndarray:
+    """Majority bits of the words' hashes, repeats included, once for each way of mixing the hashes; zeros without words."""
+    out = np.zeros(tables, np.uint64)
+    if not words:
+        return out
+    counts = Counter(words)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+    weights = np.fromiter(counts.values(), np.int64, len(counts))
+    with np.errstate(over="ignore"):
+        for t in range(tables):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(hashes), 8192):
+                bits = np.unpackbits(mix(hashes[at : at + 8192], t + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones += weights[at : at + 8192] @ bits
+            out[t] = np.packbits(ones * 2 > len(words), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def shingles_of(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Distinct XXH64 of the runs of ``size`` words, of all words if there are fewer; none without words."""
+    if not words:
+        return np.zeros(0, np.int64)
+    runs = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64)).view(np.int64)
+
+
+def _sketch() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, fps = [], []
+        for text in batch.column(1).to_pylist():
+            words = _words(text)
+            nodes.append(hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest())
+            fps.append(word_fingerprints(words).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "variant", "node", "fps"])
+
+    return each
+
+
+def _keys() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(batch.num_rows, -1)
+        owners, keys = [], []
+        for t in range(fps.shape[1]):
+            owner, key = fuzzy_keys(np.ascontiguousarray(fps[:, t]).view(np.uint64))
+            owners.append(owner)
+            keys.append(key | np.int64(t) << 40)
+        at = pa.array(np.concatenate(owners))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(keys))], ["node", "key"])
+
+    return each
+
+
+def _shingle_sets(size: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles_of(_words(t), size) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+        return each
+
+    return make
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(a, b)`` whose sets have that Jaccard similarity; sizes are compared before the sets are."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    n, m = F.size("x"), F.size("y")
+    near = pairs.join(left, "a").join(right, "b").where(F.least(n, m) >= similarity * F.greatest(n, m))
+    both = F.size(F.array_intersect("x", "y"))
+    return near.where(both >= similarity * (n + m - both)).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """Verified links ``(a, b)`` among ``nodes(node, fps)`` that share a key; ``sets_of`` gives ``node, shingles`` of some nodes.
+
+    Buckets of up to ``pair_bucket`` texts are joined with themselves. In a larger one all are
+    compared with its least text; those similar to it are linked and leave, and the rest goes on
+    in the same way until it is small, so that a bucket of copies is gone through once and no
+    text leaves unlinked before it has met all others that are left.
+    """
+    keys = cut(map_rows(nodes.select("node", "fps"), _keys, "node string, key long"), "near-keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    left = cut(keys.join(shared, "key"), "near-buckets")
+    sets = cut(sets_of(left.select("node").distinct()), "near-sets")
+    links = None
+    while True:
+        sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
+        sized = cut(left.join(sizes, "key"), "near-sized")
+        few, many = sized.where(F.col("n") <= pair_bucket), sized.where(F.col("n") > pair_bucket)
+        pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
+        stars = many.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        found = cut(_verified(pairs.select("a", "b").unionByName(stars).distinct(), sets, similarity), "near-links")
+        links = found if links is None else links.unionByName(found)
+        if many.isEmpty():
+            return links
+        met = found.select(F.col("a").alias("lead"), F.col("b").alias("node"))
+        left = cut(many.where("node <> lead").join(met, ["lead", "node"], "left_anti").select("key", "node"), "near-rest")
+
+
+def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """``docs`` with one row of each group of similar texts, the one with the least id; schema unchanged.
+
+    Words are as op2 has them. Texts of the same words are one group; others are linked by verified
+    similarity, and groups are what links connect. Of several texts with the least id the one
+    with the least XXH64 stays; a null id stays only where the group has no other. Rows that
+    repeat both that id and that text all stay. Null, empty and wordless texts are one group; texts
+    of fewer words than a shingle are similar to those of the same words only.
+    """
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", variant_of("text").alias("variant"))
+    marked = cut(map_rows(picked, _sketch, "doc_id long, variant long, node string, fps array<long>"), "near-marks")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "variant")
+    nodes = cut(marked.groupBy("node").agg(F.first("fps").alias("fps"), F.min(row).alias("least")), "near-nodes")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        told = nodes.join(some, "node", "left_semi").select("node", F.col("least.doc_id").alias("_id"), F.col("least.variant").alias("_variant"))
+        told = small(told)
+        texts = picked.join(told, picked["doc_id"].eqNullSafe(told["_id"]) & (picked["variant"] == told["_variant"]))
+        return map_rows(texts.select("node", "text"), _shingle_sets(shingle), "node string, shingles array<long>").dropDuplicates(["node"])
+
+    roots = connected_components(similar_links(nodes, sets_of, similarity, pair_bucket))
+    rooted = cut(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    named = small(rooted.join(kept, "root").select("node", "kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("variant") == F.col("kept.variant"))
+    return drop_rows(docs, marked.join(named, "node").where(~same))

@@ -1,0 +1,92 @@
+import random
+
+import pytest
+
+from ampledger.llm import near_dedup
+
+SF = "/root/testdata/sf0.01"
+
+
+def jaccard(a, b):
+    x, y = (set(near_dedup.shingles_of(near_dedup._words(t)).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def components(texts, similarity):
+    """Least id of all that links of that similarity reach, by comparing all pairs that share a shingle."""
+    sets = {i: set(near_dedup.shingles_of(near_dedup._words(t)).tolist()) for i, t in texts.items()}
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for j in {j for x in s for j in by[x] if j < i}:
+            if len(s & sets[j]) >= similarity * len(s | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("pair_bucket", [2, 16])
+def test_planted_copies_go_and_others_stay(spark, pair_bucket):
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = {}
+    for _ in range(100):
+        words = rnd.choices(vocab, k=rnd.randrange(30, 400))
+        texts[len(texts)] = " ".join(words)
+        for _ in range(2):
+            copy = list(words)
+            for _ in range(rnd.randint(1, max(1, len(words) // 60))):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocab)
+            texts[len(texts)] = " ".join(copy)
+    hot = rnd.choices(vocab, k=200)
+    for _ in range(60):
+        copy = list(hot)
+        copy[rnd.randrange(200)] = rnd.choice(vocab)
+        texts[len(texts)] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.drop_similar(df, pair_bucket=pair_bucket).collect()}
+    root = components(texts, 0.8)
+    copies = {i for i, r in root.items() if i != r}
+    assert len(copies) > 150 and not kept.isdisjoint(set(texts) - copies) and set(texts) - copies <= kept
+    assert len(copies - kept) >= 0.95 * len(copies)
+
+
+def test_recall_on_the_given_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    kept = {r.doc_id for r in near_dedup.drop_similar(docs).collect()}
+    words = {}
+    for i, t in sorted(texts.items()):
+        words.setdefault(b" ".join(near_dedup._words(t)), i)
+    root = components({i: texts[i] for i in words.values()}, 0.8)
+    stay = {i for i, r in root.items() if i == r}
+    assert stay <= kept and len(kept - stay) <= 0.1 * (len(root) - len(stay)) + 1
+
+
+def test_odd_rows(spark):
+    rows = [(4, None), (3, ""), (None, " \n"), (9, "one two"), (8, "One  TWO"), (7, "two one"), (6, "one two"), (6, "one two"), (None, "alone")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, least int")
+    kept = near_dedup.drop_similar(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone"), (3, ""), (6, "one two"), (6, "one two"), (7, "two one")]
+    assert near_dedup.drop_similar(df.limit(0)).count() == 0
+
+
+def test_word_fingerprints_by_definition():
+    import xxhash
+
+    words = b"a b c a d e a".split()
+    with_seed = near_dedup.mix(near_dedup.np.array([xxhash.xxh64_intdigest(w, near_dedup.SEED) for w in words], near_dedup.np.uint64), 2)
+    want = sum(1 << k for k in range(64) if sum(int(h) >> k & 1 for h in with_seed) * 2 > len(words))
+    assert int(near_dedup.word_fingerprints(words)[1]) == want
+    assert near_dedup.word_fingerprints([]).tolist() == [0, 0, 0] and near_dedup.shingles_of([]).tolist() == []
+    assert jaccard("a b c d e f", "A b  c d e f") == 1.0 and jaccard("a b", "b a") == 0.0
