@@ -11,7 +11,7 @@ from ampledger.llm.bpe import encoding_digests, tokenizer_path
 from ampledger.llm.common import cut, table
 from ampledger.llm.decontaminate import drop_contaminated
 from ampledger.llm.exact_dedup import drop_exact_duplicates
-from ampledger.llm.simhash import drop_near_duplicates
+from ampledger.llm.near_dedup import drop_similar
 from ampledger.llm.toxicity import drop_toxic
 
 
@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of texts whose five-word shingles are similar to 0.8 or more the document with the least id stays."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
