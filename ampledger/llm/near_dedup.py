@@ -2,8 +2,8 @@
 
 A few edited words move a fingerprint of single words by some three bits of 64, one of five-word
 shingles by ten. So several independent word fingerprints are taken of each text; texts that
-share a Golay key of any of them are candidates, and each candidate pair is verified by the
-exact Jaccard similarity of its shingles. Components of verified pairs follow.
+share a Golay key of any of them are candidates, and a link is a candidate pair that the exact
+Jaccard similarity of its shingles verifies. Components of links follow.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from ampledger.llm.common import cut, drop_rows, map_rows, small, variant_of
 from ampledger.llm.components import connected_components
 from ampledger.llm.fuse import mix
-from ampledger.llm.simhash import SEED, fuzzy_keys
+from ampledger.llm.simhash import SEED, fuzzy_keys, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 3  # fingerprints of a text
 PAIR_BUCKET = 16  # buckets of more texts are gone through leader by leader
+LEADERS = 3  # of a crowded bucket
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -85,11 +86,20 @@ def _keys() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return each
 
 
+def _majority(shingles: np.ndarray) -> int:
+    """Fingerprint of a set of shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 8192):
+        ones += np.unpackbits(shingles[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def _shingle_sets(size: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles_of(_words(t), size) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            fps = pa.array([_majority(x) for x in sets], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), fps], ["node", "shingles", "fp"])
 
         return each
 
@@ -107,30 +117,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Verified links ``(a, b)`` among ``nodes(node, fps)`` that share a key; ``sets_of`` gives ``node, shingles`` of some nodes.
+    """Verified links ``(a, b)`` among ``nodes(node, fps)`` that share a key; ``sets_of`` gives ``node, shingles, fp`` of some nodes.
 
     Buckets of up to ``pair_bucket`` texts are joined with themselves. In a larger one all are
     compared with its least text; those similar to it are linked and leave, and the rest goes on
-    in the same way until it is small, so that a bucket of copies is gone through once and no
-    text leaves unlinked before it has met all others that are left.
+    in the same way, so that a bucket of copies is gone through in a round or two. Texts of a
+    bucket that is still crowded after LEADERS rounds share most words with many others and
+    are similar to few: they are linked where the fingerprints of their shingles lie within two
+    bits, by op2's keys, and verified too. No pairs within a crowded bucket are written out.
     """
     keys = cut(map_rows(nodes.select("node", "fps"), _keys, "node string, key long"), "near-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     left = cut(keys.join(shared, "key"), "near-buckets")
     sets = cut(sets_of(left.select("node").distinct()), "near-sets")
     links = None
-    while True:
+    for k in range(LEADERS + 1):
         sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1")
         sized = cut(left.join(sizes, "key"), "near-sized")
         few, many = sized.where(F.col("n") <= pair_bucket), sized.where(F.col("n") > pair_bucket)
         pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")
-        stars = many.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        found = cut(_verified(pairs.select("a", "b").unionByName(stars).distinct(), sets, similarity), "near-links")
+        if k < LEADERS:
+            more = many.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        else:
+            more = _close_fingerprints(sets.join(many.select("node").distinct(), "node", "left_semi").select("node", "fp"))
+        found = cut(_verified(pairs.select("a", "b").unionByName(more).distinct(), sets, similarity), "near-links")
         links = found if links is None else links.unionByName(found)
-        if many.isEmpty():
+        if k == LEADERS or many.isEmpty():
             return links
         met = found.select(F.col("a").alias("lead"), F.col("b").alias("node"))
         left = cut(many.where("node <> lead").join(met, ["lead", "node"], "left_anti").select("key", "node"), "near-rest")
+    return links
+
+
+def _close_fingerprints(texts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``texts(node, fp)``: each text with the least of its fingerprint, and these where fingerprints are linked."""
+    texts = cut(texts, "near-crowded")
+    least = cut(texts.groupBy("fp").agg(F.min("node").alias("lead")), "near-leads")
+    same = texts.join(least, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    ends = near_links(least.select("fp")).toDF("_a", "_b")
+    first, second = least.toDF("_a", "a"), least.toDF("_b", "b")
+    return same.unionByName(ends.join(first, "_a").join(second, "_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
@@ -151,7 +177,7 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         told = nodes.join(some, "node", "left_semi").select("node", F.col("least.doc_id").alias("_id"), F.col("least.variant").alias("_variant"))
         told = small(told)
         texts = picked.join(told, picked["doc_id"].eqNullSafe(told["_id"]) & (picked["variant"] == told["_variant"]))
-        return map_rows(texts.select("node", "text"), _shingle_sets(shingle), "node string, shingles array<long>").dropDuplicates(["node"])
+        return map_rows(texts.select("node", "text"), _shingle_sets(shingle), "node string, shingles array<long>, fp long").dropDuplicates(["node"])
 
     roots = connected_components(similar_links(nodes, sets_of, similarity, pair_bucket))
     rooted = cut(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")

@@ -60,6 +60,19 @@ def test_planted_copies_go_and_others_stay(spark, pair_bucket):
     assert len(copies - kept) >= 0.95 * len(copies)
 
 
+def test_a_crowded_bucket_of_texts_that_are_not_similar(spark):
+    """A template fills most of each text, too little for similarity; two of the texts are copies but for one word."""
+    rnd = random.Random(7)
+    vocab = [f"w{k}" for k in range(3000)]
+    template = rnd.choices(vocab[:60], k=400)
+    own = [rnd.choices(vocab, k=90) for _ in range(80)]
+    texts = {k: " ".join(template + o) for k, o in enumerate(own)}
+    texts[80] = " ".join(template + own[40][:-1] + ["other"])
+    assert 0.6 < jaccard(texts[0], texts[1]) < 0.8
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.drop_similar(df).collect()} == set(range(80))
+
+
 def test_recall_on_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
