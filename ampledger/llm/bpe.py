@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ampledger.llm.common import map_rows, table
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 300_000  # per task; the cache starts anew beyond that
+CACHE_WORDS = 120_000  # of a Python worker, some 80 MB with the fragments; the cache starts anew beyond that
 SHORT = 64  # bytes of a fragment that is merged over a list
 _BITS = 20
 _MASK, _NONE = (1 << _BITS) - 1, 1 << 62

@@ -13,6 +13,7 @@ from ampledger.sources.scratch import written
 #: Rows and bytes that whole-text operators hold as Python objects at once: texts may be 100 kB
 #: each, and two Python workers share an executor.
 PIECE_ROWS, PIECE_BYTES = 512, 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +50,13 @@ def map_rows(
 ) -> DataFrame:
     """mapInArrow with a function that ``make`` builds once per task (tables, caches).
 
-    Spark bounds a batch that it sends by bytes; the function sees it in smaller pieces.
+    Spark bounds a batch that it sends by bytes; the function sees it in smaller pieces. Where the
+    session leaves Spark's default of 10,000 rows a batch, it is set to PIECE_ROWS, as JVM and
+    Python both hold a batch of every task; a value of the caller's own stays.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH, str(PIECE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
