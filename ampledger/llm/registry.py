@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ampledger.llm import bpe, decontaminate, exact_dedup, html_text, pii, quality, repeats, simhash, token_counts, toxicity, url_filter, whitening
+from ampledger.llm import bpe, collocations, decontaminate, exact_dedup, html_text, pii, quality, repeats, simhash, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocations.op11_collocations,
     "op12_repeats": repeats.op12_repeats,
     "op13_whitening": whitening.op13_whitening,
 }
 
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_url_filter": url_filter.OP6_SQL}
+SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_url_filter": url_filter.OP6_SQL, "op11_collocations": collocations.OP11_SQL}
