@@ -31,6 +31,7 @@ from ampledger.llm.repeats import _words
 LEAST, LONGEST, PLACES = 100, 5, 2000
 FIRST_LIMIT = 64  # at first, words that are up to one in so many are expanded
 CHUNK = 4 << 20  # bytes of text counted at once, about
+HELD_ROWS = 600_000  # counts of phrases that a task holds before it sends them
 PIECE_MARKS = rb"[.,;:!?\x0a-\x0d]"
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -173,11 +174,20 @@ def _rows(columns: list[np.ndarray], *edges: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in out], [*_W, "n", "p0", "p1", "n0", "n1"][: len(out)])
 
 
+def _combined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Rows of ``_rows`` with edges, equal words together."""
+    columns = [np.concatenate([p.column(j).to_numpy() for p in parts]) for j in range(LONGEST + 5)]
+    order, at = _groups([c.view(np.uint64) for c in columns[:LONGEST]])
+    out = [c[order[at]] for c in columns[:LONGEST]] + [np.add.reduceat(columns[LONGEST][order], at)]
+    out += [f.reduceat(columns[LONGEST + 1 + j][order], at) for j, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in out], parts[0].schema.names)
+
+
 def _count_around(bits, salt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the phrases in ``bits`` of two to four words, and the least and greatest word before and after; zero: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
+        held, parts = np.frombuffer(bits.value, np.uint8), []
         for block in _blocks(_texts(batches)):
             _, _, _, piece, _, number = _tokens(block, salt)
             if not len(number):
@@ -190,7 +200,13 @@ def _count_around(bits, salt: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     break
                 prefix = _grown(prefix[:-1], number[k - 1 :])
                 on = np.flatnonzero((piece[k - 1 :] == piece[: len(number) - k + 1]) & _in(held, prefix))
-                yield _rows([number[on + j] for j in range(k)], before[on], after[on + k - 1])
+                parts.append(_rows([number[on + j] for j in range(k)], before[on], after[on + k - 1]))
+            if sum(p.num_rows for p in parts) > HELD_ROWS:
+                parts = [_combined(parts)]
+                if parts[0].num_rows > HELD_ROWS // 2:
+                    yield parts.pop()
+        if any(p.num_rows for p in parts):
+            yield _combined(parts)
 
     return run
 

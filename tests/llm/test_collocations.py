@@ -48,6 +48,7 @@ def prose(rng, n):
 def test_ranked_by_definition(spark, monkeypatch, places, first_limit):
     rng = random.Random(places)
     monkeypatch.setattr(C, "CHUNK", 5000)
+    monkeypatch.setattr(C, "HELD_ROWS", 600_000 if places > 10 else 150)
     rows = [(rng.choice(["en", "fr", None]), prose(rng, rng.randint(1, 500))) for _ in range(60)]
     rows += [("en", None), ("de", "one Ünd two"), ("", "q q q"), ("fr", "É" * 100 + " " + "y" * 300), ("xx", "a" * 90 + " b " + "a" * 90 + " b")]
     df = spark.createDataFrame([(1, lang, t, 2, "z") for lang, t in rows], SCHEMA)
