@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ampledger.llm.common import BROADCAST_ROWS, cut, map_rows, table, text_of, variant_of
 from ampledger.llm.decontaminate import FILTER_BITS, _filter_of
+from ampledger.sources.scratch import release
 
 LENGTH = 100  # bytes of a repeated string
 TRIGGER = 8  # bytes of a trigger
@@ -341,14 +342,14 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, group_rows: int = GR
     counts = map_rows(texts.select(bytes_of.alias("text")), _key_counts(length), "seed long, n long")
     shared = cut(counts.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "shared-halves")
     bits = texts.sparkSession.sparkContext.broadcast(_filter_of(shared))
+    release(shared)
     rows = map_rows(
         texts.select("doc_id", "variant", bytes_of.alias("text")),
         _phrase_rows(bits, length),
         f"{_ID}, a long, b long, t int, key long, digest binary, x binary",
     )
-    rows = cut(rows.withColumn("no_id", F.col("doc_id").isNull()), "phrases")
-    found = rows.where("digest is null")
-    rows = rows.where("digest is not null")
+    held = cut(rows.withColumn("no_id", F.col("doc_id").isNull()), "phrases")
+    found, rows = held.where("digest is null"), held.where("digest is not null")
     distinct = cut(rows.groupBy("digest", "key", "t", "x").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "dictionary")
     repeated = distinct.where("n > 1").select("digest", "first")
     copies = rows.drop("x").join(repeated, "digest").where(_elsewhere("first"))
@@ -364,7 +365,9 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, group_rows: int = GR
     told = strings.join(least.select("digest", "first"), "digest").where(_elsewhere("first"))
     names = ["doc_id", "variant", "a", "b"]
     parts = [found.select(*names), copies.select(*names), ordered, told.select("doc_id", "variant", "a", F.col("a").alias("b"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct()
+    starts = cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct(), "starts")
+    release(held, distinct, met)
+    return starts
 
 
 def merged(starts: np.ndarray, lasts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +414,7 @@ def without_repeats(
     first stays. An empty table gives an empty result; other columns are not read.
     """
     marked = _marked(docs, id_col, text_col)
-    starts = cut(repeated_starts(marked.where("not copy").drop("copy"), length, group_rows), "starts")
+    starts = repeated_starts(marked.where("not copy").drop("copy"), length, group_rows)
     lists = starts.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), F.col("found.a").alias("a"), F.col("found.b").alias("b"))
     lists = F.broadcast(lists) if starts.count() * 48 <= SPANS_BYTES else lists.hint("shuffle_hash")
