@@ -62,22 +62,24 @@ def peak_hours(figures: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "basis", F.when(F.col("complete"), F.col("interval_start")).alias("interval_start"), error.alias("error"))
 
 
-def peak_power(figures: DataFrame, sessions: DataFrame) -> DataFrame:
+def peak_power(figures: DataFrame, sessions: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     """For each billed maximum of ``period_figures`` the load estimates of the hour it was measured in.
 
-    An hour that several maxima share is estimated once; null estimates come with ``error``.
+    An hour that several maxima share is estimated once; null estimates come with ``error``. Periods that the
+    session reports do not cover, by ``coverage_errors``, are refused: what charged in such an hour is not known.
     """
-    hours = peak_hours(figures)
+    hours = gated(peak_hours(figures), coverage, ["interval_start"])
     asked = hours.where("interval_start is not null").select("site_id", "interval_start", F.lit(3600).alias("interval_s")).distinct()
     best = best_segments(estimates(segment_aggregates(asked, sessions)), digits=None)
     best = best.withColumn("interval_start", F.unix_seconds(F.col("interval_start").cast("timestamp")))
     return hours.join(best, ["site_id", "interval_start"], "left")
 
 
-def delivery_cost(power: DataFrame, bills: DataFrame, day: int = DEFAULT.bill_end_day) -> DataFrame:
+def delivery_cost(power: DataFrame, bills: DataFrame, day: int = DEFAULT.bill_end_day, coverage: DataFrame | None = None) -> DataFrame:
     """The three demand lines, each at the middle of its own hour's energy-based bracket, prorated to thirty days.
 
-    ``error``: NotABillingPeriodEnding for a bill off the cycle, NoBill, NotMetered,
+    ``error``: NotABillingPeriodEnding for a bill off the cycle, UndatedReport or ReportsDoNotCover by
+    ``coverage`` (of ``coverage_errors``, for the periods of both sides), NoBill, NotMetered,
     PeriodNotFullyCovered, NoPeak of a basis, or ZeroDenominator of a figure; charges are then null.
     """
 
@@ -86,11 +88,13 @@ def delivery_cost(power: DataFrame, bills: DataFrame, day: int = DEFAULT.bill_en
 
     demand = power.groupBy(*KEYS).agg(
         mid("kva", "kva").alias("ev_kva"), mid("kw", "kw").alias("ev_kw"), mid("kw77", "kw").alias("ev_kw77"),
-        F.max(F.when(F.col("error") == "PeriodNotFullyCovered", F.col("error"))).alias("refused"),
+        F.max(F.when(~F.col("error").startswith("NoPeak"), F.col("error"))).alias("refused"),
     )
     rows = bills.withColumn("billed", F.lit(True)).join(demand.withColumn("metered", F.lit(True)), KEYS, "full")
     none = F.coalesce(*(F.when(F.col(f"ev_{b}").isNull(), f"NoPeak({b})") for b in ("kva", "kw", "kw77")))
-    error = F.when(_off_cycle(day), "NotABillingPeriodEnding").when(F.col("billed").isNull(), "NoBill").when(F.col("metered").isNull(), "NotMetered")
+    rows = gated(rows, coverage, [])
+    error = F.when(_off_cycle(day), "NotABillingPeriodEnding").otherwise(F.col("error"))
+    error = F.coalesce(error, F.when(F.col("billed").isNull(), "NoBill").when(F.col("metered").isNull(), "NotMetered"))
     error = F.coalesce(error, F.col("refused"), none, _zero("adj_kva", "adj_kw", "adj_peak_7_7_kw", "total_electricity_charges"))
     rows = rows.withColumn("error", error)
     lines = {

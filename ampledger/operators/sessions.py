@@ -33,7 +33,8 @@ def resolve_times(rows: DataFrame) -> DataFrame:
 
     a, b = explains(early), explains(late)
     cases = (
-        F.when(~folded & gap, F.array(case(early, "", "DstGapShifted")))
+        F.when(early.isNull(), F.array(case(early, "", None)))
+        .when(~folded & gap, F.array(case(early, "", "DstGapShifted")))
         .when(~folded, F.array(case(early, "", None)))
         .when(a & b, F.array(case(early, "-EDT", "DstAmbiguousDuplicated"), case(late, "-EST", "DstAmbiguousDuplicated")))
         .when(b, F.array(case(late, "", None)))
@@ -80,8 +81,12 @@ def avg_kw(cfg: SiteConfig = DEFAULT) -> Column:
 def flag_sessions(rows: DataFrame, cfg: SiteConfig = DEFAULT) -> DataFrame:
     """Resolved sessions with adjusted span, ``avg_kw``, ``anomalies`` in their fixed order and ``bucket``.
 
-    bucket: excluded if the duration is inconsistent, spike without active time, else session.
+    bucket: excluded if the duration is inconsistent, spike without active time, else session; none where
+    a figure is null, so that no such row is ever counted. Rows that still carry ``parse_error`` are not taken: the
+    files with a bad cell are to be refused first, by ``quarantine``.
     """
+    if "parse_error" in rows.columns:
+        raise ValueError("refuse the files with a bad cell first: sources.session_reports.quarantine")
     rows = adjusted(resolve_times(rows))
     zero, fits = F.col("charge_s") == 0, duration_fits()
     flags = F.array(
@@ -95,24 +100,34 @@ def flag_sessions(rows: DataFrame, cfg: SiteConfig = DEFAULT) -> DataFrame:
         {
             "avg_kw": avg_kw(cfg),
             "anomalies": F.filter(flags, lambda f: f.isNotNull()),
-            "bucket": F.when(~fits, "excluded").when(zero, "spike").otherwise("session"),
+            "bucket": F.when(_whole(), F.when(~fits, "excluded").when(zero, "spike").otherwise("session")),
         }
     ).drop("dst")
 
 
+def _whole() -> Column:
+    """No figure of the row is null."""
+    return F.col("energy").isNotNull() & F.col("charge_s").isNotNull() & F.col("dur_s").isNotNull() & F.col("start_utc").isNotNull() & F.col("end_utc").isNotNull()
+
+
+def _given(rows: DataFrame) -> list[Column]:
+    """The order of files: by ``position`` where rows have one, files without it last, then by path."""
+    return [F.col("position").asc_nulls_last(), F.col("path")] if "position" in rows.columns else [F.col("path")]
+
+
 _BUCKETS = {"session": 0, "spike": 1, "excluded": 2}
 
 
 def deduplicate(flagged: DataFrame) -> DataFrame:
     """One row of each set that agrees in site, id, adjusted span, active time and energy: the first in merge order.
 
-    Merge order is file, then bucket, then row. Energies that are not numbers never agree.
+    Merge order is file, then bucket, then row; files are in the order given by ``position``, or that of their paths. Energies that are not numbers never agree.
     ``duplicate_id`` marks every row whose (site, id) is left more than once.
     """
     rank = F.create_map(*(F.lit(x) for kv in _BUCKETS.items() for x in kv))[F.col("bucket")]
     odd = F.when(F.isnan("energy"), F.concat_ws(":", "path", F.col("row").cast("string")))
     same = Window.partitionBy("site_id", "id", "adj_start", "adj_end", "charge_s", "energy", odd)
-    first = F.row_number().over(same.orderBy("path", rank, "row"))
+    first = F.row_number().over(same.orderBy(*_given(flagged), rank, "row"))
     kept = flagged.withColumn("nth", first).where("nth = 1").drop("nth")
     return kept.withColumn("duplicate_id", F.count("*").over(Window.partitionBy("site_id", "id")) > 1)
 
@@ -143,6 +158,7 @@ def off_grid_summary(flagged: DataFrame) -> DataFrame:
 def sources(merged: DataFrame) -> DataFrame:
     """``site_id, nth, path, n_sessions``: the files that each site's sessions are from, in the order in which they first come up."""
     rank = F.create_map(*(F.lit(x) for kv in _BUCKETS.items() for x in kv))[F.col("bucket")]
-    each = merged.groupBy("site_id", "path").agg(F.min(F.struct(F.col("path").alias("p"), rank.alias("b"), "row")).alias("at"), F.count("*").alias("n_sessions"))
+    given = [F.coalesce("position", F.lit(2**62)).alias("at")] if "position" in merged.columns else []
+    each = merged.groupBy("site_id", "path").agg(F.min(F.struct(*given, F.col("path").alias("p"), rank.alias("b"), "row")).alias("at"), F.count("*").alias("n_sessions"))
     nth = F.row_number().over(Window.partitionBy("site_id").orderBy("at"))
     return each.select("site_id", nth.cast("long").alias("nth"), "path", "n_sessions")

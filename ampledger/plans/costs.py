@@ -13,9 +13,10 @@ from ampledger.operators import sessions as S
 from ampledger.operators.requests import checked_intervals
 from ampledger.plans import core as K
 from ampledger.sources import adapters as A
-from ampledger.sources.files import DERIVED, reread, type_sessions
+from ampledger.sources.files import DERIVED, reread
 from ampledger.sources.files import session_table as session_columns
 from ampledger.sources.scratch import written
+from ampledger.sources.session_reports import type_sessions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -159,12 +160,13 @@ def energy_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: CTEs up to ``power``: estimates of the hour of each billed maximum.
-POWER_SQL = f"""{A.hours_sql(K.sql_ending)}, hl AS (SELECT *, {K.sql_local("ts")} AS w FROM site_hours), hd AS (SELECT *, CAST(w AS DATE) AS wd, hour(w) AS wh FROM hl),
+POWER_SQL = f"""{A.hours_sql(K.sql_ending)}, {A.GATE_SQL}, hl AS (SELECT *, {K.sql_local("ts")} AS w FROM site_hours), hd AS (SELECT *, CAST(w AS DATE) AS wd, hour(w) AS wh FROM hl),
 hb AS (SELECT *, {K.sql_band("wd", "wh")} AS tou, {K.sql_ending("ts")} AS period_ending FROM hd),
 pk AS (SELECT meter_id AS site_id, period_ending, first(ts ORDER BY kva DESC, ts) AS kva_at, first(ts ORDER BY kw DESC, ts) AS kw_at,
     first(ts ORDER BY kw DESC, ts) FILTER (tou <> 'OffPeak') AS kw77_at, count(*) = 24 * date_diff('day', CAST(period_ending - INTERVAL 1 MONTH AS DATE), period_ending) AS complete FROM hb GROUP BY meter_id, period_ending),
 pi AS (SELECT site_id, period_ending, complete, unnest([{{'basis': 'kva', 'found_at': kva_at}}, {{'basis': 'kw', 'found_at': kw_at}}, {{'basis': 'kw77', 'found_at': kw77_at}}], recursive := true) FROM pk),
-ph AS (SELECT site_id, period_ending, basis, CASE WHEN complete THEN found_at END AS peak_at, CASE WHEN NOT complete THEN 'PeriodNotFullyCovered' WHEN found_at IS NULL THEN 'NoPeak(' || basis || ')' END AS no_power FROM pi),
+ph AS (SELECT site_id, period_ending, basis, CASE WHEN complete AND refused IS NULL THEN found_at END AS peak_at,
+    CASE WHEN refused IS NOT NULL THEN refused WHEN NOT complete THEN 'PeriodNotFullyCovered' WHEN found_at IS NULL THEN 'NoPeak(' || basis || ')' END AS no_power FROM pi LEFT JOIN gate USING (site_id, period_ending)),
 {K.segments_sql("SELECT DISTINCT site_id, CAST(epoch(peak_at) AS BIGINT) AS interval_start FROM ph WHERE peak_at IS NOT NULL")},
 es AS (SELECT *, {K._sql_estimates()} FROM sa),
 best AS (SELECT site_id, interval_start, {K._sql_best("{}")} FROM es GROUP BY site_id, interval_start),
@@ -173,11 +175,17 @@ _FIGURES = [f"{w}_{u}_{e}" for w in ("energy", "count") for u in ("kw", "kva") f
 
 
 def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.peak_power(_figures(spark, sf_dir), _counted(spark, sf_dir))
+    """Maxima are cut once and written, as their hours are used twice: to be asked for, and to be answered."""
+    figures = _figures(spark, sf_dir)
+    return C.peak_power(figures, _counted(spark, sf_dir), _gate(spark, sf_dir, _periods(figures)))
 
 
 def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meter.period_figures(meter.fill_gaps(A.site_hours(spark, sf_dir)))
+    return written(meter.period_figures(meter.fill_gaps(A.site_hours(spark, sf_dir))), "figures")
+
+
+def _periods(figures: DataFrame) -> DataFrame:
+    return figures.select(F.col("meter_id").alias("site_id"), "period_ending")
 
 
 @query(f"""WITH {K.PARTS_SQL}, {POWER_SQL} SELECT site_id, period_ending, basis, peak_at, energy_segment, count_segment, {sql_six(*_FIGURES)}, no_power AS error FROM power""")
@@ -190,9 +198,9 @@ def peak_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 _mid = lambda basis, unit: f"max(CASE WHEN basis = '{basis}' THEN (energy_{unit}_min + energy_{unit}_max) / 2 END)"
 DELIVERY_SQL = f"""
 dm AS (SELECT site_id, period_ending, {_mid("kva", "kva")} AS ev_kva, {_mid("kw", "kw")} AS ev_kw, {_mid("kw77", "kw")} AS ev_kw77,
-    max(no_power) FILTER (no_power = 'PeriodNotFullyCovered') AS lacking, true AS metered FROM power GROUP BY ALL),
-dc0 AS (SELECT *, CASE WHEN day(period_ending) <> 23 THEN 'NotABillingPeriodEnding' WHEN n IS NULL THEN 'NoBill' WHEN metered IS NULL THEN 'NotMetered' WHEN lacking IS NOT NULL THEN lacking
-    WHEN ev_kva IS NULL THEN 'NoPeak(kva)' WHEN ev_kw IS NULL THEN 'NoPeak(kw)' WHEN ev_kw77 IS NULL THEN 'NoPeak(kw77)' END AS error FROM bills FULL JOIN dm USING (site_id, period_ending)),
+    max(no_power) FILTER (no_power NOT LIKE 'NoPeak%') AS lacking, true AS metered FROM power GROUP BY ALL),
+dc0 AS (SELECT *, CASE WHEN day(period_ending) <> 23 THEN 'NotABillingPeriodEnding' WHEN refused IS NOT NULL THEN refused WHEN n IS NULL THEN 'NoBill' WHEN metered IS NULL THEN 'NotMetered' WHEN lacking IS NOT NULL THEN lacking
+    WHEN ev_kva IS NULL THEN 'NoPeak(kva)' WHEN ev_kw IS NULL THEN 'NoPeak(kw)' WHEN ev_kw77 IS NULL THEN 'NoPeak(kw77)' END AS error FROM bills FULL JOIN dm USING (site_id, period_ending) LEFT JOIN gate USING (site_id, period_ending)),
 dc2 AS (SELECT *, CASE WHEN error IS NULL THEN distribution_charges / adj_kva * ev_kva * (days / 30) END AS distribution,
     CASE WHEN error IS NULL THEN transmission_connection_charge / adj_kw * ev_kw * (days / 30) END AS connection,
     CASE WHEN error IS NULL THEN transmission_network_charge / adj_peak_7_7_kw * ev_kw77 * (days / 30) END AS network FROM dc0),
@@ -203,7 +211,10 @@ _DC = ("ev_kva", "ev_kw", "ev_kw77", "distribution", "connection", "network", "c
 
 
 def _delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.delivery_cost(_power(spark, sf_dir), A.bills(spark, sf_dir))
+    bills, figures = written(A.bills(spark, sf_dir), "bills"), _figures(spark, sf_dir)
+    gate = written(_gate(spark, sf_dir, _periods(figures).union(bills.select(*C.KEYS))), "gate")
+    power = C.peak_power(figures, _counted(spark, sf_dir), gate)
+    return C.delivery_cost(power, bills, coverage=gate)
 
 
 @query(f"WITH {K.PARTS_SQL}, {POWER_SQL}, {BILLS_SQL}, {DELIVERY_SQL} SELECT site_id, period_ending, {sql_six(*_DC)}, error FROM dc")
@@ -214,7 +225,7 @@ def delivery_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: CTE ``rec``: each stretch's energy at its rates; a day takes the last rate effective by then, or the opening one.
 RECOVERY_SQL = f"""
-{A.RATES_SQL}, {A.GATE_SQL},
+{A.RATES_SQL},
 sp AS (SELECT site_id, period_ending, CAST(period_ending - INTERVAL 1 MONTH AS DATE) + 1 AS begins FROM (SELECT DISTINCT site_id, period_ending FROM parts)),
 hold AS (SELECT *, lead(effective_date) OVER (PARTITION BY site_id ORDER BY effective_date) AS until FROM rates),
 cut AS (SELECT sp.*, greatest(begins, effective_date) AS from_date, least(period_ending, coalesce(until - 1, period_ending)) AS to_date, on_rate, mid_rate, off_rate
@@ -231,11 +242,11 @@ _RC = ("on_kwh", "mid_kwh", "off_kwh", "recovery")
 
 
 def _recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = energy.energy_by_day(_counted(spark, sf_dir))
+    daily = written(energy.energy_by_day(_counted(spark, sf_dir)), "daily")
     return C.cost_recovery(daily, C.rate_stretches(daily, A.rates(spark, sf_dir)), _gate(spark, sf_dir, daily))
 
 
-@query(f"WITH {K.PARTS_SQL}, {RECOVERY_SQL} SELECT site_id, period_ending, from_date, to_date, {sql_six(*_RC)}, error FROM rec")
+@query(f"WITH {K.PARTS_SQL}, {A.GATE_SQL}, {RECOVERY_SQL} SELECT site_id, period_ending, from_date, to_date, {sql_six(*_RC)}, error FROM rec")
 def cost_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy of each stretch of constant rates, and what it brought in."""
     return _recovery(spark, sf_dir).select("site_id", "period_ending", "from_date", "to_date", *six(*_RC), "error")
@@ -244,7 +255,7 @@ def cost_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 _cent = lambda x: f"CAST(printf('%.2f', {x}) AS DOUBLE)"
 
 
-@query(f"""WITH {K.PARTS_SQL}, {RECOVERY_SQL}, {ENERGY_COST_SQL}, {POWER_SQL}, {DELIVERY_SQL},
+@query(f"""WITH {K.PARTS_SQL}, {POWER_SQL}, {RECOVERY_SQL}, {ENERGY_COST_SQL}, {DELIVERY_SQL},
 r AS (SELECT site_id, period_ending, sum(recovery) AS r, max(error) AS r_error, true AS has_r FROM rec GROUP BY ALL),
 x AS (SELECT site_id, period_ending, {_cent("r")} AS recovery, {_cent("dc.net")} AS delivery, {_cent("ec.net")} AS energy,
     CASE WHEN has_r IS NULL THEN 'NoRecovery' ELSE r_error END AS recovery_error, CASE WHEN has_d IS NULL THEN 'NoDelivery' ELSE dc.error END AS delivery_error,
@@ -260,12 +271,14 @@ def cost_recovery_surplus(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = written(_counted(spark, sf_dir).select("site_id", "adj_start", "adj_end", "energy", "avg_kw"), "counted")
     daily = written(energy.energy_by_day(counted), "daily")
     bills = written(A.bills(spark, sf_dir), "bills")
-    gate = written(_gate(spark, sf_dir, daily), "gate")
+    figures = _figures(spark, sf_dir)
+    periods = daily.select(*C.KEYS).union(_periods(figures)).union(bills.select(*C.KEYS))
+    gate = written(_gate(spark, sf_dir, periods), "gate")
     stretches = written(C.rate_stretches(daily, A.rates(spark, sf_dir)), "stretches")
-    power = written(C.peak_power(written(_figures(spark, sf_dir), "figures"), counted), "power")
+    power = written(C.peak_power(figures, counted, gate), "power")
     recovered = C.cost_recovery(daily, stretches, gate)
     used = daily.groupBy("site_id", "period_ending").agg(*(F.sum(f"{b}_kwh").alias(f"{b}_kwh") for b in C.BANDS))
-    delivery = C.delivery_cost(power, bills)
+    delivery = C.delivery_cost(power, bills, coverage=gate)
     return C.surplus(recovered, delivery, C.energy_cost(V.gated(used, gate, []), bills))
 
 
@@ -462,7 +475,7 @@ def delivery_demand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.demand_lines(_delivery(spark, sf_dir)).select(*C.KEYS, "line", "basis", *six("demand", "adjusted", "rate", "charge"))
 
 
-@query(f"""WITH {K.PARTS_SQL}, {RECOVERY_SQL}
+@query(f"""WITH {K.PARTS_SQL}, {A.GATE_SQL}, {RECOVERY_SQL}
 {" UNION ALL ".join(f"SELECT site_id, period_ending, from_date, to_date, '{t}' AS tou, round({b}_kwh, 6) AS kwh, round({b}_rate, 6) AS rate, round({b}_kwh * {b}_rate, 6) AS recovery FROM rec WHERE error IS NULL" for t, b in _BAND_ROWS)}
 UNION ALL SELECT site_id, period_ending, from_date, to_date, 'Total', round(on_kwh + mid_kwh + off_kwh, 6), NULL, round(recovery, 6) FROM rec WHERE error IS NULL""")
 def recovery_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +484,7 @@ def recovery_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*C.KEYS, "from_date", "to_date", "tou", *six("kwh", "rate", "recovery"))
 
 
-@query(f"""WITH {K.PARTS_SQL}, {RECOVERY_SQL}
+@query(f"""WITH {K.PARTS_SQL}, {A.GATE_SQL}, {RECOVERY_SQL}
 SELECT site_id, period_ending, from_date, round(sum(recovery), 6) AS recovery FROM rec WHERE error IS NULL GROUP BY GROUPING SETS ((site_id, period_ending, from_date), (site_id, period_ending))""")
 def recovery_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovery of each stretch and of the whole period."""

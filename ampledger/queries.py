@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ampledger.plans import core, costs
+from ampledger.plans import core, costs, inputs
 
-QUERIES = core.QUERIES | costs.QUERIES
-SQL = core.SQL | costs.SQL
+QUERIES = core.QUERIES | costs.QUERIES | inputs.QUERIES
+SQL = core.SQL | costs.SQL | inputs.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -302,8 +302,8 @@ def report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("site_id"), name.alias("name"), d.alias("first"))
 
 
-def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The session rows as a report's text cells; some durations and energies are no numbers."""
+def raw_sessions(spark: SparkSession, sf_dir: str, bad: bool = True) -> DataFrame:
+    """The session rows as a report's text cells; ``bad``: some durations and energies are no numbers."""
     s = sessions(spark, sf_dir)
     n = F.col("row")
     clock = lambda c: F.format_string("%d:%02d:%02d", F.floor(F.col(c) / 3600), F.floor(F.col(c) / 60) % 60, F.col(c) % 60)
@@ -312,6 +312,6 @@ def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         "site_id", "path", "row", "id", exact.alias("conn_start"),
         F.concat(shown("end_local"), F.when(n % 2 == 0, ":00").otherwise("")).alias("conn_end"),
-        F.when(n % 97 == 0, "1:75:00").otherwise(clock("dur_s")).alias("conn_duration"), clock("charge_s").alias("active_time"),
-        F.when(n % 101 == 0, "n/a").otherwise(F.col("energy").cast("string")).alias("energy_use"),
+        F.when(F.lit(bad) & (n % 97 == 0), "1:75:00").otherwise(clock("dur_s")).alias("conn_duration"), clock("charge_s").alias("active_time"),
+        F.when(F.lit(bad) & (n % 101 == 0), "n/a").otherwise(F.col("energy").cast("string")).alias("energy_use"),
     )

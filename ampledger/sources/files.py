@@ -1,82 +1,20 @@
-"""Session report files and meter feeds: reading them as tables, and the session table written back."""
+"""Meter feeds read as tables, and the session table written and read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ampledger.config import DEFAULT, SiteConfig
-from ampledger.functions.timeexpr import col, local
+from ampledger.functions.timeexpr import local
 from ampledger.operators.sessions import adjusted, avg_kw
 
-#: Report columns that must be there, by trimmed header name, and what they are called here.
-REQUIRED = {
-    "Charge_Session_ID": "id",
-    "Conn_DateTime_Start": "conn_start",
-    "Conn_DateTime_End": "conn_end",
-    "Conn_Duration": "conn_duration",
-    "Active_Charge_Time": "active_time",
-    "Energy_Use": "energy_use",
-}
 TOKENS = (
     "ZeroActiveChargeTime", "ExcessiveAvgKw", "InconsistentDuration", "OffGridTimes", "DstGapShifted",
     "DstAmbiguousDuplicated", "DstUnresolvable", "WorkbookDiscrepancy", "DuplicateId",
 )
 
 
-def wall_time(text: Column | str) -> Column:
-    """``2026-06-15 9:05`` or ``2026-06-15 09:05:30`` as a wall time; null if it is none."""
-    t = F.trim(col(text))
-    shape = t.rlike(r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}(:\d{2})?$")
-    return F.when(shape, F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd H:mm"))).cast("timestamp_ntz"))
-
-
-def clock_seconds(text: Column | str) -> Column:
-    """``H:MM:SS`` with any number of hours, as seconds; null if it is none."""
-    t = F.trim(col(text))
-    h, m, s = (F.regexp_extract(t, r"^(\d{1,9}):(\d{1,2}):(\d{1,2})$", i).try_cast("long") for i in (1, 2, 3))
-    return F.when((m < 60) & (s < 60), h * 3600 + m * 60 + s)
-
-
-def type_sessions(raw: DataFrame) -> DataFrame:
-    """Text cells to ``start_local, end_local, dur_s, charge_s, energy``; ``parse_error`` names the first bad cell."""
-    typed = raw.withColumns(
-        {
-            "start_local": wall_time("conn_start"),
-            "end_local": wall_time("conn_end"),
-            "dur_s": clock_seconds("conn_duration"),
-            "charge_s": clock_seconds("active_time"),
-            "energy": F.trim("energy_use").try_cast("double"),
-        }
-    )
-    made = {"start_local": "conn_start", "end_local": "conn_end", "dur_s": "conn_duration", "charge_s": "active_time", "energy": "energy_use"}
-    bad = F.coalesce(*(F.when(F.col(c).isNull(), F.lit(source)) for c, source in made.items()))
-    return typed.withColumn("parse_error", bad).drop(*made.values())
-
-
-def session_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report files with a header line, typed, with ``path`` and ``row``; other columns pass through as text.
-
-    A ``row`` column written at ingest is kept. Without one the place within its file orders
-    the rows: the header is row 1, and a file must then be read by one task, as quoted
-    line breaks ask for anyway.
-    """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    names = {c.strip(): c for c in raw.columns}
-    missing = [c for c in REQUIRED if c not in names]
-    if missing:
-        raise ValueError(f"the report lacks {', '.join(missing)}")
-    cells = raw.select(
-        *(F.col(f"`{c}`").alias(REQUIRED.get(n, n)) for n, c in names.items()),
-        F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    if "row" in names:
-        return type_sessions(cells.drop("place"))
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("place")) + 1
-    return type_sessions(cells.withColumn("row", nth.cast("long")).drop("place"))
-
-
 #: Columns of the session table as reported, with what they are called here; then those derived from them.
 REPORTED = {
     "UR_ID": None, "Location_Address": None, "Location_City": None, "Location_Postal_Code": None, "Station_ID": None,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_driver = uuid.uuid4().hex  # drivers that share a folder keep their tables apart by it
 _used: set[str] = set()
 
 
@@ -31,29 +31,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own for ``name`` in the shared folder, gone with the driver's other tables."""
+    own = f"{shared_dir(spark)}/ampledger-{_driver}"
+    if not _used:
+        atexit.register(_clear_at_exit)
+    _used.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage as checkpoint() does, but keeps columns prunable; a lost executor
-    costs only the tasks that read it. ``clear`` or the driver's end removes the table.
+    costs only the tasks that read it. ``release``, ``clear`` or the driver's end removes the table.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/ampledger-{os.getpid()}"
-    if not _used:
-        atexit.register(_clear_at_exit)
-    _used.add(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, once all that is to be read from them is written elsewhere; other tables stay."""
+    for table in tables:
+        spark = table.sparkSession
+        for at in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if f"/ampledger-{_driver}/" in at:
+                path = spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove this driver's intermediate tables; results that still read them are then void."""
     jvm = spark._jvm
-    for folder in list(_used):
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    for own in list(_used):
+        path = jvm.org.apache.hadoop.fs.Path(own)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _used.discard(folder)
+        _used.discard(own)
 
 
 def _clear_at_exit() -> None:

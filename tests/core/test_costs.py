@@ -11,6 +11,7 @@ from ampledger.operators import meter
 from ampledger.operators import sessions as S
 from ampledger.operators.requests import checked_intervals
 from ampledger.sources import files
+from ampledger.sources.session_reports import session_reports
 
 D = dt.date.fromisoformat
 
@@ -137,10 +138,13 @@ C,2026-06-15 9:05,2026-06-15 10:05,1:60:30,0:59:00,5.5,P2
 
 def test_session_report_is_read_and_written_back(spark, tmp_path):
     (tmp_path / "Session_Report_June_1_2026-June_30_2026.csv").write_text(REPORT)
-    rows = files.session_reports(spark, str(tmp_path)).orderBy("row").collect()
+    rows = session_reports(spark, str(tmp_path)).orderBy("row").collect()
     assert [(r.id, r.row, r.parse_error) for r in rows] == [("A", 2, None), ("B", 3, "conn_end"), ("C", 4, "conn_duration")]
     assert (rows[0].start_local, rows[0].dur_s, rows[0].Station_ID) == (dt.datetime(2026, 6, 15, 9, 5), 3630, "P,1")
-    flagged = S.flag_sessions(files.session_reports(spark, str(tmp_path)).where("parse_error is null").withColumn("site_id", F.lit(1)))
+    with pytest.raises(ValueError, match="quarantine"):
+        S.flag_sessions(session_reports(spark, str(tmp_path)))
+    good = session_reports(spark, str(tmp_path)).where("parse_error is null").drop("parse_error")
+    flagged = S.flag_sessions(good.withColumn("site_id", F.lit(1)))
     files.write_sessions(flagged, str(tmp_path / "out"))
     table = spark.read.parquet(str(tmp_path / "out"))
     assert len(set(files.REPORTED) | set(files.DERIVED)) == 30 and set(files.REPORTED) | set(files.DERIVED) <= set(table.columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampledger.operators import meter, reconcile, reports, sessions
-from ampledger.sources import scratch
+from ampledger.sources import scratch, session_reports
 
 D = dt.date.fromisoformat
 
@@ -120,5 +120,65 @@ def test_intermediate_tables_need_a_shared_folder_and_can_be_cleared(spark, tmp_
     kept = scratch.written(spark.range(5), "t")
     folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
     assert kept.count() == 5 and os.path.isdir(folder)
+    before = set(os.listdir(folder))
+    scratch.release(scratch.written(spark.range(3), "t"), spark.range(1))
+    assert kept.count() == 5 and set(os.listdir(folder)) == before
     scratch.clear(spark)
     assert not os.path.exists(folder)
+
+
+def _report(path, header, *rows):
+    path.parent.mkdir(exist_ok=True)
+    path.write_text("\n".join([header, *rows]) + "\n")
+
+
+HEAD = "Charge_Session_ID,Conn_DateTime_Start,Conn_DateTime_End,Conn_Duration,Active_Charge_Time,Energy_Use"
+
+
+def test_each_report_is_read_by_its_own_header(spark, tmp_path):
+    _report(tmp_path / "r" / "a.csv", HEAD + ",Station_ID", 'A,2026-06-15 9:05,2026-06-15 10:05,1:00:00,0:50:00,5.5,"P, ""1"""', "", "B,2026-06-15 9:05,2026-06-15 10:05,1:00:00,0:50:00,5.5")
+    _report(tmp_path / "r" / "b.csv", "Note, Energy_Use ,Active_Charge_Time,Conn_Duration,Conn_DateTime_End,Conn_DateTime_Start,Charge_Session_ID,row,PATH", '"two\nlines",5.5,0:50:00,1:00:00,2026-06-15 10:05,2026-06-15 9:05,C,77,here', ",5.5,0:50:00,1:00:00,2026-06-15 10:05,2026-06-15 9:05,D")
+    _report(tmp_path / "r" / "c.csv", HEAD)
+    order = spark.createDataFrame([(f"file://{tmp_path}/r/b.csv", 1), (str(tmp_path / "r" / "a.csv"), 2)], "path string, position int")
+    rows = session_reports.session_reports(spark, str(tmp_path / "r"), order).orderBy("id").collect()
+    assert [(r.id, r.row, r.position, r.parse_error) for r in rows] == [("A", 2, 2, None), ("B", 3, 2, None), ("C", 2, 1, None), ("D", 3, 1, None)]
+    assert {(r.start_local, r.end_local, r.dur_s, r.charge_s, r.energy) for r in rows} == {(dt.datetime(2026, 6, 15, 9, 5), dt.datetime(2026, 6, 15, 10, 5), 3600, 3000, 5.5)}
+    assert [r.Station_ID for r in rows] == ['P, "1"', None, None, None] and [(r.Note, r.report_row, r.report_PATH) for r in rows[2:]] == [("two\nlines", "77", "here"), (None, None, None)]
+    few = session_reports.session_reports(spark, str(tmp_path / "r"), through=["Note"])
+    assert "Note" in few.columns and "Station_ID" not in few.columns and few.count() == 4
+    merged = session_reports.quarantine(session_reports.session_reports(spark, str(tmp_path / "r"), order))[0]
+    again = merged.withColumn("id", F.lit("same")).withColumn("site_id", F.lit(1))
+    first = sessions.deduplicate(sessions.flag_sessions(again)).collect()
+    assert [(r.path[-5:], r.row) for r in first] == [("b.csv", 2)]
+    back = order.withColumn("position", 3 - F.col("position"))
+    again = session_reports.session_reports(spark, str(tmp_path / "r"), back).drop("parse_error").withColumn("id", F.lit("same")).withColumn("site_id", F.lit(1))
+    merged = sessions.deduplicate(sessions.flag_sessions(again))
+    assert [(r.path[-5:], r.row) for r in merged.collect()] == [("a.csv", 2)]
+    assert [r.nth for r in sessions.sources(merged).collect()] == [1]
+
+
+def test_a_bad_cell_refuses_its_file(spark, tmp_path):
+    good = "A,2026-06-15 9:05,2026-06-15 10:05,1:00:00,0:50:00,5.5"
+    _report(tmp_path / "r" / "good.csv", HEAD, good)
+    _report(tmp_path / "r" / "bad.csv", HEAD, good, "B,2026-06-15 9:05,soon,1:75:00,0:50:00,5.5", "C,x,y,z,0,n/a")
+    _report(tmp_path / "r" / "lacks.csv", HEAD.replace("Energy_Use", "Energy"), good)
+    _report(tmp_path / "r" / "long.csv", HEAD, good + ",more")
+    typed = session_reports.session_reports(spark, str(tmp_path / "r"))
+    accepted, refused = session_reports.quarantine(typed)
+    assert [r.path.rsplit("/", 1)[1] for r in accepted.collect()] == ["good.csv"] and "parse_error" not in accepted.columns
+    assert {r.path.rsplit("/", 1)[1]: (r.first_row, r.cell) for r in refused.collect()} == {
+        "bad.csv": (3, "conn_end"), "lacks.csv": (2, "missing column Energy_Use"), "long.csv": (2, "more cells than columns"),
+    }
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.csv").write_text("")
+    assert session_reports.session_reports(spark, str(tmp_path / "none")).count() == 0
+    wide = session_reports.session_reports(spark, str(tmp_path / "r" / "good.csv"), max_columns=5)
+    assert [r.parse_error for r in wide.collect()] == ["too many columns"]
+
+
+def test_null_figures_have_no_bucket(spark):
+    at = dt.datetime(2026, 6, 15, 9, 5), dt.datetime(2026, 6, 15, 10, 5)
+    rows = [(1, "a", 2, "A", *at, 3600, 3600, 5.0), (1, "a", 3, "B", *at, None, 3600, 5.0), (1, "a", 4, "C", None, at[1], 3600, 3600, 5.0), (1, "a", 5, "D", *at, 3600, 0, None)]
+    df = spark.createDataFrame(rows, "site_id long, path string, row long, id string, start_local timestamp_ntz, end_local timestamp_ntz, dur_s long, charge_s long, energy double")
+    got = {r.id: (r.bucket, "DstUnresolvable" in r.anomalies) for r in sessions.flag_sessions(df).collect()}
+    assert got == {"A": ("session", False), "B": (None, False), "C": (None, False), "D": (None, False)}
