@@ -47,21 +47,40 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9
 
 _HOMOGLYPHS, _LEET = str.maketrans(HOMOGLYPHS), str.maketrans(LEET)
 _JOINERS = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")  # invisible
-_WORD = re.compile(r"[^\W_]+(?:[0-9@$!|€]+[^\W\d_]+)*")
+_MARKS = re.compile("[\u0300-\u036f]")  # that decomposing sets apart from their letters
+_RUN = re.compile(r"(?:[^\W_]|[@$!|€])++")
+_PART = re.compile(r"[^\W_]++")
 _LEETED = re.compile(r"[0-9@$!|€]")
 _LETTER = re.compile(r"[^\W\d_]")
 _STRETCH = re.compile(r"(.)\1\1+")
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters, digits and signs. Signs after the last letter, and what follows them, are no part of its word."""
+    out = []
+    for run in _RUN.findall(text):
+        if run.isalnum():
+            out.append(run)
+            continue
+        last = len(run)
+        while last and not run[last - 1].isalpha():
+            last -= 1
+        while 0 < last < len(run) and run[last].isalnum():
+            last += 1
+        out += [run[:last]] if last else []
+        out += _PART.findall(run, last)
+    return out
+
+
 def fold_words(text: str | None) -> list[str]:
-    """Words of the folded text. l and i become one letter, as 1 and ! stand for both."""
+    """Words of the folded text, in time that grows with its length. l and i become one letter, as 1 and ! stand for both."""
     text = text or ""
     if not text.isascii():
-        text = _JOINERS.sub("", unicodedata.normalize("NFKC", text))
+        text = _MARKS.sub("", _JOINERS.sub("", unicodedata.normalize("NFKD", text)))
     text = text.lower()
     if not text.isascii():
-        text = text.translate(_HOMOGLYPHS)
-    words = _WORD.findall(text)
+        text = _MARKS.sub("", text.translate(_HOMOGLYPHS))
+    words = _words(text)
     if _LEETED.search(text):
         words = [w.translate(_LEET) if _LEETED.search(w) and _LETTER.search(w) else w for w in words]
     joined = " ".join(words).replace("l", "i")
