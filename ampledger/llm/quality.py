@@ -30,7 +30,7 @@ _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _DIGIT = re.compile(r"[0-9]")
 _SIGN = re.compile(r"[^\w\s.,;:'’()\"-]")
 _STOP = re.compile(r"[.,;:]")
-_TAILED = re.compile(r"[^\w\s.,;:?'’)\"]+(?=\s|$)")
+_TAILED = re.compile(r"(?<![^\w\s.,;:?'’)\"])[^\w\s.,;:?'’)\"]++(?=\s|$)")
 _ALONE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
 _OWN = 18
 _NEAR = (3, 5, 7, 8, 9, 10, 11, 13)  # figures of the lines before and after that a line sees
