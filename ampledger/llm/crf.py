@@ -1,21 +1,13 @@
 """A linear-chain conditional random field over dense features, in numpy.
 
-Training batches many short chains; decoding takes one chain of any length in linear time
-and memory. Labels are 0 and 1.
+Training takes whole chains, those of like length together; decoding takes one chain of any
+length in linear time and memory. Labels are 0 and 1.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 32  # training chains are cut to this length
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 class Crf:
     """weights: (features, 2), moves: (from, to), first: (2,)."""
 
@@ -62,43 +54,66 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
 
 
+def _batches(chains: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Chains of like length together: none is less than half as long as the longest of its batch."""
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    for chain in sorted(chains, key=lambda c: -len(c[0])):
+        if not out or 2 * len(chain[0]) < len(out[-1][0][0]):
+            out.append([])
+        out[-1].append(chain)
+    return out
+
+
+class _Batch:
+    """Chains padded to the longest: features, labels and which places are real."""
+
+    def __init__(self, chains: list[tuple[np.ndarray, np.ndarray]], mean: np.ndarray, scale: np.ndarray):
+        b, t, f = len(chains), len(chains[0][0]), chains[0][0].shape[1]
+        self.feats, self.gold, self.on = np.zeros((b, t, f)), np.zeros((b, t)), np.zeros((b, t), bool)
+        for k, (x, y) in enumerate(chains):
+            self.feats[k, : len(x)], self.gold[k, : len(x)], self.on[k, : len(x)] = (x - mean) / scale, y, True
+        pairs, now, then = self.on[:, 1:], self.gold[:, 1:], self.gold[:, :-1]
+        self.moves = np.array([[(pairs & (then == a) & (now == c)).sum() for c in (0, 1)] for a in (0, 1)], float)
+        self.flat = self.feats.reshape(-1, f)
+
+    def slopes(self, w: np.ndarray, moves: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """Expected less observed counts of features by label, moves and first labels; by recursions on the log odds of label 1."""
+        (m00, m01), (m10, m11) = moves
+        d = (self.flat @ (w[:, 1] - w[:, 0])).reshape(self.gold.shape)
+        ahead, behind = np.empty_like(d), np.zeros_like(d)
+        ahead[:, 0] = d[:, 0] + first[1] - first[0]
+        for k in range(1, d.shape[1]):
+            f = ahead[:, k - 1]
+            ahead[:, k] = d[:, k] + np.logaddexp(m01, f + m11) - np.logaddexp(m00, f + m10)
+        for k in range(d.shape[1] - 2, -1, -1):
+            g = behind[:, k + 1] + d[:, k + 1]
+            behind[:, k] = np.where(self.on[:, k + 1], np.logaddexp(m10, m11 + g) - np.logaddexp(m00, m01 + g), 0.0)
+        one = 1 / (1 + np.exp(-np.clip(ahead + behind, -500, 500)))
+        off = (one - self.gold) * self.on
+        side = off.reshape(-1) @ self.flat
+        now = (behind + d)[:, 1:]
+        logs = np.stack([np.full_like(now, m00), m01 + now, m10 + ahead[:, :-1], m11 + ahead[:, :-1] + now])
+        pair = np.exp(logs - logs.max(axis=0))
+        pair = (pair / pair.sum(axis=0) * self.on[:, 1:]).sum(axis=(1, 2)).reshape(2, 2)
+        start = off[:, 0].sum()
+        return [np.stack([-side, side], axis=1), pair - self.moves, np.array([-start, start])]
+
+
 def train(chains: list[tuple[np.ndarray, np.ndarray]], l2: float = 1e-3, steps: int = 150, rate: float = 0.15) -> Crf:
     """Penalised likelihood by Adam on all chains at once. ``chains``: (features, labels) each; none give a neutral model."""
-    cut = [(x[k : k + CHUNK], y[k : k + CHUNK]) for x, y in chains for k in range(0, len(x), CHUNK) if len(x)]
-    if not cut:
+    chains = [(x, y) for x, y in chains if len(x)]
+    if not chains:
         return Crf(np.zeros((1, 2)), np.zeros((2, 2)), np.zeros(2), np.zeros(1), np.ones(1))
-    flat = np.concatenate([x for x, _ in cut])
+    flat = np.concatenate([x for x, _ in chains])
     mean, scale = flat.mean(0), flat.std(0)
     mean, scale = np.where(scale > 1e-9, mean, 0.0), np.where(scale > 1e-9, scale, 1.0)  # constants stay: a bias
-    b, t, f = len(cut), max(len(x) for x, _ in cut), flat.shape[1]
-    feats, gold, on = np.zeros((b, t, f)), np.zeros((b, t), int), np.zeros((b, t), bool)
-    for k, (x, y) in enumerate(cut):
-        feats[k, : len(x)], gold[k, : len(x)], on[k, : len(x)] = (x - mean) / scale, y, True
-    places, onehot = on.sum(), np.eye(2)[gold] * on[..., None]
-    gold_moves = np.einsum("bti,btj->ij", onehot[:, :-1], onehot[:, 1:])
-    flat_feats = feats.reshape(-1, f)
-    gold_w, gold_first = flat_feats.T @ onehot.reshape(-1, 2), onehot[:, 0].sum(0)
-    params = [np.zeros((f, 2)), np.zeros((2, 2)), np.zeros(2)]
+    batches, places = [_Batch(b, mean, scale) for b in _batches(chains)], len(flat)
+    params = [np.zeros((flat.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        w, moves, first = params
-        e = (flat_feats @ w).reshape(b, t, 2)
-        alpha, beta = np.zeros((b, t, 2)), np.zeros((b, t, 2))
-        alpha[:, 0] = e[:, 0] + first
-        for k in range(1, t):
-            alpha[:, k] = np.where(on[:, k, None], e[:, k] + _lse(alpha[:, k - 1, :, None] + moves, 1), alpha[:, k - 1])
-        for k in range(t - 2, -1, -1):
-            beta[:, k] = np.where(on[:, k + 1, None], _lse(moves + (e[:, k + 1] + beta[:, k + 1])[:, None, :], 2), 0.0)
-        z = _lse(alpha[:, -1], 1)
-        prob = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + moves + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
-        slopes = [
-            flat_feats.T @ prob.reshape(-1, 2) - gold_w,
-            pair.sum((0, 1)) - gold_moves,
-            prob[:, 0].sum(0) - gold_first,
-        ]
-        for i, (p, g) in enumerate(zip(params, slopes, strict=True)):
-            g = g / places + l2 * p
+        each = [b.slopes(*params) for b in batches]
+        for i, p in enumerate(params):
+            g = sum(e[i] for e in each) / places + l2 * p
             m1[i], m2[i] = 0.9 * m1[i] + 0.1 * g, 0.99 * m2[i] + 0.01 * g * g
             params[i] = p - rate * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.99**step)) + 1e-8)
     return Crf(*params, mean, scale)
