@@ -29,17 +29,20 @@ MIN_SCORE = 0.5
 PATTERNS_SHIPPED = 200_000  # patterns that may be shipped to the tasks, some 40 MB as Python objects
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DIGITS = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Possessive and anchored at a digit run's start: the same matches, without quadratic retries.
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Shapes that are like an identifier of a kind but that its base pattern does not take.
+# Runs are taken whole, from their begin, so that no identifier is cut and no run is read twice.
 _UNSEEN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|＠) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63}){1,4})"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|＠) ?[A-Za-z0-9-]++(?:(?: ?(?:\[dot\]|\(dot\)) ?|\.)[A-Za-z0-9-]++)++)"
     r"|(?P<ip>(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:]))"
-    r"|(?P<number>(?<![0-9A-Za-z.])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z]))"
+    r"|(?P<number>(?<![0-9A-Za-z.])\(?[0-9](?:[ ().-]{0,2}[0-9])*+)"
 )
+NUMBER_DIGITS, CARD_DIGITS = 7, 12  # that an unseen number needs, and from which on it may be a card
 #: A word, or one mark: spans mostly begin and end between these, so that what is glued to an identifier is a word of its own.
 _WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -80,17 +83,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def unseen_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifier-shaped runs that overlap no base span; a number of 12 digits or more may be a card, else a phone."""
+    """Identifier-shaped runs that overlap no base span; a number of 12 digits or more may be a card, else a phone.
+
+    A number that goes over into a word ends at the last mark or space before it.
+    """
     taken, found, k = sorted((a, b) for _, a, b in base), [], 0
     for m in _UNSEEN.finditer(text):
         a, b = m.span()
+        kind = m.lastgroup or "number"
+        if kind == "number":
+            if text[b : b + 1].isalnum():
+                while b > a and text[b - 1] in _DIGITS:
+                    b -= 1
+                while b > a and text[b - 1] not in _DIGITS:
+                    b -= 1
+            digits = sum(c in _DIGITS for c in text[a:b])
+            if digits < NUMBER_DIGITS:
+                continue
+            kind = "card" if digits >= CARD_DIGITS else "phone"
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if any(a < y for _, y in itertools.takewhile(lambda s: s[0] < b, itertools.islice(taken, k, None))):
             continue
-        kind = m.lastgroup or "number"
-        if kind == "number":
-            kind = "card" if sum(c in "0123456789" for c in m.group()) >= 12 else "phone"
         found.append((kind, a, b))
     return found
 
