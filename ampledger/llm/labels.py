@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ampledger.llm.common import cut
+
 
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
@@ -15,8 +17,9 @@ def fold_of(id_col: str, folds: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
     """``doc_id, text, y`` of up to ``bound`` labelled rows for which ``train`` holds, the same rows each time.
 
-    The rows are those of least id hash, so every stretch of the corpus is met. Null labels
-    and ids are skipped, and of several labels of a document the greatest counts.
+    The rows are those of least id hash, then of least text hash, so every stretch of the corpus is met and
+    an id that many rows share takes no more than its part of the bound. Rows that repeat both id and
+    text count once. Null labels and ids are skipped, and of several labels of a document the greatest counts.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
@@ -26,7 +29,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .limit(bound)
     )
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return picked.join(F.broadcast(ids), "doc_id")  # at most ``bound`` ids
+    met = picked.join(F.broadcast(ids), "doc_id").withColumn("_variant", F.xxhash64("text"))  # at most ``bound`` ids
+    keys = cut(met.select("doc_id", "_variant").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_variant").limit(bound), "sample-keys")
+    kept = met.join(F.broadcast(keys), ["doc_id", "_variant"])  # at most ``bound`` rows
+    return kept.dropDuplicates(["doc_id", "_variant"]).drop("_variant").select("doc_id", "text", "y")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:

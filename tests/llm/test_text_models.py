@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampledger.llm import common, crf, decontaminate, html_text, pii, quality, toxicity, url_filter
-from ampledger.llm.labels import fit_logistic, fold_of, logistic
+from ampledger.llm.labels import fit_logistic, fold_of, labelled_sample, logistic
 
 SF = "/root/testdata/sf0.001"
 BIG = "/root/testdata/sf0.01"
@@ -527,3 +527,99 @@ def test_fold_uses_crc32(spark):
     got = spark.range(50).select("id", fold_of("id", 3).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in got)
     assert spark.range(0).select(F.lit(1)).count() == 0
+
+
+# --- whole chains, whole identifiers, bounded samples, linear time
+
+
+def test_training_slopes_are_those_of_the_whole_chains():
+    rng = np.random.default_rng(8)
+    chains = [(rng.normal(size=(n, 3)), rng.integers(0, 2, n)) for n in (6, 5, 4, 3, 1)]
+    params = [rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+
+    def loss(w, moves, first):
+        total = 0.0
+        for x, y in chains:
+            e = x @ w
+            of = lambda p: first[p[0]] + sum(e[i, p[i]] for i in range(len(p))) + sum(moves[a, b] for a, b in itertools.pairwise(p))  # noqa: B023, E731
+            total += np.log(sum(np.exp(of(p)) for p in itertools.product((0, 1), repeat=len(x)))) - of(y.tolist())
+        return total
+
+    each = [crf._Batch(b, np.zeros(3), np.ones(3)).slopes(*params) for b in crf._batches(chains)]
+    assert len(each) == 2
+    for i, p in enumerate(params):
+        for at in np.ndindex(p.shape):
+            up, down = [q.copy() for q in params], [q.copy() for q in params]
+            up[i][at] += 1e-5
+            down[i][at] -= 1e-5
+            assert sum(e[i][at] for e in each) == pytest.approx((loss(*up) - loss(*down)) / 2e-5, abs=1e-6)
+
+
+def test_moves_late_in_a_chain_count():
+    y = np.repeat([0, 1], [33, 31])
+    model = crf.train([(np.ones((64, 1)), y)] * 20)
+    assert model.moves[0, 1] > model.moves[1, 0] and model.first[0] > model.first[1] + 1
+
+
+def test_identifiers_are_found_whole():
+    for text, kind in (("bob [at] a.b.c.d.e.f.g.h", "email"), ("x" * 70 + " (at) mail (dot) example.org", "email"), ("555 010 7777 8888 9999 1111 2222", "card"), ("555-010-7777", "phone")):
+        assert pii.unseen_spans(f"see {text}, or", []) == [(kind, 4, 4 + len(text))]
+    assert pii.unseen_spans("call 555-010-7777 2nd floor", []) == [("phone", 5, 17)]
+    assert pii.unseen_spans("bob [at] example.com. Then more. And", []) == [("email", 0, 20)]
+    assert pii.unseen_spans("123456 and 1234567x", []) == []
+    began = time.perf_counter()
+    for text in ("1 " * 50_000 + "a", "a" * 100_000, "1" * 100_000 + "x", "a [at] " + "b." * 50_000, "(at)" * 25_000):
+        pii.unseen_spans(text, [])
+    assert time.perf_counter() - began < 3
+
+
+def test_pattern_scores_by_plain_python(spark):
+    rng = random.Random(11)
+    edges = {(rng.choice(("email", "phone")), f"< a w{rng.randrange(6)}", rng.randrange(25)): (rng.random() < 0.4, rng.randint(1, 5)) for _ in range(120)}
+    seeds = {(k, i) for (k, _, i), (seed, _) in edges.items() if seed}
+    edges = {(k, p, i): ((k, i) in seeds, n) for (k, p, i), (_, n) in edges.items()}
+    totals = {f"a w{k}": rng.randint(5, 80) for k in range(5)}
+    rows = [(k, p, i, seed, n) for (k, p, i), (seed, n) in edges.items()]
+    got = pii.score_patterns(
+        spark.createDataFrame(rows, "kind string, pattern string, instance long, seed boolean, n long"),
+        spark.createDataFrame(list(totals.items()), "pair string, total long"),
+    )
+    trust = {(k, i): float((k, i) in seeds) for k, _, i in edges}
+    for _ in range(pii.ROUNDS):
+        score, support = {}, {}
+        for kind, pattern in {(k, p) for k, p, _ in edges}:
+            mine = {i: n for (k, p, i), (_, n) in edges.items() if (k, p) == (kind, pattern)}
+            support[kind, pattern] = sum(trust[kind, i] >= 0.5 for i in mine)
+            share = sum(n * trust[kind, i] for i, n in mine.items()) / max(totals.get(pattern[2:], 0), sum(mine.values()))
+            score[kind, pattern] = min(share, 0.999999) if support[kind, pattern] >= pii.MIN_SUPPORT else 0.0
+        trust = {
+            (kind, i): 1.0 if (kind, i) in seeds else 1 - math.prod(1 - score[k, p] for k, p, j in edges if (k, j) == (kind, i))
+            for kind, i in trust
+        }
+    found = {(r.kind, r.pattern): (r.score, r.support) for r in got.collect()}
+    assert found.keys() == score.keys() and any(0 < s < 0.999 for s in score.values())
+    assert all(found[x][0] == pytest.approx(score[x], abs=1e-9) and found[x][1] == support[x] for x in score)
+
+
+def test_a_hot_id_keeps_the_sample_at_its_bound(spark):
+    rows = [(1, f"text {k % 50}") for k in range(400)] + [(k, "once") for k in range(2, 8)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(k, 1 if k % 2 else 0) for k in range(1, 8)], "doc_id long, toxic int")
+    take = lambda bound: labelled_sample(docs, marks, "toxic", F.lit(True), bound).collect()
+    assert len(take(5)) == 5 and sorted(take(5)) == sorted(take(5))
+    whole = take(1000)
+    assert len(whole) == 56 and {r.y for r in whole if r.doc_id == 1} == {1}
+
+
+def test_long_runs_of_signs_take_linear_time():
+    for of in (lambda t: quality.line_features(t), lambda t: toxicity.fold_words(t)):
+        for text in ("#" * 100_000 + "a", "1!" * 50_000, "1!" * 50_000 + "a", "!" * 100_000, "a" + "!1" * 50_000, "$a|" * 33_000):
+            began = time.perf_counter()
+            of(text)
+            assert time.perf_counter() - began < 1
+    line = 'go!! "why"## #a ## a# ?# b#c #'
+    assert quality._TAILED.findall(line) == re.findall(r"[^\w\s.,;:?'’)\"]+(?=\s|$)", line)
+
+
+def test_signs_that_begin_a_word_and_marks_on_letters_fold():
+    assert toxicity.fold_words("$cum !diot @ss ïdïot | idiot! wow!1 12$34") == [w.replace("l", "i") for w in ("scum", "idiot", "ass", "idiot", "idiot", "wow", "1", "12", "34")]
