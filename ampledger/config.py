@@ -38,6 +38,7 @@ class SiteConfig:
     magnetizing_pu: float = 0.02
     reactance_pu: float = 0.04
     bill_end_day: int = 23
+    zone: str = ZONE
 
     def __post_init__(self) -> None:
         if not 1 <= self.bill_end_day <= 27:

@@ -30,12 +30,12 @@ def on_grid(ts: Column | str, step: int) -> Column:
     return F.pmod(seconds(ts), F.lit(step)) == 0
 
 
-def local(ts: Column | str, zone: str = ZONE) -> Column:
+def local(ts: Column | str, zone: Column | str = ZONE) -> Column:
     """Prevailing wall time of an instant."""
     return F.from_utc_timestamp(col(ts).cast("timestamp"), zone).cast("timestamp_ntz")
 
 
-def instant(wall: Column | str, zone: str = ZONE) -> Column:
+def instant(wall: Column | str, zone: Column | str = ZONE) -> Column:
     """Instant of a wall time: the earlier one in a fold, shifted on by its length in a gap."""
     return F.to_utc_timestamp(col(wall).cast("timestamp"), zone)
 
@@ -49,14 +49,14 @@ def standard_midnight(day: Column | str) -> Column:
     return F.timestamp_seconds(F.unix_seconds(col(day).cast("timestamp")) + STANDARD_OFFSET_S)
 
 
-def period_ending(ts: Column | str, day: int = 23) -> Column:
+def period_ending(ts: Column | str, day: Column | int = 23) -> Column:
     """Closing date of the billing period that holds the instant."""
     sd = standard_date(ts)
     month = F.when(F.dayofmonth(sd) > day, F.add_months(sd, 1)).otherwise(sd)
     return F.make_date(F.year(month), F.month(month), F.lit(day))
 
 
-def period_start(ending: Column | str, day: int = 23) -> Column:
+def period_start(ending: Column | str, day: Column | int = 23) -> Column:
     """First instant of the period with that closing date: standard midnight after the one before."""
     return standard_midnight(F.date_add(F.add_months(col(ending), -1), 1))
 

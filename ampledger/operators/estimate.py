@@ -55,7 +55,7 @@ def estimates(segments: DataFrame, cfg: SiteConfig = DEFAULT) -> DataFrame:
     cols = {}
     for way, unit in (("energy", cfg.rating_kw), ("count", None)):
         for end in ("min", "max"):
-            n = F.col(f"kw_{end}") / unit if unit else F.col(f"count_{end}")
+            n = F.col(f"count_{end}") if unit is None else F.col(f"kw_{end}") / unit
             load = site_load(n, cfg)
             cols |= {f"{way}_kw_{end}": load["kw"], f"{way}_kva_{end}": load["kva"]}
     return segments.withColumns(cols)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ampledger.config import MAX_GAP_HOURS, METER_S, OFF
 from ampledger.functions.calendar import all_holidays, band, day_off
@@ -28,15 +29,22 @@ def scaled(series: DataFrame) -> DataFrame:
     return series.withColumn("value", F.when(shift >= 0, up.cast("long")).otherwise(down.cast("long"))).drop("power_of_ten")
 
 
+def _packed() -> Column:
+    return F.col("doc_order").cast("decimal(19,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("value").cast("decimal(19,0)")
+
+
 def readings(series: DataFrame) -> DataFrame:
     """``meter_id, ts, kwh, kw, kva, repeated``: the series side by side; of a repeated hour the last in document order.
 
     Values are taken by their ``power_of_ten`` where there is one, else as millionths. Readings
-    at one place in the order go by value. Both are packed into one number, so that the
-    aggregate stays a hash aggregate.
+    at one place in the order go by value. Where ``doc_order`` is a number both are packed into one, so that the
+    aggregate stays a hash aggregate; it may be a struct, as feeds have it.
     """
     series = scaled(series) if "power_of_ten" in series.columns else series
-    place = F.col("doc_order").cast("decimal(19,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("value").cast("decimal(19,0)")
+    if isinstance(series.schema["doc_order"].dataType, StructType):
+        place = F.struct("doc_order", "value")
+    else:
+        place = _packed()
     picked = []
     for name, uom in UOM.items():
         here = F.col("uom") == uom
@@ -48,14 +56,32 @@ def readings(series: DataFrame) -> DataFrame:
     return wide.select("meter_id", "ts", *UOM, (F.greatest(*(f"n_{c}" for c in UOM)) > 1).alias("repeated"))
 
 
-def fill_gaps(wide: DataFrame) -> DataFrame:
+def _before(wide: DataFrame, slice_hours: int | None) -> DataFrame:
+    """``wide`` with ``before``, the meter's reading before each.
+
+    With ``slice_hours`` a meter's hours are dealt to tasks in slices of that length, and the last reading of
+    each slice is carried over to the meter's next one, by a pass over one row a slice.
+    """
+    if slice_hours is None:
+        return wide.withColumn("before", F.lag("ts").over(Window.partitionBy("meter_id").orderBy("ts")))
+    keys = ["meter_id", "slice"]
+    sliced = wide.withColumn("slice", F.floor(F.unix_seconds("ts") / (slice_hours * METER_S)))
+    lasts = sliced.groupBy(*keys).agg(F.max("ts").alias("last"))
+    upto = F.lag("last").over(Window.partitionBy("meter_id").orderBy("slice"))
+    carried = lasts.select(F.col("meter_id").alias("_meter"), F.col("slice").alias("_slice"), upto.alias("_carried"))
+    met = sliced.join(carried, F.col("meter_id").eqNullSafe(F.col("_meter")) & (F.col("slice") == F.col("_slice")))
+    own = F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts"))
+    return met.withColumn("before", F.coalesce(own, "_carried")).select(*wide.columns, "before")
+
+
+def fill_gaps(wide: DataFrame, slice_hours: int | None = None) -> DataFrame:
     """Readings with placeholders for missing hours, and ``anomalies`` of each hour in their fixed order.
 
     Hours are counted from the observed reading before a gap. A gap of more than
     MAX_GAP_HOURS is flagged on the reading after it and not filled. A reading and the
-    placeholders before it come out of one row, so the pivot and its window run once.
+    placeholders before it come out of one row, so the pivot and its window run once. A meter is one task's,
+    or with ``slice_hours`` that of one task for each stretch of so many hours; the result is the same.
     """
-    before = F.lag("ts").over(Window.partitionBy("meter_id").orderBy("ts"))
     gap_s = F.unix_seconds("ts") - F.unix_seconds("before")
     gap = F.floor(gap_s / METER_S)
     flags = F.array(
@@ -72,7 +98,7 @@ def fill_gaps(wide: DataFrame) -> DataFrame:
     none = [F.lit(None).cast("long").alias(c) for c in UOM]
     seen = F.struct("ts", *UOM, F.filter(flags, lambda f: f.isNotNull()).alias("anomalies"))
     holes = F.transform(missing, lambda t: F.struct(t.alias("ts"), *none, F.array(F.lit("MissingInterval")).alias("anomalies")))
-    return wide.withColumn("before", before).select("meter_id", F.inline(F.concat(F.array(seen), holes)))
+    return _before(wide, slice_hours).select("meter_id", F.inline(F.concat(F.array(seen), holes)))
 
 
 def with_band(rows: DataFrame) -> DataFrame:

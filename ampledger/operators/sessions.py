@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampledger.config import DEFAULT, GRID_S, SiteConfig
+from ampledger.config import DEFAULT, GRID_S, ZONE, SiteConfig
 from ampledger.functions.timeexpr import instant, local, on_grid, seconds
 
 
-def resolve_times(rows: DataFrame) -> DataFrame:
+def resolve_times(rows: DataFrame, zone: Column | str = ZONE) -> DataFrame:
     """Adds ``start_utc, end_utc, dst`` from wall times; a fold that either instant explains gives two rows.
 
     A start inside a gap is shifted on by the gap and flagged. A start inside a fold is tried
@@ -19,13 +19,13 @@ def resolve_times(rows: DataFrame) -> DataFrame:
     on a tie.
     """
     wall_end = F.unix_seconds(F.col("end_local").cast("timestamp"))
-    early = instant("start_local")
+    early = instant("start_local", zone)
     late = F.timestamp_seconds(F.unix_seconds(early) + 3600)
-    folded = local(late) == F.col("start_local")
-    gap = local(early) != F.col("start_local")
+    folded = local(late, zone) == F.col("start_local")
+    gap = local(early, zone) != F.col("start_local")
 
     def explains(start: Column) -> Column:
-        off = seconds(local(F.timestamp_seconds(F.unix_seconds(start) + F.col("dur_s")))) - wall_end
+        off = seconds(local(F.timestamp_seconds(F.unix_seconds(start) + F.col("dur_s")), zone)) - wall_end
         return (off > -60) & (off < 61)
 
     def case(start: Column, suffix: str, flag: str | None) -> Column:
@@ -42,11 +42,11 @@ def resolve_times(rows: DataFrame) -> DataFrame:
         .otherwise(F.array(case(early, "", "DstUnresolvable")))
     )
     rows = rows.withColumn("c", F.explode(cases))
-    end_early = instant("end_local")
+    end_early = instant("end_local", zone)
     end_late = F.timestamp_seconds(F.unix_seconds(end_early) + 3600)
     aim = F.unix_seconds("c.start") + F.col("dur_s")
     nearer = F.abs(F.unix_seconds(end_late) - aim) < F.abs(F.unix_seconds(end_early) - aim)
-    end = F.when((local(end_late) == F.col("end_local")) & nearer, end_late).otherwise(end_early)
+    end = F.when((local(end_late, zone) == F.col("end_local")) & nearer, end_late).otherwise(end_early)
     return rows.select(
         *(c for c in rows.columns if c not in ("c", "id")),
         F.concat("id", "c.suffix").alias("id"),
@@ -73,7 +73,7 @@ def duration_fits() -> Column:
 def avg_kw(cfg: SiteConfig = DEFAULT) -> Column:
     """Mean power over the active time; without any, 0 for no energy and the breaker rating otherwise."""
     stuck = (F.col("charge_s") == 0) | F.isnan("energy")
-    return F.when(stuck, F.when(F.col("energy") == 0, 0.0).otherwise(cfg.rating_kw)).otherwise(
+    return F.when(stuck, F.when(F.col("energy") == 0, 0.0).otherwise(F.lit(cfg.rating_kw))).otherwise(
         F.col("energy") / F.col("charge_s") * 3600
     )
 
@@ -87,7 +87,7 @@ def flag_sessions(rows: DataFrame, cfg: SiteConfig = DEFAULT) -> DataFrame:
     """
     if "parse_error" in rows.columns:
         raise ValueError("refuse the files with a bad cell first: sources.session_reports.quarantine")
-    rows = adjusted(resolve_times(rows))
+    rows = adjusted(resolve_times(rows, cfg.zone))
     zero, fits = F.col("charge_s") == 0, duration_fits()
     flags = F.array(
         F.when(zero, "ZeroActiveChargeTime"),

@@ -43,9 +43,20 @@ def session_table(flagged: DataFrame) -> DataFrame:
 
 
 def write_sessions(flagged: DataFrame, path: str) -> None:
-    """The session table, partitioned by site and month."""
-    month = F.date_format("conn_start_utc", "yyyy-MM")
-    session_table(flagged).withColumn("month", month).write.partitionBy("site_id", "month").mode("errorifexists").parquet(path)
+    """The session table, partitioned by site and month of the start.
+
+    Written again, it replaces the months of the sites that it holds and leaves all others, so that a run that is
+    repeated leaves one copy.
+    """
+    table = session_table(flagged).withColumn("month", F.date_format("conn_start_utc", "yyyy-MM"))
+    table.write.partitionBy("site_id", "month").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def stored_between(stored: DataFrame, since: str, until: str) -> DataFrame:
+    """Rows of a stored table that start from ``since`` up to before ``until``, instants as text; of its months only these are read."""
+    first, last = F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp")
+    months = (F.col("month") >= F.date_format(first, "yyyy-MM")) & (F.col("month") <= F.date_format(last, "yyyy-MM"))
+    return stored.where(months & (F.col("conn_start_utc") >= first) & (F.col("conn_start_utc") < last))
 
 
 def reread(stored: DataFrame, cfg: SiteConfig = DEFAULT, tolerance: float = 1e-6) -> DataFrame:
@@ -82,9 +93,10 @@ def reread(stored: DataFrame, cfg: SiteConfig = DEFAULT, tolerance: float = 1e-6
     return out.drop(*(f"_{c}" for c in DERIVED))
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Reads a written session table back, by ``reread``."""
-    return reread(spark.read.parquet(path))
+def read_sessions(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Reads a written session table back, by ``reread``; with ``since`` and ``until`` the sessions that ``stored_between`` keeps."""
+    stored = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    return reread(stored if since is None and until is None else stored_between(stored, since or "0001-01-01", until or "9999-12-31"))
 
 
 UNITS = (72, 38, 61)  # Wh, W and VA: what an export carries
@@ -107,7 +119,8 @@ def feed_series(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     one, within the same file. ``errors(path, href, error)``: DanglingLink, NotHourly,
     RepeatedUnit where a file has two types of one unit, and of the three units EmptySeries
     where one has a type but no reading and AbsentSeries where it has no type. The series are
-    ``path, uom, power_of_ten, ts, value, doc_order``.
+    ``path, uom, power_of_ten, ts, value, doc_order``; the order is that of path, entry and reading, which no
+    size of file or number of tasks can overflow.
     """
     rel = lambda name: F.filter("link", lambda x: x["_rel"] == name)
     own = F.element_at(F.transform(rel("self"), lambda x: x["_href"]), 1)
@@ -125,7 +138,7 @@ def feed_series(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     readings = joined.select("path", "place", "self", "uom", "powerOfTenMultiplier", "intervalLength", F.posexplode(F.flatten(F.transform("IntervalBlock", lambda b: b["IntervalReading"]))).alias("n", "r"))
     series = readings.where("uom is not null and intervalLength = 3600 and r.timePeriod.duration = 3600").select(
         "path", "uom", F.col("powerOfTenMultiplier").alias("power_of_ten"), F.timestamp_seconds("r.timePeriod.start").alias("ts"),
-        F.col("r.value").alias("value"), (F.col("place") * 100_000 + F.col("n")).alias("doc_order"),
+        F.col("r.value").alias("value"), F.struct("path", "place", F.col("n").cast("long").alias("n")).alias("doc_order"),
     )
     dangling = joined.where("uom is null").select("path", F.col("self").alias("href"), F.lit("DanglingLink").alias("error"))
     odd = readings.where("uom is not null and not (intervalLength <=> 3600 and r.timePeriod.duration <=> 3600)")
@@ -139,11 +152,19 @@ def feed_series(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return series, errors.unionByName(empty).unionByName(absent)
 
 
-def meter_series(series: DataFrame, meters: DataFrame | None = None) -> DataFrame:
+def read_feeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(series, errors)`` of ``feed_series``, with no reading of a file that has an error."""
+    series, errors = feed_series(feed_entries(spark, path))
+    return series.join(errors.select("path").distinct(), "path", "left_anti"), errors
+
+
+def meter_series(series: DataFrame, meters: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """``meter_id, uom, power_of_ten, ts, value, doc_order`` of ``feed_series``, as ``meter.readings`` takes it.
 
     ``meters(path, meter_id)`` names each file's meter; without it a file is a meter, by its
-    path. Files that ``meters`` does not list are left out.
+    path. Files that ``meters`` does not list, and those with any of ``errors(path, ...)``, are left out.
     """
+    if errors is not None:
+        series = series.join(errors.select("path").distinct(), "path", "left_anti")
     named = series.withColumn("meter_id", F.col("path")) if meters is None else series.join(meters, "path")
     return named.select("meter_id", "uom", "power_of_ten", "ts", "value", "doc_order")
