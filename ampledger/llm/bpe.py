@@ -31,6 +31,7 @@ from ampledger.llm.common import map_rows, table
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 120_000  # of a Python worker, some 80 MB with the fragments; the cache starts anew beyond that
+CACHE_CHARS = 64  # longer words are encoded anew each time, so that the caches are bounded in bytes too
 SHORT = 64  # bytes of a fragment that is merged over a list
 _BITS = 20
 _MASK, _NONE = (1 << _BITS) - 1, 1 << 62
@@ -207,13 +208,17 @@ class WordBpe:
             key = (piece, i == len(pieces) - 1)
             ids = self.fragments.get(key)
             if ids is None:
-                if len(self.fragments) >= CACHE_WORDS:
-                    self.fragments.clear()
-                ids = self.fragments[key] = self.merge(*key)
+                ids = self.merge(*key)
+                if len(piece) <= CACHE_CHARS:
+                    if len(self.fragments) >= CACHE_WORDS:
+                        self.fragments.clear()
+                    self.fragments[key] = ids
             out.extend(ids)
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        found = self.cache[word] = struct.pack(f"<{len(out)}I", *out), self.decode(out)
+        found = struct.pack(f"<{len(out)}I", *out), self.decode(out)
+        if len(word) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[word] = found
         return found
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:

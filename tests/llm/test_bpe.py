@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ampledger.llm.bpe import WordBpe, encode_documents, op3_bpe, tokenizer_path
+from ampledger.llm.bpe import CACHE_CHARS, WordBpe, encode_documents, op3_bpe, tokenizer_path
 from ampledger.llm.token_counts import encoded_lengths, length_table, quantiles, totals_at
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,10 @@ def test_encoded_lengths(spark):
     assert {r.doc_id: r.length for r in encoded_lengths(docs, tokenizer_path()).collect()} == want
     odd = spark.createDataFrame([(1, None, 9), (2, "the the", 9), (2, "the the", 9), (None, "", 9)], "doc_id long, text string, length int")
     assert sorted((r.doc_id or 0, r.length) for r in encoded_lengths(odd, tokenizer_path()).collect()) == [(0, 0), (1, 0), (2, 2), (2, 2)]
+
+
+def test_long_words_are_not_kept():
+    own, t = WordBpe(tokenizer_path()), library()
+    text = "short " + "ab1-" * 5_000 + " " + "xyz" * 3_000 + " short again"
+    assert own.encode(text) == t.encode(text, add_special_tokens=False).ids
+    assert own.cache and all(len(w) <= CACHE_CHARS for w in own.cache) and all(len(k[0]) <= CACHE_CHARS for k in own.fragments)
