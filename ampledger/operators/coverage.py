@@ -54,12 +54,28 @@ def covered_periods(stretches: DataFrame, periods: DataFrame) -> DataFrame:
     return periods.join(seen, ["site_id", "period_ending"], "left").select("site_id", "period_ending", F.coalesce("w", F.lit(False)).alias("covered"))
 
 
+def undated_reports(named: DataFrame) -> DataFrame:
+    """The rows of ``named(name, ...)`` whose name says no dates, or a date that is none."""
+    dated = report_dates(named)
+    return dated.where("first_date is null or last_date is null").select(*named.columns)
+
+
 def coverage_errors(named: DataFrame, periods: DataFrame) -> DataFrame:
     """``site_id, period_ending, coverage_error`` of each of ``periods``, from the names ``named(site_id, name)`` of the sites' reports.
 
-    UndatedReport where a name of the site says no dates; ReportsDoNotCover where its reports leave a day of the period out.
+    UndatedReport where a name says no dates; ReportsDoNotCover where the reports leave a day of the period out.
+    Where ``named`` has a ``period_ending`` too, each report is filed for that period and speaks for it alone: an
+    undated one refuses its period and no other. Without it all of a site's reports speak for all its periods.
     """
-    dated = report_dates(named.select("site_id", "name"))
+    if "period_ending" not in named.columns:
+        return _coverage_errors(named.select("site_id", "name"), periods)
+    filed = F.struct("site_id", "period_ending").alias("site_id")
+    found = _coverage_errors(named.select(filed, "name"), periods.select(filed, "period_ending"))
+    return found.select("site_id.site_id", "period_ending", "coverage_error")
+
+
+def _coverage_errors(named: DataFrame, periods: DataFrame) -> DataFrame:
+    dated = report_dates(named)
     undated = dated.groupBy("site_id").agg(F.max(F.col("first_date").isNull() | F.col("last_date").isNull()).alias("undated"))
     rows = covered_periods(islands(dated), periods).join(undated, "site_id", "left")
     error = F.when(F.col("undated"), "UndatedReport").when(~F.col("covered"), "ReportsDoNotCover")

@@ -9,6 +9,7 @@ from ampledger.functions.load import site_load
 from ampledger.functions.sites import BY_SITE, checked_sites, with_sites
 from ampledger.functions.timeexpr import period_ending
 from ampledger.operators import bill_text, estimate, meter, reconcile
+from ampledger.operators import coverage as V
 from ampledger.operators import sessions as S
 from ampledger.sources import files
 
@@ -171,3 +172,16 @@ def test_a_store_is_pruned_and_written_again(spark, tmp_path):
     plan = some._jdf.queryExecution().toString()
     found = plan[plan.index("PartitionFilters") :].split("]")[0]
     assert "month" in found and "2026-02" in found and "2026-04" in found
+
+
+def test_an_undated_report_refuses_the_period_it_is_filed_for(spark):
+    may, june, july = (D(f"2026-0{m}-23") for m in (5, 6, 7))
+    names = [(1, "/in/Session_Report_April_24_2026-May_23_2026.csv", may), (1, "/in/export.csv", june), (1, "/in/Session_Report_May_24_2026-June_23_2026.csv", june),
+             (1, "Session_Report_May_24_2026-July_23_2026.csv", july), (2, "Session_Report_April_24_2026-July_23_2026.csv", may)]
+    named = spark.createDataFrame(names, "site_id int, name string, period_ending date")
+    periods = spark.createDataFrame([(s, p) for s in (1, 2) for p in (may, june, july)], "site_id int, period_ending date")
+    filed = {(r.site_id, r.period_ending): r.coverage_error for r in V.coverage_errors(named, periods).collect()}
+    assert filed == {(1, may): None, (1, june): "UndatedReport", (1, july): None, (2, may): None, (2, june): "ReportsDoNotCover", (2, july): "ReportsDoNotCover"}
+    every = {(r.site_id, r.period_ending): r.coverage_error for r in V.coverage_errors(named.drop("period_ending"), periods).collect()}
+    assert {e for (s, _), e in every.items() if s == 1} == {"UndatedReport"} and {e for (s, _), e in every.items() if s == 2} == {None}
+    assert [r.name for r in V.undated_reports(named).collect()] == ["/in/export.csv"]
