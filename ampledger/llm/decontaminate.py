@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampledger.llm.common import cut, drop_rows, map_rows, small, table, variant_of
+from ampledger.llm.common import cut, drop_rows, map_rows, table, variant_of
 
 TILE_WORDS = 3  # least tile, and the length of a seed
 COVERAGE = 0.8
 WORDS_SHIPPED = 400_000  # benchmark words that may be shipped to the tasks, some 60 MB as Python objects
+BUNDLES = 16  # lists into which the items that a text meets are dealt, where the benchmark is too large to ship
 FILTER_BITS = 1 << 26  # of the filter that is shipped in place of a larger benchmark's seeds: 8 MB
 
 _WORD = re.compile(r"\w+")
@@ -310,22 +311,25 @@ def _pairs_by_join(picked: DataFrame, items: DataFrame, coverage: float, least:
     bits = picked.sparkSession.sparkContext.broadcast(_filter_of(kept))
     marked = picked.select("doc_id", "text", variant_of("text").alias("_variant"))
     sent = map_rows(marked, _document_seeds(bits, least), "_id long, _variant long, seed long")
-    met = small(sent.join(kept, "seed").select("_id", "_variant", "item_row").distinct())
-    same = picked["doc_id"].eqNullSafe(met["_id"]) & (variant_of("text") == met["_variant"])
-    pairs = picked.join(met, same).drop("_id", "_variant")
-    named = items.select("item_row", F.col("item_id").alias("_item"), F.col("text").alias("_item_text"))
+    met = cut(sent.join(kept, "seed").select("_id", "_variant", "item_row").distinct(), "pairs")
+    # A text is read once for each bundle of the items that it meets, and not once for each item.
+    named = items.select("item_row", F.struct(F.col("item_id").alias("id"), "text").alias("item"))
+    bundle = F.pmod("item_row", F.lit(BUNDLES)).alias("bundle")
+    lists = met.join(named, "item_row").groupBy("_id", "_variant", bundle).agg(F.collect_list("item").alias("_items"))
+    same = picked["doc_id"].eqNullSafe(lists["_id"]) & (variant_of("text") == lists["_variant"])
     rest = [c for c in picked.columns if c not in ("doc_id", "text")]
-    pairs = pairs.join(named, "item_row").select("doc_id", "text", "_item", "_item_text", *rest)
+    pairs = picked.join(lists.hint("shuffle_hash"), same).select("doc_id", "text", "_items", *rest)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, at = [], []
-            columns = (batch.column(k).to_pylist() for k in range(4))
-            for n, (doc_id, text, item_id, item) in enumerate(zip(*columns, strict=True)):
-                for _, found, covered, size in Seeds([(item_id, item)], coverage, least).matches(words_of(text)):
-                    rows.append((doc_id, item_id, found, covered, size, covered / size))
+            columns = (batch.column(k).to_pylist() for k in range(3))
+            for n, (doc_id, text, listed) in enumerate(zip(*columns, strict=True)):
+                seeds = Seeds([(item["id"], item["text"]) for item in listed], coverage, least)
+                for i, found, covered, size in seeds.matches(words_of(text), range(len(listed))):
+                    rows.append((doc_id, seeds.ids[i], found, covered, size, covered / size))
                     at.append(n)
-            return _found_rows(rows, at, batch.columns[4:], batch.schema.names[4:])
+            return _found_rows(rows, at, batch.columns[3:], batch.schema.names[3:])
 
         return each
 
