@@ -26,7 +26,7 @@ A = 35  # symbols: a-z, 0 for any digit, - . / _ % ~, * for any other, ^ for the
 CONTEXT = 5  # symbols of the longest context
 SMOOTH = 4.0  # weight of the shorter context, in symbols
 SUPPORT = 20  # occurrences, in both models together, from which a context is used
-BROADCAST_GRAMS = 200_000  # rows of the table of ratios, some 60 bytes each, that may be broadcast
+BROADCAST_GRAMS = 1_000_000  # rows of the table of ratios that may be broadcast: at some 80 bytes each, 80 MB
 SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -623,3 +623,15 @@ def test_long_runs_of_signs_take_linear_time():
 
 def test_signs_that_begin_a_word_and_marks_on_letters_fold():
     assert toxicity.fold_words("$cum !diot @ss ïdïot | idiot! wow!1 12$34") == [w.replace("l", "i") for w in ("scum", "idiot", "ass", "idiot", "idiot", "wow", "1", "12", "34")]
+
+
+def test_half_a_million_grams_are_broadcast(spark, monkeypatch):
+    text = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz0-_/", k=500_000))
+    df = spark.createDataFrame([(1, "http://a.com/" + text), (2, "http://b.net/es/" + text[:1000]), (3, "http://c.org/" + text[-1000:])], "page_id long, url string")
+    shipped = []
+    monkeypatch.setattr(url_filter.F, "broadcast", lambda table: shipped.append(table.count()) or table)
+    one = sorted(url_filter.filter_urls(df).collect())
+    assert len(shipped) == 1 and 400_000 < shipped[0] <= url_filter.BROADCAST_GRAMS
+    monkeypatch.undo()
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 1000)
+    assert sorted(url_filter.filter_urls(df).collect()) == one
