@@ -158,6 +158,22 @@ def test_gaps_filled_in_slices_are_those_of_one_window(spark):
     assert "slice" in plan and meter.fill_gaps(wide.limit(0), 24).count() == 0
 
 
+def test_one_long_meter_is_many_tasks(spark):
+    n = 2_000_000
+    hours = spark.range(n).where("id % 1000 <> 500").select(
+        F.lit(1).alias("meter_id"), F.timestamp_seconds(F.col("id") * 3600 - 10**9).alias("ts"), F.lit(1).cast("long").alias("kwh"),
+        F.lit(None).cast("long").alias("kw"), F.lit(2).cast("long").alias("kva"), F.lit(False).alias("repeated"),
+    )
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        filled = meter.fill_gaps(hours, 24 * 365).withColumn("task", F.spark_partition_id())
+        each = filled.groupBy("task").agg(F.count("*").alias("n"), F.count_if(F.array_contains("anomalies", "MissingInterval")).alias("gaps")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sum(r.n for r in each) == n and sum(r.gaps for r in each) == n // 1000 and len(each) == 4 and max(r.n for r in each) < n // 2
+
+
 def test_a_store_is_pruned_and_written_again(spark, tmp_path):
     rows = [(s, "a", n, f"S{n}", dt.datetime(2026, 1 + n % 4, 15, 9, 5), dt.datetime(2026, 1 + n % 4, 15, 10, 5), 3600, 3600, 5.0) for n in range(8) for s in (1, 2)]
     df = spark.createDataFrame(rows, "site_id long, path string, row long, id string, start_local timestamp_ntz, end_local timestamp_ntz, dur_s long, charge_s long, energy double")
