@@ -4,9 +4,9 @@ A phrase scores as the least of 1000 a n / (l r) over its cuts, where a, l and r
 words before the cut and those after it. As r is at least a, no phrase that begins with a prefix
 p scores more than 1000 n / f(p). So prefixes are expanded by one word from the highest bound down,
 in batches: a pass over the texts counts the next words of all prefixes up to a count that each
-language has its own limit for. When nothing is left to expand below the limit, one more pass counts the
-ends of phrases that no prefix led to, and the neighbours of each phrase; then the scores are known, and
-the limit rises to what can still reach the language's last place, or tie with it, until nothing can.
+language has its own limit for. When nothing is left to expand below the limit, phrases are settled from the
+highest score of one cut down: a pass counts their ends that no prefix led to, and their neighbours; then the scores are
+known, and the limit rises to what can still reach the language's last place, or tie with it, until nothing can.
 
 Words are numbers in the passes: a hash of language and word, checked to be unequal for unequal
 words. Tasks know a set of phrases by a filter of fixed size; what it lets through in error is
@@ -222,6 +222,8 @@ def _phrase_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 # --- the plan ---
 
+_PRODUCT = "cast(1000 as decimal(38,0)) * cast(a as decimal(19,0)) * cast(total as decimal(19,0))"
+
 
 def _bits(phrases: DataFrame):
     return phrases.sparkSession.sparkContext.broadcast(_filter_of(phrases.select(*_W).mapInArrow(_phrase_number, "seed long")))
@@ -246,8 +248,7 @@ def _scored(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     keyed = counts.select(F.array("k1", "k2", "k3", "k4", "k5").alias("key"), "f")
     cuts = cuts.join(keyed.select(F.col("key").alias("left"), F.col("f").alias("l")), "left")
     cuts = cuts.join(keyed.select(F.col("key").alias("right"), F.col("f").alias("r")), "right")
-    product = "cast(1000 as decimal(38,0)) * cast(a as decimal(19,0)) * cast(total as decimal(19,0))"
-    score = F.expr(f"cast(({product}) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint)")
+    score = F.expr(f"cast(({_PRODUCT}) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint)")
     lowest = F.min(F.struct(score.alias("score"), "cut", "l", "r"))
     return cuts.groupBy(*keep).agg(lowest.alias("low")).select(*keep, "low.score", "low.l", "low.r")
 
@@ -300,7 +301,7 @@ def collocations(
             if wave == 1:  # a guess at the last place's score, so that the limit need not rise twice
                 limits = cut(_raised(known, limits, _guess(known, words, places)), "limits")
             continue
-        ranked = cut(_ranked(texts, known, words, salt).where(F.col("place") <= places), "ranked")
+        ranked = _ranked(texts, known, words, salt, places)
         last = ranked.where(F.col("place") == places).select("lang", F.col("score").alias("last"))
         limits = cut(_raised(known, limits, last), "limits")
         if known.join(limits, "lang").where(~F.col("done") & (F.col("size") < LONGEST) & (F.col("a") <= F.col("limit"))).isEmpty():
@@ -326,23 +327,68 @@ def _guess(known: DataFrame, words: DataFrame, places: int) -> DataFrame:
     return scored.where(F.col("place") <= 2 * places).where(F.col("place") == 2 * places).select("lang", F.col("score").alias("last"))
 
 
-def _ranked(texts: DataFrame, known: DataFrame, words: DataFrame, salt: int) -> DataFrame:
-    """All phrases of two words and more that survive, with score and ``place`` by score, count and bytes in their language."""
+def _inside(known: DataFrame) -> DataFrame:
+    """The phrases of two words and more that make up all of a known phrase but its first or last word, and occur no oftener."""
+    every = range(1, LONGEST + 1)
+    long = known.where("size > 2")
+    head = [F.when(F.col("size") > k, F.col(f"w{k}")).otherwise(F.lit(0).cast("long")).alias(f"w{k}") for k in every]
+    tail = [(F.col(f"w{k + 1}") if k < LONGEST else F.lit(0).cast("long")).alias(f"w{k}") for k in every]
+    most = long.select(*head, "a").unionByName(long.select(*tail, "a")).groupBy(*_W).agg(F.max("a").alias("most"))
+    return known.join(most, _W).where("most >= a").select(*_W)
+
+
+def _bounded(phrases: DataFrame, counted: DataFrame) -> DataFrame:
+    """``phrases`` with ``bound``, the score of the cut before the last word, whose counts are always known: the score is no greater."""
+    every = range(1, LONGEST + 1)
+    zero = F.lit(0).cast("long")
+    left = F.array(*(F.when(F.col("size") > k, F.col(f"w{k}")).otherwise(zero) for k in every)).alias("left")
+    right = F.array(F.get(F.array(*_W), F.col("size") - 1), zero, zero, zero, zero).alias("right")
+    keyed = counted.select(F.array(*_W).alias("key"), "f")
+    met = phrases.select("*", left, right).join(keyed.select(F.col("key").alias("left"), F.col("f").alias("l")), "left")
+    met = met.join(keyed.select(F.col("key").alias("right"), F.col("f").alias("r")), "right")
+    bound = F.expr(f"cast(({_PRODUCT}) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint)")
+    return met.withColumn("bound", bound).drop("left", "right", "l", "r")
+
+
+def _ranked(texts: DataFrame, known: DataFrame, words: DataFrame, salt: int, places: int) -> DataFrame:
+    """The first ``places`` surviving phrases of each language, with score and ``place`` by score, count and bytes.
+
+    Best first: phrases are settled from the highest bound down, twice as many as there are places at first. Where
+    what is left could still come in among the last place, or tie with it, four times as many are.
+    """
     phrases = known.where("size > 1").select(*_W, "lang", "size", "a", "total")
-    ends = phrases.select(*_W)
+    counted = known.select(*_W, F.col("a").alias("f"))
+    bounded = cut(_bounded(phrases.join(_inside(known), _W, "left_anti"), counted), "bounded")
+    most = 2 * places
+    while True:
+        turn = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("bound")))
+        taken = cut(bounded.withColumn("turn", turn).where(F.col("turn") <= most).drop("turn", "bound"), "taken")
+        ranked = cut(_settled(texts, taken, counted, words, salt).where(F.col("place") <= places), "ranked")
+        last = ranked.where(F.col("place") == places).select("lang", F.col("score").alias("last"))
+        rest = bounded.join(taken, _W, "left_anti").groupBy("lang").agg(F.max("bound").alias("best"))
+        if rest.join(last, "lang", "left").where("last is null or best >= last").isEmpty():
+            return ranked
+        most *= 4
+
+
+def _settled(texts: DataFrame, taken: DataFrame, counted: DataFrame, words: DataFrame, salt: int) -> DataFrame:
+    """Of the phrases ``taken`` those that survive, scored and ranked. One pass counts what no prefix led to, and their neighbours."""
+    every = [f"k{j}" for j in range(1, LONGEST + 1)]
+    ends = None
     for k in range(2, LONGEST):
         for size in range(k + 1, LONGEST + 1):
-            tail = [F.col(c).alias(w) for c, w in zip([f"k{j}" for j in range(1, LONGEST + 1)], _W, strict=True)]
-            ends = ends.unionByName(phrases.where(F.col("size") == size).select(*_part(size - k + 1, size)).select(*tail))
-    targets = cut(ends.where("w5 = 0").distinct(), "targets")
+            part = taken.where(F.col("size") == size).select(*_part(size - k + 1, size))
+            ends = part if ends is None else ends.unionByName(part)
+    ends = ends.select(*(F.col(c).alias(w) for c, w in zip(every, _W, strict=True))).distinct().join(counted, _W, "left_anti")
+    targets = cut(taken.where("w5 = 0").select(*_W).unionByName(ends).distinct(), "targets")
     kind = ", ".join(f"{w} long" for w in [*_W, "n", "p0", "p1", "n0", "n1"])
     seen = texts.mapInArrow(_count_around(_bits(targets), salt), kind)
     summed = seen.groupBy(*_W).agg(F.sum("n").alias("f"), F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
     around = cut(summed.join(targets, _W, "left_semi"), "around")
-    keys = [F.col(w).alias(f"k{j}") for j, w in enumerate(_W, 1)]
-    counts = around.select(*keys, "f").unionByName(words.select(*keys, F.col("a").alias("f")))
+    keys = [F.col(w).alias(k) for k, w in zip(every, _W, strict=True)]
+    counts = around.select(*_W, "f").unionByName(counted).groupBy(*keys).agg(F.max("f").alias("f"))
     inside = around.where("(p0 = p1 and p0 <> 0) or (n0 = n1 and n0 <> 0)").select(*_W)
-    scored = _scored(phrases, counts).join(inside, _W, "left_anti")
+    scored = _scored(taken, counts).join(inside, _W, "left_anti")
     spelt = words.select(F.col("w1").alias("w"), "word")
     parts = scored.select(*_W, F.posexplode(F.array(*_W)).alias("pos", "w")).where("w <> 0").join(spelt, "w")
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
