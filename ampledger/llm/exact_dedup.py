@@ -103,9 +103,9 @@ def exact_dedup(
     on, n_repeated = ["digest", "variant"], repeated.count()
     if n_repeated <= broadcast_digests:
         suspects = texts.join(F.broadcast(repeated), on, "left_semi")
-    else:  # a hot text is spread over salts before it moves
+    else:  # a hot text is spread over salts before it moves, by its place where ids are null
         salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        texts = texts.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+        texts = texts.withColumn("salt", F.pmod(F.hash(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SALTS)))
         suspects = texts.join(salted.hint("shuffle_hash"), [*on, "salt"], "left_semi")
         suspects = suspects.groupBy(*on, "salt", "text").agg(
             F.max("doc_id").alias("doc_id"), F.count("*").alias("n")
@@ -120,9 +120,12 @@ def exact_dedup(
         told_apart = cut(_by_bytes(rows.join(shared, on, "left_semi")), "told-apart")
         marks = marks.join(shared, on, "left_anti")
     classes = classes.where("texts = 1").drop("texts")
-    # Among repeated rows of the id that stays, the one with the least row_id. The id is a join key, so
-    # that the copies of a hot text are dealt by id.
-    marked, held = marks.alias("m"), classes.alias("c")
+    # Among repeated rows of the id that stays, the one with the least row_id. Where this join moves rows, those of
+    # one text and id (a null one too) are first combined in their tasks.
+    if n_repeated <= broadcast_digests:
+        marked, held = marks.alias("m"), F.broadcast(classes).alias("c")  # no more classes than repeated digests
+    else:
+        marked, held = marks.groupBy(*on, "doc_id").agg(F.min("row_id").alias("row_id")).alias("m"), classes.alias("c")
     same_id = F.col("m.doc_id").eqNullSafe(F.col("c.keep_id"))
     staying = marked.join(held, (F.col("m.digest") == F.col("c.digest")) & (F.col("m.variant") == F.col("c.variant")) & same_id)
     stays = staying.groupBy("c.digest", "c.variant").agg(F.min("m.row_id").alias("keep_row"))
@@ -148,8 +151,8 @@ def exact_dedup(
 
 def _by_bytes(rows: DataFrame) -> DataFrame:
     """Rows of digests that several texts share, grouped by the text itself; salted, as a hot text may be among them."""
-    rows = rows.withColumn("row_id", -1 - F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    rows = cut(rows, "shared-digests")
+    rows = cut(rows.withColumn("row_id", -1 - F.monotonically_increasing_id()), "shared-digests")
+    rows = rows.withColumn("salt", F.pmod(F.hash("row_id"), F.lit(SALTS)))
     order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("doc_id").isNotNull().alias("known"), (-F.col("row_id")).alias("nth"))
     parts = rows.groupBy("text", "salt").agg(F.max(order).alias("top"), F.count("*").alias("n"))
     whole = parts.groupBy("text").agg(F.max("top").alias("top"), F.sum("n").alias("group_size"))

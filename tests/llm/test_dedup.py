@@ -58,6 +58,23 @@ def test_exact_dedup_null_ids_repeats_and_empty(spark):
     assert exact_dedup(df.limit(0), arrival()).count() == 0 and drop_exact_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_a_hot_text_under_null_ids(spark, weak):
+    rows = [(None, "hot")] * 400 + [(None, "cold"), (3, "hot"), (3, "hot"), (9, "own"), (4, None), (None, "")]
+    kind = {"digest": lambda c: F.unhex(F.lit("00")), "variant": lambda c: F.lit(1).cast("long")} if weak else {}
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), arrival(), broadcast_digests=0, **kind).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size) for r in got) == sorted((i or -1, k or -1, n) for i, k, n, _ in all_rows(rows))
+    assert sorted((r.keep_id or -1, r.group_size) for r in got if r.kept) == [(-1, 1), (3, 402), (4, 2), (9, 1)]
+
+
+def all_rows(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    return [(i, max((x for x in g if x is not None), default=None), len(g), t) for t, g in groups.items() for i in g]
+
+
 def test_op1_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
