@@ -53,7 +53,8 @@ def report_folder(spark: SparkSession, sf_dir: str, bad: bool) -> str:
     even = [*cells, n.cast("string").alias("Event"), F.concat(F.lit('P "'), n % 7, F.lit('", east')).alias("Station_ID")]
     odd = [n.cast("string").alias("Event"), *(F.col(c).alias(f" {h} ") for c, h in reversed(_HEADERS.items())), F.lit("as reported").alias("path")]
     for kind, columns in (("e0", even), ("e1", odd)):
-        rows = raw.where(F.col("path") == kind).repartition("site_id").sortWithinPartitions("row")
+        # the write wants rows by site: a sort by row alone would be followed by one that loses it where it spills
+        rows = raw.where(F.col("path") == kind).repartition("site_id").sortWithinPartitions("site_id", "row")
         rows.select("site_id", *columns).write.partitionBy("site_id").option("header", True).option("escape", '"').csv(f"{at}/{kind}")
     return at
 

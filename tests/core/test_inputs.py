@@ -1,4 +1,6 @@
+import csv
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -11,6 +13,7 @@ from ampledger.functions.timeexpr import period_ending
 from ampledger.operators import bill_text, estimate, meter, reconcile
 from ampledger.operators import coverage as V
 from ampledger.operators import sessions as S
+from ampledger.plans import inputs
 from ampledger.sources import files
 
 D = dt.date.fromisoformat
@@ -201,3 +204,17 @@ def test_an_undated_report_refuses_the_period_it_is_filed_for(spark):
     every = {(r.site_id, r.period_ending): r.coverage_error for r in V.coverage_errors(named.drop("period_ending"), periods).collect()}
     assert {e for (s, _), e in every.items() if s == 1} == {"UndatedReport"} and {e for (s, _), e in every.items() if s == 2} == {None}
     assert [r.name for r in V.undated_reports(named).collect()] == ["/in/export.csv"]
+
+
+def test_report_files_keep_their_order_where_sorts_spill(spark):
+    conf, key = spark._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "100")
+    try:
+        at = inputs.report_folder(spark, "/root/testdata/sf0.01", bad=False)
+    finally:
+        conf.remove(key)
+    for kind in ("e0", "e1"):
+        for file in pathlib.Path(at.removeprefix("file://"), kind).glob("site_id=*/*.csv"):
+            with file.open(newline="") as f:
+                events = [int(r["Event"]) for r in csv.DictReader(f)]
+            assert events == sorted(events) and len(events) > 300
