@@ -82,7 +82,7 @@ SELECT site_id, kind, count(*) AS n_rows, CASE WHEN count(bad) = 0 THEN round(su
   first(bad ORDER BY place) FILTER (bad IS NOT NULL) AS cell FROM r GROUP BY ALL""")
 def refused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each report file: its energy where it is accepted, else its first bad cell. One such cell keeps out the whole file."""
-    rows = _read_reports(spark, report_folder(spark, sf_dir, bad=True))
+    rows = written(_read_reports(spark, report_folder(spark, sf_dir, bad=True)), "reports")  # read three times
     accepted, refused = quarantine(rows)
     files = rows.groupBy("path", "site_id", "kind").agg(F.count("*").alias("n_rows"))
     sums = S.flag_sessions(accepted.withColumn("row", F.col("row").cast("long"))).groupBy("path").agg(F.sum("energy").alias("e"))

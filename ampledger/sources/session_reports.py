@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampledger.functions.timeexpr import col
+from ampledger.sources.scratch import written
 
 #: Report columns that must be there, by trimmed header name, and what they are called here.
 REQUIRED = {
@@ -31,7 +32,8 @@ def wall_time(text: Column | str) -> Column:
     """``2026-06-15 9:05`` or ``2026-06-15 09:05:30`` as a wall time; null if it is none."""
     t = F.trim(col(text))
     shape = t.rlike(r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}(:\d{2})?$")
-    return F.when(shape, F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd H:mm"))).cast("timestamp_ntz"))
+    full = F.when(F.regexp_count(t, F.lit(":")) == 1, F.concat(t, F.lit(":00"))).otherwise(t)
+    return F.when(shape, F.try_to_timestamp(full, F.lit("yyyy-MM-dd H:mm:ss")).cast("timestamp_ntz"))
 
 
 def clock_seconds(text: Column | str) -> Column:
@@ -65,12 +67,27 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/"), "/+", "/")
 
 
-def _records(spark: SparkSession, path: str | list[str], columns: int) -> DataFrame:
-    """``path, place, cells``: all records of the files, headers too, in order of place within a file."""
+def _scan(spark: SparkSession, path: str | list[str], columns: int) -> DataFrame:
+    """The first ``columns`` cells of all records, headers too, one task a file.
+
+    The schema has one column more, which is left out: where columns are pruned, a record that is shorter or longer
+    than the schema raises nothing in the parser, which otherwise raises and drops an error for every missing cell.
+    """
     schema = ", ".join(f"_c{k} string" for k in range(columns + 1))
     reader = spark.read.schema(schema).option("header", False).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-    cells = F.array(*(F.col(f"_c{k}") for k in range(columns + 1)))
-    raw = reader.csv(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"))
+    return reader.option("columnPruning", True).csv(path)
+
+
+def _most_cells(spark: SparkSession, path: str | list[str], columns: int) -> int:
+    """The place of the last cell, up to ``columns``, that any record of the files has."""
+    last = F.coalesce(*(F.when(F.col(f"_c{k}").isNotNull(), k + 1) for k in reversed(range(columns))))
+    return _scan(spark, path, columns).select(last.alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+
+
+def _records(spark: SparkSession, path: str | list[str], columns: int) -> DataFrame:
+    """``path, place, cells``: all records of the files, headers too, in order of place within a file; cells beyond ``columns`` are not read."""
+    cells = F.array(*(F.col(f"_c{k}") for k in range(columns)))
+    raw = _scan(spark, path, columns).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"))
     wide = F.coalesce(F.array_max(F.transform("cells", lambda c, k: F.when(c.isNotNull(), k + 1))), F.lit(0))
     return raw.withColumn("cells", F.slice("cells", F.lit(1), wide))
 
@@ -115,8 +132,8 @@ def session_reports(
     ``order(path, position)`` states the order in which the files were given: it adds ``position``, null for
     files not listed. A file with nothing after its header has no rows, an empty folder gives none.
     """
-    records = _records(spark, path, max_columns)
-    heads = file_headers(records)
+    records = _records(spark, path, _most_cells(spark, path, max_columns + 1))
+    heads = written(file_headers(records), "report-headers")
     if through is None:
         found = heads.select(F.explode("names").alias("n")).where("n <> ''").distinct().limit(MAX_NAMES + 1).collect()
         if len(found) > MAX_NAMES:

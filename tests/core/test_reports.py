@@ -182,3 +182,14 @@ def test_null_figures_have_no_bucket(spark):
     df = spark.createDataFrame(rows, "site_id long, path string, row long, id string, start_local timestamp_ntz, end_local timestamp_ntz, dur_s long, charge_s long, energy double")
     got = {r.id: (r.bucket, "DstUnresolvable" in r.anomalies) for r in sessions.flag_sessions(df).collect()}
     assert got == {"A": ("session", False), "B": (None, False), "C": (None, False), "D": (None, False)}
+
+
+def test_no_more_columns_are_read_than_records_have(spark, tmp_path):
+    good = "A,2026-06-15 9:05,2026-06-15 10:05:30,1:00:00,0:50:00,5.5"
+    _report(tmp_path / "r" / "a.csv", HEAD, good)
+    _report(tmp_path / "r" / "b.csv", "Note," + HEAD, '"two,\nlines, ""x""",' + good)
+    typed = session_reports.session_reports(spark, str(tmp_path / "r"))
+    assert {(r.Note, r.end_local.second, r.parse_error) for r in typed.collect()} == {(None, 30, None), ('two,\nlines, "x"', 30, None)}
+    assert "_c6" in (plan := typed._jdf.queryExecution().toString()) and "_c20" not in plan
+    _report(tmp_path / "r" / "c.csv", HEAD, good, good + ",,,,,,,,,,,,,,,,,,,x")
+    assert [r.row for r in session_reports.session_reports(spark, str(tmp_path / "r")).where("parse_error = 'more cells than columns'").collect()] == [3]
