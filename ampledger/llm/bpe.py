@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import operator
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -31,6 +32,7 @@ from ampledger.llm.common import map_rows, table
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 120_000  # of a Python worker, some 80 MB with the fragments; the cache starts anew beyond that
+COUNT_WORDS = 250_000  # in each of two generations of a Python worker's counts, some 60 MB in all
 CACHE_CHARS = 64  # longer words are encoded anew each time, so that the caches are bounded in bytes too
 SHORT = 64  # bytes of a fragment that is merged over a list
 _BITS = 20
@@ -151,9 +153,14 @@ class WordBpe:
         #: of each word met: its ids as little-endian 32-bit numbers, and its tokens joined by spaces
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        #: of words met: how many tokens each is; those met before the last start are in the older
+        self.counts: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def fragments_of(self, word: str) -> list[str]:
         """``word``, in byte symbols, cut at every forced boundary."""
+        if self.inside.issuperset(map(operator.add, word, word[1:])):
+            return [word]
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -221,11 +228,43 @@ class WordBpe:
             self.cache[word] = found
         return found
 
-    def plain(self, text: str) -> list[tuple[bytes, str]]:
+    def count_word(self, word: str) -> int:
+        """The number of tokens of a word that ``counts`` lacks. Once that is full it becomes the older generation, so that common words stay."""
+        n = self.older.get(word)
+        if n is None:
+            shown = "".join(map(self.symbols.__getitem__, word.encode("utf-8", "surrogatepass")))
+            pieces = self.fragments_of(shown)
+            n = sum(len(self.merge(piece, False)) for piece in pieces[:-1]) + len(self.merge(pieces[-1], True))
+        if len(word) <= CACHE_CHARS:
+            if len(self.counts) >= COUNT_WORDS:
+                self.older, self.counts = self.counts, {}
+            self.counts[word] = n
+        return n
+
+    def split(self, text: str) -> list[str]:
         text = prepared(text)
         exact = not text.isascii() and max(text) >= self.first_odd and not self.odd.isdisjoint(text)
+        return (self.exact if exact else self.words).findall(text)
+
+    def plain(self, text: str) -> list[tuple[bytes, str]]:
         get, new = self.cache.get, self.word
-        return [get(w) or new(w) for w in (self.exact if exact else self.words).findall(text)]
+        return [get(w) or new(w) for w in self.split(text)]
+
+    def count(self, text: str | None) -> int:
+        """How many ids ``encode`` gives, without making them."""
+        text, n, at = text or "", 0, 0
+        if "<|" in text:
+            for m in self.specials.finditer(text):
+                n += self._count_plain(text[at : m.start()]) + 1
+                at = m.end()
+        return n + self._count_plain(text[at:] if at else text)
+
+    def _count_plain(self, text: str) -> int:
+        words = self.split(text)
+        found = list(map(self.counts.get, words))
+        if None in found:
+            found = [self.count_word(w) if n is None else n for w, n in zip(words, map(self.counts.get, words), strict=True)]
+        return sum(found)
 
     def pieces(self, text: str | None) -> list[tuple[bytes, str]]:
         """Encoded and decoded form of each word and special token of the text, in order."""

@@ -27,7 +27,7 @@ def encoded_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         bpe = worker_bpe(path)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = [len(bpe.encode_bytes(t)) // 4 for t in batch.column(1).to_pylist()]
+            n = [bpe.count(t) for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "length"])
 
         return each

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ampledger.llm import bpe
 from ampledger.llm.bpe import CACHE_CHARS, WordBpe, encode_documents, op3_bpe, tokenizer_path
 from ampledger.llm.token_counts import encoded_lengths, length_table, quantiles, totals_at
 
@@ -124,3 +125,12 @@ def test_long_words_are_not_kept():
     text = "short " + "ab1-" * 5_000 + " " + "xyz" * 3_000 + " short again"
     assert own.encode(text) == t.encode(text, add_special_tokens=False).ids
     assert own.cache and all(len(w) <= CACHE_CHARS for w in own.cache) and all(len(k[0]) <= CACHE_CHARS for k in own.fragments)
+
+
+def test_counts_are_those_of_the_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "COUNT_WORDS", 40)
+    coder, rng = bpe.WordBpe(bpe.tokenizer_path()), random.Random(7)
+    words = ["".join(rng.choice("abcéß中9'_") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    texts = [None, "", "<|endoftext|>", "a<|endoftext|>b a b", "x" * 90, *(" ".join(rng.choices(words, k=60)) for _ in range(40))]
+    assert [coder.count(t) for t in texts] == [len(coder.encode(t)) for t in texts]
+    assert 0 < len(coder.counts) <= 40 and len(coder.older) == 40
