@@ -276,20 +276,20 @@ def _document_seeds(bits, least: int) -> Callable[[], Callable[[pa.RecordBatch],
     return make
 
 
-def _filter_of(seeds: DataFrame) -> bytes:
-    """FILTER_BITS bits, set at every seed: 1,024 rows of fixed size reach the driver at most, however many the seeds."""
+def _filter_of(seeds: DataFrame, size: int = FILTER_BITS) -> bytes:
+    """``size`` bits, set at every seed: 1,024 rows of fixed size reach the driver at most, however many the seeds."""
     rows = 1024
-    width = FILTER_BITS // rows
+    width = size // rows
 
     def part(keys: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(width, np.uint8)
         bits[keys["spot"].to_numpy() % width] = 1
         return pd.DataFrame({"row": [int(keys["spot"].iloc[0]) // width], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    spot = F.expr(f"cast(pmod(pmod(seed, {FILTER_BITS}), {FILTER_BITS}) as int)")
+    spot = F.expr(f"cast(pmod(pmod(seed, {size}), {size}) as int)")
     spots = seeds.select(spot.alias("spot")).distinct().withColumn("row", F.expr(f"spot div {width}"))
     made = spots.groupBy("row").applyInPandas(part, "row long, bits binary").collect()
-    out = bytearray(FILTER_BITS // 8)
+    out = bytearray(size // 8)
     for r in made:
         out[r.row * width // 8 : (r.row + 1) * width // 8] = r.bits
     return bytes(out)

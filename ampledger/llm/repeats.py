@@ -9,20 +9,25 @@ these by every byte. All of this is read off the string alone, so equal strings
 trigger. Strings of neighbouring starts with one trigger form a phrase: what stands left of the
 trigger, and what is parsed right of it.
 
-* Phrases of equal bytes are collapsed to the first; strings in all others are repeats as they stand.
+* Phrases of equal bytes are collapsed to the first; strings in all others are repeats as they stand. Those of
+  one text never leave it.
 * Distinct phrases can share a string only if they share half of it on one side of the trigger. Phrases
-  that share no such half with another drop out; the rest meet by it, in groups.
+  that share no such half with another drop out, by a filter as large as the number of shared halves asks
+  for. The rest meet by it, in groups, and are shuffled once. Halves are dealt to rounds over the texts, so many that
+  a round's filter stays under 2 to the power of FILTER_MOST bits and its phrases under about the size of the texts.
 * In a group, the suffix array of the dictionary (the distinct left parts up to the trigger) and the
   order of what the parse has next (the right parts) combine into the corpus order of all starts. Left parts
   end with their only trigger, so none is a prefix of another, and strings are equal exactly
   where these are equal and the right parts agree for the bytes that are left.
-* A group too large for one task is told apart by digests of its strings instead, which are combined before
-  the shuffle.
+* Phrases whose half is in many places are collapsed before they meet. A group still too large for one task
+  is told apart by digests of its strings instead, which are combined before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampledger.llm.common import BROADCAST_ROWS, cut, map_rows, table, text_of, variant_of
-from ampledger.llm.decontaminate import FILTER_BITS, _filter_of
+from ampledger.llm.decontaminate import _filter_of
 from ampledger.sources.scratch import release
 
 LENGTH = 100  # bytes of a repeated string
@@ -41,6 +46,9 @@ BLOCK = 1 << 20  # starts of a text that are parsed at once
 GROUP_ROWS = 1000  # phrases of a group that one task orders; larger ones go by digest
 BUCKET_ROWS = 20_000  # phrases of a task's groups, about
 SPANS_BYTES = 16 << 20  # of lists of spans that may be broadcast
+FILTER_LEAST, FILTER_MOST = 20, 28  # a filter has 2 to the power of these bits: 32 MB at most
+KEY_BITS = 10  # bits of a filter for a half in it, at least: one in 30 or fewer of the others gets through
+ROW_BYTES = 160  # on disk of a phrase: some 45 in its table, 115 in the shuffle
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -137,47 +145,106 @@ def _segments(texts: list[bytes], length: int) -> Iterator[tuple[bytes, list[tup
         yield block()
 
 
+def _of_one_text(words: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.ndarray, q: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """Whether a phrase has the bytes of an earlier one of the same text.
+
+    Phrases whose text and half are equal are compared by two hashes of 64 bits: one of the ``length`` bytes from its
+    first start on, one of those from its last, which is all of it.
+    """
+    order = np.lexsort((text, key))
+    same = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
+    many = order[np.append(same, False) | np.append(False, same)] if len(same) else order[:0]
+    head = _hash_at(words, a[many], length, 2 * (q - a)[many])
+    tail = _hash_at(words, b[many], length, 2 * (b - a)[many] + 1)
+    rank = np.lexsort((a[many], tail, head, text[many], key[many]))
+    columns = (c[rank] for c in (tail, head, text[many], key[many]))
+    equal = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    out = np.zeros(len(key), bool)
+    out[many[rank[1:][equal]]] = True
+    return out
+
+
 def _key_counts(length: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Halves and the phrases that each is in, those of equal bytes counted once for each block of a text; without a half, the bytes."""
+
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(0).to_pylist()
-            keys = [phrases(_words(data), starts, ends, length)[4] for data, _, starts, ends in _segments(texts, length)]
-            key, n = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["seed", "n"])
+            keys = [np.zeros(0, np.int64)]
+            for data, owners, starts, ends in _segments(texts, length):
+                words = _words(data)
+                seg, a, b, q, key = phrases(words, starts, ends, length)
+                keys.append(key[~_of_one_text(words, np.array([n for n, _ in owners])[seg], a, b, q, key, length)])
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            columns = [np.append(key, 0), np.append(n, sum(map(len, texts))).astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], mask=np.arange(len(key) + 1) == len(key)), pa.array(columns[1])], ["seed", "n"])
 
         return each
 
     return make
 
 
-def _phrase_rows(bits, length: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
-    """Phrases whose key passes the filter; those that repeat an earlier one of the same text as merged spans without bytes."""
+def _spots(key: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two of 2 to the ``power`` places, from bits of the key that do not overlap."""
+    bits = key.view(np.uint64)
+    return bits >> np.uint64(64 - power), bits >> np.uint64(8) & np.uint64((1 << power) - 1)
+
+
+def _filter(keys: DataFrame, n: int) -> tuple[bytes, int]:
+    """A filter of the ``n`` keys in ``keys(seed)``, and the power of two of its bits."""
+    power = min(max(FILTER_LEAST, (n * KEY_BITS - 1).bit_length()), FILTER_MOST)
+    spots = F.array(F.shiftrightunsigned("seed", 64 - power), F.shiftrightunsigned("seed", 8).bitwiseAND(F.lit((1 << power) - 1)))
+    return _filter_of(keys.select(F.explode(spots).alias("seed")), 1 << power), power
+
+
+def _held(held: tuple[np.ndarray, int], key: np.ndarray) -> np.ndarray:
+    bits, power = held
+    probed = [(bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 for spot in _spots(key, power)]
+    return (probed[0] & probed[1]).astype(bool)
+
+
+def _phrase_rows(filters, length: int, part: int, rounds: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Phrases of the round ``part`` whose half passes the first filter, with a digest if it passes the second.
+
+    Those that repeat an earlier one of the same text are merged spans without bytes, whether their half passes or not;
+    as neighbours are of different rounds, the first gives them all.
+    """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        held = np.frombuffer(bits.value, np.uint8)
+        shared, hot = ((np.frombuffer(bits, np.uint8), power) for bits, power in filters.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(2).to_pylist()
-            known: list[set[bytes]] = [set() for _ in texts]
+            known = {n: set() for n, text in enumerate(texts) if len(text) > BLOCK}  # of texts in several blocks
             rows, again = [], []
             for data, owners, starts, ends in _segments(texts, length):
-                seg, a, b, q, key = phrases(_words(data), starts, ends, length)
-                spot = key.view(np.uint64) % np.uint64(FILTER_BITS)
-                on = np.flatnonzero((held[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                words = _words(data)
+                found = phrases(words, starts, ends, length)
+                mine = found[4] % rounds == part
+                seg, a, b, q, key = (c[mine] for c in found) if part else found
+                repeats = _of_one_text(words, np.array([n for n, _ in owners])[seg], a, b, q, key, length)
+                at = np.flatnonzero(repeats if part == 0 else np.zeros(0, bool))
+                at = at[np.argsort(a[at], kind="stable")]
+                opens = np.ones(len(at), bool)
+                opens[1:] = (seg[at][1:] != seg[at][:-1]) | (a[at][1:] != b[at][:-1] + 1)
+                last = np.append(opens[1:], True)[: len(at)]
+                for s, lo, hi in zip(seg[at][opens].tolist(), a[at][opens].tolist(), b[at][last].tolist(), strict=True):
+                    n, offset = owners[s]
+                    again.append((n, lo - int(starts[s]) + offset, hi - int(starts[s]) + offset))
+                on = np.flatnonzero(~repeats & (key % rounds == part) & _held(shared, key))
                 on = on[np.argsort(a[on], kind="stable")]
-                for s, lo, hi, at, k in zip(*(c[on].tolist() for c in (seg, a, b, q, key)), strict=True):
+                columns = (seg[on], a[on], b[on], q[on], key[on], _held(hot, key[on]))
+                for s, lo, hi, at, k, much in zip(*(c.tolist() for c in columns), strict=True):
                     n, offset = owners[s]
                     x = data[lo : hi + length]
-                    digest = xxhash.xxh3_128_digest(x, at - lo)
+                    digest = xxhash.xxh3_128_digest(x, at - lo) if much or n in known else None
                     place = lo - int(starts[s]) + offset
-                    if digest in known[n]:
-                        if again and again[-1][0] == n and place <= again[-1][2] + 1:
-                            again[-1][2] = max(again[-1][2], place + hi - lo)
-                        else:
-                            again.append([n, place, place + hi - lo])
-                        continue
-                    known[n].add(digest)
-                    rows.append((n, place, place + hi - lo, at - lo, k, digest, x))
+                    if n in known:
+                        if digest in known[n]:
+                            again.append((n, place, place + hi - lo))
+                            continue
+                        known[n].add(digest)
+                    rows.append((n, place, place + hi - lo, at - lo, k, digest if much else None, x))
             rows += [(n, a, b, None, None, None, None) for n, a, b in again]
             at, a, b, t, key, digest, x = list(zip(*rows, strict=True)) or [()] * 7
             at = pa.array(at, pa.int64())
@@ -260,23 +327,44 @@ def _ordered(length: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        names = ["no_id", "doc_id", "variant", "a", "t"]
-        none, doc, variant, first, trigger = (group[c].cast(pa.int64()).fill_null(0).to_numpy() for c in names)
-        row, offset, _, new = corpus_order(group["x"].to_pylist(), trigger, length)
+        none, doc, variant, first, trigger, key = (
+            group[c].cast(pa.int64()).fill_null(0).to_numpy() for c in ("no_id", "doc_id", "variant", "a", "t", "key")
+        )
+        xs = group["x"].to_pylist()
         documents = np.lexsort((variant, doc, none))
-        key = np.stack([none, doc, variant])[:, documents]
+        names = np.stack([none, doc, variant])[:, documents]
         rank = np.empty(len(documents), np.int64)
-        rank[documents] = np.cumsum(np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-        place = (rank[row] << 36) + first[row] + offset
-        least = np.repeat(np.minimum.reduceat(place, np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(new))))
+        rank[documents] = np.cumsum(np.concatenate([[False], (names[:, 1:] != names[:, :-1]).any(axis=0)]))
+        began = (rank << 36) + first
+        # phrases of equal bytes: the first stays, all of the others repeats it
+        entry: dict[tuple[int, int, bytes], int] = {}
+        order = np.argsort(began, kind="stable")
+        of = np.empty(len(xs), np.int64)
+        for n, k, t in zip(order.tolist(), key[order].tolist(), trigger[order].tolist(), strict=True):
+            of[n] = entry.setdefault((k, t, xs[n]), n)
+        whole = np.flatnonzero(began != began[of])
+        wide = np.array([len(x) for x in xs], np.int64) - length
+        # a half that is left with one phrase has nothing to meet
+        kept = np.fromiter(entry.values(), np.int64, len(entry))
+        _, group_of, size = np.unique(key[kept], return_inverse=True, return_counts=True)
+        kept = kept[size[group_of] > 1]
+        row = offset = least = np.zeros(0, np.int64)
+        if len(kept):
+            row, offset, _, new = corpus_order([xs[k] for k in kept.tolist()], trigger[kept], length)
+        place = began[kept][row] + offset
+        if len(kept):
+            least = np.repeat(np.minimum.reduceat(place, np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(new))))
         later = np.flatnonzero(place != least)
         later = later[np.lexsort((offset[later], row[later]))]
         r, o = row[later], offset[later]
         opens = np.ones(len(r), bool)
         opens[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)
-        at, to = np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:], len(r)) - 1
-        owner = pa.array(r[at] if len(r) else np.zeros(0, np.int64))
-        out = [group["doc_id"].take(owner), group["variant"].take(owner), pa.array(first[r[at]] + o[at]), pa.array(first[r[at]] + o[to])]
+        at, to = np.flatnonzero(opens), np.append(np.flatnonzero(opens)[1:], len(r))[: opens.sum()] - 1
+        owner = np.concatenate([whole, kept[r[at]]])
+        a = first[owner] + np.concatenate([np.zeros(len(whole), np.int64), o[at]])
+        b = first[owner] + np.concatenate([wide[whole], o[to]])
+        owner = pa.array(owner)
+        out = [group["doc_id"].take(owner), group["variant"].take(owner), pa.array(a), pa.array(b)]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], ["doc_id", "variant", "a", "b"])
 
     return run
@@ -330,43 +418,73 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out if few else cut(out, "marked")
 
 
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the table that needs them is written, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _rounds(halves: int, rows: int, size: int) -> int:
+    """Rounds over texts of ``size`` bytes for as many shared halves, in as many phrases."""
+    return max(1, -(-halves * KEY_BITS >> FILTER_MOST), -(-rows * ROW_BYTES // max(1, size)))
+
+
 def repeated_starts(texts: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``doc_id, variant, a, b``: places a to b of ``texts(doc_id, variant, text)`` start strings that also start earlier.
 
-    ``length`` is 24 at least. Documents are told apart by id and ``variant``, the hash of the text.
+    ``length`` is 24 at least. Documents are told apart by id and ``variant``, the hash of the text. Spans may overlap.
     """
     if length < 3 * TRIGGER:
         raise ValueError("length must be 24 or more")
-    bytes_of = F.col("text").cast("binary")
-    texts = texts.where(F.octet_length("text") >= length)
-    counts = map_rows(texts.select(bytes_of.alias("text")), _key_counts(length), "seed long, n long")
-    shared = cut(counts.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "shared-halves")
-    bits = texts.sparkSession.sparkContext.broadcast(_filter_of(shared))
-    release(shared)
-    rows = map_rows(
-        texts.select("doc_id", "variant", bytes_of.alias("text")),
-        _phrase_rows(bits, length),
-        f"{_ID}, a long, b long, t int, key long, digest binary, x binary",
-    )
+    texts = texts.where(F.octet_length("text") >= length).select("doc_id", "variant", F.col("text").cast("binary").alias("text"))
+    with _freed(texts.sparkSession):
+        counts = map_rows(texts.select("text"), _key_counts(length), "seed long, n long")
+        met = cut(counts.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"), "shared-halves")
+        shared = met.where("seed is not null")
+        size = met.where("seed is null").agg(F.sum("n")).first()[0] or 0
+        halves, rows = shared.agg(F.count("*"), F.sum("n")).first()
+        rounds = _rounds(halves, rows or 0, size)
+        parts = [_starts_of(texts, shared, length, group_rows, part, rounds) for part in range(rounds)]
+    release(met)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _starts_of(texts: DataFrame, shared: DataFrame, length: int, group_rows: int, part: int, rounds: int) -> DataFrame:
+    """The starts in phrases of one round."""
+    mine = shared.where(F.expr(f"pmod(seed, {rounds}) = {part}"))
+    kinds = [mine.select("seed"), mine.where(F.col("n") > group_rows).select("seed")]
+    filters = texts.sparkSession.sparkContext.broadcast([_filter(keys, keys.count()) for keys in kinds])
+    rows = map_rows(texts, _phrase_rows(filters, length, part, rounds), f"{_ID}, a long, b long, t int, key long, digest binary, x binary")
     held = cut(rows.withColumn("no_id", F.col("doc_id").isNull()), "phrases")
-    found, rows = held.where("digest is null"), held.where("digest is not null")
-    distinct = cut(rows.groupBy("digest", "key", "t", "x").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "dictionary")
+    found, rows, hot = held.where("t is null"), held.where("t is not null and digest is null"), held.where("digest is not null")
+    names = ["key", "no_id", "doc_id", "variant", "a", "t", "x"]
+    # halves in many places: phrases of equal bytes are combined before the shuffle
+    distinct = cut(hot.groupBy("digest", "key", "t", "x").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "dictionary")
     repeated = distinct.where("n > 1").select("digest", "first")
-    copies = rows.drop("x").join(repeated, "digest").where(_elsewhere("first"))
+    copies = hot.drop("x").join(repeated, "digest").where(_elsewhere("first"))
     sizes = distinct.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = distinct.join(sizes, "key").select("key", "size", "first.*", "t", "x")
-    met = cut(met, "groups")
-    buckets = max(1, met.where(F.col("size") <= group_rows).count() // BUCKET_ROWS)
-    few = met.where(F.col("size") <= group_rows).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    met = cut(distinct.join(sizes, "key").select("key", "size", "first.*", "t", "x"), "groups")
+    few = rows.select(*names).unionByName(met.where(F.col("size") <= group_rows).select(*names))
+    buckets = max(1, few.count() // BUCKET_ROWS)
+    few = few.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     ordered = few.groupBy("bucket").applyInArrow(_ordered(length), f"{_ID}, a long, b long")
     many = met.where(F.col("size") > group_rows).select("no_id", "doc_id", "variant", "a", "x")
     strings = map_rows(many, _strings(length), f"no_id boolean, {_ID}, a long, digest binary")
     least = strings.groupBy("digest").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
     told = strings.join(least.select("digest", "first"), "digest").where(_elsewhere("first"))
-    names = ["doc_id", "variant", "a", "b"]
-    parts = [found.select(*names), copies.select(*names), ordered, told.select("doc_id", "variant", "a", F.col("a").alias("b"))]
-    starts = cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct(), "starts")
+    spans = [found, copies, ordered, told.withColumn("b", F.col("a"))]
+    starts = cut(reduce(DataFrame.unionByName, [s.select("doc_id", "variant", "a", "b") for s in spans]), "starts")
     release(held, distinct, met)
+    filters.unpersist()
     return starts
 
 
@@ -413,7 +531,8 @@ def without_repeats(
     and text are one document, each with its result. Of equal texts under several ids only the
     first stays. An empty table gives an empty result; other columns are not read.
     """
-    marked = _marked(docs, id_col, text_col)
+    with _freed(docs.sparkSession):
+        marked = _marked(docs, id_col, text_col)
     starts = repeated_starts(marked.where("not copy").drop("copy"), length, group_rows)
     lists = starts.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("variant").alias("_variant"), F.col("found.a").alias("a"), F.col("found.b").alias("b"))

@@ -5,7 +5,9 @@ import time
 import numpy as np
 import pytest
 
-from ampledger.llm.repeats import _words, corpus_order, dictionary_ranks, op12_repeats, parse_order, phrases, without_repeats
+from ampledger.llm import repeats
+from ampledger.llm.common import variant_of
+from ampledger.llm.repeats import _words, corpus_order, dictionary_ranks, op12_repeats, parse_order, phrases, repeated_starts, without_repeats
 
 SCHEMA = "doc_id long, text string, a string, variant int"
 
@@ -134,6 +136,78 @@ def test_empty_table_and_long_texts(spark):
     assert time.time() - began < 60
 
 
+def near_copies(spark, rng, copies=30, size=40_000):
+    core = material(rng, size)
+    rows = [(i, f"{i:04d} {core[: 500 * i]}{i:04d}{core[500 * i :]}") for i in range(copies)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("variant", variant_of("text"))
+
+
+def test_rounds_keep_tables_under_the_texts(spark, monkeypatch):
+    """However much of the texts is shared, no table of phrases outgrows them; before, one table had them all."""
+    made = []
+
+    def counted(df, name):
+        out = cut(df, name)
+        made.append((name, out.count()))
+        return out
+
+    cut = repeats.cut
+    monkeypatch.setattr(repeats, "cut", counted)
+    texts = near_copies(spark, random.Random(6))
+    size = texts.selectExpr("sum(octet_length(text))").first()[0]
+    repeated_starts(texts)
+    tables = [n for name, n in made if name == "phrases"]
+    assert sum(tables) > size / 25 and max(tables) * 160 < 1.4 * size
+
+
+def test_shuffle_files_go_with_each_table(spark):
+    """Before, they stayed on disk until the driver's next garbage collection."""
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = shuffled(), spark.conf.get(name)
+    repeated_starts(near_copies(spark, random.Random(7)))
+    assert shuffled() <= before + 100_000 and spark.conf.get(name) == conf
+
+
+@pytest.mark.parametrize("n", [1000, 70_000, 110_000])
+def test_filter_grows_with_its_keys(spark, n):
+    keys = np.random.default_rng(8).integers(-(2**63), 2**63, 4 * n)
+    bits, power = repeats._filter(spark.createDataFrame([(k,) for k in keys[:n].tolist()], "seed long"), n)
+    held = repeats._held((np.frombuffer(bits, np.uint8), power), keys)
+    assert held[:n].all() and held[n:].mean() < 0.04
+
+
+@pytest.mark.parametrize("group_rows", [1000, 3])
+def test_many_rounds_by_definition(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(repeats, "FILTER_LEAST", 13)
+    monkeypatch.setattr(repeats, "FILTER_MOST", 13)
+    rng = random.Random(10)
+    core, line = material(rng, 9000), material(rng, 130)
+    rows = [(i, material(rng, 300) + core[rng.randint(0, 4000) : rng.randint(4000, 9000)] + line * 3 + material(rng, 100)) for i in range(12)]
+    rows += [(20, rows[3][1]), (3, rows[3][1]), (None, core), (21, core[100:300] * 4)]
+    check(spark, rows, 100, group_rows=group_rows)
+
+
+def test_phrases_of_one_text_are_told_apart(spark):
+    rng, length = random.Random(11), 40
+    line = material(rng, 90)
+    texts = [(line * 6 + material(rng, 300) + line[:70] + "x" + line * 2).encode(), (line * 2 + material(rng, 60)).encode()]
+    joined, lengths = b"".join(texts) + bytes(8), np.array([len(t) for t in texts])
+    ends, words = np.cumsum(lengths), _words(joined)
+    seg, a, b, q, key = phrases(words, ends - lengths, ends, length)
+    got = repeats._of_one_text(words, seg, a, b, q, key, length)
+    seen, want = set(), np.zeros(len(a), bool)
+    for k in np.argsort(a).tolist():
+        phrase = (seg[k], q[k] - a[k], joined[a[k] : b[k] + length])
+        want[k] = phrase in seen
+        seen.add(phrase)
+    assert got.tolist() == want.tolist() and 0 < got.sum() < len(got)
+
+
 def test_the_query_by_definition(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
